@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, sharding
+from . import ans, exact_dedup, mixing, packing, quality, sharding, token_counts
 
 N_SHARDS = 40
 
@@ -21,6 +21,24 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), [1.0] * N_SHARDS)
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op8_ans_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ans.coded_round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -29,7 +47,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_sharding, op7_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_sharding, op5_token_counts, op6_packing, op7_exact_dedup, op8_ans_coding, op10_mixing)}
 
 #: CRC-32 as in zlib: the polynomial EDB88320 in a table of 256 made by its rule, folded over the bytes.
 _CRC_SQL = """
