@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, exact_dedup, mixing, packing, quality, sharding, token_counts
+from . import ans, exact_dedup, lang_id, mixing, packing, quality, sharding, token_counts
 
 N_SHARDS = 40
 
@@ -43,11 +43,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_sharding, op5_token_counts, op6_packing, op7_exact_dedup, op8_ans_coding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_sharding, op5_token_counts, op6_packing, op7_exact_dedup, op8_ans_coding, op9_language_id, op10_mixing)}
 
 #: CRC-32 as in zlib: the polynomial EDB88320 in a table of 256 made by its rule, folded over the bytes.
 _CRC_SQL = """
