@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ans, exact_dedup, lang_id, mixing, packing, quality, sharding, token_counts
+from . import ans, exact_dedup, lang_id, mixing, packing, quality, sharding, simhash, suffix_dedup, token_counts
 
 N_SHARDS = 40
 
@@ -13,6 +13,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_strings(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -51,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_sharding, op5_token_counts, op6_packing, op7_exact_dedup, op8_ans_coding, op9_language_id, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_simhash, op4_sharding, op5_token_counts, op6_packing, op7_exact_dedup, op8_ans_coding, op9_language_id, op10_mixing)}
 
 #: CRC-32 as in zlib: the polynomial EDB88320 in a table of 256 made by its rule, folded over the bytes.
 _CRC_SQL = """
