@@ -229,7 +229,7 @@ def _span(f: str, t: str, ux: str, uy: str) -> str:
     return f"{f}({', '.join(_corners(t)).format(ux=ux, uy=uy)})"
 
 
-_COLLINEAR = f""", p AS (SELECT a.page_id, a.region_id AS aid, b.region_id AS bid, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS by, b.w AS bw, b.h AS bh,
+_COLLINEAR = f""", p AS (SELECT a.page_id, a.region_id AS aid, b.region_id AS bid, a.x AS px, a.y AS py, a.w AS pw, a.h AS ph, b.x AS qx, b.y AS qy, b.w AS qw, b.h AS qh,
   (b.x + b.w / 2.0) - (a.x + a.w / 2.0) AS dx, (b.y + b.h / 2.0) - (a.y + a.h / 2.0) AS dy FROM regions a JOIN regions b ON a.page_id = b.page_id AND a.region_id < b.region_id
   AND NOT a.document AND NOT b.document AND NOT (a.bx IS NOT NULL AND b.bx IS NOT NULL)
   AND (CASE WHEN a.bx IS NOT NULL THEN {_cover('b.', 'a.b')} WHEN b.bx IS NOT NULL THEN {_cover('a.', 'b.b')} ELSE 1 END) >= 0.85
@@ -237,10 +237,10 @@ _COLLINEAR = f""", p AS (SELECT a.page_id, a.region_id AS aid, b.region_id AS bi
   AND least(a.w, a.h, b.w, b.h) > 0 AND greatest(a.h, b.h)::DOUBLE / least(a.h, b.h) <= 2.2),
 q AS (SELECT *, sqrt(dx * dx + dy * dy) AS dist FROM p WHERE dx * dx + dy * dy >= 1), r AS (SELECT *, dx / dist AS ux, dy / dist AS uy, atan2(dy, dx) AS t FROM q),
 s AS (SELECT *, CASE WHEN abs(t) > pi() / 2 THEN t - sign(t) * pi() ELSE t END AS ang FROM r),
-u AS (SELECT *, {_span('least', 'a', 'ux', 'uy')} AS a0, {_span('greatest', 'a', 'ux', 'uy')} AS a1, {_span('least', 'b', 'ux', 'uy')} AS b0, {_span('greatest', 'b', 'ux', 'uy')} AS b1,
-  {_span('least', 'a', '-uy', 'ux')} AS p0, {_span('greatest', 'a', '-uy', 'ux')} AS p1, {_span('least', 'b', '-uy', 'ux')} AS q0, {_span('greatest', 'b', '-uy', 'ux')} AS q1,
-  abs(ang - CASE WHEN aw >= ah THEN 0 ELSE pi() / 2 END) AS ta, abs(ang - CASE WHEN bw >= bh THEN 0 ELSE pi() / 2 END) AS tb,
-  greatest(0, ax - (bx + bw), bx - (ax + aw)) AS gx, greatest(0, ay - (by + bh), by - (ay + ah)) AS gy, least(ah, bh) AS lh FROM s)
+u AS (SELECT *, {_span('least', 'p', 'ux', 'uy')} AS a0, {_span('greatest', 'p', 'ux', 'uy')} AS a1, {_span('least', 'q', 'ux', 'uy')} AS b0, {_span('greatest', 'q', 'ux', 'uy')} AS b1,
+  {_span('least', 'p', '-uy', 'ux')} AS p0, {_span('greatest', 'p', '-uy', 'ux')} AS p1, {_span('least', 'q', '-uy', 'ux')} AS q0, {_span('greatest', 'q', '-uy', 'ux')} AS q1,
+  abs(ang - CASE WHEN pw >= ph THEN 0 ELSE pi() / 2 END) AS ta, abs(ang - CASE WHEN qw >= qh THEN 0 ELSE pi() / 2 END) AS tb,
+  greatest(0, px - (qx + qw), qx - (px + pw)) AS gx, greatest(0, py - (qy + qh), qy - (py + ph)) AS gy, least(ph, qh) AS lh FROM s)
 SELECT page_id, aid AS a, bid AS b FROM u WHERE least(ta, pi() - ta) <= radians(40) AND least(tb, pi() - tb) <= radians(40)
   AND NOT (lh >= 80 AND least(a1 - a0, b1 - b0) > 0 AND greatest(least(a1, b1) - greatest(a0, b0), 0) > 0.12 * least(a1 - a0, b1 - b0))
   AND sqrt(gx * gx + gy * gy) <= 0.4 * lh AND greatest(greatest(a0, b0) - least(a1, b1), 0) <= lh AND (least(p1, q1) - greatest(p0, q0)) / least(p1 - p0, q1 - q0) >= 0.55"""
