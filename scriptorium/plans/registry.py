@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import core, loc
+from . import core, loc, ops
 
-MODULES = (core, loc)
+MODULES = (core, loc, ops)
 QUERIES = {k: f for m in MODULES for k, f in m.Q.items()}
 ORACLE_SQL = {k: f for m in MODULES for k, f in m.O.items()}
