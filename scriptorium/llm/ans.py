@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -95,26 +96,32 @@ class Coder:
         return out
 
 
-def crc32_combine(a: int, b: int, n: int) -> int:
-    """CRC-32 of two byte strings one after the other, from theirs and the second one's length n."""
+def _times(matrix: list[int], v: int) -> int:
+    """A vector of 32 bits times a matrix over them."""
+    out, i = 0, 0
+    while v:
+        if v & 1:
+            out ^= matrix[i]
+        v, i = v >> 1, i + 1
+    return out
 
-    def times(matrix: list[int], v: int) -> int:
-        out, i = 0, 0
-        while v:
-            if v & 1:
-                out ^= matrix[i]
-            v, i = v >> 1, i + 1
-        return out
 
-    matrix = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
-    for _ in range(3):
-        matrix = [times(matrix, v) for v in matrix]  # one zero byte
+@lru_cache(maxsize=64)
+def _zeros(power: int) -> tuple[int, ...]:
+    """What 2**power zero bits do to a CRC-32."""
+    if power == 0:
+        return (0xEDB88320, *[1 << i for i in range(31)])
+    half = _zeros(power - 1)
+    return tuple(_times(half, v) for v in half)
+
+
+def crc32_combine(a: int, b: int, n: int) -> int:
+    """CRC-32 of two byte strings one after the other, from theirs and the second one's length n."""
+    power = 3
     while n:
         if n & 1:
-            a = times(matrix, a)
-        n >>= 1
-        if n:
-            matrix = [times(matrix, v) for v in matrix]
+            a = _times(_zeros(power), a)
+        n, power = n >> 1, power + 1
     return a ^ b
 
 
@@ -228,13 +235,23 @@ def _decoded(freq):
     return run
 
 
-def _joined(pieces: pd.DataFrame) -> pd.DataFrame:
-    """One document from its pieces; there are as many as its ids fill blocks."""
-    pieces = pieces.sort_values("starts")
-    crc = 0
-    for c, n in zip(pieces["crc"], pieces["pieces"], strict=True):
-        crc = crc32_combine(crc, int(c), 4 * int(n))
-    return pieces.head(1).assign(crc=crc)
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces in the order of documents and positions → one row for each document, that of its first piece with the CRC-32 of all."""
+    last = None
+    for b in batches:
+        done = []
+        for row in b.to_pylist():
+            if last and (row["task"], row["numbers"]) == (last["task"], last["numbers"]):
+                last["crc"] = crc32_combine(last["crc"], row["crc"], 4 * row["pieces"])
+            else:
+                if last:
+                    done.append(last)
+                last = row
+        schema = b.schema
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema)
+    if last:
+        yield pa.RecordBatch.from_pylist([last], schema)
 
 
 def read_documents(blocks: DataFrame, frequencies: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -246,9 +263,10 @@ def read_documents(blocks: DataFrame, frequencies: DataFrame, key: str = "doc_id
     schema = T.StructType().add("task", "long").add("first", "long").add("key", blocks.schema["keys"].dataType.elementType)
     for c in (*_DOCS, "at", "crc"):
         schema = schema.add(c, "long")
-    pieces = blocks.mapInArrow(_decoded(spark.sparkContext.broadcast(freq)), schema)
+    pieces = written(blocks.mapInArrow(_decoded(spark.sparkContext.broadcast(freq)), schema), "pieces")
     whole = pieces.filter(F.col("pieces") == F.col("totals"))
-    parts = pieces.filter(F.col("pieces") != F.col("totals")).groupBy("task", "numbers").applyInPandas(_joined, schema)
+    parts = pieces.filter(F.col("pieces") != F.col("totals")).repartition("task", "numbers").sortWithinPartitions("task", "numbers", "starts")
+    parts = parts.mapInArrow(_joined, schema)
     starts = task_starts(blocks.select("task", "n"), "task", "n")
     docs = whole.unionByName(parts).join(F.broadcast(starts), "task")  # one row of two numbers for each part
     return docs.select(

@@ -2,7 +2,7 @@
 
 No pre-token crosses a border between white space and other characters, but for the one space that the byte-level
 vocabulary keeps before a word. A text's ids are therefore those of its chunks (a word with that space, or white space), and
-a chunk's those of its pre-tokens. The library's own model encodes each pre-token that a worker has not met yet; whatever
+a chunk's those of its pre-tokens. Each pre-token is encoded when a worker first meets it; whatever
 holds characters beyond Latin letters goes through the whole library, chunk by chunk. Texts with special strings are cut
 there first, as the library does by default. The memory of a worker is bounded: its tables stop growing at `CACHED` entries.
 """
@@ -10,22 +10,26 @@ there first, as the library does by default. The memory of a worker is bounded:
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
-import regex
 
 #: White space as Unicode defines it, and what of it is neither a space nor a line feed.
 _WS = r"\t-\r\x20\x85\xa0  -     　"
 _RARE = "\t\x0b\x0c\r\x85\xa0                　"
-_CHUNK = regex.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_CHUNK = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Printable ASCII and the letters and signs up to U+017F, whose classes no version of Unicode has changed.
-_PLAIN = regex.compile("[ -~\xa1-ſ]*").fullmatch
-#: The pre-tokenizers' patterns of the two vocabularies.
+_SIGNS = [chr(c) for c in [*range(32, 127), *range(161, 173), *range(174, 384)]]
+_L = re.escape("".join(c for c in _SIGNS if unicodedata.category(c)[0] == "L"))
+_N = re.escape("".join(c for c in _SIGNS if unicodedata.category(c)[0] == "N"))
+_PLAIN = re.compile(f"[{re.escape(''.join(_SIGNS))}]*").fullmatch
+#: The pre-tokenizers' patterns of the two vocabularies, for plain text.
 _PIECES = {
-    "byte": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
-    "word": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
+    "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ {_L}{_N}]+| +(?! )| +"),
+    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ {_L}{_N}]+"),
 }
 CACHED = 400_000
 #: Characters of text whose chunks are held at once.
@@ -39,6 +43,10 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def _plain(chunk: str) -> bool:
+    return (chunk.isascii() and chunk.isprintable()) or _PLAIN(chunk) is not None
+
+
 class Memo(dict):
     """A dict that computes what it lacks, and keeps the first CACHED results."""
 
@@ -61,34 +69,54 @@ class ChunkTokenizer:
 
         self.library, self.kind = Tokenizer.from_file(path), kind
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.letters = dict(enumerate(_byte_letters()))
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
+        letters = _byte_letters()
+        self.letters = dict(enumerate(letters))
+        self.encode_piece = None
+        if kind == "byte":
+            # Merges of this vocabulary are in the order of their ids, so its ids are ranks, and a coder by ranks gives the same
+            # ids as the library's model, faster.
+            import tiktoken
+
+            byte = {x: b for b, x in enumerate(letters)}
+            ranks = {bytes(byte[x] for x in t): i for t, i in self.library.get_vocab(with_added_tokens=False).items()}
+            self.encode_piece = tiktoken.Encoding("pieces", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.ids = Memo(self._chunk_ids)  # of a chunk
         self.spaced_ids = Memo(lambda c: self._chunk_ids(" " + c))  # of a chunk with a space before it
         self.piece_ids = Memo(self._piece_ids)
 
+    def _plain_pieces(self, chunk: str) -> list[str]:
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha():
+            return [chunk]
+        if word[-1:] in ",." and word[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return _PIECES[self.kind].findall(chunk)
+
     def pieces(self, chunk: str) -> list[str]:
         """Pre-tokens of a chunk of a byte-level vocabulary."""
         if chunk in self.special:
             return [chunk]
-        if _PLAIN(chunk):
-            return _PIECES[self.kind].findall(chunk)
+        if _plain(chunk):
+            return self._plain_pieces(chunk)
         return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
     def _piece_ids(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.library.model.tokenize(letters)], dtype="<u2").tobytes()
+        if self.encode_piece:
+            return array("H", self.encode_piece(piece)).tobytes()
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("H", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
 
     def _chunk_ids(self, chunk: str) -> bytes:
         if chunk in self.special:
-            return np.array([self.special[chunk]], dtype="<u2").tobytes()
-        if not _PLAIN(chunk):
-            return np.array(self.library.encode(chunk, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        if self.kind == "word":
+            return array("H", [self.special[chunk]]).tobytes()
+        plain = _plain(chunk)
+        if plain and self.kind == "word":
             chunk = chunk.lower()
-            if not _PLAIN(chunk):  # a capital whose small letter has a mark of its own
-                return np.array(self.library.encode(chunk, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        return b"".join(map(self.piece_ids.__getitem__, _PIECES[self.kind].findall(chunk)))
+            plain = _plain(chunk)  # not if a small letter has a mark of its own
+        if not plain:
+            return array("H", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.piece_ids.__getitem__, self._plain_pieces(chunk)))
 
     def chunks(self, text: str) -> list[tuple[bool, list[str]]]:
         """A text as lists of chunks, in order; True: each has a space before it which is left out."""
@@ -100,7 +128,7 @@ class ChunkTokenizer:
     def _chunks(self, text: str) -> list[tuple[bool, list[str]]]:
         if self.kind == "word":
             if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # space for Python alone
-                return [(False, [c for c in _CHUNK.findall(text) if c.strip(" ")])]
+                return [(False, [c for c in (x.strip(" ") for x in _CHUNK.findall(text)) if c])]
             return [(False, text.split())]
         if any(s in text for s in ("  ", " \n", "\n ", "\n\n")) or any(c in text for c in _RARE):
             return [(False, _CHUNK.findall(text))]
