@@ -20,12 +20,20 @@ BUCKETS = 10_000
 #: At most so many trusted documents (those with the least MD5 of their key) fit the trusted multinomial. Their keys are
 #: broadcast: 8 bytes each. The raw multinomial is over all documents.
 TRUSTED = 20_000
+#: Counts that smooth each bucket.
+PRIOR = 50.0
 #: Mean log ratio per n-gram from which on a document stays.
 THRESHOLD = -0.035
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
 
+def _named(value: Column, body) -> Column:
+    """body(value) with the value computed once. A column that is used within a lambda function would be computed for every
+    element if the optimizer copied its expression there, as it does when it moves a filter."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_hashes(text: Column) -> Column:
     """64-bit hashes of a text's words, in order; null has none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACES))
@@ -64,27 +72,27 @@ def repeated_words(hashes: Column) -> Column:
         twice = F.filter(found, lambda x, i: (x["h"] == F.get(found, i - 1)["h"]) | (x["h"] == F.get(found, i + 1)["h"]))
         return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
-    # a one-element array names the sorted windows, so that they are sorted once
-    counted = F.get(F.transform(F.array(placed), covered), F.lit(0))
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), counted).otherwise(0).cast("long")
+    repeated = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    return F.when(repeated, _named(placed, covered)).otherwise(0).cast("long")
 
 
-def fit_weights(df: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED,
+def fit_weights(df: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, prior: float = PRIOR,
                 key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row: _weights, an array of log(trusted share / raw share) by bucket, both smoothed by one count. Without any
-    trusted document it is all zero."""
+    """One row: _weights, an array of log(trusted share / raw share) by bucket. Both are smoothed by `prior` counts for each bucket (in
+    the raw corpus by as many as make the same share), so that buckets with few counts weigh little. Without any trusted
+    document it is all zero."""
     ids = labels.filter(F.col("quality") == 1).select(F.col(key).alias("_id")).distinct()
     ids = ids.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(trusted).withColumn("_t", F.lit(1))
     rows = df.select(F.col(key).alias("_id"), word_hashes(F.col(text)).alias("_w")).join(F.broadcast(ids), "_id", "left")
-    rows = rows.select("_t", F.explode(ngram_buckets(F.col("_w"), buckets)).alias("_b"))
+    rows = rows.select("_t", F.explode(_named(F.col("_w"), lambda w: ngram_buckets(w, buckets))).alias("_b"))
     counts = rows.groupBy("_b").agg(F.count("*").alias("_raw"), F.count("_t").alias("_good"))
     every = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_b")).join(counts, "_b", "left")
     counts = every.select("_b", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("_raw", "_good")])
     packed = counts.agg(F.array_sort(F.collect_list(F.struct("_b", "_raw", "_good"))).alias("_c"))  # `buckets` entries
     packed = packed.select("_c", *[F.aggregate(F.col("_c")[c], F.lit(0).cast("long"), lambda a, x: a + x).alias(f"_n{c}") for c in ("_raw", "_good")])
-    good = lambda x: F.log((x["_good"] + 1) / (F.col("_n_good") + buckets))
-    raw = lambda x: F.log((x["_raw"] + 1) / (F.col("_n_raw") + buckets))
-    return packed.select(F.transform("_c", lambda x: F.when(F.col("_n_good") > 0, good(x) - raw(x)).otherwise(0.0)).alias("_weights"))
+    expected = lambda x: x["_raw"] * F.col("_n_good") / F.col("_n_raw")
+    ratio = lambda x: F.log((x["_good"] + prior) / (expected(x) + prior))
+    return packed.select(F.transform("_c", lambda x: F.when(F.col("_n_good") > 0, ratio(x)).otherwise(0.0)).alias("_weights"))
 
 
 def quality_rules(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted: int = TRUSTED,
@@ -94,24 +102,27 @@ def quality_rules(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     A null or empty text has no words, fails the base rules and scores 0. Repeated rows are judged one by one. Label rows
     of null or unknown keys, and repeated ones, change nothing. An empty table gives an empty result; other columns are
     ignored. score: mean log ratio of the text's n-grams."""
-    weights = written(fit_weights(df, labels, buckets, trusted, key, text), "weights").scalar()
+    weights = written(fit_weights(df, labels, buckets, trusted, PRIOR, key, text), "weights").scalar()
     body = F.coalesce(F.col("_text"), F.lit(""))
-    rows = df.select(F.col(key), F.col(text).alias("_text")).withColumn("_w", word_hashes(F.col("_text")))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(_SPACES)) != "")
-    # each array that is used more than once gets a projection of its own
-    rows = rows.withColumns({"_t": window_hashes(F.col("_w")), "_b": ngram_buckets(F.col("_w"), buckets), "_lines": lines})
-    rows = rows.withColumn("_weights", weights)
+
+    def judged(w: Column) -> Column:
+        """Of word hashes: n, repeated words, n-grams and the sum of their weights."""
+        total = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get("_weights", x))
+        score = _named(ngram_buckets(w, buckets), lambda b: F.struct(F.size(b).alias("n"), total(b).alias("total")))
+        return F.struct(F.size(w).cast("long").alias("words"), _named(window_hashes(w), repeated_words).alias("repeated"), score.alias("score"))
+
+    rows = df.select(F.col(key), F.col(text).alias("_text")).withColumn("_weights", weights)
+    rows = rows.withColumn("_m", _named(word_hashes(F.col("_text")), judged))
     rows = rows.select(
         key,
-        F.size("_w").cast("long").alias("n_words"),
+        F.col("_m.words").alias("n_words"),
         (F.char_length(body) - n_of(body, _SPACES)).cast("long").alias("word_chars"),
         n_of(body, _SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_t")).alias("n_repeat_words"),
-        F.size("_b").alias("_n"),
-        F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get("_weights", b)).alias("_total"),
+        _named(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        F.col("_m.repeated").alias("n_repeat_words"),
+        F.when(F.col("_m.score.n") > 0, F.col("_m.score.total") / F.col("_m.score.n")).otherwise(0.0).alias("score"),
     )
-    rows = rows.withColumn("score", F.when(F.col("_n") > 0, F.col("_total") / F.col("_n")).otherwise(0.0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("base_failed", failed).select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -160,7 +160,7 @@ def test_quality_rules(spark, docs, odd, empty):
         for g in grams(t):
             raw[g] += 1
             good[g] += k % 2 == 0
-    weights = np.log((good + 1) / (good.sum() + 500)) - np.log((raw + 1) / (raw.sum() + 500))
+    weights = np.log((good + quality.PRIOR) / (raw * good.sum() / raw.sum() + quality.PRIOR))
     for i, t, *_ in ROWS:
         g = grams(t)
         want = weights[g].mean() if g else 0.0
