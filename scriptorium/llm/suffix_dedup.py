@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,12 +32,16 @@ from .common import written
 LENGTH = 50
 ANCHOR = 20
 #: Windows of a snippet at most, so that a text of one repeated character gives short snippets too.
-RUN = 64
-#: Bytes of snippets, and anchors, that a task works on at once.
-HELD_BYTES = 1_000_000
+RUN = 60
+#: Bytes of texts, bytes of snippets, and anchors, that a task works on at once.
+PART_BYTES = 4_000_000
+HELD_BYTES = 200_000
 HELD_ANCHORS = 1_000_000
 #: Groups of documents and buckets of anchors for each shuffle partition.
-GROUPS, BUCKETS = 16, 4
+GROUPS, BUCKETS = 4, 1
+#: An anchor in more groups than this is hot: its windows become snippets of their own, dealt by their whole content, so that no
+#: task gets all the contents around a frequent string.
+HOT = 4096
 _REST = np.uint64((1 << 47) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,13 +100,24 @@ def snippets(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR, run
     return text[first], inside[first], n, least[first]
 
 
+def _names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit names of the strings data[start:end]: polynomials from prefix sums, for all of them at a time."""
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(data), _ODD)])
+        inverse = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(data), pow(int(_ODD), -1, 1 << 64), dtype=np.uint64)])
+        sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)])]
+        name = (sums[end] - sums[start]) * inverse[start] ^ (end - start).astype(np.uint64) << np.uint64(40)
+        name = (name ^ name >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (name ^ name >> np.uint64(29)).view(np.int64)
+
+
 def _keyed(anchors: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of an anchor, and its key: bucket and 47 further bits."""
     bucket = anchors % np.uint64(buckets)
     return bucket, bucket << np.uint64(47) | (anchors // np.uint64(buckets)) & _REST
 
 
-def _parts(texts: list[bytes], limit: int = HELD_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def _parts(texts: list[bytes], limit: int = PART_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     at, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > limit:
@@ -121,7 +135,7 @@ def _send_anchors(buckets: int):
         texts = [(t or "").encode() for t in group.column("_text").to_pylist()]
         doc = group.column("_doc").to_numpy()
         keys, docs = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-        for at, some in _parts(texts):
+        for at, some in _parts(texts, 1_000_000):
             text, _, _, anchors = snippets(some)
             keys.append(_keyed(anchors, buckets)[1])
             docs.append(doc[at + text])
@@ -145,8 +159,8 @@ def _send_anchors(buckets: int):
     return run
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets in order → for each group, those of its anchor keys that occur in two documents or more."""
+def _shared_anchors(hot: int):
+    """Buckets in order → for each group, those of its anchor keys that occur in two documents or more; hot ones in a row apart."""
 
     def found(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         n = [len(k) // 6 for _, _, k in held]
@@ -160,23 +174,28 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
         ok = np.repeat((size > 1) | np.logical_or.reduceat(several, first), size)
+        frequent = np.repeat(size > hot, size)[ok]
         key, group = key[ok], group[ok]
-        order = np.argsort(group, kind="stable")
-        key, group = key[order], group[order]
-        cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=np.int64)
+        order = np.lexsort((frequent, group))
+        key, group, frequent = key[order], group[order], frequent[order]
+        cut = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (frequent[1:] != frequent[:-1])]) if len(group) else np.zeros(0, dtype=np.int64)
         ends = np.r_[cut[1:], len(group)]
-        return pa.RecordBatch.from_arrays([pa.array(group[cut]), pa.array([key[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())], names=["_group", "_keys"])
+        keys = pa.array([key[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(group[cut]), keys, pa.array(frequent[cut])], names=["_group", "_keys", "_hot"])
 
-    held, size, last = [], 0, None
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[0] != last and size > 6 * HELD_ANCHORS:
-                yield found(held)
-                held, size = [], 0
-            held.append(row)
-            size, last = size + len(row[2]), row[0]
-    if held:
-        yield found(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != last and size > 6 * HELD_ANCHORS:
+                    yield found(held)
+                    held, size = [], 0
+                held.append(row)
+                size, last = size + len(row[2]), row[0]
+        if held:
+            yield found(held)
+
+    return run
 
 
 _OUT = T.StructType([
@@ -190,37 +209,44 @@ def _write_snippets(buckets: int, length: int):
     """A group's texts and its shared anchors → rows of contents (content, first, last) and of occurrences (doc, text, at)."""
 
     def run(group: pa.Table, shared: pa.Table) -> pa.Table:
-        keys = np.unique(np.frombuffer(b"".join(shared.column("_keys").to_pylist()), dtype=np.uint64))
+        sets = list(zip(shared.column("_keys").to_pylist(), shared.column("_hot").to_pylist(), strict=True))
+        keys = np.unique(np.frombuffer(b"".join(k for k, _ in sets), dtype=np.uint64))
+        hot = np.unique(np.frombuffer(b"".join(k for k, h in sets if h), dtype=np.uint64))
         texts = [(t or "").encode() for t in group.column("_text").to_pylist()]
         doc, name = group.column("_doc").to_numpy(), group.column("_name").to_numpy()
-        contents: dict[bytes, list] = {}
-        rows: list[tuple[np.ndarray, ...]] = []
+        kinds = []
         for at, some in _parts(texts) if len(keys) else ():
             text, first, n, anchors = snippets(some)
             key = _keyed(anchors, buckets)[1]
             hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
             text, first, n, key = text[hit], first[hit], n[hit], key[hit].view(np.int64)
-            names = np.empty(len(text), dtype=np.int64)
-            digest = xxhash.xxh3_64_intdigest
-            for i, (t, p, m, k) in enumerate(zip(text.tolist(), first.tolist(), n.tolist(), key.tolist(), strict=True)):
-                c = some[t][p : p + m + length - 1]
-                entry = contents.get(c)
-                d = int(doc[at + t])
-                if entry is None:
-                    entry = contents[c] = [k, digest(c) - (1 << 63), d, d]
-                elif d < entry[2]:
-                    entry[2] = d
-                elif d > entry[3]:
-                    entry[3] = d
-                names[i] = entry[1]
-            rows.append((key, names, doc[at + text], name[at + text], first))
-        m = len(contents)
-        k, h, lo, hi = (pa.array(x, pa.int64()) for x in (zip(*contents.values(), strict=True) if m else ((), (), (), ())))
-        kinds = [pa.table([k, pa.array(list(contents), pa.binary()), h, lo, hi, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names=_OUT.names)]
-        for key, names, d, t, first in rows:
-            n = len(key)
-            kinds.append(pa.table([pa.array(key), pa.nulls(n, pa.binary()), pa.array(names), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                                   pa.array(d), pa.array(t), pa.array(first.astype(np.int32))], names=_OUT.names))
+            frequent = np.zeros(len(key), dtype=bool)
+            if len(hot):
+                frequent = hot[np.minimum(np.searchsorted(hot, key.view(np.uint64)), len(hot) - 1)] == key.view(np.uint64)
+                parts = np.where(frequent, n, 1)
+                k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                text, first, frequent, key = np.repeat(text, parts), np.repeat(first, parts) + k, np.repeat(frequent, parts), np.repeat(key, parts)
+                n = np.where(frequent, 1, np.repeat(n, parts))
+            data = b"".join(some)
+            sizes = np.array([len(t) for t in some], dtype=np.int64)
+            start = (np.cumsum(sizes) - sizes)[text] + first
+            end = start + n + length - 1
+            names = _names(np.frombuffer(data, dtype=np.uint8), start, end)
+            key = np.where(frequent, names, key)
+            docs, m = doc[at + text], len(key)
+            kinds.append(pa.table([pa.array(key), pa.nulls(m, pa.binary()), pa.array(names), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
+                                   pa.array(docs), pa.array(name[at + text]), pa.array(first.astype(np.int32))], names=_OUT.names))
+            order = np.lexsort((names, key))
+            cut = np.flatnonzero(np.r_[True, (names[order][1:] != names[order][:-1]) | (key[order][1:] != key[order][:-1])]) if m else order
+            one, docs = order[cut], docs[order]
+            low, high = (np.minimum.reduceat(docs, cut), np.maximum.reduceat(docs, cut)) if m else (docs, docs)
+            some_contents = [data[i:j] for i, j in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+            m = len(one)
+            kinds.append(pa.table([pa.array(key[one]), pa.array(some_contents, pa.binary()), pa.nulls(m, pa.int64()), pa.array(low), pa.array(high),
+                                   pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names=_OUT.names))
+        if not kinds:
+            kinds = [pa.schema([("anchor", pa.int64()), ("content", pa.binary()), ("name", pa.int64()), ("first", pa.int64()), ("last", pa.int64()),
+                                ("doc", pa.int64()), ("text", pa.int64()), ("at", pa.int32())]).empty_table()]
         return pa.concat_tables(kinds)
 
     return run
@@ -229,26 +255,34 @@ def _write_snippets(buckets: int, length: int):
 # ---------------------------------------------------------------- BWT
 
 
+def _ordered(high: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of non-negative numbers below 2**(63 - bits), ties by index, and whether each in that order is new. One sort of numbers
+    with the index in their low bits."""
+    packed = np.sort(high << bits | np.arange(len(high)))
+    high = packed >> bits
+    return packed & ((1 << bits) - 1), np.r_[True, high[1:] != high[:-1]]
+
+
 def suffix_array(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of contents that each end in a separator of its own. symbols: byte + 1, 0 for a separator;
-    place: distance to the own separator. Equal suffixes are in the order of their contents. By prefix doubling from 7 bytes."""
+    """Order of all suffixes of contents that each end in a separator of its own, for up to 2**21 symbols. symbols: byte + 1 (UTF-8
+    has no byte above 244), 0 for a separator; place: distance to the own separator. Equal suffixes are in the order of their
+    contents. By prefix doubling, from as many bytes as fit beside the index."""
     n = len(symbols)
+    bits = n.bit_length()
+    size, most = (63 - bits) // 8, int(place.max()) + 1
     key = np.zeros(n, dtype=np.int64)
-    for k in range(7):
-        key <<= 9
+    for k in range(size):
+        key <<= 8
         key[: n - k] |= np.where(place[: n - k] >= k, symbols[k:], 0)
-    size, most = 7, int(place.max()) + 1
     while True:
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        new = np.r_[False, sorted_[1:] != sorted_[:-1]]
-        if size >= most or new[1:].all():
+        order, new = _ordered(key, bits)
+        if size >= most or new.all():
             return order
         rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(new)
-        key = rank * (n + 1)
+        rank[order] = np.cumsum(new) - 1
+        key = rank << bits
         ahead = np.flatnonzero(place >= size)
-        key[ahead] += rank[ahead + size] + 1
+        key[ahead] |= rank[ahead + size] + 1
         size *= 2
 
 
@@ -269,18 +303,29 @@ def equal_windows(contents: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
     # Backward steps: row i goes to LF(i), and rows in the order of (BWT symbol, row) are those of all suffixes. A separator is
     # less than any byte, and the separators rank by their contents.
     own = np.repeat(np.arange(len(contents)), sizes)
-    before = np.where(bwt == 0, own[order - 1] - len(contents), bwt)
-    back = np.argsort(before, kind="stable")  # back[LF(i)] = i
+    before = np.where(bwt == 0, own[order - 1], len(contents) + bwt)
+    back = _ordered(before, len(symbols).bit_length())[0].astype(np.int32)  # back[LF(i)] = i
     head = bwt[back]
     border = np.r_[True, (head[1:] != head[:-1]) | (head[1:] == 0)]
-    still = np.flatnonzero(~border)
+    forth = np.empty(len(back), dtype=np.int32)  # LF
+    forth[back] = np.arange(len(back), dtype=np.int32)
+    # A border before row i, found last, parts rows j - 1 and j of the next round if it lies between back[j - 1] and back[j]. Mostly
+    # these are neighbours, and then j = LF(i). Only the other rows (`wide`) compare the intervals of both.
+    gap = np.r_[0, back[1:] - back[:-1]]
+    wide = np.flatnonzero(~border & (gap > 1))
+    this, above = back[wide], back[wide - 1]
+    new = np.flatnonzero(border)
     for _ in range(length - 1):
-        interval = np.cumsum(border)
-        parted = interval[back[still]] != interval[back[still - 1]]
-        border[still[parted]] = True
-        still = still[~parted]
-        if not len(still):
+        found = forth[new]
+        found = found[~border[found] & (gap[found] == 1)]
+        interval = np.cumsum(border, dtype=np.int32)
+        parted = interval[this] != interval[above]
+        new = np.concatenate([found, wide[parted]])
+        if not len(new):
             break
+        border[new] = True
+        same = ~parted
+        wide, this, above = wide[same], this[same], above[same]
     whole = place[order] >= length
     return order[whole], np.cumsum(border)[whole]
 
@@ -297,7 +342,7 @@ def _expand(length: int):
 
     def found(held: dict[tuple[int, bytes], list]) -> pa.RecordBatch:
         contents = [c for _, c in held]
-        first, last = (np.array([v[i] for v in held.values()], dtype=np.int64) for i in (1, 2))
+        first, last = (np.array([v[i] for v in held.values()], dtype=np.int64) for i in (0, 1))
         at, which = equal_windows(contents, length)
         sizes = np.array([len(c) + 1 for c in contents])
         owner = np.repeat(np.arange(len(contents)), sizes)
@@ -316,7 +361,7 @@ def _expand(length: int):
         starts, ends = (starts - base[who]).astype(np.int32), (ends - base[who]).astype(np.int32)
         cut = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, dtype=np.int64)
         offsets = pa.array(np.r_[cut, len(who)].astype(np.int32)) if len(cut) else pa.array([0], pa.int32())
-        names = np.array([v[0] for v in held.values()], dtype=np.int64)
+        names = _names(np.frombuffer(b"\0".join(contents), dtype=np.uint8), base, base + sizes - 1)
         anchors = np.array([a for a, _ in held], dtype=np.int64)
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (starts, ends, value)]
         return pa.RecordBatch.from_arrays([pa.array(anchors[who[cut]]), pa.array(names[who[cut]]), *lists], names=_RUNS.names)
@@ -325,17 +370,17 @@ def _expand(length: int):
         held: dict[tuple[int, bytes], list] = {}
         size, last = 0, None
         for b in batches:
-            for anchor, content, name, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for anchor, content, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if anchor != last and size > HELD_BYTES:
                     yield found(held)
                     held, size = {}, 0
                 last = anchor
                 entry = held.get((anchor, content))
                 if entry is None:
-                    held[(anchor, content)] = [name, lo, hi]
+                    held[(anchor, content)] = [lo, hi]
                     size += len(content) + 1
                 else:
-                    entry[1], entry[2] = min(entry[1], lo), max(entry[2], hi)
+                    entry[0], entry[1] = min(entry[0], lo), max(entry[1], hi)
         if held:
             yield found(held)
 
@@ -345,37 +390,48 @@ def _expand(length: int):
 # ---------------------------------------------------------------- documents
 
 
-def _united(starts, ends) -> list[tuple[int, int]]:
-    spans: list[tuple[int, int]] = []
-    for s, e in sorted(zip(starts, ends, strict=True)):
-        if spans and s <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
-        else:
-            spans.append((s, e))
-    return spans
+def _united(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the united ranges of every row's list of ranges, in order."""
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    values = lists.flatten()
+    start, end = (values.field(c).to_numpy().astype(np.int64) for c in ("s", "e"))
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    if not len(row):
+        return row, start, end
+    apart = int(end.max()) + 1  # rows one after the other on one line
+    reach = np.maximum.accumulate(end + row * apart)
+    new = np.r_[True, start[1:] + row[1:] * apart > reach[:-1]] | np.r_[True, row[1:] != row[:-1]]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:] - 1, len(row) - 1]
+    return row[first], start[first], reach[last] - row[last] * apart
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n_bytes, n_removed, n_spans, digests, found = [], [], [], [], []
-        for text, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        row, starts, ends = _united(b.column(2))
+        at = np.searchsorted(row, np.arange(b.num_rows + 1)).tolist()
+        s, e = starts.tolist(), ends.tolist()
+        n_bytes, digests = [], []
+        for i, text in enumerate(b.column(1).to_pylist()):
             data = (text or "").encode()
-            spans = _united([x["s"] for x in ranges], [x["e"] for x in ranges]) if ranges else []
-            digest, at = hashlib.sha256(), 0
-            for s, e in spans:
-                digest.update(data[at:s])
-                at = e
-            digest.update(data[at:])
-            n_bytes.append(len(data)), n_spans.append(len(spans)), n_removed.append(sum(e - s for s, e in spans))
-            digests.append(digest.hexdigest()), found.append([{"start": s, "end": e} for s, e in spans])
-        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+            digest, done = hashlib.sha256(), 0
+            for k in range(at[i], at[i + 1]):
+                digest.update(data[done : s[k]])
+                done = e[k]
+            digest.update(data[done:])
+            n_bytes.append(len(data)), digests.append(digest.hexdigest())
+        removed = np.r_[0, np.cumsum(ends - starts)]
+        n_removed, n_spans = np.diff(removed[at]), np.diff(at)
+        spans = pa.StructArray.from_arrays([pa.array(starts), pa.array(ends)], names=["start", "end"])
+        spans = pa.ListArray.from_arrays(pa.array(np.array(at, dtype=np.int32)), spans)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(digests), pa.array(found, pa.list_(span))],
+            [b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed.astype(np.int64)), pa.array(n_spans.astype(np.int64)), pa.array(digests), spans],
             names=["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
         )
 
 
-def repeated_strings(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_strings(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row per input row: key, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end byte of each removed run).
 
     A null text is empty; texts of fewer than `length` bytes lose nothing. A null key is smaller than any other. Rows that
@@ -389,10 +445,10 @@ def repeated_strings(df: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     docs = df.select(F.col(key).alias("_key"), doc.alias("_doc"), body.alias("_text"), F.xxhash64(body).alias("_name"))
     dealt = docs.select("_doc", "_text", "_name", F.pmod(F.xxhash64("_doc"), F.lit(groups)).alias("_group")).repartition("_group")
     sent = dealt.groupBy("_group").applyInArrow(_send_anchors(buckets), "_bucket long, _group long, _keys binary")
-    shared = sent.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(_shared_anchors, "_group long, _keys binary")
+    shared = sent.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(_shared_anchors(hot), "_group long, _keys binary, _hot boolean")
     rows = dealt.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(_write_snippets(buckets, length), _OUT)
     rows = written(rows, "snippets")
-    contents = rows.filter(F.col("content").isNotNull()).select("anchor", "content", "name", "first", "last")
+    contents = rows.filter(F.col("content").isNotNull()).select("anchor", "content", "first", "last")
     runs = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_expand(length), _RUNS)
     runs = written(runs, "runs")
     places = rows.filter(F.col("content").isNull()).select("anchor", "name", "doc", "text", "at")
@@ -401,7 +457,7 @@ def repeated_strings(df: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     hits = hits.select("doc", "text", "at", F.explode(ranges).alias("r"))
     ranges = hits.groupBy("doc", "text").agg(F.collect_list(F.struct((F.col("at") + F.col("r.start")).alias("s"), (F.col("at") + F.col("r.end")).alias("e"))).alias("_ranges"))
     ranges = written(ranges, "ranges")
-    joined = docs.join(ranges, (docs["_doc"] == ranges["doc"]) & (docs["_name"] == ranges["text"]), "left").select("_key", "_text", "_ranges")
+    joined = docs.join(ranges, (docs["_doc"] == ranges["doc"]) & (docs["_name"] == ranges["text"]), "left").select("_key", "_text", F.coalesce("_ranges", F.array().cast("array<struct<s:int,e:int>>")).alias("_ranges"))
     out = T.StructType([T.StructField("_key", df.schema[key].dataType)]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     out = out.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
     return joined.mapInArrow(_cut_out, out).withColumnRenamed("_key", key)
