@@ -60,8 +60,10 @@ def fit(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "t
     """The frozen counts: lang, ord, gram, n. Their number is bounded by the sample, not by df."""
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out(F.col("_key")))
-    order = Window.partitionBy("_lang").orderBy(F.md5(F.coalesce(F.col("_key").cast("string"), F.lit(""))), "_key")
-    chosen = rows.select("_lang", "_key").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample)
+    chosen = rows.select("_lang", "_key", F.md5(F.coalesce(F.col("_key").cast("string"), F.lit(""))).alias("_h"))
+    for keys in (["_lang", F.substring("_h", 1, 2)], ["_lang"]):  # first in each of 256 parts of a language, then among those
+        order = Window.partitionBy(*keys).orderBy("_h", "_key")
+        chosen = chosen.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample)
     rows = rows.join(F.broadcast(chosen.select("_key").distinct()), "_key", "left_semi")  # `sample` ids a language
     return rows.select("_lang", "_text").mapInPandas(_followers, "lang string, ord int, gram long, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n")).toPandas()
 
