@@ -4,7 +4,7 @@ A text's UTF-8 bytes are cut into fixed-size blocks. All blocks are sorted, and
 rank. Then adjacent names are paired, the pairs sorted and named likewise, until each text has one name. Two texts are
 equal if and only if block count and name agree: names come from comparing contents, so nothing can collide.
 
-Sorting is a range exchange over (block, row), so that a block which a third of all rows share spreads over many tasks.
+Sorting is a range exchange over (short form of the block, row), so that a block which a third of all rows share spreads over many tasks.
 Each task ranks its own run; a task whose first block equals the last one before it continues that rank. The
 prefix sums over tasks have one row per task. Texts cross the network once, whatever the number of copies.
 """
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,13 +57,15 @@ def _rank_runs(keys: list[str], carried: list[str]):
     return run
 
 
-def name_by_sorting(df: DataFrame, keys: list[str], tie: str, carried: list[str], label: str) -> DataFrame:
-    """`carried` columns of df plus _name: the rank of the row's keys (not null) among all distinct keys."""
+def name_by_sorting(df: DataFrame, keys: list[str], tie: str, carried: list[str], label: str, short: list[Column] | None = None) -> DataFrame:
+    """`carried` columns of df plus _name: the rank of the row's keys (not null) among all distinct keys. short: what to sort by
+    first, if the keys are long: the exchange samples these columns instead, and a sample reaches the driver."""
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in carried]).add("_task", "long").add("_rank", "long")
     for k in keys:
         schema = schema.add(f"_first_{k}", df.schema[k].dataType).add(f"_last_{k}", df.schema[k].dataType)
-    run = df.select(*keys, tie, *[c for c in carried if c not in (*keys, tie)])
-    run = run.repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie)
+    run = df.select(*keys, tie, *[c for c in carried if c not in (*keys, tie)], *[c.alias(f"_s{i}") for i, c in enumerate(short or [])])
+    by = [f"_s{i}" for i in range(len(short or []))]
+    run = run.repartitionByRange(*(by or keys), tie).sortWithinPartitions(*by, *keys, tie).drop(*by)
     run = written(run.mapInArrow(_rank_runs(keys, carried), schema), label)
     ends = run.filter(F.col(f"_first_{keys[0]}").isNotNull())
     by_task = Window.orderBy("_task")  # one row for each task that had rows
@@ -90,7 +92,9 @@ def text_identities(df: DataFrame, key: str = "doc_id", text: str = "text", bloc
         F.when(first, F.unhex(F.sha2("_bytes", 256))).alias("_sha"),
         F.substring(F.col("_bytes"), F.col("_i") * block_bytes + 1, F.lit(block_bytes)).alias("_block"),
     )
-    named = name_by_sorting(rows, ["_block"], "_rid", ["_rid", "_i", "_n", "_key", "_sha"], "blocks")
+    # Equal blocks have equal short forms, so they stay together; their names come from the blocks themselves.
+    short = [F.substring("_block", 1, 16), F.xxhash64("_block"), F.xxhash64("_block", F.lit(1))]
+    named = name_by_sorting(rows, ["_block"], "_rid", ["_rid", "_i", "_n", "_key", "_sha"], "blocks", short)
     heads = named.filter(F.col("_i") == 0)
     longest = heads.agg(F.max("_n")).first()[0] or 1
     done, level, left = [heads.filter(F.col("_n") == 1).select("_rid", "_name")], named.filter(F.col("_n") > 1), longest
@@ -121,6 +125,7 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", block_by
     groups = rows.groupBy("_n", "_name").agg(
         F.max(F.struct(F.col(key).alias("id"), F.col("_rid").alias("rid"))).alias("_keep"), F.count("*").alias("group_size")
     )
+    groups = written(groups, "groups")  # so that both sides of the join are plain exchanges, which Spark can split at a hot group
     return rows.join(groups, ["_n", "_name"]).select(
         key, F.col("_keep.id").alias("keep_id"), "group_size", (F.col("_rid") == F.col("_keep.rid")).alias("kept"), "text_sha256"
     )
