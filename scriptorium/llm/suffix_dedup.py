@@ -39,9 +39,12 @@ HELD_BYTES = 200_000
 HELD_ANCHORS = 1_000_000
 #: Groups of documents and buckets of anchors for each shuffle partition.
 GROUPS, BUCKETS = 4, 1
-#: An anchor in more groups than this is hot: its windows become snippets of their own, dealt by their whole content, so that no
-#: task gets all the contents around a frequent string.
+#: An anchor with more contents than this (distinct in a group, summed over groups) is hot, however many groups there are: its windows
+#: become snippets of their own, dealt by their whole content, so that no task gets all the contents around a frequent string. A task
+#: expands HELD_BYTES and HOT contents of RUN + LENGTH bytes at most, which is well below SYMBOLS.
 HOT = 4096
+#: Symbols from which a suffix array has no room for ranks beside the index.
+SYMBOLS = 1 << 21
 _REST = np.uint64((1 << 47) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,32 +131,45 @@ def _parts(texts: list[bytes], limit: int = PART_BYTES) -> Iterator[tuple[int, l
         yield at, texts[at:]
 
 
-def _send_anchors(buckets: int):
-    """A group of documents → for each bucket, the group's distinct anchor keys; the top bit tells those in two documents."""
+def _send_anchors(buckets: int, length: int = LENGTH):
+    """A group of documents → for each bucket, the group's distinct anchor keys; the top bit tells those in two documents. _many has
+    (index, contents) of the keys with two distinct contents or more."""
 
     def run(group: pa.Table) -> pa.Table:
         texts = [(t or "").encode() for t in group.column("_text").to_pylist()]
         doc = group.column("_doc").to_numpy()
-        keys, docs = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        keys, docs, names = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for at, some in _parts(texts, 1_000_000):
-            text, _, _, anchors = snippets(some)
+            text, inside, n, anchors = snippets(some)
+            sizes = np.array([len(t) for t in some], dtype=np.int64)
+            start = (np.cumsum(sizes) - sizes)[text] + inside
             keys.append(_keyed(anchors, buckets)[1])
             docs.append(doc[at + text])
-        key, who = np.concatenate(keys), np.concatenate(docs)
+            names.append(_names(np.frombuffer(b"".join(some), dtype=np.uint8), start, start + n + length - 1))
+        key, who, name = np.concatenate(keys), np.concatenate(docs), np.concatenate(names)
         order = np.argsort(key)
-        key, who = key[order], who[order]
+        key, who, name = key[order], who[order], name[order]
         if not len(key):
-            return pa.table({"_bucket": pa.array([], pa.int64()), "_group": pa.array([], pa.int64()), "_keys": pa.array([], pa.binary())})
+            return pa.table({"_bucket": pa.array([], pa.int64()), "_group": pa.array([], pa.int64()), "_keys": pa.array([], pa.binary()), "_many": pa.array([], pa.binary())})
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
+        again = np.flatnonzero(np.r_[False, run[1:] == run[:-1]] | np.r_[run[1:] == run[:-1], False])  # rows of keys with two or more
+        again = again[np.lexsort((name[again], run[again]))]
+        other = (run[again][1:] == run[again][:-1]) & (name[again][1:] != name[again][:-1])
+        contents = 1 + np.bincount(run[again][1:][other], minlength=len(first))
         several = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
         key = key[first]
         bucket = (key >> np.uint64(47)).astype(np.int64)
         short = (key & _REST | several.astype(np.uint64) << np.uint64(47)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
         cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         ends = np.r_[cut[1:], len(bucket)]
+        many = np.flatnonzero(contents > 1)
+        pairs = np.stack([many - cut[np.searchsorted(cut, many, "right") - 1], contents[many]], axis=1).astype("<u4").tobytes()
+        low, high = (8 * np.searchsorted(many, x) for x in (cut, ends))
         return pa.table({
             "_bucket": pa.array(bucket[cut]), "_group": pa.array(np.full(len(cut), group.column("_group")[0].as_py(), dtype=np.int64)),
             "_keys": pa.array([short[6 * i : 6 * j] for i, j in zip(cut, ends, strict=True)], pa.binary()),
+            "_many": pa.array([pairs[i:j] for i, j in zip(low, high, strict=True)], pa.binary()),
         })
 
     return run
@@ -162,19 +178,22 @@ def _send_anchors(buckets: int):
 def _shared_anchors(hot: int):
     """Buckets in order → for each group, those of its anchor keys that occur in two documents or more; hot ones in a row apart."""
 
-    def found(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        n = [len(k) // 6 for _, _, k in held]
+    def found(held: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+        n = [len(k) // 6 for _, _, k, _ in held]
         raw = np.zeros((sum(n), 8), dtype=np.uint8)
-        raw[:, :6] = np.frombuffer(b"".join(k for _, _, k in held), dtype=np.uint8).reshape(-1, 6)
+        raw[:, :6] = np.frombuffer(b"".join(k for _, _, k, _ in held), dtype=np.uint8).reshape(-1, 6)
         key = raw.view("<u8").ravel()
-        several, key = key >> np.uint64(47) > 0, key & _REST | np.repeat(np.array([b for b, _, _ in held], dtype=np.uint64), n) << np.uint64(47)
-        group = np.repeat(np.array([g for _, g, _ in held], dtype=np.int64), n)
+        several, key = key >> np.uint64(47) > 0, key & _REST | np.repeat(np.array([b for b, _, _, _ in held], dtype=np.uint64), n) << np.uint64(47)
+        group = np.repeat(np.array([g for _, g, _, _ in held], dtype=np.int64), n)
+        pairs = np.frombuffer(b"".join(m for _, _, _, m in held), dtype="<u4").reshape(-1, 2).astype(np.int64)
+        contents = np.ones(len(key), dtype=np.int64)
+        contents[pairs[:, 0] + np.repeat(np.cumsum(n) - n, [len(m) // 8 for _, _, _, m in held])] = pairs[:, 1]
         order = np.argsort(key)
-        key, several, group = key[order], several[order], group[order]
+        key, several, group, contents = key[order], several[order], group[order], contents[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
         ok = np.repeat((size > 1) | np.logical_or.reduceat(several, first), size)
-        frequent = np.repeat(size > hot, size)[ok]
+        frequent = np.repeat(np.add.reduceat(contents, first) > hot, size)[ok]
         key, group = key[ok], group[ok]
         order = np.lexsort((frequent, group))
         key, group, frequent = key[order], group[order], frequent[order]
@@ -264,10 +283,12 @@ def _ordered(high: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_array(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of contents that each end in a separator of its own, for up to 2**21 symbols. symbols: byte + 1 (UTF-8
-    has no byte above 244), 0 for a separator; place: distance to the own separator. Equal suffixes are in the order of their
+    """Order of all suffixes of contents that each end in a separator of its own, for fewer than 2**21 symbols (more are an error). symbols:
+    byte + 1 (UTF-8 has no byte above 244), 0 for a separator; place: distance to the own separator. Equal suffixes are in the order of their
     contents. By prefix doubling, from as many bytes as fit beside the index."""
     n = len(symbols)
+    if n >= SYMBOLS:
+        raise ValueError(f"{n} symbols in one suffix array, {SYMBOLS - 1} at most")
     bits = n.bit_length()
     size, most = (63 - bits) // 8, int(place.max()) + 1
     key = np.zeros(n, dtype=np.int64)
@@ -444,7 +465,7 @@ def repeated_strings(df: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     doc = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     docs = df.select(F.col(key).alias("_key"), doc.alias("_doc"), body.alias("_text"), F.xxhash64(body).alias("_name"))
     dealt = docs.select("_doc", "_text", "_name", F.pmod(F.xxhash64("_doc"), F.lit(groups)).alias("_group")).repartition("_group")
-    sent = dealt.groupBy("_group").applyInArrow(_send_anchors(buckets), "_bucket long, _group long, _keys binary")
+    sent = dealt.groupBy("_group").applyInArrow(_send_anchors(buckets, length), "_bucket long, _group long, _keys binary, _many binary")
     shared = sent.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(_shared_anchors(hot), "_group long, _keys binary, _hot boolean")
     rows = dealt.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(_write_snippets(buckets, length), _OUT)
     rows = written(rows, "snippets")

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -111,6 +112,30 @@ def test_suffix_dedup_odd(odd, empty):
     assert suffix_dedup.repeated_strings(odd).count() == 6 and suffix_dedup.repeated_strings(empty).count() == 0
 
 
+def test_suffix_dedup_is_hot_by_contents_not_groups(spark):
+    rng = random.Random(3)
+    body = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, body(60) + "a frequent string of more than twenty bytes " + body(60)) for i in range(60)]
+    rows += [(60 + i, rows[i][1][30:120] + body(30)) for i in range(30)]
+    sent = []
+    for g in (0, 1):
+        mine = [r for r in rows if r[0] % 2 == g]
+        group = pa.table({"_group": pa.array([g] * len(mine), pa.int64()), "_doc": pa.array([i for i, _ in mine], pa.int64()), "_text": [t for _, t in mine]})
+        sent.append(suffix_dedup._send_anchors(1)(group))
+    hot = [h for b in suffix_dedup._shared_anchors(30)(iter(pa.concat_tables(sent).to_batches())) for h in b.column("_hot").to_pylist()]
+    assert any(hot)  # two groups alone
+    assert not any(h for b in suffix_dedup._shared_anchors(200)(iter(pa.concat_tables(sent).to_batches())) for h in b.column("_hot").to_pylist())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(suffix_dedup.repeated_strings(df, hot=30), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == removed_by_force(rows)
+
+
+def test_suffix_array_is_not_for_more_symbols_than_fit():
+    place = np.zeros(1 << 21, dtype=np.int64)
+    with pytest.raises(ValueError, match="2097152 symbols"):
+        suffix_dedup.suffix_array(place, place)
+
+
 def test_equal_windows_are_those_of_a_plain_sort():
     rng = random.Random(2)
     contents = list({bytes(rng.choice(b"ab") for _ in range(rng.randrange(8, 40))) for _ in range(60)} | {b"\0" * 20, b"aaaaaaaaaaaaaaaa"})
