@@ -184,13 +184,13 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
 
 
 def near_classes(fps: DataFrame) -> DataFrame:
-    """fps(_fp, _first: least key of its documents), one row per distinct fingerprint → (_fp, component_id)."""
+    """fps(_fp, _first: least key of its documents), one row per distinct fingerprint → (_fp, component_id, _root: one for each component)."""
     sent = fps.select("_fp").mapInArrow(_to_prefixes, "_bucket long, _fps binary")
     met = sent.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(_links, "a long, b long")
     found = components(met)
     rooted = fps.join(found, fps["_fp"] == found["node"], "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    return rooted.join(least, "_root").select("_fp", "component_id")
+    return rooted.join(least, "_root").select("_fp", "component_id", "_root")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,11 +208,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that stay: of each component the one with the least key, with the columns of df (of any names)."""
-    docs = written(df.select(F.col(key).alias("_key"), fingerprints(F.col(text)).alias("_fp")), "simhash")
+    """The rows of df that stay: of each component one with the least key, with the columns of df (of any names).
+
+    A null key is the least only where its component has no other. Of rows that repeat the least key in a component, one of those with
+    the least name of a text stays. A key that is the least of several components keeps a row for each."""
+    name = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    docs = written(df.select(F.col(key).alias("_key"), name.alias("_name"), fingerprints(F.col(text)).alias("_fp")), "simhash")
     classes = near_classes(written(docs.groupBy("_fp").agg(F.min("_key").alias("_first")), "fingerprints"))
-    stays = docs.join(classes, "_fp").filter(F.col("_key").eqNullSafe(F.col("component_id"))).groupBy("_key").agg(F.min("_fp").alias("_keep"))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(key).alias("_id"))
-    rows = rows.join(stays, F.col("_id").eqNullSafe(F.col("_key")), "left_semi")
-    one = Window.partitionBy("_id").orderBy(F.lit(0))  # rows that repeat a key; nearly every group is one row
+    least = docs.join(classes, "_fp").filter(F.col("_key").eqNullSafe(F.col("component_id")))
+    stays = least.groupBy("_root").agg(F.min("_key").alias("_key"), F.min("_name").alias("_name"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(key).alias("_id"), name.alias("_text"))
+    rows = rows.join(stays, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_name")), "left_semi")
+    one = Window.partitionBy("_id", "_text").orderBy(F.lit(0))  # equal rows; nearly every group is one row
     return rows.withColumn("_r", F.row_number().over(one)).filter("_r = 1").select("_row.*")

@@ -226,6 +226,24 @@ def test_simhash(docs, odd, empty):
     assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {c for _, _, c in got}
 
 
+def test_one_of_each_keeps_a_row_of_every_component(spark, odd):
+    near = [w for w in "a text of many words that two rows have in common but for one of them " * 20][:-1]
+    c = ["c"] * len(CLASHING)
+    more = [(None, "other words and no key", "en", "s1", 1, *c), (5, "".join(near), "en", "s1", 1, *c), (6, "".join(near), "en", "s2", 1, *c), (6, "words of its own under key six", "en", "s2", 1, *c), (None, "".join(near), "en", "s3", 1, *c)]
+    df = odd.unionByName(spark.createDataFrame(more, SCHEMA))
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    parts = {}
+    numbered = components_by_force([(k, t) for k, (_, t) in enumerate(rows)])
+    for k, _, c in numbered:
+        parts.setdefault(c, []).append(rows[k])
+    assert len(parts) == 7
+    got = [(r.doc_id, r.text) for r in simhash.one_of_each(df).collect()]
+    assert len(got) == len(parts)
+    for some in parts.values():
+        least = min((i for i, _ in some if i is not None), default=None)
+        assert sum(g in some and g[0] == least for g in got) == 1
+
+
 def test_ball_hashing_finds_all_pairs_and_no_other(monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
