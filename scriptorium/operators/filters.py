@@ -102,23 +102,26 @@ def usable_words(words: DataFrame, min_conf: float, side: float = 2, letters: bo
     return df.filter(ok)
 
 
-#: What counts as a secret in a log line.
+#: What counts as a secret in a log line, by rule.
 REDACTIONS = (
-    (r"Bearer [A-Za-z0-9._~+/=-]+", "Bearer ***"),
-    (r"(?i)(key|token|password|secret)(\s*[=:]\s*)(\"[^\"]*\"|\S+)", "$1$2***"),
-    (r"(https?://)[^\s/@]+@", "$1***@"),
+    ("bearer", r"Bearer [A-Za-z0-9._~+/=-]+", "Bearer ***"),
+    ("assignment", r"(?i)(key|token|password|secret)(\s*[=:]\s*)(\"[^\"]*\"|\S+)", "$1$2***"),
+    ("user_info", r"(https?://)[^\s/@]+@", "$1***@"),
+    ("query_fragment", r"(?i)(https?://[^\s\"<>?#]*)[?#][^\s\"<>]*", "$1"),
 )
 
 
 def redact(df: DataFrame, column: str, secrets: tuple[str, ...] = ()) -> DataFrame:
-    """The column without secrets, and n_redacted: matches of all rules."""
+    """The column without secrets, n_redacted (matches of all rules) and redacted_by_rule (matches of known secrets and of each rule)."""
     text, n = F.coalesce(F.col(column), F.lit("")), F.lit(0)
     for s in secrets:
         n = n + ((F.length(text) - F.length(F.replace(text, F.lit(s), F.lit("")))) / len(s)).cast("int")
         text = F.replace(text, F.lit(s), F.lit("***"))
-    for pattern, by in REDACTIONS:
-        n, text = n + F.regexp_count(text, F.lit(pattern)), F.regexp_replace(text, pattern, by)
-    return df.withColumns({column: text, "n_redacted": n.cast("long")})
+    counts = {"secret": n}
+    for rule, pattern, by in REDACTIONS:
+        counts[rule], text = F.regexp_count(text, F.lit(pattern)), F.regexp_replace(text, pattern, by)
+    by_rule = F.struct(*[v.cast("long").alias(k) for k, v in counts.items()])
+    return df.withColumns({column: text, "n_redacted": sum(counts.values(), F.lit(0)).cast("long"), "redacted_by_rule": by_rule})
 
 
 def reset_computed(regions: DataFrame, computed: dict[str, Column]) -> DataFrame:

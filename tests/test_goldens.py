@@ -148,3 +148,13 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     jobs.publish_progress(stream, str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b.groupBy("kind").count()).awaitTermination(120)
     seen = spark.read.parquet(str(tmp_path / "out/rows")).count()
     assert seen == 60
+
+
+def test_redact_strips_query_and_fragment_and_counts_by_rule(spark):
+    texts = ["see https://host/p?sig=abc#x now", "http://host/p#part, HTTPS://host?a=b", "https://me:pw@host/p?q=1 and Bearer abc", "https://host/p is plain? yes #1", "the pin"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    got = [(r.text, r.n_redacted, tuple(r.redacted_by_rule)) for r in filters.redact(df, "text", ("pin",)).orderBy("i").collect()]
+    assert got == [
+        ("see https://host/p now", 1, (0, 0, 0, 0, 1)), ("http://host/p HTTPS://host", 2, (0, 0, 0, 0, 2)), ("https://***@host/p and Bearer ***", 3, (0, 1, 0, 1, 1)),
+        ("https://host/p is plain? yes #1", 0, (0, 0, 0, 0, 0)), ("the ***", 1, (1, 0, 0, 0, 0)),
+    ]
