@@ -80,11 +80,14 @@ def drop_contained(regions: DataFrame) -> DataFrame:
 
 
 def add_second_source(first: DataFrame, second: DataFrame, most: float = 0.3) -> DataFrame:
-    """first and second(page_id, region_id, box): first, and those of second that lie apart from all of first and from each other,
-    in order; their ids go on from the page's largest."""
+    """first and second(page_id, region_id, box): first, and those of second that lie apart from all of first, from the bubble boxes
+    (bx, by, bw, bh) that first has, and from each other, in order; their ids go on from the page's largest."""
+    occupied = first.select("page_id", *"xywh")
+    if "bx" in first.columns:
+        occupied = occupied.unionByName(first.filter("bx is not null").select("page_id", *[F.col(f"b{c}").alias(c) for c in "xywh"]))
     a, b = box(table="a"), box(table="b")
     near = (F.col("a.page_id") == F.col("b.page_id")) & (F.greatest(coverage(a, b), coverage(b, a)) > most)
-    apart = second.alias("b").join(first.alias("a"), near, "left_anti").select("page_id", "region_id", "x", "y", "w", "h")
+    apart = second.alias("b").join(occupied.alias("a"), near, "left_anti").select("page_id", "region_id", "x", "y", "w", "h")
     largest = first.groupBy("page_id").agg(F.max("region_id").alias("top"))
 
     def choose(rows: list[tuple]) -> list[tuple]:

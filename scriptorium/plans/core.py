@@ -201,7 +201,7 @@ def _(s, d):
 
 @query("j05_add_second_source")
 def _(s, d):
-    r = table(s, d, "regions").select(*_KEYS, "x", "y", "w", "h")
+    r = table(s, d, "regions").select(*_KEYS, "x", "y", "w", "h", "bx", "by", "bw", "bh")
     return spatial.add_second_source(r.filter("region_id % 3 = 1"), r.filter("region_id % 3 <> 1"))
 
 

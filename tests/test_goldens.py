@@ -158,3 +158,10 @@ def test_redact_strips_query_and_fragment_and_counts_by_rule(spark):
         ("see https://host/p now", 1, (0, 0, 0, 0, 1)), ("http://host/p HTTPS://host", 2, (0, 0, 0, 0, 2)), ("https://***@host/p and Bearer ***", 3, (0, 1, 0, 1, 1)),
         ("https://host/p is plain? yes #1", 0, (0, 0, 0, 0, 0)), ("the ***", 1, (1, 0, 0, 0, 0)),
     ]
+
+
+def test_second_source_stays_out_of_bubbles(spark):
+    held = {"bx": 0, "by": 0, "bw": 200, "bh": 200}
+    first = regions(spark, [(80, 80, 40, 20)]).withColumns({c: F.lit(v).cast("long") for c, v in held.items()})
+    second = regions(spark, [(10, 10, 40, 20), (300, 10, 40, 20)])
+    assert {(r.region_id, r.x) for r in spatial.add_second_source(first, second).collect()} == {(1, 80), (2, 300)}
