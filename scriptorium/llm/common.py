@@ -14,21 +14,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (as in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (as in tests) gets a temporary
+    folder, and a cluster an error: its executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
+#: Tables written since the last drop_written, with their folders.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the lineage ends there,
-    so a lost executor costs no recomputation before this point."""
+    so a lost executor costs no recomputation before this point. The table stays until drop_written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # this query's shuffle files serve no one once the table is written
     try:
@@ -38,6 +46,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that the operators wrote in this Python process, for when the results of all of them are stored; their number."""
+    n = len(_WRITTEN)
+    for path in _WRITTEN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.clear()
+    return n
+
+
 def utf8(text: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")

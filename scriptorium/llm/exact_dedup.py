@@ -132,9 +132,13 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", block_by
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that exact_dedup keeps, with the columns of df (of any names)."""
-    kept = exact_dedup(df, key, text).filter("kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(key).alias("_id"), F.sha2(utf8(text), 256).alias("_text"))
-    rows = rows.join(kept, F.col("_text").eqNullSafe(F.col("_sha")) & F.col("_id").eqNullSafe(F.col("_key")), "left_semi")
-    one = Window.partitionBy("_text", "_id").orderBy(F.lit(0))  # repeated rows only; nearly every group is one row
+    """The rows of df that exact_dedup keeps, with the columns of df (of any names).
+
+    One row stays of each distinct text, null and empty texts being one: that with the largest key, a null key only where there is no
+    other. Of rows that repeat text and key, any one stays, with its other columns. An empty table stays empty."""
+    kept = exact_dedup(df, key, text).filter("kept").select(F.struct(F.col(key).alias("_key")).alias("_id"), F.col("text_sha256").alias("_text"))
+    # In a struct a null key equals itself, and the window below finds the rows where the join has dealt them.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.struct(F.col(key).alias("_key")).alias("_id"), F.sha2(utf8(text), 256).alias("_text"))
+    rows = rows.join(kept, ["_id", "_text"], "left_semi")
+    one = Window.partitionBy("_id", "_text").orderBy(F.lit(0))  # repeated rows only; nearly every group is one row
     return rows.withColumn("_r", F.row_number().over(one)).filter("_r = 1").select("_row.*")

@@ -1,13 +1,13 @@
 """Operator 9: language identification by prediction by partial matching (PPM) over bytes.
 
-Training: for each language a tree of byte contexts of up to `ORDER` bytes, with the counts of the bytes that follow, from at
-most `SAMPLE` whole texts a language (those with the least MD5 of their id). The counts are summed by Spark; then they
-are frozen. A context gives a byte its count's share, or an escape (as many as it has distinct followers) to the context
-one byte shorter, whose probabilities are scaled to the bytes not seen here; at the bottom all 256 bytes are alike.
-
-Scoring: the exact code length of the whole text under every language; the shortest wins, and the score is its share
-of the languages' probabilities of the text. With frozen counts a byte's code length depends on the context alone, so a worker
-works all of them out once as a table and then looks each byte of a text up, for all languages at a time.
+Training: for each language a tree of byte contexts of up to `ORDER` bytes, with the counts of the bytes that follow, from a
+bounded sample (see `fit`). The counts are summed by Spark; then they are frozen. A context gives a byte its count's share, or an
+escape (as many as it has distinct followers) to the context one byte shorter, whose probabilities are scaled to the bytes not
+seen here; at the bottom all 256 bytes are alike.
+
+Scoring: the exact code length of the whole text under every language; the shortest wins. With frozen counts a byte's code
+length hangs on it and the three bytes before it alone, so a worker works it out once for each such string of four bytes and keeps
+it. Trees are sparse: sorted arrays of what was seen, for each language and order.
 """
 
 from __future__ import annotations
@@ -21,13 +21,19 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import grouped
-
 ORDER = 3
-#: Bound of the sample: whole texts of each language.
+#: Bounds of the fit: the most frequent languages, whole texts of each, and the bytes of these after which no further one is taken.
+LANGUAGES = 200
 SAMPLE = 400
+SAMPLE_BYTES = 1 << 20
 #: A context of 3 bytes is kept if it occurs so often in a language's sample.
 LEAST = 3
+#: Code lengths (a number for each language and string of four bytes) that a worker holds at once, and that it keeps.
+HELD = 1 << 22
+#: Bytes of evidence that a score goes by: so it tells how far apart the languages are, whatever the length of the text.
+EVIDENCE = 20
+#: Bits a byte of the shortest code above which a text is in no known language: those of the plain bytes.
+MOST_BITS = 8.0
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}").search
 _PAD = b" " * ORDER
@@ -38,153 +44,203 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def _followers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of (language, order, context and next byte as a number), for every batch."""
-    for b in batches:
-        for lang, rows in b.groupby("_lang"):
-            data = np.frombuffer(b"".join(_PAD + t.encode() for t in rows["_text"]), dtype=np.uint8).astype(np.int64)
-            ends = np.cumsum([len(t.encode()) + ORDER for t in rows["_text"]])
-            real = np.ones(len(data), dtype=bool)  # the padding predicts the first bytes and is not predicted itself
-            for k in range(ORDER):
-                real[np.r_[0, ends[:-1]] + k] = False
-            at = np.flatnonzero(real)
-            gram = data[at]
-            for order in range(ORDER + 1):
-                if order:
-                    gram = gram | data[at - order] << (8 * order)
-                key, n = np.unique(gram, return_counts=True)
-                yield pd.DataFrame({"lang": lang, "ord": order, "gram": key, "n": n})
+def _pieces(text: bytes, most: int) -> Iterator[bytes]:
+    """The text in pieces of `most` bytes, each behind the three bytes that go before it."""
+    data = _PAD + text
+    for k in range(0, len(text), most):
+        yield data[k : k + most + ORDER]
 
 
-def fit(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> pd.DataFrame:
-    """The frozen counts: lang, ord, gram, n. Their number is bounded by the sample, not by df."""
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out(F.col("_key")))
-    chosen = rows.select("_lang", "_key", F.md5(F.coalesce(F.col("_key").cast("string"), F.lit(""))).alias("_h"))
-    for keys in (["_lang", F.substring("_h", 1, 2)], ["_lang"]):  # first in each of 256 parts of a language, then among those
-        order = Window.partitionBy(*keys).orderBy("_h", "_key")
-        chosen = chosen.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample)
-    rows = rows.join(F.broadcast(chosen.select("_key").distinct()), "_key", "left_semi")  # `sample` ids a language
-    return rows.select("_lang", "_text").mapInPandas(_followers, "lang string, ord int, gram long, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n")).toPandas()
+def _grams(pieces: list[bytes]) -> np.ndarray:
+    """Every byte of the pieces with the three before it, as a number; the byte itself is the lowest."""
+    raw = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.uint32)
+    ends = np.cumsum([len(p) for p in pieces])
+    own = np.ones(len(raw), dtype=bool)
+    for k in range(ORDER):  # what a piece has before it is not predicted
+        own[np.r_[0, ends[:-1]] + k] = False
+    return (raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:])[own[3:]]
+
+
+def _followers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(language, four bytes, occurrences) of every text, at most 2**20 bytes at a time."""
+    for b in batches:
+        for lang, text in zip(b["_lang"], b["_text"], strict=True):
+            for piece in _pieces(text.encode(), 1 << 20):
+                gram, n = np.unique(_grams([piece]), return_counts=True)
+                yield pd.DataFrame({"lang": lang, "gram": gram.astype(np.int64), "n": n})
+
+
+def fit(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang",
+        sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> pd.DataFrame:
+    """The frozen counts: lang, ord, gram, n, of at most `sample` distinct texts of each of the `languages` most frequent languages, those
+    with the least hash of id and text; where their bytes reach `sample_bytes`, the text that does so is the last. The bounds of the
+    counts are those of the sample: they do not grow with df.
+
+    The first texts by hash are looked for among about twice as many, so no task has a language's rows."""
+    rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
+    rows = rows.filter(F.col("_lang").isNotNull() & ~held_out(F.col("_key")))
+    share = F.lit(2.0 * sample + 50) / F.count("*")
+    shares = rows.groupBy("_lang").agg(F.count("*").alias("_n"), share.alias("_share")).orderBy(F.desc("_n"), "_lang").limit(languages)
+    place = F.md5(F.concat_ws("/", F.col("_key").cast("string"), F.xxhash64("_text").cast("string")))
+    near = F.conv(F.substring(place, 1, 12), 16, 10).cast("double") < F.col("_share") * F.lit(float(1 << 48))
+    rows = rows.filter(F.col("_text").isNotNull()).withColumn("_h", place)
+    few = rows.join(F.broadcast(shares), "_lang").filter(near)  # a row for each language
+    few = few.groupBy("_lang", "_h").agg(F.max(F.octet_length("_text")).alias("_size"))
+    order = Window.partitionBy("_lang").orderBy("_h")
+    before = F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = few.withColumns({"_r": F.row_number().over(order), "_before": before}).filter((F.col("_r") <= sample) & (F.col("_before") < sample_bytes))
+    texts = rows.join(F.broadcast(few.select("_lang", "_h")), ["_lang", "_h"], "left_semi").dropDuplicates(["_lang", "_h"])  # `sample` rows a language
+    grams = texts.select("_lang", "_text").mapInPandas(_followers, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    orders = F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDER)), lambda o: F.struct(o.alias("ord"), F.col("gram").bitwiseAND(F.element_at(F.array(*[F.lit((1 << 8 * (k + 1)) - 1) for k in range(ORDER + 1)]), o + 1)).alias("gram"))))
+    counts = grams.select("lang", "n", orders.alias("o")).groupBy("lang", "o.ord", "o.gram").agg(F.sum("n").alias("n"))
+    whole = F.sum("n").over(Window.partitionBy("lang", "ord", F.shiftright("gram", 8)))
+    return counts.withColumn("_whole", whole).filter((F.col("ord") < ORDER) | (F.col("_whole") >= LEAST)).drop("_whole").toPandas()
 
 
 class Model:
-    """Tables of code lengths (bits) from frozen counts."""
+    """Frozen counts of each language as sorted arrays, and their code lengths (bits)."""
 
     def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique())
-        seen = np.unique(counts.loc[counts["ord"] == 0, "gram"].to_numpy(dtype=np.int64))
-        # Byte classes: each byte of the sample, and one (0) for all others.
-        self.classes = np.zeros(256, dtype=np.int64)
-        self.classes[seen] = np.arange(1, len(seen) + 1)
-        a = self.a = len(seen) + 1
-        others = 256 - len(seen)
-        tables: list[tuple[np.ndarray, list[np.ndarray]]] = []  # by order: contexts, and for each language their probabilities
-        for order in range(ORDER + 1):
-            level = counts[counts["ord"] == order]
-            gram = level["gram"].to_numpy(dtype=np.int64)
-            context, symbol = np.zeros(len(gram), dtype=np.int64), self.classes[gram & 255]
-            for k in range(order):
-                context += self.classes[gram >> (8 * (k + 1)) & 255] * a**k
-            which = np.array([self.langs.index(x) for x in level["lang"]], dtype=np.int64)
-            n = level["n"].to_numpy(dtype=np.float64)
-            if order == ORDER:
-                own = pd.Series(n).groupby([which, context]).transform("sum").to_numpy()
-                context, symbol, which, n = (x[own >= LEAST] for x in (context, symbol, which, n))
-            names, place = np.unique(context, return_inverse=True)
-            probabilities = []
-            for i in range(len(self.langs)):
-                c = np.zeros((len(names), a))
-                mine = which == i
-                np.add.at(c, (place[mine], symbol[mine]), n[mine])
-                if order == 0:
-                    below = np.full((len(names), a), 1 / 256)
-                    below[:, 0] = others / 256
-                else:
-                    short, lower = tables[-1][0], tables[-1][1][i]
-                    at = np.minimum(np.searchsorted(short, names % a ** (order - 1)), len(short) - 1)
-                    below = lower[at]
-                total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-                left = np.where(c > 0, 0.0, below)
-                rest = left.sum(1, keepdims=True)
-                escape = np.where(rest > 0, kinds, 0)
-                own_share = c / np.maximum(total + escape, 1)
-                escaped = np.where(rest > 0, escape / np.maximum(total + escape, 1) * left / np.maximum(rest, 1e-300), 0)
-                probabilities.append(np.where(total > 0, own_share + escaped, below))
-            tables.append((names, probabilities))
-        # The longest known context of every three byte classes, and the code lengths under it: (context, class) x language.
-        bits = [-np.log2(np.maximum(np.stack(p, axis=-1), 1e-300)) for _, p in tables]
-        for b in bits:
-            b[:, 0, :] += np.log2(max(others, 1))  # one of the bytes that the sample lacks
-        starts = np.cumsum([0, *[len(t[0]) for t in tables]])
-        self.bits = np.concatenate(bits).astype(np.float32).reshape(-1, len(self.langs))
-        every = np.arange(a**ORDER, dtype=np.int64)
-        self.state = np.zeros(len(every), dtype=np.int32)
-        for order in range(1, ORDER + 1):
-            names, suffix = tables[order][0], every % a**order
-            at = np.minimum(np.searchsorted(names, suffix), max(len(names) - 1, 0))
-            hit = names[at] == suffix if len(names) else np.zeros(len(every), dtype=bool)
-            self.state[hit] = starts[order] + at[hit]
+        self.trees: list[list[tuple[np.ndarray, ...]]] = []  # by language and order: strings, their bits, contexts, bits of their escapes
+        for lang in self.langs:
+            tree: list[tuple[np.ndarray, ...]] = []
+            mine = counts[counts["lang"] == lang]
+            for order in range(ORDER + 1):
+                level = mine[mine["ord"] == order].sort_values("gram")
+                gram, n = level["gram"].to_numpy(dtype=np.uint32), level["n"].to_numpy(dtype=np.float64)
+                context, own, kinds = np.unique(gram >> np.uint32(8), return_inverse=True, return_counts=True)
+                total = np.bincount(own, n, len(context))
+                rest = 1 - np.bincount(own, np.exp2(-self._bits(tree, gram)), len(context))  # what the shorter context leaves to others
+                escape = np.where(rest > 1e-9, kinds, 0)
+                bits = -np.log2(n / (total + escape)[own])
+                escaped = np.log2(np.maximum(rest, 1e-9) * (total + escape) / np.maximum(escape, 1e-9))
+                tree.append((gram, bits.astype(np.float32), context, escaped.astype(np.float32)))
+            self.trees.append(tree)
+
+    @staticmethod
+    def _bits(tree: list[tuple[np.ndarray, ...]], grams: np.ndarray) -> np.ndarray:
+        """Code lengths under the longest known contexts of a tree, of any height."""
+        bits, open_ = np.zeros(len(grams)), np.arange(len(grams))
+        for order in range(len(tree) - 1, -1, -1):
+            gram, own, context, escaped = tree[order]
+            if not len(gram):
+                continue
+            g = grams[open_] & np.uint32((1 << 8 * (order + 1)) - 1)
+            at = np.minimum(np.searchsorted(gram, g), len(gram) - 1)
+            hit = gram[at] == g
+            bits[open_[hit]] += own[at[hit]]
+            open_, c = open_[~hit], g[~hit] >> np.uint32(8)
+            at = np.minimum(np.searchsorted(context, c), len(context) - 1)
+            known = context[at] == c
+            bits[open_[known]] += escaped[at[known]]
+        bits[open_] += 8
+        return bits
+
+    def gram_bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of each string of four bytes' last one under each language."""
+        return np.stack([self._bits(t, grams) for t in self.trees], axis=1).astype(np.float32)
+
+
+class Scorer:
+    """A model with the code lengths that a worker has met, in one place for each hash: later ones take the places of earlier ones."""
+
+    def __init__(self, model: Model):
+        self.model, self.most = model, max(1 << 10, HELD // len(model.langs))
+        self.power = min(20, self.most.bit_length() - 1)
+        self.gram = np.full(1 << self.power, -1, dtype=np.int64)
+        self.bits = np.zeros((1 << self.power, len(model.langs)), dtype=np.float32)
+
+    def _place(self, grams: np.ndarray) -> np.ndarray:
+        return grams * np.uint32(0x9E3779B1) >> np.uint32(32 - self.power)
+
+    def gram_bits(self, grams: np.ndarray) -> np.ndarray:
+        place = self._place(grams)
+        new = np.unique(grams[self.gram[place] != grams])
+        if not len(new):
+            return self.bits[place]
+        bits, at = self.model.gram_bits(new), self._place(new)
+        self.gram[at] = new
+        self.bits[at] = bits[np.searchsorted(new, self.gram[at])]  # where two met in a place, those of the one that has it
+        out, lost = self.bits[place], np.flatnonzero(self.gram[place] != grams)
+        known = np.searchsorted(new, grams[lost])
+        here = new[np.minimum(known, len(new) - 1)] == grams[lost]
+        out[lost[here]] = bits[known[here]]
+        if not here.all():  # was known until a new one took its place
+            out[lost[~here]] = self.model.gram_bits(grams[lost[~here]])
+        return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text under each language."""
-        data = self.classes[np.frombuffer(b"".join(_PAD + t for t in texts), dtype=np.uint8)]
-        sizes = np.array([len(t) + ORDER for t in texts])
-        first = np.cumsum(sizes) - sizes
-        context = np.zeros(len(data), dtype=np.int64)
-        for k in range(ORDER):
-            context[k + 1 :] += data[: len(data) - k - 1] * self.a**k
-        bits = self.bits[self.state[context] * self.a + data]
-        for k in range(ORDER):
-            bits[first + k] = 0
-        return np.add.reduceat(bits, first, axis=0, dtype=np.float64)
+        """Bits of each text (not empty) under each language."""
+        out = np.zeros((len(texts), len(self.model.langs)))
+        whose: list[int] = []
+        pieces: list[bytes] = []
+        size = 0
+
+        def flush() -> None:
+            sizes = np.array([len(p) - ORDER for p in pieces])
+            sums = np.add.reduceat(self.gram_bits(_grams(pieces)), np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
+            np.add.at(out, whose, sums)
+
+        for i, t in enumerate(texts):
+            for p in _pieces(t, self.most):
+                if pieces and size + len(p) > self.most:
+                    flush()
+                    whose, pieces, size = [], [], 0
+                whose.append(i), pieces.append(p)
+                size += len(p)
+        if pieces:
+            flush()
+        return out
 
 
-_MODEL: list = [None, None]  # of this worker: name, model
+_SCORER: list = [None, None]  # of this worker: name, scorer
 
 
 def predictor(counts: pd.DataFrame, df: DataFrame):
-    """A column function: text → struct(lang, score)."""
-    shared = df.sparkSession.sparkContext.broadcast(counts)
+    """A column function: text → struct(lang, score, bits: bits a byte of the shortest code)."""
+    shared = df.sparkSession.sparkContext.broadcast(Model(counts) if len(counts) else None)
     number = uuid.uuid4().hex
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, bits double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if _MODEL[0] != number:
-            _MODEL[:] = [number, Model(shared.value) if len(shared.value) else None]
-        model = _MODEL[1]
+        if _SCORER[0] != number:
+            _SCORER[:] = [number, Scorer(shared.value) if shared.value else None]
+        scorer = _SCORER[1]
         for s in texts:
-            langs, scores = [], []
-            for group in grouped(t or "" for t in s):
-                known = [bool(model and _LETTER(t)) for t in group]
-                found = iter(model.code_lengths([t.encode() for t, k in zip(group, known, strict=True) if k]) if any(known) else ())
-                for k in known:
-                    if k:
-                        bits = next(found)
-                        best = int(bits.argmin())
-                        langs.append(model.langs[best])
-                        scores.append(float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()))
-                    else:
-                        langs.append(UNKNOWN)
-                        scores.append(0.0)
-            yield pd.DataFrame({"lang": langs, "score": scores})
+            known = [bool(scorer and t and _LETTER(t)) for t in s]
+            langs, scores, least = np.full(len(s), UNKNOWN, dtype=object), np.zeros(len(s)), np.full(len(s), np.nan)
+            if any(known):
+                data = [t.encode() for t, k in zip(s, known, strict=True) if k]
+                size = np.array([len(t) for t in data])
+                bits = scorer.code_lengths(data)
+                best = bits.argmin(1)
+                apart = (bits - bits.min(1)[:, None]) * (np.minimum(size, EVIDENCE) / size)[:, None]
+                langs[known] = np.array(scorer.model.langs, dtype=object)[best]
+                scores[known] = 1 / np.exp2(-np.minimum(apart, 1000)).sum(1)
+                least[known] = bits.min(1) / size
+            yield pd.DataFrame({"lang": langs, "score": scores, "bits": least})
 
     return predict
 
 
 def identify(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per input row: key, held_out, lang_pred, score.
+    """One row per input row: key, held_out, lang_pred, score, bits (bits a byte of the shortest code, null for `und`).
 
-    A text that is null or has no letter is `und` with score 0, and so are all texts where nothing can be learned (an empty
-    table, or no language given). Rows that repeat a key are judged one by one; equal scores give the first language by
-    name. Other columns are ignored."""
+    score: the share of the predicted language, among all languages, of the probability of `EVIDENCE` average bytes of the text (of the
+    whole text if it is shorter). A text that is null or has no letter is `und` with score 0, and so are all texts where nothing can be
+    learned (an empty table, or no language given). Rows that repeat a key are judged one by one; equal code lengths give the first
+    language by name. Other columns are ignored."""
     predict = predictor(fit(df, sample, key, text, lang), df)
     rows = df.select(F.col(key), predict(F.col(text)).alias("_p"))
-    return rows.select(key, held_out(F.col(key)).alias("held_out"), F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"))
+    bits = F.nanvl("_p.bits", F.lit(None).cast("double")).alias("bits")
+    return rows.select(key, held_out(F.col(key)).alias("held_out"), F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"), bits)
 
 
-def accepted(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of df whose text is in a known language, with the columns of df."""
+def accepted(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang", most_bits: float = MOST_BITS) -> DataFrame:
+    """The rows of df whose text is in a known language, with the columns of df (of any names): its best language codes it in `most_bits`
+    bits a byte or less. Null texts, texts without a letter, and texts of scripts or strings of characters that no language of the
+    sample has, go. Rows that repeat a key are judged one by one. Where nothing can be learned no text is known: the result is empty."""
     predict = predictor(fit(df, sample, key, text, lang), df)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), predict(F.col(text)).alias("_p"))
-    return rows.filter(F.col("_p.lang") != UNKNOWN).select("_row.*")
+    return rows.filter((F.col("_p.lang") != UNKNOWN) & (F.col("_p.bits") <= most_bits)).select("_row.*")

@@ -4,9 +4,12 @@ Two fingerprints within radius 4 of each other have a common variant within radi
 emits all its variants within radius 2 (2081 of 64 bits), variants are brought together, and fingerprints that
 collide are linked.
 
-A variant need not travel in full. Fingerprints are sent to the `PREFIX` high bits of their variants (137 prefixes of 16
-bits), with the variants themselves made where they meet; and fingerprints for one prefix are packed, for each batch, into one
-row. All fingerprints that hold a variant are pairwise within radius 4, so a group is linked by a star to its least member
+A variant need not travel in full. Fingerprints are sent to the high bits of their variants (137 prefixes of `PREFIX` bits;
+more bits for more fingerprints, so that a bucket has `MEETING` of them on average), with the variants themselves made where they
+meet; and fingerprints for one prefix are packed, for each batch, into one row. A bucket whose variants are more than `HELD` is
+gone through by longer and longer prefixes, so that its time grows with its variants and its memory does not.
+
+All fingerprints that hold a variant are pairwise within radius 4, so a group is linked by a star to its least member
 (checked by their distance), never by all its pairs. Every task then reduces its links to a forest, and the forests are
 merged by alternating large and small stars over tables: links whose ends are fingerprints, never documents.
 """
@@ -30,8 +33,11 @@ RADIUS = 4
 PREFIX = 16
 SHINGLE = 4
 SEED = 42
-#: Variants that a task holds at once.
-HELD = 3_000_000
+#: Fingerprints that a bucket has on average, at most.
+MEETING = 1 << 20
+#: Variants that a task holds at once, and the bits by which a prefix grows where they would be more.
+HELD = 2_000_000
+STEP = 4
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -63,22 +69,34 @@ def flips(low: int, high: int, radius: int) -> list[np.ndarray]:
     return [np.array([sum(1 << b for b in c) for c in combinations(range(low, high), r)], dtype=np.uint64) for r in range(radius + 1)]
 
 
-def _to_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prefix_bits(n: int) -> int:
+    """Bits of the prefixes by which n fingerprints are dealt."""
+    p = PREFIX
+    while p < BITS // 2 and n * (1 + p + p * (p - 1) // 2) >> p > MEETING:
+        p += 1
+    return p
+
+
+def _to_prefixes(prefix: int):
     """Fingerprints → (bucket, fps): for each prefix of a variant, the fingerprints of this batch that have such a variant."""
-    masks = np.concatenate(flips(0, PREFIX, RADIUS // 2))
-    for b in batches:
-        fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        for k in range(0, len(fps), 20_000):
-            part = fps[k : k + 20_000]
-            bucket = ((part >> np.uint64(BITS - PREFIX))[:, None] ^ masks[None, :]).ravel()
-            order = np.argsort(bucket, kind="stable")
-            bucket, sent = bucket[order], np.repeat(part, len(masks))[order]
-            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[first[1:], len(bucket)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[first].astype(np.int64)), pa.array([sent[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())],
-                names=["_bucket", "_fps"],
-            )
+    masks = np.concatenate(flips(0, prefix, RADIUS // 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for k in range(0, len(fps), 20_000):
+                part = fps[k : k + 20_000]
+                bucket = ((part >> np.uint64(BITS - prefix))[:, None] ^ masks[None, :]).ravel()
+                order = np.argsort(bucket, kind="stable")
+                bucket, sent = bucket[order], np.repeat(part, len(masks))[order]
+                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                ends = np.r_[first[1:], len(bucket)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[first].astype(np.int64)), pa.array([sent[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())],
+                    names=["_bucket", "_fps"],
+                )
+
+    return run
 
 
 def roots(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +116,9 @@ def roots(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[label]
 
 
-def colliding(fps: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def colliding(fps: np.ndarray, bucket: np.ndarray, prefix: int = PREFIX) -> tuple[np.ndarray, np.ndarray]:
     """Links between fingerprints with a common variant in their buckets (a pair for each variant and further fingerprint)."""
-    near = np.bitwise_count((fps >> np.uint64(BITS - PREFIX)) ^ bucket)
-    head, low = bucket << np.uint64(BITS - PREFIX), fps & np.uint64((1 << (BITS - PREFIX)) - 1)
-    masks = flips(0, BITS - PREFIX, RADIUS // 2)
-    left, right = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
+    links: list[np.ndarray] = [np.zeros((0, 2), dtype=np.uint64)]
 
     def meet(v: np.ndarray, f: np.ndarray) -> None:
         order = np.argsort(v)
@@ -115,51 +130,67 @@ def colliding(fps: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarr
         least = np.minimum.reduceat(f, first)[np.cumsum(new) - 1]
         pair = (f != least) & (np.bitwise_count(f ^ least) <= RADIUS)
         if pair.any():
-            both = np.unique(np.stack([f[pair], least[pair]], axis=1), axis=0)
-            left.append(both[:, 0])
-            right.append(both[:, 1])
-
-    # Where the variants of all would be too many at once, they are made for one value of some further bits at a time.
-    most = int(sum(len(m) for m in masks)) * len(fps)
-    further = max(0, (most // HELD).bit_length())
-    shift = np.uint64(BITS - PREFIX - further)
-    for value in range(1 << further):
-        vs, fs = [], []
-        for r in range(RADIUS // 2 + 1):
-            mine = near == r
-            for m in masks[: RADIUS // 2 - r + 1]:
-                if further:
-                    ok = ((low[mine] >> shift)[:, None] ^ (m >> shift)[None, :]) == np.uint64(value)
-                    i, j = np.nonzero(ok)
-                    vs.append(head[mine][i] | (low[mine][i] ^ m[j]))
-                    fs.append(fps[mine][i])
-                else:
+            links.append(np.unique(np.stack([f[pair], least[pair]], axis=1), axis=0))
+            if sum(map(len, links)) > HELD:  # a forest says as much
+                nodes, root = roots(*np.concatenate(links).T)
+                links[:] = [np.stack([nodes, root], axis=1)[nodes != root]]
+
+    def part(f: np.ndarray, head: np.ndarray, prefix: int) -> None:
+        """Brings together the variants of f that begin with the first `prefix` bits of head (its other bits are zero)."""
+        rest = BITS - prefix
+        near = np.bitwise_count((f ^ head) >> np.uint64(rest)) if rest < BITS else np.zeros(len(f), dtype=np.uint8)
+        masks = flips(0, rest, RADIUS // 2)
+        reach = np.cumsum([len(m) for m in masks])[::-1]  # variants of one that has 0, 1, 2 flipped bits in its prefix
+        if not rest or int(reach[near].sum()) <= HELD:
+            low = f & np.uint64((1 << rest) - 1)
+            vs, fs = [], []
+            for r in range(RADIUS // 2 + 1):
+                mine = near == r
+                for m in masks[: RADIUS // 2 - r + 1]:
                     vs.append((head[mine][:, None] | (low[mine][:, None] ^ m[None, :])).ravel())
-                    fs.append(np.repeat(fps[mine], len(m)))
-        meet(np.concatenate(vs), np.concatenate(fs))
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    fs.append(np.repeat(f[mine], len(m)))
+            meet(np.concatenate(vs), np.concatenate(fs))
+            return
+        step = min(STEP, rest)
+        shift = np.uint64(rest - step)
+        own = (f >> shift & np.uint64((1 << step) - 1)).astype(np.int64)
+        order = np.lexsort((near, own))  # by value, the nearest first
+        at = np.searchsorted(own[order] * (RADIUS + 1) + near[order], np.arange((RADIUS + 1) << step))
+        for value in range(1 << step):
+            rows = [order[at[(value ^ int(m)) * (RADIUS + 1)] : at[(value ^ int(m)) * (RADIUS + 1) + RADIUS // 2 - r + 1]]
+                    for r, some in enumerate(flips(0, step, RADIUS // 2)) for m in some]
+            rows = np.concatenate(rows)
+            if len(rows):
+                part(f[rows], head[rows] | np.uint64(value) << shift, prefix + step)
+
+    part(fps, bucket << np.uint64(BITS - prefix), prefix)
+    both = np.concatenate(links)
+    return both[:, 0], both[:, 1]
+
+
+def _links(prefix: int):
     """Buckets in order → a forest over the fingerprints that collide in them."""
 
     def forest(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
         fps = np.frombuffer(b"".join(f for _, f in held), dtype=np.uint64)
         bucket = np.repeat(np.array([b for b, _ in held], dtype=np.uint64), [len(f) // 8 for _, f in held])
-        nodes, root = roots(*colliding(fps, bucket))
+        nodes, root = roots(*colliding(fps, bucket, prefix))
         real = nodes != root
         return pa.RecordBatch.from_arrays([pa.array(nodes[real].view(np.int64)), pa.array(root[real].view(np.int64))], names=["a", "b"])
 
-    held, size, last = [], 0, None
-    for b in batches:
-        for bucket, fps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if bucket != last and size > 8 * HELD // 256:  # on average, a fingerprint has 15 variants in a bucket
-                yield forest(held)
-                held, size = [], 0
-            held.append((bucket, fps))
-            size, last = size + len(fps), bucket
-    if held:
-        yield forest(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+        for b in batches:
+            for bucket, fps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if bucket != last and size > 8 * HELD // 256:  # on average, a fingerprint has 15 variants in a bucket
+                    yield forest(held)
+                    held, size = [], 0
+                held.append((bucket, fps))
+                size, last = size + len(fps), bucket
+        if held:
+            yield forest(held)
+
+    return run
 
 
 def components(links: DataFrame, label: str = "links") -> DataFrame:
@@ -185,8 +216,9 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
 
 def near_classes(fps: DataFrame) -> DataFrame:
     """fps(_fp, _first: least key of its documents), one row per distinct fingerprint → (_fp, component_id, _root: one for each component)."""
-    sent = fps.select("_fp").mapInArrow(_to_prefixes, "_bucket long, _fps binary")
-    met = sent.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(_links, "a long, b long")
+    prefix = prefix_bits(fps.count())
+    sent = fps.select("_fp").mapInArrow(_to_prefixes(prefix), "_bucket long, _fps binary")
+    met = sent.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(_links(prefix), "a long, b long")
     found = components(met)
     rooted = fps.join(found, fps["_fp"] == found["node"], "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
@@ -210,14 +242,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that stay: of each component one with the least key, with the columns of df (of any names).
 
-    A null key is the least only where its component has no other. Of rows that repeat the least key in a component, one of those with
-    the least name of a text stays. A key that is the least of several components keeps a row for each."""
+    Null texts and those of blanks alone are one component, fingerprint zero, with any that are within reach of it. A null key is the
+    least only where its component has no other. Of rows that repeat the least key in a component, one of those with the least name of
+    a text stays. A key that is the least of several components keeps a row for each. An empty table stays empty."""
     name = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
     docs = written(df.select(F.col(key).alias("_key"), name.alias("_name"), fingerprints(F.col(text)).alias("_fp")), "simhash")
     classes = near_classes(written(docs.groupBy("_fp").agg(F.min("_key").alias("_first")), "fingerprints"))
     least = docs.join(classes, "_fp").filter(F.col("_key").eqNullSafe(F.col("component_id")))
-    stays = least.groupBy("_root").agg(F.min("_key").alias("_key"), F.min("_name").alias("_name"))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(key).alias("_id"), name.alias("_text"))
-    rows = rows.join(stays, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_name")), "left_semi")
+    stays = least.groupBy("_root").agg(F.min("_key").alias("_key"), F.min("_name").alias("_text"))
+    # In a struct a null key equals itself, and the window below finds the rows where the join has dealt them.
+    stays = stays.select(F.struct("_key").alias("_id"), "_text")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.struct(F.col(key).alias("_key")).alias("_id"), name.alias("_text"))
+    rows = rows.join(stays, ["_id", "_text"], "left_semi")
     one = Window.partitionBy("_id", "_text").orderBy(F.lit(0))  # equal rows; nearly every group is one row
     return rows.withColumn("_r", F.row_number().over(one)).filter("_r = 1").select("_row.*")

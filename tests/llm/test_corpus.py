@@ -244,14 +244,11 @@ def test_one_of_each_keeps_a_row_of_every_component(spark, odd):
         assert sum(g in some and g[0] == least for g in got) == 1
 
 
-def test_ball_hashing_finds_all_pairs_and_no_other(monkeypatch):
+def test_ball_hashing_finds_all_classes_and_no_other_pair(monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = [b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, n, replace=False))) for b in base for n in (0, 2, 4, 5, 7)]
     fps = np.unique(np.array(fps, dtype=np.uint64))
-    masks = np.concatenate(simhash.flips(0, simhash.PREFIX, 2))
-    bucket = ((fps >> np.uint64(48))[:, None] ^ masks[None, :]).ravel()
-    sent = np.repeat(fps, len(masks))
     want = {(int(a), int(b)) for a in fps for b in fps if a < b and int(a ^ b).bit_count() <= 4}
 
     def classes(pairs):
@@ -261,16 +258,34 @@ def test_ball_hashing_finds_all_pairs_and_no_other(monkeypatch):
             label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
         return label
 
-    for held in (10**9, 200_000):
-        monkeypatch.setattr(simhash, "HELD", held)
-        pairs = set()
-        for lo in range(0, len(bucket), 4000):
-            part = np.argsort(bucket, kind="stable")
-            break
-        b, f = bucket[part], sent[part]
-        left, right = simhash.colliding(f, b)
-        pairs = {(int(x), int(y)) if x < y else (int(y), int(x)) for x, y in zip(left, right, strict=True)}
-        assert pairs <= want and classes(pairs) == classes(want)
+    for prefix in (16, 21):
+        masks = np.concatenate(simhash.flips(0, prefix, 2))
+        bucket = ((fps >> np.uint64(64 - prefix))[:, None] ^ masks[None, :]).ravel()
+        for held in (10**9, 200_000, 1500):
+            monkeypatch.setattr(simhash, "HELD", held)
+            left, right = simhash.colliding(np.repeat(fps, len(masks)), bucket, prefix)
+            pairs = {(int(x), int(y)) if x < y else (int(y), int(x)) for x, y in zip(left, right, strict=True)}
+            assert classes(pairs) == classes(want) and (pairs <= want or held == 1500)  # which gives forests in place of pairs
+
+
+def test_one_large_bucket_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 1 << 48, 20_000, dtype=np.uint64))
+    fps = np.unique(np.r_[fps, fps[:50] ^ np.uint64(0b10011)])
+    tracemalloc.start()
+    left, right = simhash.colliding(fps, np.zeros(len(fps), dtype=np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(left) >= 50 and (np.bitwise_count(left ^ right) <= 4).all() and peak < 300_000_000
+
+
+def test_prefixes_grow_with_the_fingerprints():
+    sizes = [10, 10**6, 10**9, 5 * 10**10]
+    bits = [simhash.prefix_bits(n) for n in sizes]
+    assert bits[0] == 16 and bits == sorted(bits)
+    assert all(n * (1 + p + p * (p - 1) // 2) / 2**p <= 1 << 20 for n, p in zip(sizes, bits, strict=True))
 
 
 def test_components_of_a_long_chain(spark):
@@ -392,22 +407,69 @@ def test_language_id(spark, odd, empty):
     test = [r for r in out if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in out)
     assert sum(r.lang_pred == r.lang for r in test) / len(test) > 0.97
-    extra = [(1_000_000 + k, t, "en", "s", 1, *["c"] * len(CLASHING)) for k, t in enumerate([None, "", "123 !?", "日本語のテキスト"])]
+    extra = [(1_000_000 + k, t, None, "s", 1, *["c"] * len(CLASHING)) for k, t in enumerate([None, "", "123 !?", "日本語のテキスト"])]
     both = spark.createDataFrame([(*r[:5], *["c"] * len(CLASHING)) for r in map(tuple, table.select("doc_id", "text", "lang", "source", "n_chars").collect())] + extra, SCHEMA)
     got = {r.doc_id - 1_000_000: (r.lang_pred, r.score) for r in lang_id.identify(both, sample=40).collect() if r.doc_id >= 1_000_000}
     assert [got[k] for k in range(3)] == [("und", 0.0)] * 3 and got[3][0] != "und"
     assert lang_id.identify(odd).count() == 6 and lang_id.identify(empty).count() == 0
-    assert lang_id.accepted(both, sample=40).columns == both.columns
-    assert lang_id.accepted(both, sample=40).count() == table.filter(F.col("text").rlike(r"\p{L}")).count() + 1
+    kept = lang_id.accepted(both, sample=40)
+    bits = {r.doc_id: r.bits for r in lang_id.identify(both, sample=40).collect()}
+    assert kept.columns == both.columns and bits[1_000_003] > 8  # no language of the sample has such letters
+    assert {r.doc_id for r in kept.collect()} == {i for i, b in bits.items() if b is not None and b <= 8}
+    assert sum(i < 1_000_000 for i in bits) - kept.count() == table.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")).count()
+    assert lang_id.accepted(odd).columns == odd.columns and lang_id.accepted(odd).filter("text is null").count() == 0 and lang_id.accepted(empty).count() == 0
+
+
+def bits_by_force(counts, lang, text):
+    """Code length by the definition: probabilities of all 256 bytes under each context, from the counts."""
+    tables = {}
+    for r in counts[counts["lang"] == lang].itertuples():
+        context = (r.gram >> 8).to_bytes(r.ord, "big") if r.ord else b""
+        tables.setdefault(context, np.zeros(256))[r.gram & 255] += r.n
+
+    def share(context):
+        below = share(context[1:]) if context else np.full(256, 1 / 256)
+        if context not in tables:
+            return below
+        n = tables[context]
+        left = np.where(n > 0, 0, below)
+        escape = (n > 0).sum() if left.sum() > 0 else 0
+        return n / (n.sum() + escape) + (escape / (n.sum() + escape) * left / left.sum() if escape else 0)
+
+    data = b"   " + text
+    return -sum(np.log2(share(data[k : k + 3])[data[k + 3]]) for k in range(len(text)))
+
+
+def test_code_lengths_are_exact(spark, monkeypatch):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    counts = lang_id.fit(table, sample=10)
+    model = lang_id.Model(counts)
+    texts = [r.text.encode()[:200] for r in table.filter("text is not null").limit(6).collect()] + ["日本".encode(), b"a", b"zqx!" * 9]
+    want = np.array([[bits_by_force(counts, lang, t) for lang in model.langs] for t in texts])
+    assert np.allclose(lang_id.Scorer(model).code_lengths(texts), want, rtol=1e-5)
+    monkeypatch.setattr(lang_id, "HELD", 64)  # small pieces
+    small = lang_id.Scorer(model)
+    small.power, small.most = 4, 37  # and many strings in a place
+    for _ in range(3):
+        assert np.allclose(small.code_lengths(texts), want, rtol=1e-5)
+
+
+def test_sample_of_languages_is_bounded(spark):
+    rows = [(k, f"text number {k} of a language", f"l{k % 7}", "s", 1) for k in range(700)] + [(9999, "x" * 5000, "l0", "s", 1)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    counts = lang_id.fit(df, sample=5, languages=3)
+    assert len(counts["lang"].unique()) == 3
+    letters = lambda **bounds: lang_id.fit(df, sample=5, **bounds)[lambda c: c["ord"] == 0].groupby("lang")["n"].sum().drop("l0")
+    assert all(letters() <= 5 * 40) and all(letters(sample_bytes=1) <= 40)  # one text
 
 
 def test_frozen_model_is_a_distribution(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
-    model = lang_id.Model(lang_id.fit(table, sample=20))
-    p = np.exp2(-model.bits.reshape(-1, model.a, len(model.langs)).astype(float))
-    others = 256 - (model.a - 1)
-    p[:, 0, :] *= others
-    assert np.allclose(p.sum(1), 1, atol=1e-3)
+    counts = lang_id.fit(table, sample=20)
+    contexts = np.r_[counts[counts["ord"] == 3]["gram"].to_numpy()[::50] >> 8, np.arange(0, 1 << 24, 999_983)].astype(np.uint32)
+    grams = (contexts[:, None] << np.uint32(8) | np.arange(256, dtype=np.uint32)).ravel()
+    p = np.exp2(-lang_id.Model(counts).gram_bits(grams).astype(float)).reshape(len(contexts), 256, -1)
+    assert np.allclose(p.sum(1), 1, atol=1e-4)
 
 
 # ---------------------------------------------------------------- 10
