@@ -37,8 +37,12 @@ RUN = 60
 PART_BYTES = 4_000_000
 HELD_BYTES = 200_000
 HELD_ANCHORS = 1_000_000
-#: Groups of documents and buckets of anchors for each shuffle partition.
+#: Groups of documents and buckets of anchors for each shuffle partition, at least, and bytes of texts for each of them, at most: both
+#: are held whole by a task.
 GROUPS, BUCKETS = 4, 1
+GROUP_BYTES, BUCKET_BYTES = 64_000_000, 128_000_000
+#: Buckets have 17 bits of the 64 of a key.
+MOST_BUCKETS = 1 << 17
 #: An anchor with more contents than this (distinct in a group, summed over groups) is hot, however many groups there are: its windows
 #: become snippets of their own, dealt by their whole content, so that no task gets all the contents around a frequent string. A task
 #: expands HELD_BYTES and HOT contents of RUN + LENGTH bytes at most, which is well below SYMBOLS.
@@ -104,7 +108,8 @@ def snippets(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR, run
 
 
 def _names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit names of the strings data[start:end]: polynomials from prefix sums, for all of them at a time."""
+    """64-bit names of the strings data[start:end]: polynomials from prefix sums, for all of them at a time. Contents are told apart by
+    key and name, where the key has the anchor's hash too: of n contents with one anchor, two agree by chance at odds of n * n / 2**65."""
     with np.errstate(over="ignore"):
         powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(data), _ODD)])
         inverse = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(data), pow(int(_ODD), -1, 1 << 64), dtype=np.uint64)])
@@ -251,7 +256,7 @@ def _write_snippets(buckets: int, length: int):
             start = (np.cumsum(sizes) - sizes)[text] + first
             end = start + n + length - 1
             names = _names(np.frombuffer(data, dtype=np.uint8), start, end)
-            key = np.where(frequent, names, key)
+            key = np.where(frequent, names + key * _ODD.view(np.int64), key)  # of a hot window: by anchor and whole content
             docs, m = doc[at + text], len(key)
             kinds.append(pa.table([pa.array(key), pa.nulls(m, pa.binary()), pa.array(names), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
                                    pa.array(docs), pa.array(name[at + text]), pa.array(first.astype(np.int32))], names=_OUT.names))
@@ -460,8 +465,10 @@ def repeated_strings(df: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     empty table gives an empty result; other columns are ignored."""
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups, buckets = GROUPS * partitions, BUCKETS * partitions
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    size = df.agg(F.sum(F.octet_length(body)).alias("n")).first()[0] or 0
+    groups = max(GROUPS * partitions, size // GROUP_BYTES)
+    buckets = min(max(BUCKETS * partitions, size // BUCKET_BYTES), MOST_BUCKETS)
     doc = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     docs = df.select(F.col(key).alias("_key"), doc.alias("_doc"), body.alias("_text"), F.xxhash64(body).alias("_name"))
     dealt = docs.select("_doc", "_text", "_name", F.pmod(F.xxhash64("_doc"), F.lit(groups)).alias("_group")).repartition("_group")
