@@ -20,8 +20,9 @@ BUCKETS = 10_000
 #: At most so many trusted documents (those with the least MD5 of their key) fit the trusted multinomial. Their keys are
 #: broadcast: 8 bytes each. The raw multinomial is over all documents.
 TRUSTED = 20_000
-#: Counts that smooth each bucket.
-PRIOR = 50.0
+#: Counts that smooth each bucket, in parts of the trusted side's mean count of a bucket: so verdicts do not hang on the corpus's size, but
+#: for chance. With less than some 20 trusted n-grams a bucket chance tells: clean documents then score down to -0.1.
+SMOOTHING = 1.0
 #: Mean log ratio per n-gram from which on a document stays.
 THRESHOLD = -0.035
 _SPACES = " \t\n\x0b\x0c\r"
@@ -76,11 +77,10 @@ def repeated_words(hashes: Column) -> Column:
     return F.when(repeated, _named(placed, covered)).otherwise(0).cast("long")
 
 
-def fit_weights(df: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, prior: float = PRIOR,
+def fit_weights(df: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, smoothing: float = SMOOTHING,
                 key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row: _weights, an array of log(trusted share / raw share) by bucket. Both are smoothed by `prior` counts for each bucket (in
-    the raw corpus by as many as make the same share), so that buckets with few counts weigh little. Without any trusted
-    document it is all zero."""
+    """One row: _weights, an array of log(trusted share / raw share) by bucket. Both are smoothed by `smoothing` mean counts of a bucket, so
+    that buckets with few counts weigh little. Without any trusted document it is all zero."""
     ids = labels.filter(F.col("quality") == 1).select(F.col(key).alias("_id")).distinct()
     ids = ids.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(trusted).withColumn("_t", F.lit(1))
     rows = df.select(F.col(key).alias("_id"), word_hashes(F.col(text)).alias("_w")).join(F.broadcast(ids), "_id", "left")
@@ -90,6 +90,7 @@ def fit_weights(df: DataFrame, labels: DataFrame, buckets: int = BUCKETS, truste
     counts = every.select("_b", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("_raw", "_good")])
     packed = counts.agg(F.array_sort(F.collect_list(F.struct("_b", "_raw", "_good"))).alias("_c"))  # `buckets` entries
     packed = packed.select("_c", *[F.aggregate(F.col("_c")[c], F.lit(0).cast("long"), lambda a, x: a + x).alias(f"_n{c}") for c in ("_raw", "_good")])
+    prior = F.col("_n_good") * smoothing / buckets
     expected = lambda x: x["_raw"] * F.col("_n_good") / F.col("_n_raw")
     ratio = lambda x: F.log((x["_good"] + prior) / (expected(x) + prior))
     return packed.select(F.transform("_c", lambda x: F.when(F.col("_n_good") > 0, ratio(x)).otherwise(0.0)).alias("_weights"))
@@ -102,7 +103,7 @@ def quality_rules(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     A null or empty text has no words, fails the base rules and scores 0. Repeated rows are judged one by one. Label rows
     of null or unknown keys, and repeated ones, change nothing. An empty table gives an empty result; other columns are
     ignored. score: mean log ratio of the text's n-grams."""
-    weights = written(fit_weights(df, labels, buckets, trusted, PRIOR, key, text), "weights").scalar()
+    weights = written(fit_weights(df, labels, buckets, trusted, SMOOTHING, key, text), "weights").scalar()
     body = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(_SPACES)) != "")
 
