@@ -9,6 +9,7 @@ there first, as the library does by default. The memory of a worker is bounded:
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -73,9 +74,8 @@ class ChunkTokenizer:
         letters = _byte_letters()
         self.letters = dict(enumerate(letters))
         self.encode_piece = None
-        if kind == "byte":
-            # Merges of this vocabulary are in the order of their ids, so its ids are ranks, and a coder by ranks gives the same
-            # ids as the library's model, faster.
+        if kind == "byte" and self._ids_are_ranks():
+            # A coder by ranks gives the same ids as the library's model, faster.
             import tiktoken
 
             byte = {x: b for b, x in enumerate(letters)}
@@ -85,6 +85,17 @@ class ChunkTokenizer:
         self.spaced_ids = Memo(lambda c: self._chunk_ids(" " + c))  # of a chunk with a space before it
         self.piece_ids = Memo(self._piece_ids)
 
+    def _ids_are_ranks(self) -> bool:
+        """Whether the vocabulary is one letter for each byte and then what its merges make, in their order. If not, the library's model
+        encodes each piece."""
+        merges = json.loads(self.library.to_str())["model"].get("merges", [])
+        made = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in merges]
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        letters = {t for t in vocabulary if len(t) == 1}
+        ids = [vocabulary.get(t, -1) for t in made]
+        in_order = ids == sorted(set(ids)) and (not ids or ids[0] > max(vocabulary[t] for t in letters))
+        return in_order and letters == set(self.letters.values()) and letters | set(made) == {*vocabulary} - self.special.keys()
+
     def _plain_pieces(self, chunk: str) -> list[str]:
         word = chunk[1:] if chunk[:1] == " " else chunk
         if word.isalpha():

@@ -130,6 +130,33 @@ def test_suffix_dedup_is_hot_by_contents_not_groups(spark):
     assert got == removed_by_force(rows)
 
 
+@pytest.mark.parametrize("common", [30_000, 10_000])
+def test_suffix_dedup_around_one_frequent_string(spark, common):
+    """All the contents around the string are more symbols than a suffix array has room for; a half of them repeat bytes beside it."""
+    rng = random.Random(11)
+    body = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    middle = "zyxwvutsrqzyxwvutsrqzyxw"
+    rows = [(i, body(30) + middle + body(30)) for i in range(common // 2)]
+    rows += [(common + i, body(20) + t[8:70] + body(3)) for i, t in rows]  # the string with 22 and 16 bytes beside it: over 50 in common
+    rows += [(10**6 + i, body(84)) for i in range(30_000 - common)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = rows_of(suffix_dedup.repeated_strings(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = removed_by_force(rows)
+    assert got == want and sum(r[2] > 0 for r in want) == common // 2
+
+
+def test_suffix_dedup_with_small_groups(docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3000)
+    got = rows_of(suffix_dedup.repeated_strings(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == removed_by_force([r[:2] for r in ROWS])
+
+
 def test_suffix_array_is_not_for_more_symbols_than_fit():
     place = np.zeros(1 << 21, dtype=np.int64)
     with pytest.raises(ValueError, match="2097152 symbols"):
@@ -185,13 +212,18 @@ def test_quality_rules(spark, docs, odd, empty):
         for g in grams(t):
             raw[g] += 1
             good[g] += k % 2 == 0
-    weights = np.log((good + quality.PRIOR) / (raw * good.sum() / raw.sum() + quality.PRIOR))
+    prior = quality.SMOOTHING * good.sum() / 500
+    weights = np.log((good + prior) / (raw * good.sum() / raw.sum() + prior))
     for i, t, *_ in ROWS:
         g = grams(t)
         want = weights[g].mean() if g else 0.0
         assert got[i].score == pytest.approx(want, abs=1e-9)
         assert got[i].kept == (not got[i].base_failed and got[i].score >= quality.THRESHOLD)
     assert quality.quality_rules(odd, labels).count() == 6 and quality.quality_rules(empty, labels).count() == 0
+    twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**6))  # verdicts do not hang on the corpus's size
+    both = labels.unionByName(labels.withColumn("doc_id", F.col("doc_id") + 10**6)).unionByName(spark.createDataFrame([(ROWS[0][0], None, None)], labels.schema))
+    again = {r.doc_id: r.score for r in quality.quality_rules(twice, both, buckets=500).collect()}
+    assert all(again[i] == pytest.approx(again[i + 10**6]) == pytest.approx(got[i].score, abs=1e-9) for i in got)
     unlabelled = quality.quality_rules(docs, labels.limit(0)).collect()
     assert all(r.score == 0 for r in unlabelled)
 
