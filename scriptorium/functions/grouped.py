@@ -1,11 +1,12 @@
-"""Order-dependent logic over small groups, as one streaming pass for each partition.
+"""Order-dependent logic over groups, as one streaming pass for each partition.
 
-For choices whose result hangs on earlier choices of the same group (a page, a job, a key). Rows are dealt by the keys and sorted;
-a task then holds one group at a time, as plain tuples, without a data frame for each group."""
+For choices whose result hangs on earlier choices of the same group (a page, a job, a key). Rows are dealt by the keys and sorted, and go
+through the fold as plain tuples, without a data frame for each group."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,32 +16,31 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 BATCH = 10_000
 
 
-def per_group(df: DataFrame, keys: Sequence[str], order: Sequence, fold: Callable[[list[tuple]], Iterable[tuple]], schema: str | StructType) -> DataFrame:
-    """fold gets the rows of a group, in order, as tuples of df's columns; what it gives are rows of the schema. A null key is a
-    group of its own."""
+def per_group_running(df: DataFrame, keys: Sequence[str], order: Sequence, fold: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str | StructType) -> DataFrame:
+    """fold gets the rows of a group one at a time, in order, as tuples of df's columns, and gives rows of the schema as it goes: what a task holds
+    is what the fold keeps, however many rows a group has. A null key is a group of its own."""
     schema = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow, at = to_arrow_schema(schema), [df.columns.index(k) for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        out: list[tuple] = []
-
-        def packed() -> pa.RecordBatch:
+        def packed(out: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if group and any(row[k] != group[0][k] for k in at):
-                    out.extend(fold(group))
-                    group = []
-                    if len(out) >= BATCH:
-                        yield packed()
-                        out = []
-                group.append(row)
-        if group:
-            out.extend(fold(group))
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out: list[tuple] = []
+        for _, own in groupby(rows, key=lambda row: [row[k] for k in at]):
+            for row in fold(own):
+                out.append(row)
+                if len(out) >= BATCH:
+                    yield packed(out)
+                    out = []
         if out:
-            yield packed()
+            yield packed(out)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def per_group(df: DataFrame, keys: Sequence[str], order: Sequence, fold: Callable[[list[tuple]], Iterable[tuple]], schema: str | StructType) -> DataFrame:
+    """As per_group_running, for folds that look at a whole group, which a task then holds as a list: for pages, whose rows are tens."""
+    return per_group_running(df, keys, order, lambda rows: fold(list(rows)), schema)

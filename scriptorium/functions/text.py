@@ -30,3 +30,35 @@ def word_key(text: str | Column) -> Column:
 def fold(text: str | Column) -> Column:
     """Case folding as far as the corpus needs it: small letters, and ss for the sharp s."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
+#: What the leak rule overlooks.
+_QUOTED = "«[^»]*»|“[^”]*”|\"[^\"]*\""
+_ADDRESS = r"(?i)https?://\S+|www\.\S+|[\p{L}\p{N}_-]+\.(?:com|net|org|ru|io|me|dev|art|adult|co)(?:/\S*)?"
+
+
+def own_words(text: str | Column, allowed: tuple[str, ...] = ()) -> Column:
+    """The text without quotes, addresses and allowed terms."""
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _QUOTED, " "), _ADDRESS, " ")
+    for term in allowed:
+        if term.strip():
+            text = F.replace(text, F.lit(term.strip()), F.lit(" "))
+    return text
+
+
+def token_counts(text: Column) -> Column:
+    """Struct of letters by script (cyr, lat, other). Latin ones count in tokens of four or more that have no digit, are not all
+    capitals, and do not begin with one unless a sentence does so there."""
+    parts = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_'’]+|[.!?…\n\r]"), F.lit(0))
+
+    def counts(token: Column, before: Column) -> Column:
+        c = script_counts(token)
+        capitals = F.regexp_count(token, F.lit(rf"[{LATIN}&&\p{{Lu}}]"))
+        inside = before.isNotNull() & ~before.rlike(r"^[.!?…\n\r]$")
+        name = inside & F.regexp_extract(token, rf"[{LATIN}&&\p{{L}}]", 0).rlike(r"^\p{Lu}")
+        counted = (c["lat"] >= 4) & ~token.rlike(r"[\p{N}_]") & (capitals < c["lat"]) & ~name
+        return F.struct(c["cyr"].alias("cyr"), F.when(counted, c["lat"]).otherwise(0).cast("long").alias("lat"), c["other"].cast("long").alias("other"))
+
+    each = F.transform(parts, lambda token, i: counts(token, F.get(parts, i - 1)))
+    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("cyr", "lat", "other")])
+    return F.aggregate(each, none, lambda a, x: F.struct(*[(a[c] + x[c]).alias(c) for c in ("cyr", "lat", "other")]))

@@ -56,22 +56,40 @@ def normalize_boxes(regions: DataFrame, sheets: DataFrame) -> DataFrame:
 
 
 def rescale_regions(regions: DataFrame, sheets: DataFrame, target: int) -> DataFrame:
-    """Boxes times target / long side where the page is smaller; sides stay 1 or more."""
+    """Pixel quantities times target / long side where the page is smaller, those that regions has of: boxes (sides stay 1 or more), bubble boxes,
+    sizes (1 or more, 0 is none), spacings, positions, and arrays of points (6 decimals)."""
     long_side = F.greatest("width", "height")
-    factor = F.when(long_side < target, target / long_side).otherwise(1.0)
+    factor = F.when((long_side < target) & (long_side > 0), target / long_side).otherwise(1.0)
     df = regions.join(sheets.select("page_id", factor.alias("factor")), "page_id")
-    scaled = {c: F.bround(F.col(c) * F.col("factor")).cast("long") for c in ("x", "y")}
-    scaled |= {c: F.greatest(F.bround(F.col(c) * F.col("factor")).cast("long"), F.lit(1)) for c in ("w", "h")}
-    return df.withColumns(scaled).drop("factor")
+    whole = lambda c: F.bround(F.col(c) * F.col("factor")).cast("long")
+    fine = lambda v: F.round(v * F.col("factor"), 6)
+    rules = {
+        ("x", "y", "bx", "by"): whole,
+        ("w", "h", "bw", "bh"): lambda c: F.when(F.col(c).isNotNull(), F.greatest(whole(c), F.lit(1))),
+        ("font_size", "font_size_override", "line_height"): lambda c: F.when(F.col(c) > 0, F.greatest(whole(c), F.lit(1))).otherwise(F.col(c).cast("long")),
+        ("stroke_width", "letter_spacing", "line_spacing", "pos_x", "pos_y"): lambda c: fine(F.col(c)),
+        ("quad", "mesh", "contour"): lambda c: F.transform(c, lambda p: F.transform(p, fine)),
+    }
+    return df.withColumns({c: F.when(F.col("factor") == 1, F.col(c)).otherwise(rule(c)) for names, rule in rules.items() for c in names if c in regions.columns}).drop("factor")
+
+
+def _within(c: str, low: float, high: float, kind: str) -> Column:
+    return F.least(F.greatest(F.coalesce(F.col(c).cast(kind), F.lit(0)), F.lit(low)), F.lit(high)).cast(kind)
 
 
 def coerce_regions(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(regions in range, one row of repairs by field): gender and type among the known, confidence in 0..1."""
+    """(regions in range, one row of repairs by field), for those fields that there are: gender and type among the known, confidence in 0..1,
+    progress and tolerance in 0..100, and three colour channels in 0..255 (missing ones are 0)."""
+    channel = lambda v: F.least(F.greatest(F.coalesce(v, F.lit(0)), F.lit(0)), F.lit(255)).cast("int")
+    colour = lambda c: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: channel(F.get(F.col(c), k)))
     fixes = {
         "speaker_gender": F.when(F.lower("speaker_gender").isin(list(GENDERS)), F.lower("speaker_gender")).otherwise("unknown"),
         "block_type": F.when(F.col("block_type").isin(list(BLOCK_TYPES)), F.col("block_type")).otherwise("dialogue"),
-        "confidence": F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)),
-    }
+        "confidence": _within("confidence", 0.0, 1.0, "double"),
+        "progress": _within("progress", 0, 100, "long"), "tolerance": _within("tolerance", 0, 100, "long"),
+        "fill_rgb": colour("fill_rgb"), "stroke_rgb": F.when(F.col("stroke_rgb").isNotNull(), colour("stroke_rgb")),
+    }
+    fixes = {c: f for c, f in fixes.items() if c in regions.columns}
     audit = regions.agg(*[F.count_if(~F.col(c).eqNullSafe(f)).alias(f"{c}_repaired") for c, f in fixes.items()])
     return regions.withColumns(fixes), audit
 
@@ -102,19 +120,21 @@ def usable_words(words: DataFrame, min_conf: float, side: float = 2, letters: bo
     return df.filter(ok)
 
 
-#: What counts as a secret in a log line, by rule.
+#: What counts as a secret in a log line, by rule, in the order in which the rules apply. Of an address the user info, and all
+#: from the query or fragment on, go.
 REDACTIONS = (
-    ("bearer", r"Bearer [A-Za-z0-9._~+/=-]+", "Bearer ***"),
-    ("assignment", r"(?i)(key|token|password|secret)(\s*[=:]\s*)(\"[^\"]*\"|\S+)", "$1$2***"),
-    ("user_info", r"(https?://)[^\s/@]+@", "$1***@"),
+    ("user_info", r"(?i)(https?://)[^\s/?#\"<>]*@", "$1"),
     ("query_fragment", r"(?i)(https?://[^\s\"<>?#]*)[?#][^\s\"<>]*", "$1"),
+    ("bearer", r"(?i)(bearer\s+)[^\s\"']+", "$1***"),
+    ("assignment", r"(?i)((?:api[_-]?key|key|token|password|secret)\s*[=:]\s*)(?:\"[^\"]*\"|[^\s,\"']+)", "$1***"),
 )
 
 
 def redact(df: DataFrame, column: str, secrets: tuple[str, ...] = ()) -> DataFrame:
-    """The column without secrets, n_redacted (matches of all rules) and redacted_by_rule (matches of known secrets and of each rule)."""
+    """The column without secrets, n_redacted (matches of all rules) and redacted_by_rule (matches of known secrets and of each rule). Of known
+    secrets the longest goes first, so that none leaves the rest of a wider one."""
     text, n = F.coalesce(F.col(column), F.lit("")), F.lit(0)
-    for s in secrets:
+    for s in sorted(filter(None, set(secrets)), key=lambda s: (-len(s), s)):
         n = n + ((F.length(text) - F.length(F.replace(text, F.lit(s), F.lit("")))) / len(s)).cast("int")
         text = F.replace(text, F.lit(s), F.lit("***"))
     counts = {"secret": n}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CYRILLIC_TARGETS, script_counts
+from ..functions.text import CYRILLIC_TARGETS, own_words, script_counts, token_counts
 from .filters import GENDERS, STORY_TYPES, filled
 
 # ---------------------------------------------------------------- dictionaries
@@ -70,48 +70,34 @@ def leaks(target: str) -> Column:
     return (foreign > 0) & ((home == 0) | ((foreign >= 4) & (4 * foreign >= home + foreign)))
 
 
-def leak_audit(docs: DataFrame, target: str, by: list[str]) -> DataFrame:
-    df = docs.withColumns(script_counts("text")).withColumn("leak", leaks(target))
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("leak").alias("n_leak"), F.round(F.avg(F.col("leak").cast("int")), 6).alias("rate"))
-
-
-#: What the leak rule overlooks.
-_QUOTED = "«[^»]*»|“[^”]*”|\"[^\"]*\""
-_ADDRESS = r"(?i)https?://\S+|www\.\S+|\b[\w-]+\.(?:com|net|org|ru|io|me|dev|art|adult|co)(?:/[^\s]*)?"
+def leak_tokens(docs: DataFrame, target: str, allowed: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """docs with cyr, lat, other (see token_counts; quotes, addresses and allowed terms do not count) and leak."""
+    df = docs.withColumn("_own", own_words(text, allowed)).withColumn("_n", token_counts(F.col("_own")))
+    return df.withColumns({c: F.col(f"_n.{c}") for c in ("cyr", "lat", "other")}).drop("_own", "_n").withColumn("leak", leaks(target))
 
 
-def leak_tokens(docs: DataFrame, target: str, allowed: tuple[str, ...] = ()) -> DataFrame:
-    """The leak rule by tokens: quotes, addresses and allowed terms do not count, and Latin letters only in tokens of four letters
-    or more without digits, not all capitals, and not capitalized within a sentence."""
-    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), _QUOTED, " "), _ADDRESS, " ")
-    for term in allowed:
-        text = F.replace(text, F.lit(term), F.lit(" "))
-    df = docs.withColumn("_t", text)
-    # A capitalized Latin token right after a small letter, a comma or a Latin or Cyrillic word is taken for a name.
-    plain = F.regexp_replace("_t", r"(?<=[\p{L},;:] )[A-Z][a-z]+", " ")
-    tokens = F.filter(F.regexp_extract_all(plain, F.lit(r"[A-Za-z\x{00C0}-\x{024F}0-9]+"), F.lit(0)),
-                      lambda w: (F.length(w) >= 4) & ~w.rlike("[0-9]") & (F.upper(w) != w))
-    counts = script_counts("_t")
-    lat = F.aggregate(tokens, F.lit(0).cast("long"), lambda a, w: a + F.length(w))
-    return df.withColumns({"cyr": counts["cyr"], "lat": lat, "other": counts["other"]}).drop("_t").withColumn("leak", leaks(target))
+def leak_audit(docs: DataFrame, target: str, by: list[str], allowed: tuple[str, ...] = ()) -> DataFrame:
+    df = leak_tokens(docs, target, allowed)
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("leak").alias("n_leak"), F.round(F.avg(F.col("leak").cast("int")), 6).alias("rate"))
 
 
-def unchanged_words(blocks: DataFrame, target: str) -> DataFrame:
-    """blocks(text, translation) with unchanged: a word of four Latin letters or more, all small or all capital, is in both."""
-    own = F.transform(F.regexp_extract_all("text", F.lit(r"\b(?:[A-Z]{4,}|[a-z]{4,})\b"), F.lit(0)), F.lower)
-    left = F.transform(F.regexp_extract_all("translation", F.lit(r"\b[A-Za-z]{4,}\b"), F.lit(0)), F.lower)
+def unchanged_words(blocks: DataFrame, target: str, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """blocks(text, translation) with unchanged: a word of four Latin letters or more, all small or all capital, is in both, quotes, addresses and
+    allowed terms aside."""
+    words = lambda c, pattern: F.transform(F.regexp_extract_all(own_words(c, allowed), F.lit(pattern), F.lit(0)), F.lower)
+    own, left = words("text", r"\b(?:[A-Z]{4,}|[a-z]{4,})\b"), words("translation", r"\b[A-Za-z]{4,}\b")
     return blocks.withColumn("unchanged", F.lit(target in CYRILLIC_TARGETS) & F.coalesce(F.arrays_overlap(own, left), F.lit(False)))
 
 
-def rewrite_set(blocks: DataFrame, target: str) -> DataFrame:
+def rewrite_set(blocks: DataFrame, target: str, allowed: tuple[str, ...] = ()) -> DataFrame:
     """Blocks whose translation leaks or keeps foreign words."""
-    df = unchanged_words(blocks, target).withColumns(script_counts("translation"))
-    return df.filter(leaks(target) | F.col("unchanged")).drop("cyr", "lat", "other")
+    df = leak_tokens(unchanged_words(blocks, target, allowed), target, allowed, "translation")
+    return df.filter(F.col("leak") | F.col("unchanged")).drop("cyr", "lat", "other", "leak")
 
 
-def accept_proofread(blocks: DataFrame, revised: DataFrame, target: str) -> DataFrame:
+def accept_proofread(blocks: DataFrame, revised: DataFrame, target: str, allowed: tuple[str, ...] = ()) -> DataFrame:
     """blocks with the last revised translation (page_id, region_id, ord, revised) where it is filled and does not leak."""
-    ok = revised.filter(filled("revised")).withColumns(script_counts("revised")).filter(~leaks(target))
+    ok = leak_tokens(revised.filter(filled("revised")), target, allowed, "revised").filter(~F.col("leak"))
     last = ok.groupBy("page_id", "region_id").agg(F.max_by("revised", "ord").alias("revised"))
     return blocks.join(last, ["page_id", "region_id"], "left").withColumn("translation", F.coalesce("revised", "translation")).drop("revised")
 
@@ -163,18 +149,27 @@ def skip_existing(pages: DataFrame, outputs: DataFrame) -> tuple[DataFrame, Data
     return pages.join(outputs, "page_id", "left_anti"), pages.join(outputs, "page_id", "left_semi")
 
 
-def diff_documents(prev: DataFrame, new: DataFrame) -> DataFrame:
-    """prev and new(page_id, region_id, fields) → page_id, plan (none, typeset or clean) and the ids to set again."""
-    clean, typeset = ("x", "y", "w", "h", "skip", "block_type", "text"), ("translation", "speaker", "speaker_gender")
-    both = prev.alias("p").join(new.alias("n"), ["page_id", "region_id"], "full_outer")
-    differs = lambda cs: ~F.array_min(F.array(*[F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in cs]))
-    lone = F.col("p.skip").isNull() | F.col("n.skip").isNull()
-    df = both.select("page_id", "region_id", lone.alias("lone"), (differs(clean) & ~lone).alias("c"), (differs(typeset) & ~lone).alias("t"))
-    df = df.groupBy("page_id").agg(F.bool_or("lone").alias("set"), F.bool_or("c").alias("c"), F.bool_or("t").alias("t"),
-                                   F.array_sort(F.collect_list(F.when(F.col("c") | F.col("t"), F.col("region_id")))).alias("ids"))
-    plan = F.when(F.col("set") | F.col("c"), "clean").when(F.col("t"), "typeset").otherwise("none")
-    ids = F.when(F.col("set"), F.lit("")).otherwise(F.array_join(F.col("ids").cast("array<string>"), ","))
-    return df.select("page_id", plan.alias("plan"), ids.alias("ids"))
+#: Fields of a region whose changes ask for new cleaning, or for new setting alone.
+CLEAN_FIELDS = ("x", "y", "w", "h", "bx", "by", "bw", "bh", "skip", "block_type", "text", "auto_layout")
+TYPESET_FIELDS = ("translation", "text_position", "speaker", "speaker_gender", "style")
+
+
+def diff_documents(prev: DataFrame, new: DataFrame, prev_pages: DataFrame, new_pages: DataFrame) -> DataFrame:
+    """Regions (page_id, region_id and what there is of the fields above) and pages(page_id, strokes, direction) of two versions → page_id, plan
+    (none, typeset or clean) and the ids to set again: those with other typeset fields, all where the direction changed, none where the
+    sets of ids differ."""
+    both = prev.withColumn("_there", F.lit(True)).alias("p").join(new.withColumn("_there", F.lit(True)).alias("n"), ["page_id", "region_id"], "full_outer")
+    differs = lambda cs: F.array_contains(F.array(*[~F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in cs if c in prev.columns]), True)
+    lone = F.col("p._there").isNull() | F.col("n._there").isNull()
+    df = both.select("page_id", "region_id", lone.alias("lone"), differs(CLEAN_FIELDS).alias("c"), differs(TYPESET_FIELDS).alias("t"))
+    ids = lambda c: F.array_join(F.array_sort(F.collect_list(c)).cast("array<string>"), ",")
+    df = df.groupBy("page_id").agg(F.bool_or("lone").alias("other"), F.bool_or("c").alias("c"), F.bool_or("t").alias("t"),
+                                   ids(F.when(F.col("t"), F.col("region_id"))).alias("some"), ids("region_id").alias("all"))
+    pages = prev_pages.alias("p").join(new_pages.alias("n"), "page_id", "full_outer").select(
+        "page_id", (~F.col("p.strokes").eqNullSafe(F.col("n.strokes"))).alias("drawn"), (~F.col("p.direction").eqNullSafe(F.col("n.direction"))).alias("turned"))
+    df = df.join(pages, "page_id", "full_outer").fillna(False, ["other", "c", "t", "drawn", "turned"]).fillna("", ["some", "all"])
+    plan = F.when(F.col("drawn") | F.col("other") | F.col("c"), "clean").when(F.col("turned") | F.col("t"), "typeset").otherwise("none")
+    return df.select("page_id", plan.alias("plan"), F.when(F.col("other"), "").when(F.col("turned"), F.col("all")).otherwise(F.col("some")).alias("ids"))
 
 
 def stale_layouts(regions: DataFrame, inputs: list[str]) -> DataFrame:
@@ -188,16 +183,28 @@ def stale_layouts(regions: DataFrame, inputs: list[str]) -> DataFrame:
 
 #: Words for actions, which are not labels.
 ACTIONS = ("startle", "shake", "whisper", "squeeze", "pull", "kiss", "glance", "jiggle", "shiver", "tremble", "nod", "gulp", "nudge", "poke", "pat", "blush", "giggle", "sniff", "sob")
+#: What is an address or a handle on a sign.
+_SIGN = r"@[\w.-]+|(?i:https?://|www\.|\b[\w.-]+\.(com|net|org|ru|io|me|tv|gg)(/|\b))"
 _MARKS = " .!?,;:-…"
 
 
-def classify_blocks(blocks: DataFrame, sounds: list[str]) -> DataFrame:
-    """blocks(text, in_bubble) with the type that their text and place suggest; sounds: dictionary words in capitals."""
-    t = F.trim("text")
+def _known_words(blocks: DataFrame, sounds: DataFrame) -> DataFrame:
+    """(_t, _known): the words of each text, and the text itself, that are in the dictionary: an equality join, of any size."""
+    bare = lambda w: F.upper(F.btrim(w, F.lit(_MARKS)))
+    texts = blocks.select(F.trim("text").alias("_t")).filter("_t <> ''").distinct()
+    words = texts.select("_t", F.explode(F.array_distinct(F.transform(F.concat(F.array("_t"), F.split("_t", r"\s+")), bare))).alias("word"))
+    return words.join(sounds.select("word").distinct(), "word").groupBy("_t").agg(F.collect_set("word").alias("_known"))  # words of one text
+
+
+def classify_blocks(blocks: DataFrame, sounds: DataFrame | None = None) -> DataFrame:
+    """blocks(text, in_bubble) with the type that their text and place suggest; sounds(word): the dictionary, in capitals."""
+    none = F.array().cast("array<string>")
+    df = blocks.withColumn("_t", F.trim("text"))
+    df = df.join(_known_words(blocks, sounds), "_t", "left").withColumn("_known", F.coalesce("_known", none)) if sounds is not None else df.withColumn("_known", none)
+    t = F.col("_t")
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     bare = F.lower(F.btrim(t, F.lit(_MARKS)))
-    known = F.array(*[F.lit(w) for w in sounds]) if sounds else F.array().cast("array<string>")
-    in_dict = lambda w: F.array_contains(known, F.upper(F.btrim(w, F.lit(_MARKS))))
+    in_dict = lambda w: F.array_contains("_known", F.upper(F.btrim(w, F.lit(_MARKS))))
     tokens = F.array_distinct(F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(_MARKS)))))
     letters, n = t.rlike(r"\p{L}"), F.size(words)
     capitals = F.upper(t) == t
@@ -205,13 +212,13 @@ def classify_blocks(blocks: DataFrame, sounds: list[str]) -> DataFrame:
     sequence = (n > 0) & F.forall(words, in_dict)
     kind = (
         F.when(F.col("in_bubble"), "dialogue")
-        .when(t.rlike(r"@[\w.-]+") | t.rlike(r"(?i)https?://|www\.|\b[\w.-]+\.(com|net|org|ru|io|me|tv|gg)(/|\b)"), "sign")
+        .when(t.rlike(_SIGN), "sign")
         .when((shout & ((n <= 2) | (F.size(tokens) == 1) | sequence)) | bare.isin(list(ACTIONS)) | in_dict(t), "sfx")
         .when((n >= 3) & capitals, "narration")
         .when(t.rlike(r"(!|\?|…|\.\.\.)$"), F.when(n == 1, "sfx").otherwise("narration"))
         .when(letters & ((F.length(t) <= 12) | ((n <= 3) & (F.length(t) <= 24))), "sign").otherwise("narration")
     )
-    return blocks.withColumn("block_type", kind)
+    return df.withColumn("block_type", kind).drop("_t", "_known")
 
 
 def assign_roles(regions: DataFrame, catalog: DataFrame, laughter: tuple[str, ...] = ("haha", "hehe", "hihi")) -> DataFrame:
@@ -241,9 +248,9 @@ def assign_roles(regions: DataFrame, catalog: DataFrame, laughter: tuple[str, ..
 def parse_replies(raw: DataFrame, schema: str, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """(rows with `reply` parsed, rows that hold no JSON object). Thoughts go; then the whole text, a fenced block, or all from the
     first brace to the last."""
-    text = F.regexp_replace(F.col(body), r"(?s)<think>.*?</think>", "")
-    text = F.trim(F.regexp_replace(text, r"(?s)^.*</think>", ""))
-    tries = [text, F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.regexp_extract(text, r"(?s)(\{.*\})", 1)]
+    text = F.regexp_replace(F.col(body), r"(?is)<think>.*?</think>", "")
+    text = F.btrim(F.regexp_replace(text, r"(?is)^.*</think>", ""), F.lit(" \t\r\n"))
+    tries = [text, F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1), F.regexp_extract(text, r"(?s)(\{.*\})", 1)]
     usable = [F.when(F.trim(t).startswith("{") & F.try_parse_json(t).isNotNull(), t) for t in tries]
     df = raw.withColumn("_json", F.coalesce(*usable))
     return df.filter(F.col("_json").isNotNull()).withColumn("reply", F.from_json("_json", schema)).drop("_json"), df.filter(F.col("_json").isNull()).drop("_json")
@@ -259,8 +266,8 @@ def finish_status(pages: DataFrame, fallbacks: tuple[str, ...] = ("offline",)) -
 
 
 def apply_page_model(df: DataFrame, fn: Callable, schema: str, fallback: Callable | None = None, attempts: int = 3) -> DataFrame:
-    """fn(pandas batch) → pandas batch of the schema. A batch that fails `attempts` times goes to the fallback, and if that fails too its
-    rows come back with nulls and the column `error`."""
+    """fn(pandas batch) → pandas batch of the schema. A batch that fails `attempts` times is halved, down to the rows that fail alone; these
+    go to the fallback, and if that fails too they come back with nulls and the column `error`."""
     from pyspark.sql.types import _parse_datatype_string
 
     names = _parse_datatype_string(schema).names
@@ -268,20 +275,33 @@ def apply_page_model(df: DataFrame, fn: Callable, schema: str, fallback: Callabl
     def run(batches):
         import pandas as pd
 
-        for b in batches:
-            out, error = None, None
-            for f in [fn] * attempts + ([fallback] if fallback else []):
+        def tried(b, functions):
+            error = None
+            for f in functions:
                 try:
-                    out = f(b)
-                    break
+                    return f(b), None
                 except Exception as e:  # noqa: BLE001 - a user's model may fail in any way; the row says so
                     error = f"{type(e).__name__}: {e}"
+            return None, error
+
+        def done(b, again: bool = True):
+            out, error = tried(b, [fn] * (attempts if again else 1))
+            if out is None and len(b) > 1:
+                half = len(b) // 2
+                yield from done(b.iloc[:half], False)
+                yield from done(b.iloc[half:], False)
+                return
+            if out is None and fallback:
+                out, error = tried(b, [fallback])
             if out is None:
                 out = pd.DataFrame({c: b[c] if c in b else None for c in names}, index=b.index)
                 yield out.assign(error=error)
             else:
                 yield out.assign(error=None)
 
+        for b in batches:
+            yield from done(b)
+
     return df.mapInPandas(run, f"{schema}, error string")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import statistics
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,33 +84,75 @@ def reading_order(regions: DataFrame, direction: str = "ltr") -> DataFrame:
     return per_group(df, ["page_id"], ["region_id"], number, "page_id long, region_id long, x long, y long, w long, h long, ord long")
 
 
-def order_words(words: DataFrame, direction: str = "ltr") -> DataFrame:
-    """words(page_id, region_id, word_id, text, box) → (page_id, region_id, text, n): the words of a region in lines, or in columns
-    where most are tall and some lie above each other."""
-
-    def share(a: tuple, b: tuple, k: int) -> float:
-        """Common extent of two boxes along x (k = 4) or y (k = 5), over the shorter one."""
-        return (min(a[k] + a[k + 2], b[k] + b[k + 2]) - max(a[k], b[k])) / max(1, min(a[k + 2], b[k + 2]))
-
-    def lines(boxes: list[tuple]) -> list[tuple]:
-        tall = [b for b in boxes if b[7] > b[6]]
-        upright = len(tall) >= max(2, 0.6 * len(boxes)) and any(share(a, b, 4) >= 0.5 for i, a in enumerate(tall) for b in tall[i + 1 :])
-        groups: list[list[tuple]] = []
-        for b in boxes:
-            for g in groups:
-                if share(g[-1], b, 4 if upright else 5) >= 0.5:
-                    g.append(b)
-                    break
-            else:
-                groups.append([b])
-        if upright:
-            groups.sort(key=lambda g: sum(b[4] + b[6] / 2 for b in g) / len(g), reverse=direction == "rtl")
-            groups = [sorted(g, key=lambda b: (b[5], b[2])) for g in groups]
+def level(a: Sequence[float], b: Sequence[float]) -> bool:
+    """Whether two boxes (x, y, w, h) have half of the lower one's height in common."""
+    low = min(a[3], b[3])
+    return low > 0 and min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]) >= 0.5 * low
+
+
+def stacked(a: Sequence[float], b: Sequence[float]) -> bool:
+    """Whether two boxes have half of the narrower one's width in common."""
+    narrow = min(a[2], b[2])
+    return narrow > 0 and min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]) >= 0.5 * narrow
+
+
+def gathered(boxes: Sequence[Sequence[float]], order: Sequence[int], alike: Callable, last_first: bool = False) -> list[list[int]]:
+    """Numbers of boxes, taken in that order, in groups: each joins the first group begun (or the last) of which any member is alike."""
+    groups: list[list[int]] = []
+    for i in order:
+        for g in reversed(groups) if last_first else groups:
+            if any(alike(boxes[i], boxes[k]) for k in g):
+                g.append(i)
+                break
         else:
-            groups.sort(key=lambda g: min(b[5] for b in g))
-            groups = [sorted(g, key=lambda b: (-b[4] if direction == "rtl" else b[4], b[2])) for g in groups]
-        text = " ".join(b[3].strip() for g in groups for b in g if b[3].strip())
-        return [(boxes[0][0], boxes[0][1], text, len(boxes))]
+            groups.append([i])
+    return groups
+
+
+def straightened(boxes: list[tuple], quads: list) -> list[tuple]:
+    """Boxes turned back by the median angle of the quads' upper edges, if that is over 3 degrees; else as they are."""
+    slopes = []
+    for q in quads:
+        if q is not None:
+            dx, dy = q[1][0] - q[0][0], q[1][1] - q[0][1]
+            if abs(dx) > abs(dy):
+                slopes.append(math.atan2(dy, dx))
+    angle = statistics.median(slopes) if slopes else 0.0
+    if abs(angle) <= math.radians(3):
+        return boxes
+    cosine, sine, out = math.cos(angle), math.sin(angle), []
+    for b, q in zip(boxes, quads, strict=True):
+        x, y, w, h = b
+        corners = q if q is not None else [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        across, down = [cosine * u + sine * v for u, v in corners], [cosine * v - sine * u for u, v in corners]
+        wide, high = max(across) - min(across), max(down) - min(down)
+        out.append(b if wide < 2 or high < 2 else (int(min(across)), int(min(down)), int(wide), int(high)))
+    return out
+
+
+def read_words(boxes: list[tuple], quads: list, direction: str) -> list[int]:
+    """Numbers of a region's words in reading order. In columns, where 60 % of the words (two at least) are clearly tall and two words lie
+    above each other; else in lines, with a common slant taken out."""
+    n = range(len(boxes))
+    tall = sum(b[3] > 1.15 * b[2] for b in boxes)
+    if len(boxes) > 1 and tall >= max(2, round(0.6 * len(boxes))) and any(stacked(boxes[i], boxes[k]) for i in n for k in range(i)):
+        columns = gathered(boxes, sorted(n, key=lambda i: boxes[i][:2]), stacked)
+        columns.sort(key=lambda g: statistics.fmean(boxes[i][0] + boxes[i][2] / 2 for i in g), reverse=direction == "rtl")
+        return [i for g in columns for i in sorted(g, key=lambda i: boxes[i][1] + boxes[i][3] / 2)]
+    flat = straightened(boxes, quads)
+    rows = gathered(flat, sorted(n, key=lambda i: (flat[i][1] + flat[i][3] / 2, flat[i][0])), level, last_first=True)
+    rows.sort(key=lambda g: statistics.fmean(flat[i][1] for i in g))
+    return [i for g in rows for i in sorted(g, key=lambda i: flat[i][0], reverse=direction == "rtl")]
+
+
+def order_words(words: DataFrame, direction: str = "ltr") -> DataFrame:
+    """words(page_id, region_id, word_id, text, box, and quad where there is one) → (page_id, region_id, text, n): the words of a region in
+    reading order. Work is quadratic in the words of a region, of which there are tens."""
+    quad = F.col("quad").cast("array<array<double>>") if "quad" in words.columns else F.lit(None).cast("array<array<double>>")
+
+    def text_of(rows: list[tuple]) -> list[tuple]:
+        order = read_words([r[4:8] for r in rows], [r[8] for r in rows], direction)
+        return [(rows[0][0], rows[0][1], " ".join(t for i in order if (t := rows[i][3].strip())), len(rows))]
 
-    df = words.select("page_id", "region_id", "word_id", "text", "x", "y", "w", "h")
-    return per_group(df, ["page_id", "region_id"], ["y", "word_id"], lines, "page_id long, region_id long, text string, n long")
+    df = words.select("page_id", "region_id", "word_id", "text", "x", "y", "w", "h", quad.alias("quad"))
+    return per_group(df, ["page_id", "region_id"], ["word_id"], text_of, "page_id long, region_id long, text string, n long")

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box, center_within, contains, coverage, intersection
+from ..functions.geometry import box, center_within, coverage, intersection
 from ..functions.grouped import per_group
+from ..functions.text import word_key
+from .localization import classify_blocks
+from .merge import gathered, level, read_words
 from .spatial import _over
 
 
@@ -19,18 +24,19 @@ def comparable(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text or "").casefold() if c.isalnum())
 
 
-def _same_block(a: tuple, b: tuple) -> bool:
-    """Whether boxes and texts (x, y, w, h, key) say the same."""
-    wide, high = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    share = max(0, wide) * max(0, high) / max(1, min(a[2] * a[3], b[2] * b[3]))
-    if share > 0.4:
+def _says_nothing_new(new: tuple, known: tuple) -> bool:
+    """Whether a proposal (x, y, w, h, key) repeats what is known: in the same place, as a part or with a part of its text where they
+    touch, or as an inexact fragment of it."""
+    wide, high = (min(new[k] + new[k + 2], known[k] + known[k + 2]) - max(new[k], known[k]) for k in (0, 1))
+    common, least = max(0, wide) * max(0, high), min(new[2] * new[3], known[2] * known[3])
+    if common / max(1, least) > 0.4:
         return True
-    short, long_ = sorted((a[4], b[4]), key=len)
-    if share > 0 and len(short) >= 3 and short in long_:
+    mine, theirs = new[4], known[4]
+    if common > 0 and min(len(mine), len(theirs)) >= 3 and (mine in theirs or theirs in mine):
         return True
-    if share > 0.08 and 4 <= len(short) < 0.85 * len(long_):
-        found = difflib.SequenceMatcher(None, short, long_, autojunk=False).get_matching_blocks()
-        return sum(m.size for m in found) >= 0.8 * len(short)
+    if common > 0.08 * least and 4 <= len(mine) < 0.85 * len(theirs):
+        found = difflib.SequenceMatcher(None, mine, theirs, autojunk=False).get_matching_blocks()
+        return sum(m.size for m in found) >= 0.8 * len(mine)
     return False
 
 
@@ -44,7 +50,7 @@ def dedupe_proposals(proposals: DataFrame, regions: DataFrame) -> DataFrame:
         for r in rows:
             block = (*r[3:7], comparable(r[2]))
             if r[1] >= 0:
-                if any(_same_block(block, k) for k in known):
+                if any(_says_nothing_new(block, k) for k in known):
                     continue
                 out.append(r)
             known.append(block)
@@ -54,35 +60,38 @@ def dedupe_proposals(proposals: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def confirm_proposals(proposals: DataFrame, located: DataFrame, readings: DataFrame) -> DataFrame:
-    """proposals(proposal_id, key, complete, box), located(proposal_id, key, box), readings(proposal_id, key) → proposal_ids with exactly one place
-    whose words agree, confirmed by the reading."""
-    n = located.groupBy("proposal_id").agg(F.count("*").alias("n"))
+    """proposals(proposal_id, key, complete, box, plain), located(proposal_id, key, box), readings(proposal_id, key, plain) → proposal_ids with
+    exactly one place whose words agree, confirmed by the reading. plain: the text in compatibility form without blanks, by which signs
+    without letters (an empty key) are confirmed."""
     p, c = box(table="p"), box(table="c")
     size = lambda b: F.greatest(b.w, F.lit(0)) * F.greatest(b.h, F.lit(0))
-    within = F.col("p.complete") & F.contains("c.key", "p.key") & (F.length("c.key") <= F.greatest(F.lit(24), 3 * F.length("p.key"))) \
+    within = F.col("p.complete") & (F.length("p.key") >= 3) & F.contains("c.key", "p.key") & (F.length("c.key") <= F.greatest(F.lit(24), 3 * F.length("p.key"))) \
         & (size(c) <= 6 * size(p)) & (c.w <= 3 * p.w) & (c.h <= 3 * p.h)
-    df = proposals.alias("p").join(located.alias("c"), "proposal_id").join(n, "proposal_id").filter(F.col("n") == 1).filter((F.col("p.key") == F.col("c.key")) | within)
-    return df.join(readings.alias("r"), "proposal_id").filter(F.col("r.key") == F.col("c.key")).select("proposal_id")
+    agree = proposals.alias("p").join(located.alias("c"), "proposal_id").filter((F.col("p.key") == F.col("c.key")) | within)
+    one = agree.groupBy("proposal_id").agg(F.count("*").alias("n"), *[F.first(x).alias(y) for x, y in (("p.key", "wanted"), ("p.plain", "own"), ("c.key", "expected"))]).filter("n = 1")
+    df = one.join(readings.alias("r"), "proposal_id").filter(F.col("r.plain") != "")
+    return df.filter(F.when(F.col("wanted") != "", F.col("r.key") == F.col("expected")).otherwise(F.col("r.plain") == F.col("own"))).select("proposal_id")
 
 
-def budget_candidates(candidates: DataFrame, total: int = 24) -> DataFrame:
-    """candidates(page_id, tile, ord, text): each tile of a page takes an even share of what is left of the budget, short words first; what a
-    tile does not use goes to the later ones."""
-    n = Window.partitionBy("page_id")
-    df = candidates.select("page_id", "tile", "ord", "text").withColumn("tiles", F.size(F.collect_set("tile").over(n)))
+def budget_candidates(candidates: DataFrame, tiles: DataFrame, total: int = 24) -> DataFrame:
+    """candidates(page_id, tile, ord, text), tiles(page_id, tile): each tile of a page, with candidates or without, takes an even share of what is
+    left of the budget, short words first; what a tile does not use goes to the later ones."""
+    sizes = tiles.withColumn("at", F.row_number().over(Window.partitionBy("page_id").orderBy("tile"))).withColumn("tiles", F.count("*").over(Window.partitionBy("page_id")))
+    df = candidates.select("page_id", "tile", "ord", "text").join(sizes.select("page_id", "tile", "at", "tiles"), ["page_id", "tile"])
+    short_first = Window.partitionBy("page_id", "tile").orderBy(F.length("text"), "ord")
+    df = df.withColumn("r", F.row_number().over(short_first)).filter(F.col("r") <= total)  # no tile takes more
+    df = df.select("page_id", "tile", "ord", "text", "at", "tiles", "r")
 
-    def choose(rows: list[tuple]) -> list[tuple]:
-        out, left, tiles = [], total, rows[0][4]
-        by_tile: dict[int, list[tuple]] = {}
-        for r in rows:
-            by_tile.setdefault(r[1], []).append(r)
-        for k, tile in enumerate(sorted(by_tile)):
-            taken = sorted(by_tile[tile], key=lambda r: (len(r[3]), r[2]))[: left // (tiles - k)]
-            out += [r[:4] for r in taken]
-            left -= len(taken)
-        return out
+    def choose(rows: Iterator[tuple]) -> Iterator[tuple]:
+        left = total
+        for (at, tiles), own in groupby(rows, key=lambda r: r[4:6]):
+            share = left // (tiles - at + 1)
+            for r in own:
+                if r[6] <= share:
+                    left -= 1
+                    yield r[:4]
 
-    return per_group(df, ["page_id"], ["tile", "ord"], choose, candidates.select("page_id", "tile", "ord", "text").schema)
+    return per_group(df, ["page_id"], ["at", "r"], choose, candidates.select("page_id", "tile", "ord", "text").schema)
 
 
 def squeezed(c) -> F.Column:
@@ -90,21 +99,30 @@ def squeezed(c) -> F.Column:
 
 
 def unclaimed_words(words: DataFrame, regions: DataFrame, most: int = 64) -> DataFrame:
-    """words(page_id, word_id, text, box, confidence), regions(page_id, text, box): sure words of 4 to 20 letters that no text of the page holds, not
-    even misread by a letter, over a region."""
-    key = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    w = words.filter(F.col("confidence") >= 0.98).withColumn("key", key).filter(F.length("key").between(4, 20))
-    tokens = regions.select("page_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token")).distinct()
-    same = F.contains("t.token", "w.key") | (squeezed(F.col("t.token")) == squeezed(F.col("w.key"))) | (F.levenshtein("t.token", "w.key") <= 1)
-    free = w.alias("w").join(tokens.alias("t"), (F.col("w.page_id") == F.col("t.page_id")) & same, "left_anti")
-    on = (F.col("w.page_id") == F.col("r.page_id")) & (intersection(box(table="w"), box(table="r")) > 0)
-    over = free.alias("w").join(regions.alias("r"), on, "left_semi")
-    return over.withColumn("_r", F.row_number().over(Window.partitionBy("page_id").orderBy("word_id"))).filter(F.col("_r") <= most).select("page_id", "word_id", "key")
+    """words(page_id, word_id, text, box, confidence, angle), regions(page_id, text, box, manual, edited, translation, kind, rotation): sure words of
+    4 to 20 letters that no text of the page holds, not even misread by a letter, away from regions made or edited by hand, over a region that
+    was laid out by rule (kind bubble or free) at another angle than the word's (degrees)."""
+    key = word_key("text")
+    w = words.filter(F.col("confidence") >= 0.98).withColumn("key", key).filter(F.col("key").rlike(r"^\p{L}{4,20}$"))
+    known = regions.select("page_id", key.alias("whole")).distinct()
+    free = w.alias("w").join(known.alias("k"), (F.col("w.page_id") == F.col("k.page_id")) & F.contains("k.whole", "w.key"), "left_anti")
+    tokens = regions.select("page_id", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("token")).select("page_id", word_key("token").alias("token")).filter("token <> ''").distinct()
+    within = F.contains("w.key", "t.token") & (F.length("t.token") >= 3) & (2 * F.length("t.token") >= F.length("w.key"))
+    same = (squeezed(F.col("t.token")) == squeezed(F.col("w.key"))) | within | (F.levenshtein("t.token", "w.key") <= 1)
+    free = free.alias("w").join(tokens.alias("t"), (F.col("w.page_id") == F.col("t.page_id")) & same, "left_anti")
+    over = (F.col("w.page_id") == F.col("r.page_id")) & (intersection(box(table="w"), box(table="r")) > 0)
+    by_hand = F.col("r.manual") | F.col("r.edited")
+    free = free.alias("w").join(regions.alias("r"), over & by_hand, "left_anti")
+    apart = F.abs(F.pmod(F.col("w.angle") - F.col("r.rotation") + 90, F.lit(180.0)) - 90) > 3
+    owner = ~by_hand & (F.trim("r.translation") != "") & F.col("r.kind").isin("bubble", "free") & apart
+    found = free.alias("w").join(regions.alias("r"), over & owner, "left_semi")
+    return found.withColumn("_r", F.row_number().over(Window.partitionBy("page_id").orderBy("word_id"))).filter(F.col("_r") <= most).select("page_id", "word_id", "key")
 
 
 def verify_reads(reads: DataFrame, crops: DataFrame, alike: float = 0.6) -> DataFrame:
-    """reads(page_id, region_id, text, confidence), crops(page_id, region_id, text): pages whose first or last filled text reads otherwise on its own,
-    and regions to read again: all of such pages, repeated texts, and empty ones of some confidence."""
+    """reads(page_id, region_id, text, confidence; a null text was not returned), crops(page_id, region_id, text): pages whose first or last filled
+    text reads otherwise on its own, and regions to read again: all of such pages, those not returned, repeated texts, and empty ones of
+    some confidence."""
 
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         norm = lambda t: " ".join((t or "").split()).casefold()
@@ -118,38 +136,51 @@ def verify_reads(reads: DataFrame, crops: DataFrame, alike: float = 0.6) -> Data
     off = pairs.withColumn("ok", likeness("text", "crop") >= alike).groupBy("page_id").agg((~F.bool_and("ok")).alias("reread"))
     n = F.count("*").over(Window.partitionBy("page_id", "text"))
     df = reads.withColumn("n", n).join(off, "page_id", "left")
-    again = F.coalesce("reread", F.lit(False)) | ((F.trim("text") != "") & (F.col("n") > 1)) | ((F.trim("text") == "") & (F.col("confidence") >= 0.5))
+    again = F.coalesce("reread", F.lit(False)) | F.col("text").isNull() | ((F.trim("text") != "") & (F.col("n") > 1)) | ((F.trim("text") == "") & (F.col("confidence") >= 0.5))
     return df.select("page_id", "region_id", again.alias("again"))
 
 
-def recover_lines(words: DataFrame, regions: DataFrame) -> DataFrame:
-    """words(page_id, word_id, text, box), regions(page_id, region_id, text, block_type, box): words of no region, in lines of two or more, or alone if
-    a sound region lies under them: (page_id, text, n, box)."""
+def recover_lines(words: DataFrame, regions: DataFrame, sounds: DataFrame | None = None, direction: str = "ltr") -> DataFrame:
+    """words(page_id, word_id, text, box, confidence), regions(page_id, region_id, text, box): words that no region has, as lines of two or more, or
+    alone if their text is that of a sound by itself (sounds: see classify_blocks): (page_id, text, n, box). A hyphenated single letter is
+    put before the first such sound that it partly overlaps."""
     w, r = box(table="w"), box(table="r")
-    same = F.lower(F.trim("w.text")) == F.lower(F.trim("r.text"))
-    owned = (F.col("w.page_id") == F.col("r.page_id")) & (center_within(w, r) | contains(r, w) | (coverage(w, r) > 0.8) | (same & (coverage(w, r) > 0.4)))
-    free = words.alias("w").join(regions.alias("r"), owned, "left_anti").select("page_id", "word_id", "text", *"xywh")
-    sound = regions.filter("block_type = 'sfx'").alias("r")
-    near = free.alias("w").join(sound, (F.col("w.page_id") == F.col("r.page_id")) & (intersection(w, r) > 0), "left_semi").select("page_id", "word_id", F.lit(True).alias("sound"))
-    df = free.join(near, ["page_id", "word_id"], "left").fillna(False, ["sound"])
+    there = F.col("w.page_id") == F.col("r.page_id")
+    loose = words.alias("w").join(regions.alias("r"), there & center_within(w, r), "left_anti").select("page_id", "word_id", "text", *"xywh", "confidence")
+    same = F.lower("w.text") == F.lower("r.text")
+    owned = loose.alias("w").join(regions.alias("r"), there & ((coverage(w, r) > 0.8) | (same & (coverage(w, r) > 0.4))), "left_semi").select("page_id", "word_id").withColumn("owned", F.lit(True))
+    n = F.regexp_count("text", F.lit(r"\p{L}"))
+    usable = (F.col("confidence") >= 0.55) & ~F.col("text").rlike("[@_]") & (n >= 2) & (2 * n >= F.length(F.trim("text")))
+    scrap = (F.col("confidence") >= 0.5) & F.contains("text", F.lit("-")) & (n == 1)
+    df = loose.join(owned, ["page_id", "word_id"], "left")
+    df = df.withColumns({"usable": usable & F.col("owned").isNull(), "scrap": scrap, "in_bubble": F.lit(False)}).filter("usable OR scrap")
+    df = classify_blocks(df, sounds).select("page_id", "word_id", "text", *"xywh", "usable", "scrap", (F.col("block_type") == "sfx").alias("sound"))
 
     def lines(rows: list[tuple]) -> list[tuple]:
-        groups: list[list[tuple]] = []
+        free: list[tuple] = []
         for b in rows:
-            for g in groups:
-                last = g[-1]
-                level = min(last[4] + last[6], b[4] + b[6]) - max(last[4], b[4])
-                if level >= 0.5 * min(last[6], b[6]) and b[3] - last[3] - last[5] <= 1.5 * max(last[6], b[6]) and _over(b[3:7], last[3:7]) < 0.8:
-                    g.append(b)
-                    break
-            else:
-                groups.append([b])
-        out = []
-        for g in groups:
-            if len(g) > 1 or g[0][7]:
-                x, y = min(b[3] for b in g), min(b[4] for b in g)
-                text = " ".join(b[2].strip() for b in g if b[2].strip())
-                out.append((g[0][0], text, len(g), x, y, max(b[3] + b[5] for b in g) - x, max(b[4] + b[6] for b in g) - y))
-        return out
+            if b[7] and not any(b[2].casefold() == o[2].casefold() and _over(b[3:7], o[3:7]) > 0.8 for o in free):
+                free.append(b)
+        boxes, out, alone = [b[3:7] for b in free], [], []
+        for g in gathered(boxes, sorted(range(len(free)), key=lambda i: (boxes[i][1] + boxes[i][3] / 2, boxes[i][0])), level, last_first=True):
+            if len(g) > 1:
+                order = read_words([boxes[i] for i in g], [None] * len(g), direction)
+                out.append([" ".join(free[g[k]][2] for k in order), len(g), united([boxes[i] for i in g])])
+            elif free[g[0]][9]:
+                alone.append([free[g[0]][2], 1, boxes[g[0]]])
+        for b in rows:
+            if b[8]:
+                for sound in alone:
+                    x = sound[2]
+                    if 0.2 < _over(b[3:7], x) < 0.8 and b[5] <= 1.5 * x[2] and b[6] <= 1.5 * x[3]:
+                        sound[:] = [f"{b[2]} {sound[0]}", sound[1] + 1, united([x, b[3:7]])]
+                        break
+        return [(rows[0][0], text, n, *where) for text, n, where in out + alone]
+
+    return per_group(df, ["page_id"], ["word_id"], lines, "page_id long, text string, n long, x long, y long, w long, h long")
+
 
-    return per_group(df, ["page_id"], ["x", "y", "word_id"], lines, "page_id long, text string, n long, x long, y long, w long, h long")
+def united(boxes: list[tuple]) -> tuple:
+    """The box around boxes (x, y, w, h)."""
+    x, y = min(b[0] for b in boxes), min(b[1] for b in boxes)
+    return x, y, max(b[0] + b[2] for b in boxes) - x, max(b[1] + b[3] for b in boxes) - y

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box
+from .filters import STORY_TYPES, filled
 
 
 def _share(a, b):
@@ -16,10 +17,7 @@ def mask_metrics(pixels: DataFrame, margin: int = 0, change: int = 12) -> DataFr
     """pixels(page_id, x, y, r, r2, gt, pred): r2 is the first channel after cleaning. Recall (null without ink), spill outside the truth
     widened by margin, IoU, precision, F1, damage."""
     if margin:
-        offsets = [(dx, dy) for dx in range(-margin, margin + 1) for dy in range(-margin, margin + 1) if dx * dx + dy * dy <= margin * margin]
-        disk = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets]))
-        wide = pixels.filter("gt").select("page_id", "x", "y", disk.alias("o")).select("page_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).distinct()
-        df = pixels.join(wide.withColumn("near", F.lit(True)), ["page_id", "x", "y"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+        df = pixels.join(widened(pixels, margin), ["page_id", "x", "y"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
     else:
         df = pixels.withColumn("near", F.col("gt"))
     c = F.count_if
@@ -52,24 +50,60 @@ def extract_ink(pixels: DataFrame, floor: int = 28, faint: int = 4, least: int =
 
 def cleanup_residue(pixels: DataFrame, rest: int = 60, halo: int = 20) -> DataFrame:
     """Ink pixels that differ from the median of the ring around the truth, and ring pixels that do; r2 is the cleaned channel."""
-    offsets = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-3, 4) for dy in range(-3, 4) if dx * dx + dy * dy <= 9]))
-    near = pixels.filter("gt").select("page_id", "x", "y", offsets.alias("o")).select("page_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).distinct()
-    df = pixels.join(near.withColumn("near", F.lit(True)), ["page_id", "x", "y"], "left_outer").withColumn("ring", F.coalesce("near", F.lit(False)) & ~F.col("gt"))
+    df = pixels.join(widened(pixels, 3), ["page_id", "x", "y"], "left_outer").withColumn("ring", F.coalesce("near", F.lit(False)) & ~F.col("gt"))
     median = df.filter("ring").groupBy("page_id").agg(F.percentile("r2", 0.5).alias("m"))
     df = df.join(median, "page_id").withColumn("d", F.abs(F.col("r2") - F.col("m")))
     df = df.groupBy("page_id").agg(F.count_if("gt").alias("ink"), F.count_if("ring").alias("ring"), F.count_if(F.col("gt") & (F.col("d") > rest)).alias("left"), F.count_if(F.col("ring") & (F.col("d") > halo)).alias("lit"))
     return df.select("page_id", _share(F.col("left"), F.col("ink")).alias("residue"), _share(F.col("lit"), F.col("ring")).alias("halo"))
 
 
-def scoped_hits(pixels: DataFrame, regions: DataFrame, pad: int = 12) -> DataFrame:
-    """Components of the truth with the region whose padded box has most of their pixels (ties: the first), and their hit rate."""
-    ink, b = pixels.filter("gt").alias("p"), box(table="r")
-    px, py = F.col("p.x"), F.col("p.y")
-    inside = (F.col("p.page_id") == F.col("r.page_id")) & px.between(b.x - pad, b.right + pad - 1) & py.between(b.y - pad, b.bottom + pad - 1)
-    owned = ink.join(regions.alias("r"), inside).groupBy("p.page_id", "p.comp_id", "r.region_id").agg(F.count("*").alias("n"))
-    owner = owned.groupBy("page_id", "comp_id").agg(F.max_by("region_id", F.struct("n", -F.col("region_id"))).alias("region_id"))
-    hits = pixels.filter("gt").groupBy("page_id", "comp_id").agg(_share(F.count_if("pred"), F.count("*")).alias("rate"))
-    return hits.join(owner, ["page_id", "comp_id"], "left").select("page_id", "comp_id", "region_id", "rate")
+#: Side of the squares by which boxes and pixels of a page are brought together.
+CELL = 64
+
+
+def _in_boxes(pixels: DataFrame, regions: DataFrame, pad: int, *columns: str) -> DataFrame:
+    """Pixels with the regions whose padded boxes they lie in: joined by page and square, so a pixel meets the boxes near it alone."""
+    b = box()
+    left, top, right, bottom = b.x - pad, b.y - pad, b.right + pad - 1, b.bottom + pad - 1
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / CELL), F.floor(high / CELL)))
+    boxes = regions.filter((b.w + 2 * pad > 0) & (b.h + 2 * pad > 0)).select("page_id", "region_id", *columns, left.alias("_l"), top.alias("_t"), right.alias("_r"), bottom.alias("_b"))
+    boxes = boxes.select("*", cells(F.col("_l"), F.col("_r")).alias("_cx")).select("*", cells(F.col("_t"), F.col("_b")).alias("_cy"))
+    df = pixels.withColumns({"_cx": F.floor(F.col("x") / CELL), "_cy": F.floor(F.col("y") / CELL)})
+    inside = F.col("x").between(F.col("_l"), F.col("_r")) & F.col("y").between(F.col("_t"), F.col("_b"))
+    return df.join(boxes, ["page_id", "_cx", "_cy"]).filter(inside).drop("_cx", "_cy", "_l", "_t", "_r", "_b")
+
+
+def widened(pixels: DataFrame, margin: int) -> DataFrame:
+    """Places (page_id, x, y) within margin of a pixel of the truth, with near."""
+    offsets = [(dx, dy) for dx in range(-margin, margin + 1) for dy in range(-margin, margin + 1) if dx * dx + dy * dy <= margin * margin]
+    disk = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets]))
+    wide = pixels.filter("gt").select("page_id", "x", "y", disk.alias("o")).select("page_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
+    return wide.distinct().withColumn("near", F.lit(True))
+
+
+def scoped_hits(pixels: DataFrame, regions: DataFrame, scope: str = "all", pad: int = 12, margin: int = 0) -> DataFrame:
+    """Components of the mask with the region whose padded box has most of their pixels (ties: the first), if there is one and it is of the
+    scope (all, sfx, or text: no sfx), and the share of their pixels within margin of the truth."""
+    mask = pixels.filter("pred")
+    owned = _in_boxes(mask.select("page_id", "comp_id", "x", "y"), regions, pad, "block_type").groupBy("page_id", "comp_id", "region_id", "block_type").agg(F.count("*").alias("n"))
+    owner = owned.groupBy("page_id", "comp_id").agg(F.max_by(F.struct("region_id", "block_type"), F.struct("n", -F.col("region_id"))).alias("o"))
+    wanted = {"all": F.lit(True), "sfx": F.col("o.block_type") == "sfx", "text": F.col("o.block_type") != "sfx"}[scope]
+    near = mask.join(widened(pixels, margin), ["page_id", "x", "y"], "left")
+    hits = near.groupBy("page_id", "comp_id").agg(_share(F.count("near"), F.count("*")).alias("rate"))
+    return hits.join(owner.filter(wanted), ["page_id", "comp_id"]).select("page_id", "comp_id", F.col("o.region_id").alias("region_id"), "rate")
+
+
+def false_regions(pixels: DataFrame, regions: DataFrame, least: int = 12) -> DataFrame:
+    """(page_id, region_id, n, inside) of the regions whose box has `least` pixels of the mask, more than half of them outside the truth."""
+    df = _in_boxes(pixels.filter("pred").select("page_id", "x", "y", "gt"), regions, 0).groupBy("page_id", "region_id").agg(F.count("*").alias("n"), F.count_if("gt").alias("inside"))
+    return df.filter((F.col("n") >= least) & (2 * F.col("inside") < F.col("n")))
+
+
+def proposal_recall(pixels: DataFrame, second: DataFrame) -> DataFrame:
+    """second(page_id, x, y): what another detector marks → its share of each page's truth; null without ink."""
+    df = pixels.filter("gt").select("page_id", "x", "y").join(second.select("page_id", "x", "y").distinct().withColumn("seen", F.lit(True)), ["page_id", "x", "y"], "left")
+    found = df.groupBy("page_id").agg(F.round(F.try_divide(F.count("seen"), F.count("*")), 4).alias("recall"))
+    return pixels.select("page_id").distinct().join(found, "page_id", "left")
 
 
 def region_errors(pixels: DataFrame, least: int = 12, missed: int = 30) -> DataFrame:
@@ -111,21 +145,34 @@ def compare_runs(before: DataFrame, after: DataFrame, metrics: list[str], report
     return df.select("page", "metric", F.round("delta", 6).alias("delta"), ((F.col("metric") == "recall") & (F.round("delta", 9) < -report)).alias("regression"))
 
 
-def ab_verdict(quality: DataFrame, variants: tuple[str, str], pair: str, slack: float = 0.005, time: float = 1.02) -> DataFrame:
-    """quality(variant, page, recall, hit6, seconds) → for each single variant: weak pages and total time against the pair, and whether it may
-    take the pair's place."""
-    both = quality.filter(F.col("variant") == pair).select("page", F.col("recall").alias("r"), F.col("hit6").alias("h"), F.col("seconds").alias("s"))
-    df = quality.filter(F.col("variant").isin(list(variants))).join(both, "page")
-    weak = (F.col("r") - F.col("recall") > slack) | (F.col("h") - F.col("hit6") > slack)
-    df = df.groupBy("variant").agg(F.count_if(weak).alias("weak_pages"), F.round(F.sum("seconds"), 6).alias("seconds"), F.round(F.sum("s"), 6).alias("pair_seconds"))
-    return df.withColumn("chosen", (F.col("weak_pages") == 0) & (F.col("seconds") <= time * F.col("pair_seconds")))
-
-
-def page_rollup(regions: DataFrame) -> DataFrame:
+def ab_verdict(quality: DataFrame, variants: tuple[str, ...], pair: str, slack: float = 0.005, time: float = 1.02) -> DataFrame:
+    """quality(variant, page, recall, hit6: null where not measured, seconds) → one row: choice, and weak_pages. The choice is the first single
+    variant that takes no longer than the pair, by 2 %, and loses no page by more than the slack; else the pair, with the weak pages of the
+    closest single one."""
+    rank = F.create_map(*[x for i, v in enumerate(variants) for x in (F.lit(v), F.lit(i))])
+    singles = quality.filter(F.col("variant").isin(list(variants))).withColumn("rank", rank[F.col("variant")])
+    took = quality.filter(F.col("variant") == pair).agg(F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds")).scalar()
+    both = quality.filter((F.col("variant") == pair) & F.coalesce("recall", "hit6").isNotNull()).select("page", F.coalesce("recall", F.lit(0.0)).alias("r"), F.coalesce("hit6", F.lit(0.0)).alias("h"))
+    measured = F.coalesce("recall", "hit6").isNotNull() & F.col("r").isNotNull()
+    weak = measured & ((F.col("r") - F.coalesce("recall", F.lit(0.0)) > slack) | (F.col("h") - F.coalesce("hit6", F.lit(0.0)) > slack))
+    df = singles.join(both, "page", "left").groupBy("variant", "rank").agg(F.sum("seconds").alias("seconds"), F.array_sort(F.collect_set(F.when(weak, F.col("page")))).alias("weak"))
+    # a row for each single variant from here on
+    fast = df.withColumn("pair_seconds", took).filter((F.col("pair_seconds") == 0) | (F.col("seconds") <= time * F.col("pair_seconds")))
+    best = fast.agg(F.min_by("variant", F.when(F.size("weak") == 0, F.col("rank"))).alias("single"), F.min(F.struct(F.size("weak").alias("n"), "rank", "weak")).alias("closest"))
+    pages = F.when(F.col("single").isNull(), F.array_join(F.col("closest.weak").cast("array<string>"), ","))
+    return best.select(F.coalesce("single", F.lit(pair)).alias("choice"), F.coalesce(pages, F.lit("")).alias("weak_pages"))
+
+
+def page_rollup(regions: DataFrame, warnings: DataFrame) -> DataFrame:
+    """regions(page_id, region_id, text, translation, block_type, skip, overflow, font_size), warnings(page_id, text) → counts, overflowing ids, the
+    least size among regions that are drawn (0: none) and the number of warnings by page."""
     ids = F.array_sort(F.collect_list(F.when(F.col("overflow"), F.col("region_id"))))
-    return regions.groupBy("page_id").agg(
-        F.count("*").alias("n"), F.count_if(F.trim("translation") != "").alias("translated"), F.array_join(ids.cast("array<string>"), ",").alias("overflow"),
-        F.min(F.when(~F.col("skip"), F.col("h"))).alias("min_height"))
+    drawn = ~F.col("skip") & filled("text") & filled("translation") & F.col("block_type").isin(*STORY_TYPES, "sfx") & (F.col("font_size") > 0)
+    df = regions.groupBy("page_id").agg(
+        F.count("*").alias("n"), F.count_if(filled("translation")).alias("translated"), F.array_join(ids.cast("array<string>"), ",").alias("overflow"),
+        F.coalesce(F.min(F.when(drawn, F.col("font_size"))), F.lit(0)).alias("min_font"))
+    noted = warnings.groupBy("page_id").agg(F.count("*").alias("warnings"))
+    return df.join(noted, "page_id", "left").withColumn("warnings", F.coalesce("warnings", F.lit(0)))
 
 
 def reference_similarity(pixels: DataFrame) -> DataFrame:
@@ -150,6 +197,24 @@ def review_summary(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("rating").agg(F.count("*").alias("n"))
 
 
+def review_totals(reviews: DataFrame) -> DataFrame:
+    """reviews(status, rating: null or 0 if unrated) → one row: done, total, rated, unrated."""
+    rated = F.coalesce(F.col("rating") > 0, F.lit(False))
+    return reviews.agg(F.count_if(F.col("status") == "done").alias("done"), F.count("*").alias("total"), F.count_if(rated).alias("rated"), F.count_if(~rated).alias("unrated"))
+
+
+#: Fixed value: how a comment names a part of the page, in percent.
+_AREA = r"\[Область \(%\): x1=(\d+(?:\.\d+)?), y1=(\d+(?:\.\d+)?), x2=(\d+(?:\.\d+)?), y2=(\d+(?:\.\d+)?)\]"
+
+
+def comment_boxes(reviews: DataFrame) -> DataFrame:
+    """reviews(image, comment) → (image, n, x1, y1, x2, y2): the boxes that a comment names, those that are some part of the page."""
+    corners = [F.regexp_extract_all("comment", F.lit(_AREA), F.lit(k)).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"), 1)]
+    df = reviews.select("image", *corners).select("image", F.posexplode(F.arrays_zip("x1", "y1", "x2", "y2")).alias("n", "b"))
+    df = df.select("image", F.col("n").cast("long").alias("n"), *[F.col(f"b.{c}").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return df.filter("x2 <= 100 AND y2 <= 100 AND x2 > x1 AND y2 > y1")
+
+
 def compare_pixels(a: DataFrame, b: DataFrame) -> DataFrame:
     """(page_id, x, y, v) of two runs → changed pixels and the largest difference by page."""
     df = a.join(b.withColumnRenamed("v", "v2"), ["page_id", "x", "y"])

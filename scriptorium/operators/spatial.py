@@ -69,7 +69,7 @@ def drop_contained(regions: DataFrame) -> DataFrame:
             for o in rows:
                 if o[1] in gone or o[4] * o[5] <= r[4] * r[5]:
                     continue
-                level = abs((o[3] + o[5] / 2) - (r[3] + r[5] / 2)) <= max(0.45 * max(o[5], r[5]), 8)
+                level = abs((o[3] + o[5] / 2) - (r[3] + r[5] / 2)) <= 0.45 * max(o[5], r[5], 8)
                 if level and _over(r[2:], o[2:]) >= 0.7:
                     gone.add(r[1])
                     break
@@ -195,9 +195,12 @@ def layout_collisions(placed: DataFrame, regions: DataFrame, sheets: DataFrame,
 
 
 def expand_boxes(regions: DataFrame, words: DataFrame, sheets: DataFrame, conf: float = 0.8) -> DataFrame:
-    """Regions grown to the words they own, within the page, if that at most doubles their area."""
+    """Regions grown to the words they own, within the page, if that at most doubles their area. Those that are skipped, made or edited by hand,
+    or (placed, where there is such a column) laid out, moved, turned or warped, stay."""
     w, r = box(table="w"), box(table="r")
     free = ~(F.col("r.skip") | F.col("r.manual") | F.col("r.edited"))
+    if "placed" in regions.columns:
+        free &= ~F.col("r.placed")
     in_bubble = F.when(F.col("r.bx").isNull(), True).otherwise(coverage(w, box("b", "r")) >= 0.7)
     on = (F.col("w.page_id") == F.col("r.page_id")) & (F.col("w.confidence") >= conf) & (coverage(w, r) >= 0.5) & in_bubble & free
     grown = words.alias("w").join(regions.alias("r"), on).groupBy("r.page_id", "r.region_id").agg(
@@ -211,28 +214,35 @@ def expand_boxes(regions: DataFrame, words: DataFrame, sheets: DataFrame, conf:
     return df.select("page_id", "region_id", *[F.when(ok, v).otherwise(F.col(c)).alias(c) for c, v in new.items()], ok.alias("expanded"))
 
 
-def locate_words(targets: DataFrame, words: DataFrame, pad: float) -> DataFrame:
-    """targets(page_id, target_id, key, box), words(page_id, word_id, key, box): for each target the nearest word, or pair of near
-    words, with its key; none where the second nearest is about as near."""
+def locate_words(targets: DataFrame, words: DataFrame, regions: DataFrame, least: int = 3) -> DataFrame:
+    """targets(page_id, target_id, key, box), words(page_id, word_id, key, box), regions(page_id, region_id, box): for each target the nearest
+    word, or pair of near words, with its whole key, in reach of the target's longer side; none where the second nearest is about as near,
+    or over another region than the target's own."""
     v, w = box(table="v"), box(table="w")
     tall = F.greatest(v.h, w.h)
-    gap = F.hypot(F.greatest(F.lit(0), w.x - v.right, v.x - w.right), F.greatest(F.lit(0), w.y - v.bottom, v.y - w.bottom))
-    near = (F.col("v.page_id") == F.col("w.page_id")) & (F.col("v.word_id") != F.col("w.word_id")) & (gap <= 0.8 * tall) \
-        & (F.hypot(v.cx - w.cx, v.cy - w.cy) <= 1.5 * F.greatest(v.w, v.h, w.w, w.h))
-    two = words.alias("v").join(words.alias("w"), near).select(
-        F.col("v.page_id").alias("page_id"), F.concat("v.key", "w.key").alias("key"), F.least(v.x, w.x).alias("x"), F.least(v.y, w.y).alias("y"),
-        (F.greatest(v.right, w.right) - F.least(v.x, w.x)).alias("w"), (F.greatest(v.bottom, w.bottom) - F.least(v.y, w.y)).alias("h"))
+    gap_x, gap_y = (F.greatest(F.lit(0), *d) for d in ((w.x - v.right, v.x - w.right), (w.y - v.bottom, v.y - w.bottom)))
+    near = (gap_x <= 0.8 * tall) & (gap_y <= 0.8 * tall) & (F.hypot(v.cx - w.cx, v.cy - w.cy) <= 1.5 * F.greatest(v.w, v.h, w.w, w.h))
+    wanted = targets.select("page_id", "key").distinct()
+    # The halves that a wanted key may have are looked up, so pairs are made of words that go together alone.
+    halves = wanted.select("page_id", "key", F.explode(F.sequence(F.lit(2), F.greatest(F.length("key") - 1, F.lit(2)))).alias("n")).filter(F.col("n") < F.length("key"))
+    halves = halves.select("page_id", "key", F.substring("key", F.lit(1), F.col("n")).alias("first"), F.substring("key", F.col("n") + 1, F.length("key")).alias("second"))
+    two = halves.alias("p").join(words.alias("v"), (F.col("v.page_id") == F.col("p.page_id")) & (F.col("v.key") == F.col("p.first")))
+    two = two.join(words.alias("w"), (F.col("w.page_id") == F.col("p.page_id")) & (F.col("w.key") == F.col("p.second")) & (F.col("v.word_id") != F.col("w.word_id")) & near)
+    two = two.select(F.col("p.page_id").alias("page_id"), F.col("p.key").alias("key"), F.least(v.x, w.x).alias("x"), F.least(v.y, w.y).alias("y"),
+                     (F.greatest(v.right, w.right) - F.least(v.x, w.x)).alias("w"), (F.greatest(v.bottom, w.bottom) - F.least(v.y, w.y)).alias("h"))
     found = words.select("page_id", "key", "x", "y", "w", "h").unionByName(two).distinct()
-    t, c = box(table="t"), box(table="c")
-    distance = F.hypot(t.cx - c.cx, t.cy - c.cy)
+    t, c, o = box(table="t"), box(table="c"), box(table="o")
+    distance, pad = F.hypot(t.cx - c.cx, t.cy - c.cy), F.greatest(t.w, t.h)
     ratio = area(c) / F.greatest(area(t), F.lit(1))
-    on = (F.col("t.page_id") == F.col("c.page_id")) & (F.col("t.key") == F.col("c.key")) & ratio.between(0.1, 6.0) & (distance <= 1.5 * pad)
-    pairs = targets.alias("t").join(found.alias("c"), on).select(
-        F.col("t.page_id").alias("page_id"), F.col("t.target_id").alias("target_id"), distance.alias("distance"), c.x.alias("x"), c.y.alias("y"), c.w.alias("w"), c.h.alias("h"))
+    on = (F.col("t.page_id") == F.col("c.page_id")) & (F.col("t.key") == F.col("c.key")) & ratio.between(0.1, 6.0) & (distance <= 1.5 * pad) & (F.least(c.w, c.h) >= least)
+    pairs = targets.filter(F.length("key").between(2, 40)).alias("t").join(found.alias("c"), on).select(
+        F.col("t.page_id").alias("page_id"), F.col("t.target_id").alias("target_id"), distance.alias("distance"), pad.alias("pad"), c.x.alias("x"), c.y.alias("y"), c.w.alias("w"), c.h.alias("h"))
+    taken = (F.col("c.page_id") == F.col("o.page_id")) & (F.col("c.target_id") != F.col("o.region_id")) & (intersection(c, o) > 0.4 * F.least(c.w * c.h, o.w * o.h))
+    pairs = pairs.alias("c").join(regions.alias("o"), taken, "left_anti")
     order = Window.partitionBy("page_id", "target_id").orderBy("distance", "x", "y", "w", "h")
     pairs = pairs.withColumns({"rank": F.row_number().over(order), "second": F.lead("distance").over(order)})
-    clear = F.col("second").isNull() | (F.col("second") - F.col("distance") >= max(8.0, 0.2 * pad))
-    return pairs.filter((F.col("rank") == 1) & clear).drop("rank", "second")
+    clear = F.col("second").isNull() | (F.col("second") - F.col("distance") >= F.greatest(F.lit(8.0), 0.2 * F.col("pad")))
+    return pairs.filter((F.col("rank") == 1) & clear).drop("rank", "second", "pad")
 
 
 def union_box(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -259,18 +269,24 @@ def split_paragraphs(lines: DataFrame) -> DataFrame:
     return df.withColumn("new", new).withColumn("paragraph", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new", "gap", "median")
 
 
-def plan_tiles(sheets: DataFrame, max_side: int, most: int = 3, overlap: float = 0.2) -> DataFrame:
-    """Tiles of a page, the fewest (at most 3 x 3) that overlap enough; the last lies flush."""
-
-    def starts(side: str) -> Column:
-        n = F.when(F.col(side) <= max_side, 1).otherwise(F.least(F.lit(most), F.ceil((F.col(side) - overlap * max_side) / ((1 - overlap) * max_side)))).cast("int")
-        size = F.when(n == 1, F.col(side)).otherwise(F.greatest(F.lit(max_side), F.ceil(F.col(side) / (n - overlap * (n - 1)))).cast("long"))
-        step = (F.col(side) - size) / F.greatest(n - 1, F.lit(1))
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.floor(k * step).cast("long").alias("at"), F.least(size, F.col(side)).alias("size")))
-
-    df = sheets.select("page_id", F.explode(starts("width")).alias("c"), "height").select("page_id", "c", F.explode(starts("height")).alias("r"))
-    order = Window.partitionBy("page_id").orderBy("r.at", "c.at")
-    return df.select("page_id", F.row_number().over(order).cast("long").alias("tile"), F.col("c.at").alias("x"), F.col("r.at").alias("y"), F.col("c.size").alias("w"), F.col("r.size").alias("h"))
+def plan_tiles(sheets: DataFrame, max_side: int, whole: int = 1500) -> DataFrame:
+    """Tiles of a page. A page of at most max_side is one tile if it is below `whole` or nearly square. Others get squares of one side,
+    at most 3 x 3: the shorter side, or max_side if that is less, but so much that three of them overlap by a fifth over the longer side.
+    The first and the last tile lie flush."""
+    long_side, short_side = F.greatest("width", "height"), F.least("width", "height")
+    alone = (long_side <= max_side) & ((long_side < whole) | (long_side <= 1.25 * short_side))
+    square = F.greatest(F.least(F.lit(max_side), short_side), F.ceil((long_side + 2) / 2.6)).cast("long")
+    df = sheets.select("page_id", "width", "height", F.when(alone, long_side).otherwise(square).cast("long").alias("side"))
+
+    def starts(extent: str) -> Column:
+        rest = F.greatest(F.col(extent) - F.col("side"), F.lit(0))
+        steps = F.least(F.lit(2), F.ceil(rest / (F.col("side") * 0.8))).cast("int")
+        return F.transform(F.sequence(F.lit(0), steps), lambda k: F.bround(k * rest / F.greatest(steps, F.lit(1))).cast("long"))
+
+    df = df.select("*", F.explode(starts("width")).alias("x")).select("*", F.explode(starts("height")).alias("y"))
+    order = Window.partitionBy("page_id").orderBy("y", "x")
+    return df.select("page_id", F.row_number().over(order).cast("long").alias("tile"), "x", "y", (F.least("width", F.col("x") + F.col("side")) - F.col("x")).alias("w"),
+                     (F.least("height", F.col("y") + F.col("side")) - F.col("y")).alias("h"))
 
 
 def boxes_in_tiles(regions: DataFrame, tiles: DataFrame) -> DataFrame:

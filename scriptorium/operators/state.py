@@ -1,11 +1,14 @@
-"""Jobs, events, versions, caches and exports as tables. Windows always have keys."""
+"""Jobs, events, versions, caches and exports as tables. Windows always have keys; where these are few (lanes, caches), running sums have two
+passes, so that a lane may have a third of all rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grouped import per_group
+from ..functions.grouped import per_group_running
 
 TERMINAL = ("job.finished", "job.failed", "job.cancelled")
 READY = ("done", "offline", "ready")
@@ -28,18 +31,36 @@ def job_status(events: DataFrame) -> DataFrame:
     )
 
 
+def running_sum(df: DataFrame, keys: list[str], part: Column, order: list, value: Column, name: str, descending: bool = False) -> DataFrame:
+    """df with name: the sum of value over the rows of the same keys up to this one. part: a coarse form of the order (a day, a range of
+    numbers); sums by part are summed up first, and rows are ranked within their part alone."""
+    rows = df.withColumns({"_part": part, "_value": value})
+    sums = rows.groupBy(*keys, "_part").agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy(F.desc("_part") if descending else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_day"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    rows = rows.withColumn(name, F.sum("_value").over(_up_to(Window.partitionBy(*keys, "_part").orderBy(*order))))
+    on = F.col("_part").eqNullSafe(F.col("_day"))
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return rows.join(starts, on).withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_value", "_day", "_start", *[f"_key{i}" for i in range(len(keys))])
+
+
 def queue_positions(jobs: DataFrame, lane: str = "lane") -> DataFrame:
     """Place among the queued of a lane by submission; 0 for others."""
     queued = (F.col("status") == "queued").cast("long")
-    return jobs.withColumn("position", F.when(queued == 1, F.sum(queued).over(_up_to(Window.partitionBy(lane).orderBy("submitted", "job_id")))).otherwise(0))
+    df = running_sum(jobs, [lane], F.to_date("submitted"), ["submitted", "job_id"], queued, "_place")
+    return df.withColumn("position", F.when(F.col("status") == "queued", F.col("_place")).otherwise(0)).drop("_place")
 
 
 def eta(jobs: DataFrame, lane: str = "lane", last: int = 20) -> DataFrame:
-    """Rest of a running job by the mean of the lane's last durations before it."""
-    w = Window.partitionBy(lane).orderBy("submitted", "job_id").rowsBetween(Window.unboundedPreceding, -1)
-    recent = F.slice(F.reverse(F.collect_list("seconds").over(w)), 1, last)
-    mean = F.aggregate(recent, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(recent), F.lit(0))
-    return jobs.withColumn("eta", F.when(F.col("status") == "running", F.round(mean * (100 - F.col("progress")) / 100, 6)))
+    """jobs(job_id, lane, status, progress, seconds, finished: null while unfinished) with eta: the rest of queued and running jobs by the mean
+    duration of the lane's last completions; null where there is none."""
+    newest = Window.partitionBy(lane).orderBy(F.desc("finished"), F.desc("job_id"))
+    recent = jobs.filter(F.col("finished").isNotNull()).select(lane, "seconds", F.row_number().over(newest).alias("_r")).filter(F.col("_r") <= last)
+    means = recent.groupBy(F.col(lane).alias("_lane")).agg(F.avg("seconds").alias("_mean"))
+    df = jobs.join(means, F.col(lane).eqNullSafe(F.col("_lane")), "left")
+    rest = F.greatest(F.lit(0.0), F.col("_mean") * (100 - F.coalesce("progress", F.lit(0))) / 100)
+    return df.withColumn("eta", F.when(F.col("status").isin("queued", "running") & F.col("_mean").isNotNull(), F.round(rest, 6))).drop("_lane", "_mean")
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -47,10 +68,16 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Da
 
 
 def evict(index: DataFrame, max_bytes: int) -> DataFrame:
-    """index(cache_id, token, size, last_used) with kept: the newest whose sizes add up to max_bytes; larger ones were never stored."""
-    df = index.filter(F.col("size") <= max_bytes)
-    w = _up_to(Window.partitionBy("cache_id").orderBy(F.desc("last_used"), F.desc("token")))
-    return df.withColumn("kept", F.sum("size").over(w) <= max_bytes)
+    """index(cache_id, token, size, last_used, and locked where there is such a column) with kept: the newest whose sizes add up to max_bytes;
+    larger ones were never stored. Locked ones stay, of whatever size and age, and count."""
+    locked = F.coalesce("locked", F.lit(False)) if "locked" in index.columns else F.lit(False)
+    df = index.withColumn("_locked", locked).filter((F.col("size") <= max_bytes) | F.col("_locked"))
+    free = F.when(F.col("_locked"), 0).otherwise(F.col("size"))
+    df = running_sum(df, ["cache_id"], F.to_date("last_used"), [F.desc("last_used"), F.desc("token")], free, "_sum", descending=True)
+    if "locked" in index.columns:
+        fixed = df.filter("_locked").groupBy(F.col("cache_id").alias("_cache")).agg(F.sum("size").alias("_fixed"))
+        df = df.join(fixed, F.col("cache_id").eqNullSafe(F.col("_cache")), "left").withColumn("_sum", F.col("_sum") + F.coalesce("_fixed", F.lit(0))).drop("_cache", "_fixed")
+    return df.withColumn("kept", F.col("_locked") | (F.col("_sum") <= max_bytes)).drop("_locked", "_sum")
 
 
 def apply_versions(current: DataFrame, edits: DataFrame) -> DataFrame:
@@ -58,15 +85,15 @@ def apply_versions(current: DataFrame, edits: DataFrame) -> DataFrame:
     version at that time, which it then raises by one."""
     df = edits.join(current, "page_id", "left").select("page_id", "edit_id", "ts", "base_version", F.coalesce("version", F.lit(0).cast("long")).alias("version"))
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        version, out = rows[0][4], []
-        for page, edit, _, base, _ in rows:
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        version = None
+        for page, edit, _, base, first in rows:
+            version = first if version is None else version
             ok = base is None or base == version
             version += ok
-            out.append((page, edit, ok, version))
-        return out
+            yield page, edit, ok, version
 
-    return per_group(df, ["page_id"], ["ts", "edit_id"], fold, "page_id long, edit_id long, accepted boolean, version long")
+    return per_group_running(df, ["page_id"], ["ts", "edit_id"], fold, "page_id long, edit_id long, accepted boolean, version long")
 
 
 def apply_single_edits(current: DataFrame, edits: DataFrame) -> DataFrame:
@@ -147,13 +174,18 @@ def dirty_bounds(prev: DataFrame, new: DataFrame, sheets: DataFrame) -> DataFram
     return df.select("page_id", "full", *[F.when(~F.col("full"), v).alias(c) for c, v in clip.items()])
 
 
-def short_reply_cap(regions: DataFrame, min_font: int, short: int = 12) -> DataFrame:
-    """regions(page_id, region_id, translation, font, h, bx): for short replies the size cap: 1.15 medians of the page's other bubble texts of
-    readable size, or 0.45 heights where there is none."""
+def short_reply_cap(regions: DataFrame, min_font: int) -> DataFrame:
+    """regions(page_id, region_id, translation, font, high, interior_h, bx): for short replies (of four letters and digits at most, or of two
+    words and eight characters) the size cap: 1.15 medians of the page's other bubble texts of readable size, or 0.45 of the inner height
+    where there is none; min_font at least, and `high` at most."""
+    text = F.trim("translation")
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    short = (text != "") & ((F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")) <= 4) | ((words <= 2) & (F.length(text) <= 8)))
     peers = regions.filter(F.col("bx").isNotNull() & (F.col("font") >= min_font)).select("page_id", F.col("region_id").alias("peer"), F.col("font").alias("peer_font"))
-    df = regions.filter(F.length("translation") <= short).join(peers, "page_id", "left")
-    df = df.groupBy("page_id", "region_id", "h").agg(F.percentile(F.when(F.col("peer") != F.col("region_id"), F.col("peer_font")), 0.5).alias("median"))
-    return df.select("page_id", "region_id", F.bround(F.coalesce(1.15 * F.col("median"), 0.45 * F.col("h"))).cast("long").alias("cap"))
+    df = regions.filter(short).join(peers, "page_id", "left")
+    df = df.groupBy("page_id", "region_id", "high", "interior_h").agg(F.percentile(F.when(F.col("peer") != F.col("region_id"), F.col("peer_font")), 0.5).alias("median"))
+    wanted = F.bround(F.coalesce(1.15 * F.col("median"), 0.45 * F.col("interior_h"))).cast("long")
+    return df.select("page_id", "region_id", F.least(F.col("high"), F.greatest(F.lit(min_font), wanted)).cast("long").alias("cap"))
 
 
 def storage_report(files: DataFrame) -> DataFrame:
@@ -182,8 +214,9 @@ def restore_queue(snapshot: DataFrame) -> DataFrame:
     df = snapshot.withColumn("rank", rank)
     df = df.withColumn("_r", F.row_number().over(Window.partitionBy("job_id").orderBy("rank", "pos"))).filter("_r = 1")
     live = F.col("rank") < 2
-    place = F.row_number().over(Window.partitionBy("lane", live).orderBy("rank", "pos", "job_id"))
-    return df.select("job_id", "lane", F.when(live, "queued").otherwise("history").alias("state"), F.when(live, place).cast("long").alias("place"))
+    near = F.struct("rank", F.floor(F.col("pos") / 65536).alias("pos"))
+    df = running_sum(df, ["lane"], near, ["rank", "pos", "job_id"], live.cast("long"), "_place")
+    return df.select("job_id", "lane", F.when(live, "queued").otherwise("history").alias("state"), F.when(live, F.col("_place")).alias("place"))
 
 
 def check_reorder(pages: DataFrame, request: DataFrame) -> DataFrame:
@@ -197,7 +230,7 @@ def check_reorder(pages: DataFrame, request: DataFrame) -> DataFrame:
 def retry_set(jobs: DataFrame, active: DataFrame, ready: DataFrame) -> DataFrame:
     """Failed jobs to queue again at the end of their lane: none of pages that are busy or ready."""
     df = jobs.filter(F.col("status") == "failed").join(active, "page_id", "left_anti").join(ready, "page_id", "left_anti")
-    return df.select("job_id", "lane", F.row_number().over(Window.partitionBy("lane").orderBy("submitted", "job_id")).cast("long").alias("place"))
+    return running_sum(df, ["lane"], F.to_date("submitted"), ["submitted", "job_id"], F.lit(1).cast("long"), "place").select("job_id", "lane", "place")
 
 
 def append_sources(pages: DataFrame, files: DataFrame) -> DataFrame:
@@ -208,10 +241,15 @@ def append_sources(pages: DataFrame, files: DataFrame) -> DataFrame:
     return new.join(last, "project_id", "left").select("project_id", "path", (F.coalesce("last", F.lit(-1)) + place).cast("long").alias("pos"))
 
 
-def natural_key(name: str | Column, width: int = 20) -> Column:
-    """Sort key in which runs of digits compare as numbers and come before text."""
+def natural_key(name: str | Column) -> Column:
+    """Sort key in which runs of digits, of any length, compare as numbers and come before text."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(p, width, "0"))).otherwise(F.concat(F.lit("1"), p))), "\x00")
+
+    def part(p: Column) -> Column:
+        digits = F.regexp_replace(p, r"^0+(?=[0-9])", "")
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(F.concat(F.lit("1"), p))
+
+    return F.array_join(F.transform(parts, part), "\x00")
 
 
 def natural_sort(df: DataFrame, name: str, keys: list[str]) -> DataFrame:

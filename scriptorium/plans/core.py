@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import word_key
 from ..operators import filters, merge, spatial
 from .fixtures import duck, table
 
@@ -101,10 +102,38 @@ def _(s, d):
     return filters.rescale_regions(table(s, d, "regions"), table(s, d, "sheets"), 500).select(*_KEYS, "x", "y", "w", "h")
 
 
-@query("p05_coerce_audit", duck("regions") + """ SELECT CAST(count_if(speaker_gender IS DISTINCT FROM CASE WHEN lower(speaker_gender) IN ('male','female','unknown') THEN lower(speaker_gender) ELSE 'unknown' END) AS BIGINT) AS speaker_gender_repaired,
-  CAST(count_if(block_type NOT IN ('dialogue','narration','title','sfx','sign','noise')) AS BIGINT) AS block_type_repaired, CAST(count_if(confidence IS DISTINCT FROM least(greatest(coalesce(confidence, 0), 0), 1)) AS BIGINT) AS confidence_repaired FROM regions""")
+@query("p04_rescale_style", duck("regions", "sheets") + """, f AS (SELECT page_id, CASE WHEN greatest(width, height) < 500 THEN CAST(500 AS DOUBLE) / greatest(width, height) ELSE 1.0::DOUBLE END AS f FROM sheets)
+SELECT page_id, region_id, CAST(round_even(bx * f, 0) AS BIGINT) AS bx, greatest(CAST(round_even(bw * f, 0) AS BIGINT), 1) AS bw, CASE WHEN region_id % 17 > 0 THEN greatest(CAST(round_even(region_id % 17 * f, 0) AS BIGINT), 1) ELSE 0 END AS font_size,
+  CASE WHEN f = 1 THEN x / 8.0 ELSE round(x / 8.0 * f, 6) END AS letter_spacing, CASE WHEN f = 1 THEN h::DOUBLE ELSE round(h * f, 6) END AS corner FROM regions JOIN f USING (page_id) WHERE bx IS NOT NULL""")
 def _(s, d):
-    return filters.coerce_regions(table(s, d, "regions"))[1]
+    r = table(s, d, "regions").filter("bx is not null").withColumns({"font_size": F.expr("region_id % 17"), "letter_spacing": F.col("x") / 8, "quad": F.expr("array(array(CAST(w AS DOUBLE), CAST(h AS DOUBLE)))")})
+    out = filters.rescale_regions(r, table(s, d, "sheets"), 500)
+    return out.select(*_KEYS, "bx", "bw", "font_size", "letter_spacing", F.col("quad")[0][1].alias("corner"))
+
+
+_LOOSE = "regions.*, x - 20 AS progress, y - 100 AS tolerance, CASE WHEN region_id % 6 > 0 THEN x - 40 END AS red, y AS green, CASE WHEN region_id % 4 > 0 THEN w * 3 END AS blue"
+_FIXED = """SELECT page_id, region_id, CASE WHEN lower(speaker_gender) IN ('male','female','unknown') THEN lower(speaker_gender) ELSE 'unknown' END AS speaker_gender,
+  CASE WHEN block_type IN ('dialogue','narration','title','sfx','sign','noise') THEN block_type ELSE 'dialogue' END AS block_type, least(greatest(coalesce(confidence, 0), 0), 1) AS confidence,
+  least(greatest(progress, 0), 100) AS progress, least(greatest(tolerance, 0), 100) AS tolerance, least(greatest(coalesce(red, 0), 0), 255) AS red, least(greatest(coalesce(green, 0), 0), 255) AS green, least(greatest(coalesce(blue, 0), 0), 255) AS blue FROM loose"""
+
+
+def _loose(s, d):
+    r = s.sql(f"SELECT {_LOOSE} FROM {{regions}} regions", regions=table(s, d, "regions"))
+    return r.withColumn("fill_rgb", F.expr("CASE WHEN region_id % 4 > 0 THEN array(red, green, blue) ELSE array(red, green) END")).drop("red", "green", "blue")
+
+
+@query("p05_coerce_audit", duck("regions") + f""", loose AS (SELECT {_LOOSE} FROM regions), fixed AS ({_FIXED})
+SELECT CAST(count_if(a.speaker_gender IS DISTINCT FROM b.speaker_gender) AS BIGINT) AS speaker_gender_repaired, CAST(count_if(a.block_type IS DISTINCT FROM b.block_type) AS BIGINT) AS block_type_repaired,
+  CAST(count_if(a.confidence IS DISTINCT FROM b.confidence) AS BIGINT) AS confidence_repaired, CAST(count_if(a.progress <> b.progress) AS BIGINT) AS progress_repaired, CAST(count_if(a.tolerance <> b.tolerance) AS BIGINT) AS tolerance_repaired,
+  CAST(count_if(a.red IS DISTINCT FROM b.red OR a.green <> b.green OR a.blue IS DISTINCT FROM b.blue) AS BIGINT) AS fill_rgb_repaired FROM loose a JOIN fixed b USING (page_id, region_id)""")
+def _(s, d):
+    return filters.coerce_regions(_loose(s, d))[1]
+
+
+@query("p05_coerced", duck("regions") + f", loose AS (SELECT {_LOOSE} FROM regions) {_FIXED}")
+def _(s, d):
+    df = filters.coerce_regions(_loose(s, d))[0]
+    return df.select(*_KEYS, "speaker_gender", "block_type", "confidence", "progress", "tolerance", *[F.col("fill_rgb")[k].alias(c) for k, c in enumerate(("red", "green", "blue"))])
 
 
 @query("p06_admit", duck("submissions") + """ SELECT sub_id, CASE WHEN trim(target_lang) = '' THEN 'target' WHEN coalesce(bytes, 0) <= 0 THEN 'empty' WHEN bytes > 67108864 THEN 'bytes'
@@ -130,13 +159,19 @@ def _(s, d):
     return filters.usable_words(words, 0.5, letters=True).select("page_id", "word_id", "x", "y", "w", "h")
 
 
-@query("p09_redact", r"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t0 FROM documents),
-b AS (SELECT *, len(regexp_extract_all(t0, 'Bearer [A-Za-z0-9._~+/=-]+')) AS n1, regexp_replace(t0, 'Bearer [A-Za-z0-9._~+/=-]+', 'Bearer ***', 'g') AS t1 FROM a),
-c AS (SELECT *, len(regexp_extract_all(t1, '(?i)(key|token|password|secret)([ \t\n\x0b\f\r]*[=:][ \t\n\x0b\f\r]*)("[^"]*"|[^ \t\n\x0b\f\r]+)')) AS n2,
-  regexp_replace(t1, '(?i)(key|token|password|secret)([ \t\n\x0b\f\r]*[=:][ \t\n\x0b\f\r]*)("[^"]*"|[^ \t\n\x0b\f\r]+)', '\1\2***', 'g') AS t2 FROM b)
-SELECT doc_id, CAST(n1 + n2 + len(regexp_extract_all(t2, '(https?://)[^\s/@]+@')) AS BIGINT) AS n_redacted, md5(regexp_replace(t2, '(https?://)[^\s/@]+@', '\1***@', 'g')) AS digest FROM c""")
+_LINE = "concat(coalesce(text, ''), ' GET https://me:pw@h', doc_id % 7, '.example/p?sig=', doc_id, '#part BEARER a.b-', doc_id, CASE WHEN doc_id % 3 = 0 THEN ' api-key: zz,' ELSE '' END)"
+_BLANK = r"[ \t\n\x0b\f\r]"
+_RULES = [(r"(?i)(https?://)[^ \t\n\x0b\f\r/?#\"<>]*@", r"\1"), (r"(?i)(https?://[^ \t\n\x0b\f\r\"<>?#]*)[?#][^ \t\n\x0b\f\r\"<>]*", r"\1"), (rf"(?i)(bearer{_BLANK}+)[^ \t\n\x0b\f\r\"'']+", r"\1***"),
+          (rf"(?i)((?:api[_-]?key|key|token|password|secret){_BLANK}*[=:]{_BLANK}*)(?:\"[^\"]*\"|[^ \t\n\x0b\f\r,\"'']+)", r"\1***")]
+_STEPS = ", ".join(f"s{k + 1} AS (SELECT *, len(regexp_extract_all(t{k}, '{a}')) AS n{k + 1}, regexp_replace(t{k}, '{a}', '{b}', 'g') AS t{k + 1} FROM s{k})" for k, (a, b) in enumerate(_RULES))
+
+
+@query("p09_redact", f"""WITH s0 AS (SELECT doc_id, {_LINE} AS t0 FROM documents), {_STEPS}
+SELECT doc_id, n1 AS n_user_info, n2 AS n_query_fragment, n3 AS n_bearer, n4 AS n_assignment, CAST(n1 + n2 + n3 + n4 AS BIGINT) AS n_redacted, md5(t4) AS digest FROM s4""")
 def _(s, d):
-    return filters.redact(s.read.parquet(f"{d}/documents.parquet"), "text").select("doc_id", "n_redacted", F.md5("text").alias("digest"))
+    docs = s.read.parquet(f"{d}/documents.parquet").withColumn("text", F.expr(_LINE))
+    by_rule = [F.col(f"redacted_by_rule.{c}").alias(f"n_{c}") for c in ("user_info", "query_fragment", "bearer", "assignment")]
+    return filters.redact(docs, "text").select("doc_id", *by_rule, "n_redacted", F.md5("text").alias("digest"))
 
 
 @query("p10_reset_computed", duck("regions") + " SELECT page_id, region_id, CASE WHEN manual OR edited OR translation_locked THEN speaker ELSE '' END AS speaker, CASE WHEN manual OR edited OR translation_locked THEN overflow ELSE false END AS overflow FROM regions")
@@ -152,16 +187,17 @@ def _(s, d):
     return parts[0].unionByName(parts[1])
 
 
-_LONG = "block_type = 'sfx' AND len(w) >= 4 AND len(list_distinct(list_transform(w, lambda x: lower(x)))) >= 3"
+_LONG = "block_type = 'sfx' AND len(w) >= 6 AND len(list_distinct(list_transform(w, lambda x: lower(x)))) >= 4"
+_SOUND = "CASE WHEN region_id % 2 = 0 THEN concat(text, ' ', upper(text), ' zoom bam') ELSE concat(text, ' ', text, ' zoom zoom') END"
 _WORD_LIST = "list_filter(string_split_regex(trim(text), '[ ]+'), lambda x: x <> '')"
 
 
-@query("p12_long_sfx", duck("regions") + f""", t AS (SELECT page_id, region_id, block_type, text || ' ' || text || ' zoom' AS text FROM regions), u AS (SELECT *, {_WORD_LIST} AS w FROM t),
+@query("p12_long_sfx", duck("regions") + f""", t AS (SELECT page_id, region_id, block_type, {_SOUND} AS text FROM regions), u AS MATERIALIZED (SELECT *, {_WORD_LIST} AS w FROM t),
 v AS (SELECT page_id, region_id, CASE region_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'sign' ELSE 'dialogue' END AS reviewed FROM u WHERE {_LONG})
 SELECT page_id, region_id, CASE WHEN reviewed IN ('dialogue', 'narration', 'title') THEN reviewed ELSE block_type END AS block_type FROM u LEFT JOIN v USING (page_id, region_id)""")
 def _(s, d):
-    r = table(s, d, "regions").withColumn("text", F.expr("text || ' ' || text || ' zoom'"))
-    found = filters.long_sfx_candidates(r, 4, 3).select(*_KEYS, F.expr("CASE region_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'sign' ELSE 'dialogue' END").alias("reviewed"))
+    r = table(s, d, "regions").withColumn("text", F.expr(_SOUND))
+    found = filters.long_sfx_candidates(r).select(*_KEYS, F.expr("CASE region_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'sign' ELSE 'dialogue' END").alias("reviewed"))
     return filters.accept_review(r, found).select(*_KEYS, "block_type")
 
 
@@ -175,7 +211,7 @@ def _(s, d):
     return spatial.assign_to_bubbles(table(s, d, "regions").withColumnRenamed("region_id", "det_id"), table(s, d, "bubbles"))[0]
 
 
-@query("j01_loose_texts", duck("regions", "bubbles") + _ASSIGN + " SELECT page_id, region_id AS det_id FROM regions r WHERE NOT EXISTS (SELECT 1 FROM best WHERE best.page_id = r.page_id AND best.det_id = r.region_id)")
+@query("j01_loose_texts", duck("regions", "bubbles") + _ASSIGN + " SELECT page_id, region_id AS det_id FROM regions r ANTI JOIN best ON best.page_id = r.page_id AND best.det_id = r.region_id")
 def _(s, d):
     return spatial.assign_to_bubbles(table(s, d, "regions").withColumnRenamed("region_id", "det_id"), table(s, d, "bubbles"))[1].select("page_id", "det_id")
 
@@ -194,12 +230,28 @@ def _(s, d):
     return spatial.resolve_containment(_detections(s, d), table(s, d, "sheets"), big=0.03).select("page_id", "det_id")
 
 
-@query("j04_drop_contained")
+_RECURSIVE = duck("regions").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("j04_drop_contained", _RECURSIVE + f""", n AS MATERIALIZED (SELECT page_id, region_id, x, y, w, h, row_number() OVER (PARTITION BY page_id ORDER BY region_id) AS k FROM regions),
+c AS MATERIALIZED (SELECT r.page_id, r.k, r.region_id, coalesce(list(o.region_id) FILTER (o.region_id IS NOT NULL), []) AS larger FROM n r LEFT JOIN n o ON o.page_id = r.page_id AND o.region_id <> r.region_id
+  AND abs((o.y + o.h / 2.0) - (r.y + r.h / 2.0)) <= 0.45::DOUBLE * greatest(o.h, r.h, 8) AND o.w * o.h > r.w * r.h AND {_cover('r.', 'o.')} >= 0.7 GROUP BY ALL),
+st(page_id, k, gone) AS (SELECT DISTINCT page_id, 0::BIGINT, []::BIGINT[] FROM n UNION ALL
+  SELECT c.page_id, c.k, CASE WHEN len(list_filter(c.larger, lambda o: NOT list_contains(st.gone, o))) > 0 THEN list_append(st.gone, c.region_id) ELSE st.gone END FROM st JOIN c ON c.page_id = st.page_id AND c.k = st.k + 1),
+l AS (SELECT page_id, arg_max(gone, k) AS gone FROM st GROUP BY 1) SELECT page_id, region_id, x, y, w, h FROM n JOIN l USING (page_id) WHERE NOT list_contains(gone, region_id)""")
 def _(s, d):
     return spatial.drop_contained(table(s, d, "regions"))
 
 
-@query("j05_add_second_source")
+@query("j05_add_second_source", _RECURSIVE + f""", a AS MATERIALIZED (SELECT page_id, region_id, x, y, w, h, bx, r.by, bw, bh FROM regions r WHERE region_id % 3 = 1), b AS (SELECT page_id, region_id, x, y, w, h FROM regions WHERE region_id % 3 <> 1),
+o AS MATERIALIZED (SELECT page_id, x, y, w, h FROM a UNION ALL SELECT page_id, bx, a.by, bw, bh FROM a WHERE bx IS NOT NULL),
+f AS (SELECT b.* FROM b ANTI JOIN o ON o.page_id = b.page_id AND greatest({_cover('o.', 'b.')}, {_cover('b.', 'o.')}) > 0.3),
+c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY region_id) AS k FROM f),
+st(page_id, k, kept, ok) AS (SELECT DISTINCT page_id, 0::BIGINT, []::STRUCT(x BIGINT, y BIGINT, w BIGINT, h BIGINT)[], false FROM c UNION ALL
+  SELECT page_id, k, CASE WHEN ok THEN list_append(kept, box) ELSE kept END, ok FROM (SELECT c.page_id, c.k, st.kept, {{'x': c.x, 'y': c.y, 'w': c.w, 'h': c.h}} AS box,
+    len(list_filter(st.kept, lambda p: greatest({_cover('p.', 'c.')}, {_cover('c.', 'p.')}) > 0.3)) = 0 AS ok FROM st JOIN c ON c.page_id = st.page_id AND c.k = st.k + 1)),
+t AS (SELECT page_id, max(region_id) AS top FROM a GROUP BY 1)
+SELECT page_id, region_id, x, y, w, h FROM a UNION ALL SELECT c.page_id, coalesce(top, 0) + len(kept), c.x, c.y, c.w, c.h FROM c JOIN st ON st.page_id = c.page_id AND st.k = c.k AND st.ok LEFT JOIN t ON t.page_id = c.page_id""")
 def _(s, d):
     r = table(s, d, "regions").select(*_KEYS, "x", "y", "w", "h", "bx", "by", "bw", "bh")
     return spatial.add_second_source(r.filter("region_id % 3 = 1"), r.filter("region_id % 3 <> 1"))
@@ -264,29 +316,37 @@ def _(s, d):
     return spatial.layout_collisions(placed, r, table(s, d, "sheets"), 6)
 
 
-@query("j22_locate_words", duck("regions") + f""", {_WORDS.replace('confidence, text', "substr(lower(text), 1, 2) AS key")}, targets AS (SELECT page_id, region_id AS target_id, substr(lower(text), 1, 2) AS key, x, y, w, h FROM regions WHERE region_id % 5 = 1 AND text <> ''),
-two AS (SELECT v.page_id, v.key || w.key AS key, least(v.x, w.x) AS x, least(v.y, w.y) AS y, greatest(v.x + v.w, w.x + w.w) - least(v.x, w.x) AS w, greatest(v.y + v.h, w.y + w.h) - least(v.y, w.y) AS h
-  FROM words v JOIN words w ON v.page_id = w.page_id AND v.word_id <> w.word_id
-  AND sqrt(greatest(0, w.x - v.x - v.w, v.x - w.x - w.w) ** 2 + greatest(0, w.y - v.y - v.h, v.y - w.y - w.h) ** 2) <= 0.8 * greatest(v.h, w.h)
+_KEY = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+_HALVES = f"""SELECT page_id, region_id * 2 AS word_id, {_KEY.format('text')} AS key, x + 5 AS x, y + 3 AS y, 20 + w // 4 AS w, CAST(12 AS BIGINT) AS h FROM regions WHERE region_id % 4 = 0 AND text <> ''
+  UNION ALL SELECT page_id, region_id * 2, {_KEY.format("split_part(text, ' ', 1)")}, x + 5, y + 3, 20 + w // 4, 12 FROM regions WHERE region_id % 4 = 2 AND text <> ''
+  UNION ALL SELECT page_id, region_id * 2 + 1, {_KEY.format("split_part(text, ' ', 2)")}, x + 28 + w // 4, y + 3, 20 + w // 4, 12 FROM regions WHERE region_id % 4 = 2 AND text <> ''"""
+
+
+@query("j22_locate_words", duck("regions") + f""", words AS MATERIALIZED ({_HALVES}), targets AS MATERIALIZED (SELECT page_id, region_id AS target_id, {_KEY.format('text')} AS key, x, y, w, h, greatest(w, h) AS pad FROM regions WHERE text <> ''),
+two AS (SELECT t.page_id, t.key, least(v.x, w.x) AS x, least(v.y, w.y) AS y, greatest(v.x + v.w, w.x + w.w) - least(v.x, w.x) AS w, greatest(v.y + v.h, w.y + w.h) - least(v.y, w.y) AS h
+  FROM (SELECT DISTINCT page_id, key FROM targets) t JOIN words v ON v.page_id = t.page_id AND starts_with(t.key, v.key) AND length(v.key) >= 2 JOIN words w ON w.page_id = t.page_id AND v.word_id <> w.word_id AND v.key || w.key = t.key AND w.key <> ''
+  AND greatest(0, w.x - v.x - v.w, v.x - w.x - w.w) <= 0.8::DOUBLE * greatest(v.h, w.h) AND greatest(0, w.y - v.y - v.h, v.y - w.y - w.h) <= 0.8::DOUBLE * greatest(v.h, w.h)
   AND sqrt((v.x + v.w / 2.0 - w.x - w.w / 2.0) ** 2 + (v.y + v.h / 2.0 - w.y - w.h / 2.0) ** 2) <= 1.5 * greatest(v.w, v.h, w.w, w.h)),
 c AS (SELECT page_id, key, x, y, w, h FROM words UNION SELECT * FROM two),
-m AS (SELECT t.page_id, t.target_id, sqrt((t.x + t.w / 2.0 - c.x - c.w / 2.0) ** 2 + (t.y + t.h / 2.0 - c.y - c.h / 2.0) ** 2) AS distance, c.x, c.y, c.w, c.h FROM targets t JOIN c ON t.page_id = c.page_id AND t.key = c.key
-  AND (c.w * c.h)::DOUBLE / greatest(t.w * t.h, 1) BETWEEN 0.1 AND 6.0 AND sqrt((t.x + t.w / 2.0 - c.x - c.w / 2.0) ** 2 + (t.y + t.h / 2.0 - c.y - c.h / 2.0) ** 2) <= 180),
-k AS (SELECT *, row_number() OVER o AS rk, lead(distance) OVER o AS second FROM m WINDOW o AS (PARTITION BY page_id, target_id ORDER BY distance, x, y, w, h))
-SELECT page_id, target_id, round(distance, 6) AS distance, x, y, w, h FROM k WHERE rk = 1 AND (second IS NULL OR second - distance >= 24)""")
+m AS (SELECT t.page_id, t.target_id, t.pad, sqrt((t.x + t.w / 2.0 - c.x - c.w / 2.0) ** 2 + (t.y + t.h / 2.0 - c.y - c.h / 2.0) ** 2) AS distance, c.x, c.y, c.w, c.h FROM targets t JOIN c ON t.page_id = c.page_id AND t.key = c.key AND length(t.key) BETWEEN 2 AND 40
+  AND least(c.w, c.h) >= 3 AND (c.w * c.h)::DOUBLE / greatest(t.w * t.h, 1) BETWEEN 0.1 AND 6.0 AND sqrt((t.x + t.w / 2.0 - c.x - c.w / 2.0) ** 2 + (t.y + t.h / 2.0 - c.y - c.h / 2.0) ** 2) <= 1.5 * t.pad),
+f AS (SELECT m.* FROM m ANTI JOIN regions o ON o.page_id = m.page_id AND o.region_id <> m.target_id AND {_inter('m.', 'o.')} > 0.4::DOUBLE * least(m.w * m.h, o.w * o.h)),
+k AS (SELECT *, row_number() OVER o AS rk, lead(distance) OVER o AS second FROM f WINDOW o AS (PARTITION BY page_id, target_id ORDER BY distance, x, y, w, h))
+SELECT page_id, target_id, round(distance, 6) AS distance, x, y, w, h FROM k WHERE rk = 1 AND (second IS NULL OR second - distance >= greatest(8.0, 0.2::DOUBLE * pad))""")
 def _(s, d):
-    r = table(s, d, "regions").filter("text <> '' and region_id % 5 = 1").select("page_id", F.col("region_id").alias("target_id"), F.expr("substr(lower(text), 1, 2) AS key"), "x", "y", "w", "h")
-    words = _words(s, d).withColumn("key", F.expr("substr(lower(text), 1, 2)")).drop("text", "confidence")
-    return spatial.locate_words(r, words, 120.0).withColumn("distance", F.round("distance", 6))
+    r = table(s, d, "regions")
+    spark_sql = _HALVES.replace(", 'g')", ")").replace("//", "div").replace("FROM regions", "FROM {regions}")
+    targets = r.filter("text <> ''").select("page_id", F.col("region_id").alias("target_id"), word_key("text").alias("key"), "x", "y", "w", "h")
+    return spatial.locate_words(targets, s.sql(spark_sql, regions=r), r).withColumn("distance", F.round("distance", 6))
 
 
 @query("j25_expand_boxes", duck("regions", "sheets") + f""", {_WORDS.replace('confidence, text', 'confidence')}, g AS (SELECT r.page_id, r.region_id, min(w.x) AS l, min(w.y) AS t, max(w.x + w.w) AS m, max(w.y + w.h) AS n FROM words w JOIN regions r
-  ON w.page_id = r.page_id AND w.confidence >= 0.8 AND {_cover('w.', 'r.')} >= 0.5 AND (r.bx IS NULL OR {_cover('w.', 'r.b')} >= 0.7) AND NOT (r.skip OR r.manual OR r.edited) GROUP BY ALL),
+  ON w.page_id = r.page_id AND w.confidence >= 0.8 AND {_cover('w.', 'r.')} >= 0.5 AND (r.bx IS NULL OR {_cover('w.', 'r.b')} >= 0.7) AND NOT (r.skip OR r.manual OR r.edited OR r.region_id % 8 = 0) GROUP BY ALL),
 e AS (SELECT r.*, l, greatest(least(x, coalesce(l, x)), 0) AS nl, greatest(least(y, coalesce(t, y)), 0) AS nt, least(greatest(x + w, coalesce(m, x + w)), width) AS nr, least(greatest(y + h, coalesce(n, y + h)), height) AS nb
   FROM regions r LEFT JOIN g USING (page_id, region_id) JOIN sheets USING (page_id)), f AS (SELECT *, l IS NOT NULL AND (nr - nl) * (nb - nt) <= 2 * w * h AS ok FROM e)
 SELECT page_id, region_id, CASE WHEN ok THEN nl ELSE x END AS x, CASE WHEN ok THEN nt ELSE y END AS y, CASE WHEN ok THEN nr - nl ELSE w END AS w, CASE WHEN ok THEN nb - nt ELSE h END AS h, ok AS expanded FROM f""")
 def _(s, d):
-    return spatial.expand_boxes(table(s, d, "regions"), _words(s, d), table(s, d, "sheets"))
+    return spatial.expand_boxes(table(s, d, "regions").withColumn("placed", F.expr("region_id % 8 = 0")), _words(s, d), table(s, d, "sheets"))
 
 
 @query("a02_union_box", duck("regions") + " SELECT page_id, block_type, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM regions GROUP BY ALL")
@@ -307,18 +367,23 @@ def _(s, d):
     return spatial.split_paragraphs(table(s, d, "regions").select(*_KEYS, "y", "h")).select(*_KEYS, "paragraph")
 
 
-@query("t04_tiles", duck("sheets") + """, n AS (SELECT page_id, width, height, CASE WHEN width <= 200 THEN 1 ELSE least(3, ceil((width - 40.0) / 160.0)) END::INT AS nc, CASE WHEN height <= 200 THEN 1 ELSE least(3, ceil((height - 40.0) / 160.0)) END::INT AS nr FROM sheets),
-z AS (SELECT *, CASE WHEN nc = 1 THEN width ELSE greatest(200, ceil(width / (nc - 0.2 * (nc - 1)))) END::BIGINT AS sw, CASE WHEN nr = 1 THEN height ELSE greatest(200, ceil(height / (nr - 0.2 * (nr - 1)))) END::BIGINT AS sh FROM n),
-c AS (SELECT *, unnest(range(nc)) AS i FROM z), r AS (SELECT *, unnest(range(nr)) AS j FROM c)
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY j, i) AS tile, CAST(floor(i * ((width - sw) / greatest(nc - 1, 1)::DOUBLE)) AS BIGINT) AS x, CAST(floor(j * ((height - sh) / greatest(nr - 1, 1)::DOUBLE)) AS BIGINT) AS y,
-  least(sw, width) AS w, least(sh, height) AS h FROM r""")
+_TILES = """tiles AS MATERIALIZED (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY y, x) AS tile, x, y, least(width, x + side) - x AS w, least(height, y + side) - y AS h FROM (
+  SELECT page_id, width, height, side, CAST(round_even(i * greatest(width - side, 0) / greatest(nx, 1), 0) AS BIGINT) AS x, CAST(round_even(j * greatest(height - side, 0) / greatest(ny, 1), 0) AS BIGINT) AS y FROM (
+    SELECT *, unnest(range(nx + 1)) AS i FROM (SELECT *, unnest(range(ny + 1)) AS j FROM (
+      SELECT *, CAST(least(2, ceil(greatest(width - side, 0) / (side * 0.8::DOUBLE))) AS BIGINT) AS nx, CAST(least(2, ceil(greatest(height - side, 0) / (side * 0.8::DOUBLE))) AS BIGINT) AS ny FROM (
+        SELECT page_id, width, height, CASE WHEN greatest(width, height) <= {m} AND (greatest(width, height) < {s} OR greatest(width, height) <= 1.25 * least(width, height)) THEN greatest(width, height)
+          ELSE greatest(least({m}, least(width, height)), CAST(ceil((greatest(width, height) + 2) / 2.6::DOUBLE) AS BIGINT)) END AS side FROM big))))))"""
+_BIG = "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN width ELSE width * (1 + page_id % 7) END AS width, height * (1 + page_id % 5) AS height FROM {sheets}"
+
+
+@query("t04_tiles", duck("sheets") + f", big AS ({_BIG.format(sheets='sheets')}), {_TILES.format(m=1800, s=1500)} SELECT page_id, tile, x, y, w, h FROM tiles")
 def _(s, d):
-    return spatial.plan_tiles(table(s, d, "sheets"), 200)
+    return spatial.plan_tiles(s.sql(_BIG, sheets=table(s, d, "sheets")), 1800)
 
 
-@query("t04_boxes_in_tiles")
+@query("t04_boxes_in_tiles", duck("regions", "sheets") + f", big AS (SELECT page_id, width, height FROM sheets), {_TILES.format(m=200, s=150)} SELECT r.page_id, t.tile, r.region_id FROM regions r JOIN tiles t ON r.page_id = t.page_id AND t.x <= r.x AND t.y <= r.y AND r.x + r.w <= t.x + t.w AND r.y + r.h <= t.y + t.h")
 def _(s, d):
-    return spatial.boxes_in_tiles(table(s, d, "regions"), spatial.plan_tiles(table(s, d, "sheets"), 200))
+    return spatial.boxes_in_tiles(table(s, d, "regions"), spatial.plan_tiles(table(s, d, "sheets"), 200, 150))
 
 
 _MERGED = """, RECURSIVE_PAIRS, reach(page_id, n, r) AS (SELECT page_id, region_id, region_id FROM regions UNION SELECT reach.page_id, reach.n, e.t FROM reach JOIN e ON e.page_id = reach.page_id AND e.f = reach.r),
@@ -337,7 +402,11 @@ def _(s, d):
     return merge.merge_regions(table(s, d, "regions"), "collinear").select(*_KEYS, "x", "y", "w", "h", "confidence", "n", "block_type", "class_name", "text", "bx", "document")
 
 
-@query("w01_reading_order")
+@query("w01_reading_order", _RECURSIVE + """, n AS MATERIALIZED (SELECT page_id, region_id, x, y, w, h, y + h / 2.0 AS c, row_number() OVER (PARTITION BY page_id ORDER BY y + h / 2.0, region_id) AS k FROM regions),
+st(page_id, k, firsts, line) AS (SELECT DISTINCT page_id, 0::BIGINT, []::STRUCT(c DOUBLE, h BIGINT)[], 0::BIGINT FROM n UNION ALL
+  SELECT page_id, k, CASE WHEN line > len(firsts) THEN list_append(firsts, {'c': c, 'h': h}) ELSE firsts END, line FROM (SELECT n.page_id, n.k, n.c, n.h, st.firsts,
+    coalesce(nullif(list_position(list_transform(st.firsts, lambda f: abs(n.c - f.c) <= 0.35::DOUBLE * greatest(n.h, f.h, 8)), true), 0), len(st.firsts) + 1)::BIGINT AS line FROM st JOIN n ON n.page_id = st.page_id AND n.k = st.k + 1))
+SELECT page_id, region_id, x, y, w, h, row_number() OVER (PARTITION BY page_id ORDER BY line, -x, k) - 1 AS ord FROM n JOIN st USING (page_id, k)""")
 def _(s, d):
     return merge.reading_order(table(s, d, "regions").select(*_KEYS, "x", "y", "w", "h"), "rtl")
 
@@ -345,4 +414,5 @@ def _(s, d):
 @query("w02_order_words")
 def _(s, d):
     words = spatial.assign_words(_words(s, d), table(s, d, "regions")).filter("region_id is not null")
-    return merge.order_words(words.select(*_KEYS, "word_id", "text", "x", "y", "w", "h"), "ltr")
+    slant = "CASE WHEN region_id % 3 = 0 THEN array(array(x, y), array(x + w, y + w div 5), array(x + w, y + h + w div 5), array(x, y + h)) END AS quad"
+    return merge.order_words(words.selectExpr(*_KEYS, "word_id", "text", "x", "y", "w", "h", slant), "ltr")
\ No newline at end of file

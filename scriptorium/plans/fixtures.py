@@ -125,5 +125,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(*names: str) -> str:
     """The WITH clause of derived tables for DuckDB."""
-    parts = [f"{n} AS ({BLOCKS_DUCK if n == 'blocks' else _SQL[n].format(each_pixel='UNNEST(RANGE(256))', **{t: t for t in _TABLES})})" for n in names]
+    parts = [f"{n} AS MATERIALIZED ({BLOCKS_DUCK if n == 'blocks' else _SQL[n].format(each_pixel='UNNEST(RANGE(256))', **{t: t for t in _TABLES})})" for n in names]
     return "WITH " + ",\n".join(parts)

@@ -40,20 +40,44 @@ def route(s, d):
     return df.groupBy("lang", "route").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("cyr", "lat", "other")])
 
 
-@query("a06_leak_audit", _COUNTED + f" SELECT lang, source, count(*) AS n, CAST(count_if({_LEAK}) AS BIGINT) AS n_leak, round(avg(CAST({_LEAK} AS INTEGER)), 6) AS rate FROM c GROUP BY ALL")
+#: The leak rule by tokens: what is looked over, tokens with the part before them, and their letters that count.
+_OVERLOOKED = r"(?i)https?://[^ \t\n\x0b\f\r]+|www\.[^ \t\n\x0b\f\r]+|[\p{L}\p{N}_-]+\.(?:com|net|org|ru|io|me|dev|art|adult|co)(?:/[^ \t\n\x0b\f\r]*)?"
+
+
+def _own(t: str) -> str:
+    return f"""regexp_replace(regexp_replace(coalesce({t}, ''), '«[^»]*»|“[^”]*”|"[^"]*"', ' ', 'g'), '{_OVERLOOKED}', ' ', 'g')"""
+
+
+def _tokens(source: str, text: str, keys: str) -> str:
+    """CTEs from a table to k: keys, cyr, lat, other by tokens."""
+    letters = "regexp_replace(tok, '[^\\p{L}]', '', 'g')"
+    return f"""o AS MATERIALIZED (SELECT *, regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_''’]+|[.!?…\\n\\r]') AS parts FROM {source}), i AS (SELECT {keys}, unnest(parts) AS tok, unnest(range(len(parts))) AS k FROM o),
+l AS (SELECT {keys}, tok, lag(tok) OVER (PARTITION BY {keys} ORDER BY k) AS prev, {letters} AS ls, regexp_replace({letters}, '[^{_L}]', '', 'g') AS lt FROM i),
+c AS (SELECT {keys}, length(regexp_replace(ls, '[^{_C}]', '', 'g')) AS cyr, length(ls) AS ls, length(lt) AS lt, CASE WHEN length(lt) >= 4 AND NOT regexp_matches(tok, '[\\p{{N}}_]') AND length(regexp_replace(lt, '[^\\p{{Lu}}]', '', 'g')) < length(lt)
+  AND NOT (prev IS NOT NULL AND NOT regexp_matches(prev, '^[.!?…\\n\\r]$') AND regexp_matches(lt, '^\\p{{Lu}}')) THEN length(lt) ELSE 0 END AS lat FROM l),
+k AS (SELECT {', '.join('o.' + x.strip() for x in keys.split(','))}, coalesce(sum(cyr), 0) AS cyr, coalesce(sum(lat), 0) AS lat, coalesce(sum(ls - cyr - lt), 0) AS other FROM o LEFT JOIN c USING ({keys}) GROUP BY ALL)"""
+
+
+_FOREIGN = "(lat + other > 0 AND (cyr = 0 OR (lat + other >= 4 AND 4 * (lat + other) >= cyr + lat + other)))"
+
+
+@query("a06_leak_audit", duck("mixed_docs") + f", s AS (SELECT doc_id, {_own('text')} AS t FROM mixed_docs), {_tokens('s', 't', 'doc_id')} SELECT lang, source, count(*) AS n, CAST(count_if({_FOREIGN}) AS BIGINT) AS n_leak, round(avg(CAST({_FOREIGN} AS INTEGER)), 6) AS rate FROM k JOIN mixed_docs USING (doc_id) GROUP BY ALL")
 def _(s, d):
     return loc.leak_audit(table(s, d, "mixed_docs"), "ru", ["lang", "source"])
 
 
-@query("a06_leak_tokens")
+@query("a06_leak_tokens", duck("mixed_docs") + f", s AS (SELECT doc_id, replace({_own('text')}, 'ther', ' ') AS t FROM mixed_docs), {_tokens('s', 't', 'doc_id')} SELECT doc_id, CAST(cyr AS BIGINT) AS cyr, CAST(lat AS BIGINT) AS lat, CAST(other AS BIGINT) AS other, {_FOREIGN} AS leak FROM k")
 def _(s, d):
-    return loc.leak_tokens(table(s, d, "mixed_docs"), "ru").select("doc_id", "cyr", "lat", "other", "leak")
+    return loc.leak_tokens(table(s, d, "mixed_docs"), "ru", ("ther",)).select("doc_id", "cyr", "lat", "other", "leak")
+
+
+_SAID = "CASE region_id % 4 WHEN 0 THEN concat('\"', text, '\" ok') WHEN 1 THEN concat(text, ' www.', text) WHEN 2 THEN concat('x ', lower(text)) ELSE concat('red.com/', text) END"
 
 
-@query("u04_unchanged_words", duck("regions") + r""" SELECT page_id, region_id, len(list_intersect(list_transform(regexp_extract_all(text, '\b(?:[A-Z]{4,}|[a-z]{4,})\b'), lambda w: lower(w)),
- list_transform(regexp_extract_all(translation, '\b[A-Za-z]{4,}\b'), lambda w: lower(w)))) > 0 AS unchanged FROM regions""")
+@query("u04_unchanged_words", duck("regions") + f""", t AS (SELECT page_id, region_id, {_own('text')} AS a, {_own(_SAID)} AS b FROM regions)
+SELECT page_id, region_id, len(list_intersect(list_transform(regexp_extract_all(a, '\\b(?:[A-Z]{{4,}}|[a-z]{{4,}})\\b'), lambda w: lower(w)), list_transform(regexp_extract_all(b, '\\b[A-Za-z]{{4,}}\\b'), lambda w: lower(w)))) > 0 AS unchanged FROM t""")
 def _(s, d):
-    return loc.unchanged_words(table(s, d, "regions"), "ru").select(*_KEYS, "unchanged")
+    return loc.unchanged_words(table(s, d, "regions").withColumn("translation", F.expr(_SAID)), "ru").select(*_KEYS, "unchanged")
 
 
 _SFX = "sfx AS (SELECT DISTINCT upper(p_name) AS source, first('s' || p_partkey ORDER BY p_partkey) AS value FROM part WHERE p_partkey % 3 = 0 GROUP BY upper(p_name))"
@@ -136,19 +160,27 @@ def _(s, d):
     return loc.with_memory(table(s, d, "regions"), memory)[1]
 
 
-_NEW = "CASE WHEN region_id % 31 = 0 THEN NULL ELSE page_id END AS page_id, region_id, CASE WHEN page_id % 5 = 1 AND region_id = 2 THEN x + 1 ELSE x END AS x, y, w, h, skip, block_type, text, CASE WHEN page_id % 3 = 1 AND region_id % 4 = 1 THEN 'new' ELSE translation END AS translation, speaker, speaker_gender"
+_STYLED = "*, region_id % 5 AS auto_layout, concat(region_id % 7, ',1') AS text_position, concat('s', region_id % 3) AS style"
+_NEW = """page_id, region_id, CASE WHEN page_id % 6 = 1 AND region_id = 2 THEN x + 1 ELSE x END AS x, y, w, h, CASE WHEN page_id % 11 = 2 AND region_id = 3 THEN bx + 1 ELSE bx END AS bx, p.by, bw, bh, skip, block_type, text,
+  CASE WHEN page_id % 13 = 3 AND region_id = 1 THEN 9 ELSE auto_layout END AS auto_layout, CASE WHEN page_id % 3 = 1 AND region_id % 4 = 1 THEN 'new' ELSE translation END AS translation,
+  CASE WHEN page_id % 7 = 4 AND region_id = 2 THEN NULL ELSE text_position END AS text_position, speaker, speaker_gender, CASE WHEN page_id % 5 = 3 AND region_id = 1 THEN 'bold' ELSE style END AS style"""
+_PAPER = "page_id, concat('k', page_id % 9) AS strokes, 'ltr' AS direction"
+_NEW_PAPER = "page_id, CASE WHEN page_id % 17 = 5 THEN 'k' ELSE concat('k', page_id % 9) END AS strokes, CASE WHEN page_id % 19 = 6 THEN 'rtl' ELSE 'ltr' END AS direction"
+_KEPT = "NOT (page_id % 31 = 7 AND region_id = 1)"
+_C_FIELDS, _T_FIELDS = (", ".join(f"{{t}}.{c}" for c in f) for f in (loc.CLEAN_FIELDS, loc.TYPESET_FIELDS))
 
 
-@query("j13_diff_documents", duck("regions") + f""", n AS (SELECT * FROM (SELECT {_NEW} FROM regions) WHERE page_id IS NOT NULL),
-d AS (SELECT coalesce(p.page_id, n.page_id) AS page_id, coalesce(p.region_id, n.region_id) AS id, p.skip IS NULL OR n.skip IS NULL AS lone,
-  (p.x, p.y, p.w, p.h, p.skip, p.block_type, p.text) IS DISTINCT FROM (n.x, n.y, n.w, n.h, n.skip, n.block_type, n.text) AS c, (p.translation, p.speaker, p.speaker_gender) IS DISTINCT FROM (n.translation, n.speaker, n.speaker_gender) AS t
-  FROM regions p FULL JOIN n ON p.page_id = n.page_id AND p.region_id = n.region_id)
-SELECT page_id, CASE WHEN bool_or(lone) OR bool_or(c AND NOT lone) THEN 'clean' WHEN bool_or(t AND NOT lone) THEN 'typeset' ELSE 'none' END AS plan,
-  CASE WHEN bool_or(lone) THEN '' ELSE coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (c OR t), '') END AS ids FROM d GROUP BY 1""")
+@query("j13_diff_documents", duck("regions", "sheets") + f""", p AS MATERIALIZED (SELECT {_STYLED} FROM regions), n AS MATERIALIZED (SELECT {_NEW} FROM p WHERE {_KEPT}),
+d AS (SELECT coalesce(p.page_id, n.page_id) AS page_id, coalesce(p.region_id, n.region_id) AS id, p.x IS NULL OR n.x IS NULL AS lone, ({_C_FIELDS.format(t='p')}) IS DISTINCT FROM ({_C_FIELDS.format(t='n')}) AS c,
+  ({_T_FIELDS.format(t='p')}) IS DISTINCT FROM ({_T_FIELDS.format(t='n')}) AS t FROM p FULL JOIN n ON p.page_id = n.page_id AND p.region_id = n.region_id),
+g AS (SELECT page_id, bool_or(lone) AS lone, bool_or(c) AS c, bool_or(t) AS t, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (t), '') AS some_, string_agg(id::VARCHAR, ',' ORDER BY id) AS all_ FROM d GROUP BY 1),
+s AS (SELECT page_id, page_id % 17 = 5 AS drawn, page_id % 19 = 6 AS turned FROM sheets)
+SELECT page_id, CASE WHEN drawn OR coalesce(lone, false) OR coalesce(c, false) THEN 'clean' WHEN turned OR coalesce(t, false) THEN 'typeset' ELSE 'none' END AS plan,
+  CASE WHEN coalesce(lone, false) THEN '' WHEN turned THEN coalesce(all_, '') ELSE coalesce(some_, '') END AS ids FROM s FULL JOIN g USING (page_id)""")
 def _(s, d):
-    r = table(s, d, "regions")
-    new = s.sql(f"SELECT * FROM (SELECT {_NEW} FROM {{r}}) WHERE page_id IS NOT NULL", r=r)
-    return loc.diff_documents(r, new)
+    r, sheets = s.sql(f"SELECT {_STYLED} FROM {{r}}", r=table(s, d, "regions")), table(s, d, "sheets")
+    new = s.sql(f"SELECT {_NEW} FROM {{r}} p WHERE {_KEPT}", r=r)
+    return loc.diff_documents(r, new, s.sql(f"SELECT {_PAPER} FROM {{p}}", p=sheets), s.sql(f"SELECT {_NEW_PAPER} FROM {{p}}", p=sheets))
 
 
 _TOKEN = "sha256('v2|' || lower(trim(image_sha)) || '|' || lower(trim(source_lang)) || '|' || lower(trim(target_lang)) || '|' || lower(trim(fingerprint)))"
@@ -180,20 +212,24 @@ def _(s, d):
 _PUNCT = "' .!?,;:-…'"
 
 
-@query("f01_classify_blocks", duck("regions") + f""", k AS (SELECT list(DISTINCT upper(p_name)) AS words FROM part WHERE p_partkey < 20), t AS (
-  SELECT page_id, region_id, bx IS NOT NULL AS in_bubble, trim(CASE region_id % 6 WHEN 0 THEN text || '!' WHEN 1 THEN upper(split_part(text, ' ', 1)) WHEN 2 THEN 'see www.' || text WHEN 3 THEN text || ' and so it went on…' WHEN 4 THEN 'nod' ELSE text END) AS t FROM regions),
-u AS (SELECT *, list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '') AS ws FROM t), v AS (SELECT u.*, words, len(ws) AS n, list_distinct(list_transform(ws, lambda w: lower(trim(w, {_PUNCT})))) AS tok,
-  list_transform(ws, lambda w: list_contains(words, upper(trim(w, {_PUNCT})))) AS dict FROM u, k)
+_TYPED = "CASE region_id % 7 WHEN 0 THEN concat(text, '!') WHEN 1 THEN upper(split_part(text, ' ', 1)) WHEN 2 THEN concat('see www.', text) WHEN 3 THEN concat(text, ' and so it went on…') WHEN 4 THEN 'nod' WHEN 5 THEN upper(concat(text, ' ', text)) ELSE text END"
+#: The dictionary of sounds: all names, their first words, and short second ones.
+_DICT = "SELECT upper(p_name) AS word FROM {part} UNION SELECT upper(split_part(p_name, ' ', 1)) FROM {part} UNION SELECT upper(split_part(p_name, ' ', 2)) FROM {part} WHERE length(split_part(p_name, ' ', 2)) <= 4"
+_BARE = f"upper(trim(w, {_PUNCT}))"
+
+
+@query("f01_classify_blocks", duck("regions") + f""", k AS MATERIALIZED ({_DICT.format(part='part')}), t AS (SELECT page_id, region_id, bx IS NOT NULL AS in_bubble, trim({_TYPED}) AS t FROM regions),
+u AS MATERIALIZED (SELECT *, list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '') AS ws FROM t), e AS (SELECT page_id, region_id, unnest(ws) AS w FROM u),
+f AS (SELECT page_id, region_id, bool_and({_BARE} IN (SELECT word FROM k)) AS all_known FROM e GROUP BY ALL),
+v AS (SELECT u.*, len(ws) AS n, list_distinct(list_transform(ws, lambda w: lower(trim(w, {_PUNCT})))) AS tok, coalesce(all_known, false) AS all_known, {_BARE.replace('trim(w', 'trim(t')} IN (SELECT word FROM k) AS known FROM u LEFT JOIN f USING (page_id, region_id))
 SELECT page_id, region_id, CASE WHEN in_bubble THEN 'dialogue' WHEN regexp_matches(t, '@[\\w.-]+') OR regexp_matches(t, '(?i)https?://|www\\.|\\b[\\w.-]+\\.(com|net|org|ru|io|me|tv|gg)(/|\\b)') THEN 'sign'
-  WHEN (regexp_matches(t, '\\p{{L}}') AND upper(t) = t AND length(t) <= 24 AND (n <= 2 OR len(tok) = 1 OR (n > 0 AND NOT list_contains(dict, false))))
-    OR lower(trim(t, {_PUNCT})) IN ('startle','shake','whisper','squeeze','pull','kiss','glance','jiggle','shiver','tremble','nod','gulp','nudge','poke','pat','blush','giggle','sniff','sob') OR list_contains(words, upper(trim(t, {_PUNCT}))) THEN 'sfx'
+  WHEN (regexp_matches(t, '\\p{{L}}') AND upper(t) = t AND length(t) <= 24 AND (n <= 2 OR len(tok) = 1 OR all_known))
+    OR lower(trim(t, {_PUNCT})) IN ('startle','shake','whisper','squeeze','pull','kiss','glance','jiggle','shiver','tremble','nod','gulp','nudge','poke','pat','blush','giggle','sniff','sob') OR known THEN 'sfx'
   WHEN n >= 3 AND upper(t) = t THEN 'narration' WHEN regexp_matches(t, '(!|\\?|…|\\.\\.\\.)$') THEN CASE WHEN n = 1 THEN 'sfx' ELSE 'narration' END
   WHEN regexp_matches(t, '\\p{{L}}') AND (length(t) <= 12 OR (n <= 3 AND length(t) <= 24)) THEN 'sign' ELSE 'narration' END AS block_type FROM v""")
 def _(s, d):
-    text = "CASE region_id % 6 WHEN 0 THEN concat(text, '!') WHEN 1 THEN upper(split_part(text, ' ', 1)) WHEN 2 THEN concat('see www.', text) WHEN 3 THEN concat(text, ' and so it went on…') WHEN 4 THEN 'nod' ELSE text END"
-    r = table(s, d, "regions").withColumns({"text": F.expr(text), "in_bubble": F.col("bx").isNotNull()})
-    sounds = [x[0] for x in given(s, d, "part").filter("p_partkey < 20").select(F.upper("p_name")).distinct().collect()]  # at most 19 words
-    return loc.classify_blocks(r, sounds).select(*_KEYS, "block_type")
+    r = table(s, d, "regions").withColumns({"text": F.expr(_TYPED), "in_bubble": F.col("bx").isNotNull()})
+    return loc.classify_blocks(r, s.sql(_DICT, part=given(s, d, "part"))).select(*_KEYS, "block_type")
 
 
 @query("f02_assign_roles", duck("regions") + """, r AS (SELECT *, CASE region_id % 5 WHEN 0 THEN text || ' HaHa' WHEN 1 THEN 'X' || region_id ELSE text END AS t FROM regions),
@@ -213,13 +249,13 @@ def _(s, d):
     c = given(s, d, "conversations")
     obj = F.to_json(F.struct(F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n")))
     fence, k = F.lit("```"), F.col("turn") % 5
-    body = F.when(k == 0, obj).when(k == 1, F.concat(F.lit("<think>{x}</think> "), obj)).when(k == 2, F.concat(F.lit("so: "), fence, F.lit("json\n"), obj, F.lit("\n"), fence)) \
-        .when(k == 3, F.concat(F.lit("lost</think> answer "), obj, F.lit(" done"))).otherwise(F.lit("no object"))
+    body = F.when(k == 0, obj).when(k == 1, F.concat(F.lit('<THINK>{"n": -1}</Think> '), obj)).when(k == 2, F.concat(F.lit("so: "), fence, F.lit("json\n"), obj, F.lit("\n"), fence)) \
+        .when(k == 3, F.concat(F.lit('lost {"n": -2}</THINK> answer '), obj, F.lit(" done"))).otherwise(F.lit("no object"))
     ok, bad = loc.parse_replies(c.withColumn("body", body), "n long")
     return ok.select("conv_id", "turn", F.lit("ok").alias("kind"), F.col("reply.n").alias("n")).unionByName(bad.select("conv_id", "turn", F.lit("bad").alias("kind"), F.lit(None).cast("long").alias("n")))
 
 
-@query("f04_rewrite_set", duck("mixed_docs") + f""", n AS (SELECT *, {_scripts('text')} FROM mixed_docs), c AS (SELECT *, letters - cyr - lat AS other FROM n) SELECT doc_id FROM c WHERE {_LEAK}""")
+@query("f04_rewrite_set", duck("mixed_docs") + f", s AS (SELECT doc_id, {_own('text')} AS t FROM mixed_docs), {_tokens('s', 't', 'doc_id')} SELECT doc_id FROM k WHERE {_FOREIGN}")
 def _(s, d):
     docs = table(s, d, "mixed_docs").select("doc_id", F.lit("").alias("text"), F.col("text").alias("translation"))
     return loc.rewrite_set(docs, "ru").select("doc_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import word_key
 from ..operators import proposals as pr
 from ..sources import plans, readers
 from ..streaming import jobs as sj
@@ -22,7 +23,8 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-@query("s03_archive_members")
+@query("s03_archive_members", duck("sheets") + """, m AS (SELECT page_id % 40 AS archive_id, CASE page_id % 8 WHEN 1 THEN 'a/p' || page_id || '.PNG' WHEN 3 THEN 'c/p' || page_id || '.jpg' ELSE 'twice.png' END AS path, min(page_id) AS n FROM sheets WHERE page_id % 8 IN (1, 3, 6) GROUP BY ALL)
+SELECT archive_id, path, row_number() OVER (PARTITION BY archive_id ORDER BY substr(path, 1, 1), n) - 1 AS ord FROM m""")
 def _(s, d):
     p = table(s, d, "sheets")
     name = "CASE page_id % 8 WHEN 0 THEN concat('../p', page_id, '.png') WHEN 1 THEN concat('a/./b/../p', page_id, '.PNG') WHEN 2 THEN concat('/abs/p', page_id, '.png') WHEN 3 THEN concat('c\\\\p', page_id, '.jpg') WHEN 4 THEN concat('p', page_id, '-mask.png') WHEN 5 THEN concat('1/2/3/4/5/p', page_id, '.png') WHEN 6 THEN 'twice.png' ELSE concat('p', page_id, '.txt') END"
@@ -56,6 +58,29 @@ def _(s, d):
     return plans.plan_export(p, _artifacts(p), ["result", "clean"])[0]
 
 
+def _requested(s, d):
+    """Half of the pages, backwards, and for each tenth one that is not there."""
+    p = table(s, d, "sheets").withColumns({"chapter": F.expr("concat('ch', page_id % 3)"), "stem": F.expr("concat('..{s', page_id, '}')"), "name": F.lit("")})
+    request = p.filter("page_id % 2 = 1").selectExpr("project_id", "page_id", "-pos AS pos").unionByName(p.filter("page_id % 10 = 0").selectExpr("project_id", "-page_id - 1 AS page_id", "pos"))
+    return plans.plan_export(p, _artifacts(p), ["clean"], request=request, template="C:/{chapter}/../{index:03}_{stem}")
+
+
+@query("s08_export_named", duck("sheets") + """, k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY -pos, page_id) AS i FROM sheets WHERE page_id % 2 = 1 AND status IN ('done', 'offline', 'ready'))
+SELECT project_id, page_id, i AS "index", 'ch' || page_id % 3 || '/' || CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 3, '0') ELSE i::VARCHAR END || '_..s' || page_id || '.png' AS name, 'ch' || page_id % 3 || '/' || CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 3, '0') ELSE i::VARCHAR END || '_..s' || page_id || '-clean.png' AS clean FROM k""")
+def _(s, d):
+    return _requested(s, d)[0]
+
+
+@query("s08_export_refused", duck("sheets") + """ SELECT project_id, page_id, 'not ready' AS reason FROM sheets WHERE page_id % 2 = 1 AND status NOT IN ('done', 'offline', 'ready') UNION ALL SELECT project_id, -page_id - 1, 'unknown' FROM sheets WHERE page_id % 10 = 0""")
+def _(s, d):
+    return _requested(s, d)[1]
+
+
+@query("s12_run_report", duck("run_pages") + " SELECT run_id, CASE status WHEN 'done' THEN 'pages' WHEN 'error' THEN 'errors' ELSE 'skipped' END AS kind, id, image, CASE WHEN status = 'error' THEN error ELSE '' END AS note FROM run_pages")
+def _(s, d):
+    return plans.run_report(table(s, d, "run_pages"))
+
+
 @query("s08_export_skipped", duck("sheets") + " SELECT project_id, page_id, CASE WHEN status NOT IN ('done', 'offline', 'ready') THEN 'not ready' ELSE 'missing' END AS reason FROM sheets WHERE NOT (status IN ('done', 'offline', 'ready') AND page_id % 6 > 0 AND page_id % 8 > 0)")
 def _(s, d):
     p = table(s, d, "sheets")
@@ -97,44 +122,64 @@ def _(s, d):
     return pr.dedupe_proposals(r.filter("ord % 2 = 0"), r.filter("ord % 2 = 1"))
 
 
-@query("j17_unclaimed_words", duck("regions") + """, w AS (SELECT page_id, region_id AS word_id, regexp_replace(lower(split_part(text, ' ', 2)), '[^a-z]', '', 'g') AS key, x, y, w, h FROM regions WHERE region_id % 2 = 0 AND confidence >= 0.98), k AS (SELECT * FROM w WHERE length(key) BETWEEN 4 AND 20),
-o AS (SELECT * FROM regions WHERE region_id % 2 = 1), t AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM o),
-sq AS (SELECT t.*, array_to_string(list_transform(range(1, length(token) + 1), lambda i: CASE WHEN i > 1 AND token[i] = token[i - 1] THEN '' ELSE token[i] END), '') AS s FROM t),
-kq AS (SELECT k.*, array_to_string(list_transform(range(1, length(key) + 1), lambda i: CASE WHEN i > 1 AND key[i] = key[i - 1] THEN '' ELSE key[i] END), '') AS s FROM k),
-f AS (SELECT * FROM kq WHERE NOT EXISTS (SELECT 1 FROM sq WHERE sq.page_id = kq.page_id AND (contains(token, key) OR sq.s = kq.s OR levenshtein(token, key) <= 1)))
-SELECT page_id, word_id, key FROM f WHERE EXISTS (SELECT 1 FROM o WHERE o.page_id = f.page_id AND least(o.x + o.w, f.x + f.w) > greatest(o.x, f.x) AND least(o.y + o.h, f.y + f.h) > greatest(o.y, f.y)) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY word_id) <= 64""")
+_KEY = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+_UNCLAIMED = "CASE WHEN region_id % 3 = 0 THEN concat(split_part(text, ' ', 2), 'xqzvw', region_id % 2) WHEN region_id % 3 = 1 THEN concat('Zz', upper(split_part(text, ' ', 1)), 'wwvq') ELSE split_part(text, ' ', 2) END"
+
+
+def _squeezed(c: str) -> str:
+    return f"array_to_string(list_transform(range(1, length({c}) + 1), lambda i: CASE WHEN i > 1 AND {c}[i] = {c}[i - 1] THEN '' ELSE {c}[i] END), '')"
+
+
+@query("j17_unclaimed_words", duck("regions") + f""", w AS (SELECT page_id, region_id AS word_id, {_KEY.format(_UNCLAIMED)} AS key, x, y, w, h, region_id % 13 AS angle FROM regions WHERE region_id % 2 = 0 AND confidence >= 0.5),
+k AS (SELECT *, {_squeezed('key')} AS s FROM w WHERE regexp_matches(key, '^[a-z]{{4,20}}$')), o AS MATERIALIZED (SELECT *, region_id % 4 AS rotation, region_id % 10 < 6 AS rule FROM regions WHERE region_id % 2 = 1),
+n AS (SELECT DISTINCT page_id, {_KEY.format('text')} AS whole FROM o), t AS (SELECT DISTINCT page_id, {_KEY.format('token')} AS token FROM (SELECT page_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS token FROM o)), q AS MATERIALIZED (SELECT *, {_squeezed('token')} AS s FROM t WHERE token <> ''),
+a AS (SELECT k.* FROM k ANTI JOIN n ON n.page_id = k.page_id AND contains(whole, key)), b AS (SELECT a.* FROM a ANTI JOIN q ON q.page_id = a.page_id AND (q.s = a.s OR levenshtein(token, key) <= 1 OR (contains(key, token) AND length(token) >= 3 AND 2 * length(token) >= length(key)))),
+c AS (SELECT b.* FROM b ANTI JOIN o ON o.page_id = b.page_id AND (o.manual OR o.edited) AND least(o.x + o.w, b.x + b.w) > greatest(o.x, b.x) AND least(o.y + o.h, b.y + b.h) > greatest(o.y, b.y))
+SELECT page_id, word_id, key FROM c SEMI JOIN o ON o.page_id = c.page_id AND NOT (o.manual OR o.edited) AND trim(o.translation) <> '' AND o.rule AND abs(c.angle - o.rotation) > 3 AND least(o.x + o.w, c.x + c.w) > greatest(o.x, c.x) AND least(o.y + o.h, c.y + c.h) > greatest(o.y, c.y)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY word_id) <= 64""")
 def _(s, d):
     r = table(s, d, "regions")
-    words = r.filter("region_id % 2 = 0").select("page_id", F.col("region_id").alias("word_id"), F.expr("split_part(text, ' ', 2) AS text"), *"xywh", "confidence")
-    return pr.unclaimed_words(words, r.filter("region_id % 2 = 1").select("page_id", "text", *"xywh"))
+    words = r.filter("region_id % 2 = 0 AND confidence >= 0.5").selectExpr("page_id", "region_id AS word_id", f"{_UNCLAIMED} AS text", *"xywh", "1D AS confidence", "CAST(region_id % 13 AS DOUBLE) AS angle")
+    known = r.filter("region_id % 2 = 1").selectExpr("page_id", "text", *"xywh", "manual", "edited", "translation", "CASE WHEN region_id % 10 < 3 THEN 'bubble' WHEN region_id % 10 < 6 THEN 'free' ELSE '' END AS kind", "CAST(region_id % 4 AS DOUBLE) AS rotation")
+    return pr.unclaimed_words(words, known)
 
 
-@query("j21_verify_reads")
+@query("j21_verify_reads", duck("regions") + """, r AS (SELECT page_id, region_id, CASE WHEN region_id % 9 = 0 THEN NULL ELSE text END AS text, confidence FROM regions),
+o AS (SELECT page_id, bool_or(page_id % 7 = 0 AND coalesce(trim(text), '') <> '') AS off FROM r GROUP BY 1), c AS (SELECT *, count(*) OVER (PARTITION BY page_id, text) AS n FROM r)
+SELECT page_id, region_id, off OR text IS NULL OR (trim(text) <> '' AND n > 1) OR (trim(text) = '' AND confidence >= 0.5) AS again FROM c JOIN o USING (page_id)""")
 def _(s, d):
-    r = table(s, d, "regions").select("page_id", "region_id", "text", "confidence")
-    return pr.verify_reads(r, r.selectExpr("page_id", "region_id", "CASE WHEN page_id % 7 = 0 THEN reverse(text) ELSE lower(text) END AS text"))
+    r = table(s, d, "regions").selectExpr("page_id", "region_id", "CASE WHEN region_id % 9 = 0 THEN NULL ELSE text END AS text", "confidence")
+    return pr.verify_reads(r, r.selectExpr("page_id", "region_id", "CASE WHEN page_id % 7 = 0 THEN 'ЖЖЖЖ' ELSE concat(' ', upper(text)) END AS text"))
 
 
 @query("j24_recover_lines")
 def _(s, d):
     r = table(s, d, "regions")
-    words = r.filter("region_id % 2 = 0").select("page_id", F.col("region_id").alias("word_id"), "text", *"xywh")
-    return pr.recover_lines(words, r.filter("region_id % 2 = 1"))
+    words = r.filter("region_id % 2 = 0").selectExpr("page_id", "region_id AS word_id", "CASE WHEN region_id % 10 = 0 THEN 'a-' WHEN region_id % 3 = 0 THEN upper(split_part(text, ' ', 1)) ELSE text END AS text", *"xywh", "confidence")
+    return pr.recover_lines(words, r.filter("region_id % 2 = 1"), given(s, d, "part").selectExpr("upper(p_name) AS word"))
 
 
-@query("j26_confirm_proposals", duck("regions") + """, p AS (SELECT page_id * 1000 + region_id AS id, lower(text) AS key, region_id % 2 = 0 AS complete, w, h FROM regions WHERE text <> ''),
-c AS (SELECT id, CASE WHEN id % 5 = 0 THEN key || 'more' ELSE key END AS key, w * 2 AS w, h FROM p WHERE id % 7 > 0), n AS (SELECT id, key, w, h, count(*) OVER (PARTITION BY id) AS n FROM (SELECT * FROM c UNION ALL SELECT * FROM c WHERE id % 11 = 0))
-SELECT p.id AS proposal_id FROM p JOIN n USING (id) WHERE n = 1 AND (p.key = n.key OR (complete AND contains(n.key, p.key) AND length(n.key) <= greatest(24, 3 * length(p.key)) AND n.w * n.h <= 6 * p.w * p.h AND n.w <= 3 * p.w AND n.h <= 3 * p.h)) AND id % 3 > 0""")
+@query("j26_confirm_proposals", duck("regions") + f""", p AS MATERIALIZED (SELECT page_id * 1000 + region_id AS id, {_KEY.format('t')} AS key, replace(t, ' ', '') AS plain, complete, w, h FROM (SELECT *, CASE WHEN region_id % 10 = 0 THEN '? !' ELSE text END AS t, region_id % 2 = 0 AS complete FROM regions WHERE text <> '')),
+c AS (SELECT id, CASE WHEN id % 5 = 0 THEN key || 'more' WHEN id % 13 = 0 THEN 'other' ELSE key END AS key, w * 2 AS w, h FROM p WHERE id % 7 > 0), b AS MATERIALIZED (SELECT * FROM c UNION ALL SELECT * FROM c WHERE id % 11 = 0 UNION ALL SELECT id, 'far', w, h FROM c WHERE id % 4 = 0),
+a AS (SELECT id, any_value(p.key) AS wanted, any_value(plain) AS plain, any_value(b.key) AS expected FROM p JOIN b USING (id) WHERE p.key = b.key OR (complete AND length(p.key) >= 3 AND contains(b.key, p.key) AND length(b.key) <= greatest(24, 3 * length(p.key)) AND b.w * b.h <= 6 * p.w * p.h AND b.w <= 3 * p.w AND b.h <= 3 * p.h) GROUP BY id HAVING count(*) = 1)
+SELECT id AS proposal_id FROM a WHERE CASE WHEN wanted <> '' THEN id % 3 > 0 ELSE id % 4 > 0 END""")
 def _(s, d):
-    p = table(s, d, "regions").filter("text <> ''").selectExpr("page_id * 1000 + region_id AS proposal_id", "lower(text) AS key", "region_id % 2 = 0 AS complete", "x", "y", "w", "h")
-    c = p.filter("proposal_id % 7 > 0").selectExpr("proposal_id", "CASE WHEN proposal_id % 5 = 0 THEN concat(key, 'more') ELSE key END AS key", "x", "y", "w * 2 AS w", "h")
-    return pr.confirm_proposals(p, c.unionByName(c.filter("proposal_id % 11 = 0")), c.filter("proposal_id % 3 > 0").select("proposal_id", "key"))
+    r = table(s, d, "regions").filter("text <> ''").withColumn("t", F.expr("CASE WHEN region_id % 10 = 0 THEN '? !' ELSE text END"))
+    p = r.select((F.col("page_id") * 1000 + F.col("region_id")).alias("proposal_id"), word_key("t").alias("key"), F.replace("t", F.lit(" "), F.lit("")).alias("plain"), F.expr("region_id % 2 = 0").alias("complete"), "x", "y", "w", "h")
+    c = p.filter("proposal_id % 7 > 0").selectExpr("proposal_id", "CASE WHEN proposal_id % 5 = 0 THEN concat(key, 'more') WHEN proposal_id % 13 = 0 THEN 'other' ELSE key END AS key", "x", "y", "w * 2 AS w", "h", "plain")
+    located = c.drop("plain").unionByName(c.drop("plain").filter("proposal_id % 11 = 0")).unionByName(c.drop("plain").filter("proposal_id % 4 = 0").withColumn("key", F.lit("far")))
+    readings = c.selectExpr("proposal_id", "CASE WHEN proposal_id % 3 > 0 THEN key ELSE 'misread' END AS key", "CASE WHEN proposal_id % 4 > 0 THEN plain ELSE concat(plain, 'x') END AS plain")
+    return pr.confirm_proposals(p, located, readings)
 
 
-@query("t03_budget")
+@query("t03_budget", duck("regions", "sheets").replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS MATERIALIZED (SELECT page_id // 8 AS page_id, region_id * 7 % 4 AS tile, page_id * 1000 + region_id AS ord, text FROM regions),
+n AS MATERIALIZED (SELECT t.page_id, t.tile, count(c.ord) AS n FROM (SELECT DISTINCT page_id // 8 AS page_id, tile FROM sheets, range(5) r(tile)) t LEFT JOIN c ON c.page_id = t.page_id AND c.tile = t.tile GROUP BY ALL),
+st(page_id, tile, share, rest) AS (SELECT DISTINCT page_id, -1::BIGINT, 0::BIGINT, 24::BIGINT FROM n UNION ALL SELECT n.page_id, n.tile, st.rest // (5 - n.tile), st.rest - least(n.n, st.rest // (5 - n.tile)) FROM st JOIN n ON n.page_id = st.page_id AND n.tile = st.tile + 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id, tile ORDER BY length(text), ord) AS r FROM c) SELECT page_id, tile, ord, text FROM k JOIN st USING (page_id, tile) WHERE r <= share""")
 def _(s, d):
-    r = table(s, d, "regions").selectExpr("page_id", "region_id % 4 AS tile", "region_id AS ord", "text")
-    return pr.budget_candidates(r, 8)
+    c = table(s, d, "regions").selectExpr("page_id div 8 AS page_id", "region_id * 7 % 4 AS tile", "page_id * 1000 + region_id AS ord", "text")
+    tiles = table(s, d, "sheets").selectExpr("page_id div 8 AS page_id", "explode(sequence(0L, 4L)) AS tile").distinct()
+    return pr.budget_candidates(c, tiles)
 
 
 _LIMIT = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -162,11 +207,20 @@ def _(s, d):
 
 
 @query("r03_stalls", duck("job_events") + """, n AS (SELECT job_id, ts, type, date_sub('second', ts, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id)) AS seconds FROM job_events)
-SELECT job_id, ts AS since, seconds FROM n WHERE type NOT IN ('job.finished', 'job.failed', 'job.cancelled') AND seconds > 1800""")
+SELECT job_id, ts AS since, CASE WHEN seconds > 1800 THEN 'timeout' ELSE 'beat' END AS kind, seconds FROM n WHERE type NOT IN ('job.finished', 'job.failed', 'job.cancelled') AND seconds > 30""")
 def _(s, d):
     return sj.stalls(table(s, d, "job_events"))
 
 
+@query("r03_close_pages", duck("job_events", "sheets") + """, f AS (SELECT job_id, arg_min(type, {'a': ts, 'b': event_id}) AS type, row_number() OVER (ORDER BY job_id) AS n FROM job_events WHERE type IN ('job.finished', 'job.failed', 'job.cancelled') GROUP BY 1)
+SELECT job_id, page_id, CASE WHEN type = 'job.cancelled' THEN 'idle' ELSE 'error' END AS status FROM sheets JOIN f ON 'j' || page_id % 97 = 'j' || substr(job_id, 1, position('-' IN job_id) - 1) WHERE status = 'running'""")
+def _(s, d):
+    ended = table(s, d, "job_events").filter("type IN ('job.finished', 'job.failed', 'job.cancelled')").groupBy("job_id").agg(F.min_by("type", F.struct("ts", "event_id")).alias("type"))
+    owners = ended.select("job_id", F.expr("split_part(job_id, '-', 1)").alias("owner"))
+    pages = table(s, d, "sheets").selectExpr("page_id", "status", "CAST(page_id % 97 AS STRING) AS owner").join(owners, "owner").select("job_id", "page_id", "status")
+    return sj.close_pages(pages, ended)
+
+
 @query("r04_dedupe_submissions", duck("submissions") + """, k AS (SELECT *, regexp_replace(page_url, '#.*$', '') || '|' || image_url AS work_key FROM submissions)
 SELECT sub_id, work_key, CASE WHEN image_url LIKE 'blob:%' THEN 'error' WHEN fresh OR row_number() OVER (PARTITION BY work_key ORDER BY ts, sub_id) = 1 THEN 'new' ELSE 'reuse' END AS action FROM k""")
 def _(s, d):

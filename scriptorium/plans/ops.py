@@ -44,9 +44,11 @@ def _(s, d):
     return st.queue_positions(_jobs(s, d)).select("job_id", "position")
 
 
-@query("w05_eta", "WITH " + _JOBS + " SELECT job_id, CASE WHEN status = 'running' THEN round(avg(seconds) OVER (PARTITION BY lane ORDER BY submitted, job_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) * (100 - progress) / 100, 6) END AS eta FROM jobs")
+@query("w05_eta", "WITH " + _JOBS + """, l AS (SELECT lane, seconds FROM jobs WHERE status = 'done' QUALIFY row_number() OVER (PARTITION BY lane ORDER BY submitted DESC, job_id DESC) <= 20), m AS (SELECT lane, avg(seconds) AS mean FROM l GROUP BY 1)
+SELECT job_id, CASE WHEN status IN ('queued', 'running') THEN round(mean * (100 - progress) / 100, 6) END AS eta FROM jobs LEFT JOIN m USING (lane)""")
 def _(s, d):
-    return st.eta(_jobs(s, d)).select("job_id", "eta")
+    jobs = _jobs(s, d).withColumn("finished", F.when(F.col("status") == "done", F.col("submitted")))
+    return st.eta(jobs).select("job_id", "eta")
 
 
 @query("w06_keep_last", duck("job_events") + " SELECT device_id, event_id FROM job_events QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, event_id DESC) <= 5")
@@ -54,11 +56,22 @@ def _(s, d):
     return st.keep_last(table(s, d, "job_events"), ["device_id"], [F.desc("ts"), F.desc("event_id")], 5).select("device_id", "event_id")
 
 
-@query("w07_evict", duck("cache_access") + """, i AS (SELECT cache_id, token, arg_max(size, {'a': ts, 'b': event_id}) AS size, max(ts) AS last_used FROM cache_access GROUP BY ALL)
-SELECT cache_id, token, sum(size) OVER (PARTITION BY cache_id ORDER BY last_used DESC, token DESC ROWS UNBOUNDED PRECEDING) <= 9000 AS kept FROM i WHERE size <= 9000""")
+_INDEX = "i AS MATERIALIZED (SELECT cache_id, token, arg_max(size, {'a': ts, 'b': event_id}) AS size, max(ts) AS last_used FROM cache_access GROUP BY ALL)"
+
+
+def _index(s, d):
+    return table(s, d, "cache_access").groupBy("cache_id", "token").agg(F.max_by("size", F.struct("ts", "event_id")).alias("size"), F.max("ts").alias("last_used"))
+
+
+@query("w07_evict", duck("cache_access") + f", {_INDEX} SELECT cache_id, token, sum(size) OVER (PARTITION BY cache_id ORDER BY last_used DESC, token DESC ROWS UNBOUNDED PRECEDING) <= 9000 AS kept FROM i WHERE size <= 9000")
 def _(s, d):
-    index = table(s, d, "cache_access").groupBy("cache_id", "token").agg(F.max_by("size", F.struct("ts", "event_id")).alias("size"), F.max("ts").alias("last_used"))
-    return st.evict(index, 9000).select("cache_id", "token", "kept")
+    return st.evict(_index(s, d), 9000).select("cache_id", "token", "kept")
+
+
+@query("w07_evict_locked", duck("cache_access") + f""", {_INDEX}, k AS (SELECT *, token LIKE '%7' AS locked FROM i), f AS (SELECT cache_id, sum(size) AS fixed FROM k WHERE locked GROUP BY 1)
+SELECT cache_id, token, locked OR coalesce(fixed, 0) + sum(CASE WHEN locked THEN 0 ELSE size END) OVER (PARTITION BY cache_id ORDER BY last_used DESC, token DESC ROWS UNBOUNDED PRECEDING) <= 9000 AS kept FROM k LEFT JOIN f USING (cache_id) WHERE locked OR size <= 9000""")
+def _(s, d):
+    return st.evict(_index(s, d).withColumn("locked", F.col("token").endswith("7")), 9000).select("cache_id", "token", "kept")
 
 
 @query("w08_versions_chain", duck("versions").replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ts, edit_id) AS k FROM versions),
@@ -135,10 +148,15 @@ def _(s, d):
     return st.dirty_bounds(p, n, table(s, d, "sheets"))
 
 
-@query("a19_short_reply_cap", duck("regions") + """, r AS (SELECT page_id, region_id, substr(translation, 1, CAST(region_id % 20 AS INTEGER)) AS tr, 10 + region_id % 17 AS font, h, bx FROM regions)
-SELECT a.page_id, a.region_id, CAST(round_even(coalesce(1.15::DOUBLE * quantile_cont(b.font, 0.5), 0.45::DOUBLE * any_value(a.h)), 0) AS BIGINT) AS cap FROM r a LEFT JOIN r b ON a.page_id = b.page_id AND b.bx IS NOT NULL AND b.font >= 14 AND b.region_id <> a.region_id WHERE length(a.tr) <= 12 GROUP BY ALL""")
+_SHORT = "substr(CASE region_id % 3 WHEN 0 THEN translation WHEN 1 THEN concat(substr(translation, 3, 3), ' ', upper(text)) ELSE concat('a? ', text) END, 1, CAST(region_id % 20 AS INTEGER))"
+
+
+@query("a19_short_reply_cap", duck("regions") + f""", r AS MATERIALIZED (SELECT page_id, region_id, trim({_SHORT}) AS tr, 10 + region_id % 17 AS font, 18 + region_id % 5 AS high, h + 10 AS inner_, bx FROM regions),
+q AS (SELECT * FROM r WHERE tr <> '' AND (length(regexp_replace(tr, '[^\\p{{L}}\\p{{N}}]', '', 'g')) <= 4 OR (len(string_split_regex(tr, ' +')) <= 2 AND length(tr) <= 8)))
+SELECT a.page_id, a.region_id, least(any_value(a.high), greatest(14, CAST(round_even(coalesce(1.15::DOUBLE * quantile_cont(b.font, 0.5), 0.45::DOUBLE * any_value(a.inner_)), 0) AS BIGINT))) AS cap
+FROM q a LEFT JOIN r b ON a.page_id = b.page_id AND b.bx IS NOT NULL AND b.font >= 14 AND b.region_id <> a.region_id GROUP BY ALL""")
 def _(s, d):
-    r = table(s, d, "regions").selectExpr("page_id", "region_id", "substr(translation, 1, CAST(region_id % 20 AS INT)) AS translation", "10 + region_id % 17 AS font", "h", "bx")
+    r = table(s, d, "regions").selectExpr("page_id", "region_id", f"{_SHORT} AS translation", "10 + region_id % 17 AS font", "18 + region_id % 5 AS high", "h + 10 AS interior_h", "bx")
     return st.short_reply_cap(r, 14)
 
 
@@ -241,10 +259,27 @@ def _(s, d):
     return qu.cleanup_residue(table(s, d, "pixels"))
 
 
-@query("a10_scoped_hits", duck("regions", "pixels") + f""", i AS (SELECT p.page_id, comp_id, region_id, count(*) AS n FROM pixels p JOIN regions r ON p.page_id = r.page_id AND p.gt AND p.x BETWEEN r.x - 12 AND r.x + r.w + 11 AND p.y BETWEEN r.y - 12 AND r.y + r.h + 11 GROUP BY ALL),
-o AS (SELECT page_id, comp_id, first(region_id ORDER BY n DESC, region_id) AS region_id FROM i GROUP BY ALL), h AS (SELECT page_id, comp_id, {_r('count_if(pred)', 'count(*)')} AS rate FROM pixels WHERE gt GROUP BY ALL) SELECT page_id, comp_id, region_id, rate FROM h LEFT JOIN o USING (page_id, comp_id)""")
+@query("a10_scoped_hits", duck("regions", "pixels") + f""", i AS (SELECT p.page_id, comp_id, region_id, block_type, count(*) AS n FROM pixels p JOIN regions r ON p.page_id = r.page_id AND p.pred AND p.x BETWEEN r.x - 12 AND r.x + r.w + 11 AND p.y BETWEEN r.y - 12 AND r.y + r.h + 11 GROUP BY ALL),
+o AS (SELECT page_id, comp_id, first(region_id ORDER BY n DESC, region_id) AS region_id, first(block_type ORDER BY n DESC, region_id) AS kind FROM i GROUP BY ALL), {_WIDE},
+h AS (SELECT page_id, comp_id, {_r('count(w.x)', 'count(*)')} AS rate FROM pixels LEFT JOIN w USING (page_id, x, y) WHERE pred GROUP BY ALL) SELECT page_id, comp_id, region_id, rate FROM h JOIN o USING (page_id, comp_id) WHERE kind <> 'sfx'""")
 def _(s, d):
-    return qu.scoped_hits(table(s, d, "pixels"), table(s, d, "regions"))
+    return qu.scoped_hits(table(s, d, "pixels"), table(s, d, "regions"), scope="text", margin=2)
+
+
+_SMALL = "small AS (SELECT page_id, region_id, region_id % 9 - 1 AS x, region_id % 7 AS y, CAST(6 AS BIGINT) AS w, CAST(5 AS BIGINT) AS h FROM regions)"
+
+
+@query("a11_false_regions", duck("regions", "pixels") + f""", {_SMALL}, n AS (SELECT r.page_id, r.region_id, count(*) AS n, count_if(gt) AS inside FROM pixels p JOIN small r ON p.page_id = r.page_id AND p.pred AND p.x BETWEEN r.x AND r.x + r.w - 1 AND p.y BETWEEN r.y AND r.y + r.h - 1 GROUP BY ALL)
+SELECT page_id, region_id, n, CAST(inside AS BIGINT) AS inside FROM n WHERE n >= 10 AND 2 * inside < n""")
+def _(s, d):
+    small = table(s, d, "regions").selectExpr("page_id", "region_id", "region_id % 9 - 1 AS x", "region_id % 7 AS y", "6L AS w", "5L AS h")
+    return qu.false_regions(table(s, d, "pixels"), small, 10)
+
+
+@query("a11_proposal_recall", duck("pixels") + " SELECT page_id, round(count_if(gt AND g % 3 > 0)::DOUBLE / nullif(count_if(gt), 0), 4) AS recall FROM pixels GROUP BY 1")
+def _(s, d):
+    p = table(s, d, "pixels")
+    return qu.proposal_recall(p, p.filter("g % 3 > 0"))
 
 
 @query("a11_region_errors", duck("pixels") + " SELECT page_id, comp_id, count_if(pred) >= 12 AND 2 * count_if(pred AND NOT gt) > count_if(pred) AS false_region, count_if(gt) >= 30 AND 5 * count_if(gt AND pred) < count_if(gt) AS missed FROM pixels GROUP BY ALL")
@@ -272,17 +307,38 @@ def _(s, d):
     return qu.stage_timings(q, "run_id")
 
 
-@query("a15_ab_verdict", duck("quality") + """, q AS (SELECT page, max(recall) AS recall, max(hit6) AS hit6, sum(seconds) AS seconds FROM quality GROUP BY 1), v AS (SELECT 'a' AS variant, page, recall - CASE WHEN page % 50 = 0 THEN 0.1 ELSE 0 END AS recall, hit6, seconds * 0.9 AS seconds FROM q UNION ALL SELECT 'b', page, recall, hit6, seconds * 1.01 FROM q)
-SELECT variant, CAST(count_if(q.recall - v.recall > 0.005 OR q.hit6 - v.hit6 > 0.005) AS BIGINT) AS weak_pages, round(sum(v.seconds), 6) AS seconds, round(sum(q.seconds), 6) AS pair_seconds, count_if(q.recall - v.recall > 0.005 OR q.hit6 - v.hit6 > 0.005) = 0 AND round(sum(v.seconds), 6) <= 1.02 * round(sum(q.seconds), 6) AS chosen FROM v JOIN q USING (page) GROUP BY 1""")
-def _(s, d):
+_VARIANTS = """q AS MATERIALIZED (SELECT page, max(recall) AS recall, max(hit6) AS hit6, sum(seconds) AS seconds FROM quality GROUP BY 1),
+v AS (SELECT 'a' AS variant, 0 AS rank, page, recall - CASE WHEN page % 50 = 0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS recall, hit6, seconds * 0.9::DOUBLE AS seconds FROM q
+  UNION ALL SELECT 'b', 1, page, recall, hit6 - CASE WHEN page % {n} = 0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END, seconds * 1.01::DOUBLE FROM q UNION ALL SELECT 'c', 2, page, recall, hit6, seconds * 1.5::DOUBLE FROM q)"""
+_VERDICT = """, g AS (SELECT variant, rank, sum(v.seconds) AS s, sum(q.seconds) AS p, coalesce(list(page ORDER BY page) FILTER (q.recall - v.recall > 0.005 OR q.hit6 - v.hit6 > 0.005), []) AS weak FROM v JOIN q USING (page) GROUP BY ALL),
+f AS (SELECT * FROM g WHERE p = 0 OR s <= 1.02::DOUBLE * p) SELECT coalesce(arg_min(variant, rank) FILTER (len(weak) = 0), 'pair') AS choice,
+  CASE WHEN count_if(len(weak) = 0) > 0 THEN '' ELSE coalesce(array_to_string(arg_min(weak, len(weak) * 10 + rank), ','), '') END AS weak_pages FROM f"""
+
+
+def _verdict(s, d, n):
     q = table(s, d, "quality").groupBy("page").agg(F.max("recall").alias("recall"), F.max("hit6").alias("hit6"), F.sum("seconds").alias("seconds"))
-    rows = q.selectExpr("'pair' AS variant", "page", "recall", "hit6", "seconds").unionByName(q.selectExpr("'a' AS variant", "page", "recall - CASE WHEN page % 50 = 0 THEN 0.1D ELSE 0D END AS recall", "hit6", "seconds * 0.9D AS seconds"))
-    return qu.ab_verdict(rows.unionByName(q.selectExpr("'b' AS variant", "page", "recall", "hit6", "seconds * 1.01D AS seconds")), ("a", "b"), "pair")
+    rows = q.selectExpr("'pair' AS variant", "page", "recall", "hit6", "seconds")
+    for v, recall, hit, time in (("a", "recall - CASE WHEN page % 50 = 0 THEN 0.1D ELSE 0D END", "hit6", 0.9), ("b", "recall", f"hit6 - CASE WHEN page % {n} = 0 THEN 0.1D ELSE 0D END", 1.01), ("c", "recall", "hit6", 1.5)):
+        rows = rows.unionByName(q.selectExpr(f"'{v}' AS variant", "page", f"{recall} AS recall", f"{hit} AS hit6", f"seconds * {time}D AS seconds"))
+    return qu.ab_verdict(rows, ("a", "b", "c"), "pair")
+
+
+@query("a15_ab_verdict", duck("quality") + ", " + _VARIANTS.format(n=1_000_000_007) + _VERDICT)
+def _(s, d):
+    return _verdict(s, d, 1_000_000_007)
+
+
+@query("a15_ab_verdict_pair", duck("quality") + ", " + _VARIANTS.format(n=70) + _VERDICT)
+def _(s, d):
+    return _verdict(s, d, 70)
 
 
-@query("a16_page_rollup", duck("regions") + """ SELECT page_id, count(*) AS n, CAST(count_if(trim(translation) <> '') AS BIGINT) AS translated, coalesce(string_agg(region_id::VARCHAR, ',' ORDER BY region_id) FILTER (overflow), '') AS overflow, min(h) FILTER (NOT skip) AS min_height FROM regions GROUP BY 1""")
+@query("a16_page_rollup", duck("regions") + """, n AS (SELECT page_id, count(*) AS warnings FROM regions WHERE region_id % 4 = 0 GROUP BY 1)
+SELECT page_id, count(*) AS n, CAST(count_if(trim(translation) <> '') AS BIGINT) AS translated, coalesce(string_agg(region_id::VARCHAR, ',' ORDER BY region_id) FILTER (overflow), '') AS overflow,
+  coalesce(min(region_id % 17) FILTER (NOT skip AND trim(text) <> '' AND trim(translation) <> '' AND block_type IN ('dialogue', 'narration', 'title', 'sfx') AND region_id % 17 > 0), 0) AS min_font, coalesce(any_value(warnings), 0) AS warnings FROM regions LEFT JOIN n USING (page_id) GROUP BY 1""")
 def _(s, d):
-    return qu.page_rollup(table(s, d, "regions"))
+    r = table(s, d, "regions").withColumn("font_size", F.expr("region_id % 17"))
+    return qu.page_rollup(r, r.filter("region_id % 4 = 0").select("page_id", "text"))
 
 
 @query("a23_reference_similarity", duck("pixels") + " SELECT page_id, round(CASE WHEN avg(abs(r - b)) >= 1 THEN 1 - avg(abs(r2 - b)) / avg(abs(r - b)) END, 6) AS similarity FROM pixels WHERE gt GROUP BY 1")
@@ -305,6 +361,17 @@ def _(s, d):
     return qu.review_summary(given(s, d, "labels").select(F.col("quality").alias("rating")))
 
 
+@query("a25_review_totals", "SELECT CAST(count_if(doc_id % 3 > 0) AS BIGINT) AS done, count(*) AS total, CAST(count_if(coalesce(quality, 0) > 0) AS BIGINT) AS rated, CAST(count_if(coalesce(quality, 0) = 0) AS BIGINT) AS unrated FROM labels")
+def _(s, d):
+    return qu.review_totals(given(s, d, "labels").selectExpr("CASE WHEN doc_id % 3 > 0 THEN 'done' ELSE 'error' END AS status", "quality AS rating"))
+
+
+@query("a25_comment_boxes", "SELECT image, CAST(n AS BIGINT) AS n, x1, y1, x2, y2 FROM (SELECT doc_id AS image, 0 AS n, (doc_id % 90)::DOUBLE AS x1, 5.5::DOUBLE AS y1, (doc_id % 100)::DOUBLE AS x2, 50::DOUBLE AS y2 FROM labels UNION ALL SELECT doc_id, 1, 1, 2, 3, (doc_id % 120)::DOUBLE FROM labels) b WHERE x2 <= 100 AND y2 <= 100 AND x2 > x1 AND y2 > y1")
+def _(s, d):
+    comment = "concat('see [Область (%): x1=', doc_id % 90, ', y1=5.5, x2=', doc_id % 100, ', y2=50] and [Область (%): x1=1, y1=2.0, x2=3, y2=', doc_id % 120, '.0] [Область (%): x1=a]')"
+    return qu.comment_boxes(given(s, d, "labels").selectExpr("doc_id AS image", f"{comment} AS comment"))
+
+
 @query("g01_compare_pixels", duck("pixels") + " SELECT page_id, CAST(count_if(r <> r2) AS BIGINT) AS changed, max(abs(r - r2)) AS largest FROM pixels GROUP BY 1")
 def _(s, d):
     p = table(s, d, "pixels")

@@ -79,6 +79,13 @@ def page_assets(pages: DataFrame, tag: str = "img", attribute: str = "src") -> D
     return df.select("page_id", F.col("n").cast("long").alias("n"), "url", reason.alias("reason"))
 
 
+def background_assets(pages: DataFrame) -> DataFrame:
+    """pages(page_id, html) → (page_id, n, url): what styles name as backgrounds, in order; data and blob addresses are none."""
+    urls = F.regexp_extract_all("html", F.lit(r"(?i)background(?:-image)?\s*:[^;\"'}>]*?url\(\s*(?:&quot;|[\"'])?([^\"')\s&]+)"), F.lit(1))
+    urls = F.filter(urls, lambda u: ~F.lower(u).rlike("^(data|blob):"))
+    return pages.select("page_id", F.posexplode(urls).alias("n", "url")).select("page_id", F.col("n").cast("long").alias("n"), "url")
+
+
 def content_dedupe(files: DataFrame) -> DataFrame:
     """files(path, pos, content) → by digest: the first path, how many there are, and whether sizes differ (an error)."""
     df = files.withColumns({"sha": F.sha2("content", 256), "size": F.octet_length("content")})

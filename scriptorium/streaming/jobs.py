@@ -11,40 +11,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.grouped import per_group
+from ..functions.grouped import per_group_running
 from ..operators.state import TERMINAL
 
 # ---------------------------------------------------------------- job states
 
 
+def _ms(ts) -> int:
+    return int(ts.timestamp() * 1000)
+
+
+def _us(ts) -> int:
+    return round(ts.timestamp() * 1e6)
+
+
+def _later(state: GroupState, ms: int) -> None:
+    """The state goes when the watermark passes that time."""
+    state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs() + 1))
+
+
 def job_state_stream(events: DataFrame, delay: str = "1 hour", forget_s: int = 3600) -> DataFrame:
-    """events(job_id, event_id, ts, type, progress) → changes of (job_id, status, progress): first terminal wins, progress within 0..100. A job's
-    state goes an hour after it has ended."""
+    """events(job_id, event_id, ts, type, progress) → changes of (job_id, status, progress). The terminal event that is first by (ts, event_id)
+    decides, in whatever order batches bring them; progress, within 0..100, is that of the last event before it. By event time, a
+    state goes `forget_s` after its last event."""
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        status, progress = state.get if state.exists else ("queued", -1)
+        status, end, end_id, progress, at, at_id, newest = state.get if state.exists else ("queued", None, None, -1, None, None, 0)
         before = (status, progress)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for t, p in zip(rows["type"], rows["progress"], strict=True):
-            if status in TERMINAL:
+        for i, ts, t, p in zip(rows["event_id"], rows["ts"], rows["type"], rows["progress"], strict=True):
+            place = (_us(ts), int(i))
+            newest = max(newest, _ms(ts))
+            if end is not None and place >= (end, end_id):
                 continue
-            if t == "job.progress":
-                status, progress = "job.running", min(100, max(0, int(p)))
-            elif t in TERMINAL:
-                status = t
-            else:
+            if t in TERMINAL:
+                status, (end, end_id) = t, place
+            elif end is None:
                 status = "job.running"
-        state.update((status, progress))
-        if status in TERMINAL:
-            state.setTimeoutDuration(forget_s * 1000)
+            if t == "job.progress" and (at is None or place > (at, at_id)):
+                progress, (at, at_id) = min(100, max(0, int(p))), place
+        state.update((status, end, end_id, progress, at, at_id, newest))
+        _later(state, newest + forget_s * 1000)
         if (status, progress) != before:
             yield pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [None if progress < 0 else progress]}).astype({"progress": "Int64"})
 
     return events.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(
-        fold, "job_id string, status string, progress long", "status string, progress long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+        fold, "job_id string, status string, progress long", "status string, end long, end_id long, progress long, at long, at_id long, newest long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- limits
@@ -59,21 +74,25 @@ def _accepted(stamps: list[datetime], now: datetime, limit: int, window_s: float
 def rate_limit(requests: DataFrame, limit: int = 30, window_s: float = 60) -> DataFrame:
     """requests(key, event_id, ts) → allowed: fewer than `limit` allowed ones in the last window; refused ones do not count, an empty key is refused."""
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        out, stamps = [], []
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        stamps: list[datetime] = []  # `limit` at most
         for key, event, ts in rows:
             ok = bool(key)
             if ok:
                 ok, stamps = _accepted(stamps, ts, limit, window_s)
-            out.append((key, event, ok))
-        return out
+            yield key, event, ok
 
     df = requests.select("key", "event_id", "ts")
-    return per_group(df, ["key"], ["ts", "event_id"], fold, "key string, event_id long, allowed boolean")
+    return per_group_running(df, ["key"], ["ts", "event_id"], fold, "key string, event_id long, allowed boolean")
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = 30, window_s: float = 60, delay: str = "1 minute") -> DataFrame:
+    """As rate_limit, request by request as batches bring them. A key's state goes when its last allowed request has left the window."""
+
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         stamps = [datetime.fromtimestamp(us / 1e6) for us in (state.get[0] if state.exists else [])]
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         allowed = []
@@ -82,32 +101,38 @@ def rate_limit_stream(requests: DataFrame, limit: int = 30, window_s: float = 60
             if ok:
                 ok, stamps = _accepted(stamps, ts.to_pydatetime(), limit, window_s)
             allowed.append(ok)
-        state.update(([round(t.timestamp() * 1e6) for t in stamps],))
+        state.update(([_us(t) for t in stamps],))
+        _later(state, _ms(rows["ts"].max()) + int(window_s * 1000))
         yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "allowed": allowed})
 
     return requests.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
-        fold, "key string, event_id long, allowed boolean", "stamps array<long>", "append", GroupStateTimeout.NoTimeout)
+        fold, "key string, event_id long, allowed boolean", "stamps array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def admit_pending(events: DataFrame, cap: int = 8) -> DataFrame:
     """events(queue, event_id, ts, kind in submit, hit, end) → submissions with admitted: refused where `cap` are unfinished; cache hits take no slot."""
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        out, busy = [], 0
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        busy = 0
         for queue, event, _, kind in rows:
             if kind == "end":
                 busy = max(0, busy - 1)
                 continue
             ok = kind == "hit" or busy < cap
             busy += ok and kind == "submit"
-            out.append((queue, event, ok))
-        return out
+            yield queue, event, ok
 
-    return per_group(events.select("queue", "event_id", "ts", "kind"), ["queue"], ["ts", "event_id"], fold, "queue string, event_id long, admitted boolean")
+    df = events.select("queue", "event_id", "ts", "kind")
+    return per_group_running(df, ["queue"], ["ts", "event_id"], fold, "queue string, event_id long, admitted boolean")
 
 
-def admit_stream(events: DataFrame, cap: int = 8, delay: str = "1 minute") -> DataFrame:
+def admit_stream(events: DataFrame, cap: int = 8, delay: str = "1 minute", forget_s: int = 86400) -> DataFrame:
+    """As admit_pending, event by event as batches bring them. Jobs of a queue without any event for `forget_s`, by event time, count as ended."""
+
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         busy = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         ids, admitted = [], []
@@ -120,43 +145,62 @@ def admit_stream(events: DataFrame, cap: int = 8, delay: str = "1 minute") -> Da
             ids.append(event)
             admitted.append(ok)
         state.update((busy,))
+        _later(state, _ms(rows["ts"].max()) + forget_s * 1000)
         yield pd.DataFrame({"queue": key[0], "event_id": ids, "admitted": admitted})
 
     return events.withWatermark("ts", delay).groupBy("queue").applyInPandasWithState(
-        fold, "queue string, event_id long, admitted boolean", "busy long", "append", GroupStateTimeout.NoTimeout)
+        fold, "queue string, event_id long, admitted boolean", "busy long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- stalls
 
 
-def stalls(events: DataFrame, timeout_s: int = 1800) -> DataFrame:
-    """events(job_id, event_id, ts, type): gaps of a running job longer than the timeout: (job_id, since, seconds)."""
+def stalls(events: DataFrame, beat_s: int = 30, timeout_s: int = 1800) -> DataFrame:
+    """events(job_id, event_id, ts, type): gaps of a running job: (job_id, since, kind, seconds); kind is beat for those longer than beat_s, timeout
+    for those longer than the timeout."""
     df = events.withColumn("next", F.lead("ts").over(Window.partitionBy("job_id").orderBy("ts", "event_id")))
     gap = F.timestamp_diff("SECOND", F.col("ts"), F.col("next"))
-    return df.withColumn("seconds", gap).filter(~F.col("type").isin(list(TERMINAL)) & (F.col("seconds") > timeout_s)).select("job_id", F.col("ts").alias("since"), F.col("seconds").cast("long").alias("seconds"))
+    df = df.withColumn("seconds", gap.cast("long")).filter(~F.col("type").isin(list(TERMINAL)) & (F.col("seconds") > beat_s))
+    return df.select("job_id", F.col("ts").alias("since"), F.when(F.col("seconds") > timeout_s, "timeout").otherwise("beat").alias("kind"), "seconds")
 
 
-def stall_stream(events: DataFrame, timeout_s: int = 1800, delay: str = "1 minute") -> DataFrame:
-    """Jobs that run without an event for the timeout, by event time: (job_id, since)."""
+def stall_stream(events: DataFrame, beat_s: int = 30, timeout_s: int = 1800, delay: str = "1 minute") -> DataFrame:
+    """Jobs that run without an event, by event time: (job_id, since, kind): beat once after beat_s, timeout after timeout_s; with a timeout the
+    job is given up. A terminal event, even one that comes late, ends the watch."""
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, beaten, ended = state.get if state.exists else (0, False, False)
         if state.hasTimedOut:
-            since = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "since": [pd.Timestamp(since, unit="ms")]})
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        last = rows.iloc[-1]
-        if (rows["type"].isin(TERMINAL)).any():
-            if state.exists:
+            if ended:
+                state.remove()
+                return
+            now = state.getCurrentWatermarkMs()
+            over = now >= at + timeout_s * 1000
+            if not beaten or over:
+                yield pd.DataFrame({"job_id": [key[0]], "since": [pd.Timestamp(at, unit="ms")], "kind": ["timeout" if over else "beat"]})
+            if over:
                 state.remove()
+            else:
+                state.update((at, True, False))
+                _later(state, at + timeout_s * 1000)
             return
-        at = max(int(last["ts"].timestamp() * 1000), state.get[0] if state.exists else 0)
-        state.update((at,))
-        state.setTimeoutTimestamp(max(at + timeout_s * 1000, state.getCurrentWatermarkMs() + 1))
+        rows = pd.concat(list(batches))
+        newest = max(_ms(t) for t in rows["ts"])
+        ended = ended or bool(rows["type"].isin(TERMINAL).any())
+        beaten = beaten and newest <= at
+        at = max(at, newest)
+        state.update((at, beaten, ended))
+        _later(state, at + (timeout_s if ended or beaten else beat_s) * 1000)
 
     return events.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(
-        fold, "job_id string, since timestamp", "at long", "append", GroupStateTimeout.EventTimeTimeout)
+        fold, "job_id string, since timestamp, kind string", "at long, beaten boolean, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def close_pages(pages: DataFrame, ended: DataFrame) -> DataFrame:
+    """pages(job_id, page_id, status), ended(job_id, type of its end) → pages left running by a job that has ended: (job_id, page_id, status), with
+    what they become: error, or idle after a cancellation. For batches and, as a stream of pages against a table of ends, for streams."""
+    left = pages.filter(F.col("status") == "running").join(ended.select("job_id", "type"), "job_id")
+    return left.select("job_id", "page_id", F.when(F.col("type") == "job.cancelled", "idle").otherwise("error").alias("status"))
 
 
 # ---------------------------------------------------------------- submissions and codes
@@ -174,19 +218,58 @@ def dedupe_submissions(submissions: DataFrame) -> DataFrame:
     return df.select("sub_id", "work_key", action.alias("action"))
 
 
-def dedupe_stream(submissions: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """New work of a stream: the first of each key within the delay. Forced submissions go past it, by a stream of their own."""
-    df = _work_key(submissions).filter(~F.col("image_url").startswith("blob:")).withWatermark("ts", delay)
-    return df.dropDuplicatesWithinWatermark(["work_key"])
+def dedupe_stream(submissions: DataFrame, delay: str = "1 hour", forget_s: int = 86400) -> DataFrame:
+    """As dedupe_submissions, row by row as batches bring them: (sub_id, work_key, action). A key is forgotten `forget_s` after its last row, by
+    event time."""
+
+    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["ts", "sub_id"])
+        actions = []
+        for ts, image, fresh in zip(rows["ts"], rows["image_url"], rows["fresh"], strict=True):
+            known = last is not None and _ms(ts) - last <= forget_s * 1000
+            actions.append("error" if image.startswith("blob:") else "new" if fresh or not known else "reuse")
+            last = _ms(ts) if last is None else max(last, _ms(ts))
+        state.update((last,))
+        _later(state, last + forget_s * 1000)
+        yield pd.DataFrame({"sub_id": rows["sub_id"].to_numpy(), "work_key": key[0], "action": actions})
+
+    df = _work_key(submissions).select("sub_id", "ts", "work_key", "image_url", "fresh").withWatermark("ts", delay)
+    return df.groupBy("work_key").applyInPandasWithState(fold, "sub_id long, work_key string, action string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def redeem_stream(issued: DataFrame, redeemed: DataFrame, ttl_s: int = 300, delay: str = "10 minutes") -> DataFrame:
-    """issued(device_id, issued_at, code), redeemed(event_id, device_id, redeemed_at, code): codes that come back in time; each is accepted once."""
-    i = issued.withWatermark("issued_at", delay).alias("i")
-    r = redeemed.withWatermark("redeemed_at", delay).alias("r")
-    on = (F.col("i.device_id") == F.col("r.device_id")) & (F.col("i.code") == F.col("r.code")) & (F.col("r.redeemed_at") >= F.col("i.issued_at")) \
-        & (F.col("r.redeemed_at") < F.col("i.issued_at") + F.make_dt_interval(secs=F.lit(ttl_s)))
-    return i.join(r, on).select("i.device_id", "i.code", "i.issued_at", "r.event_id", "r.redeemed_at").dropDuplicatesWithinWatermark(["device_id", "code", "issued_at"])
+    """issued(device_id, ts, code), redeemed(event_id, device_id, ts, code) → (event_id, device_id, accepted), as match_codes says, attempt by attempt as
+    batches bring them: the code must be the device's last one, not older than ttl_s, and not used. By event time, a code is forgotten
+    with its lifetime."""
+    both = issued.select("device_id", "ts", F.lit(None).cast("long").alias("event_id"), F.col("code").cast("string").alias("code"))
+    both = both.unionByName(redeemed.select("device_id", "ts", "event_id", F.col("code").cast("string").alias("code")))
+
+    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        code, at = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches))
+        rows = rows.assign(given=rows["event_id"].isna()).sort_values(["ts", "given", "event_id"], ascending=[True, False, True])
+        ids, accepted = [], []
+        for ts, event, value, given in zip(rows["ts"], rows["event_id"], rows["code"], rows["given"], strict=True):
+            if given:
+                code, at = value, _us(ts)
+                continue
+            ok = code is not None and value == code and 0 <= _us(ts) - at < ttl_s * 1_000_000
+            ids.append(int(event))
+            accepted.append(ok)
+            code = None if ok else code
+        state.update((code, at))
+        _later(state, at // 1000 + ttl_s * 1000)
+        yield pd.DataFrame({"event_id": ids, "device_id": key[0], "accepted": accepted})
+
+    return both.withWatermark("ts", delay).groupBy("device_id").applyInPandasWithState(
+        fold, "event_id long, device_id long, accepted boolean", "code string, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def publish_progress(stream: DataFrame, path: str, checkpoint: str, summary):

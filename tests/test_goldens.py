@@ -54,7 +54,11 @@ def test_oversize_goes(spark):
 def test_types(spark):
     cases = [("HELP", True, "dialogue"), ("BOOM", False, "sfx"), ("Sale", False, "sign"), ("YOUR LUNCH SWEETHEART.", False, "narration"), ("BA- DUMP", False, "sfx"), ("HA HA HA!", False, "sfx")]
     df = spark.createDataFrame(cases, "text string, in_bubble boolean, expected string")
-    assert all(r.block_type == r.expected for r in localization.classify_blocks(df, []).collect())
+    assert all(r.block_type == r.expected for r in localization.classify_blocks(df).collect())
+    sounds = spark.createDataFrame([("ZAP",), ("ZING",), ("CRACKLE POP",)], "word string")
+    more = [("ZAP ZING ZAP!", False, "sfx"), ("ZAP ZONG ZAP!", False, "narration"), ("crackle pop", False, "sfx"), ("zing?", True, "dialogue"), (None, False, "narration")]
+    found = localization.classify_blocks(spark.createDataFrame(more, "text string, in_bubble boolean, expected string"), sounds).collect()
+    assert len(found) == 5 and all(r.block_type == r.expected for r in found)
 
 
 def test_leaks_and_routes(spark):
@@ -86,7 +90,7 @@ def test_names(spark):
 
 
 def test_replies_in_thoughts_and_fences(spark):
-    rows = [('{"n": 1}',), ('<think>{"n": 9}</think> {"n": 2}',), ('lost</think>{"n": 3}',), ('so ```json\n{"n": 4}\n```',), ("none",), ('[1]',)]
+    rows = [('{"n": 1}',), ('<THINK>{"n": 9}</Think> {"n": 2}',), ('lost {"n": 7}</THINK>{"n": 3}',), ('so ```json\n{"n": 4}\n```',), ("none",), ('[1]',)]
     ok, bad = localization.parse_replies(spark.createDataFrame(rows, "body string"), "n long")
     assert sorted(r.reply.n for r in ok.collect()) == [1, 2, 3, 4] and bad.count() == 2
 
@@ -126,7 +130,7 @@ def test_documents_files_and_glossary(spark, tmp_path):
 
 def test_streams_equal_their_batch_twins(spark, tmp_path):
     rows = [("a" if i % 3 else "b", i, i * 7 % 50, ("submit", "hit", "end", "submit")[i % 4]) for i in range(60)]
-    df = spark.createDataFrame(rows, "key string, event_id long, s long, kind string").select("key", "event_id", F.timestamp_seconds("s").alias("ts"), "kind")
+    df = spark.createDataFrame(rows, "key string, event_id long, s long, kind string").select("key", "event_id", F.timestamp_seconds(F.col("s") + 1000).alias("ts"), "kind")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
 
@@ -151,12 +155,13 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
 
 
 def test_redact_strips_query_and_fragment_and_counts_by_rule(spark):
-    texts = ["see https://host/p?sig=abc#x now", "http://host/p#part, HTTPS://host?a=b", "https://me:pw@host/p?q=1 and Bearer abc", "https://host/p is plain? yes #1", "the pin"]
+    texts = ["see https://host/p?sig=abc#x now", "http://host/p#part, HTTPS://host?a=b", "https://me:p@w@host/p?q=1 and bearer abc", "https://host/p is plain? yes #1", "the pinned pin", "API-Key: zz, x_api_key=\"a b\" ok",
+             "GET https://h/p?sig=abc123#frag bearer zzz"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
-    got = [(r.text, r.n_redacted, tuple(r.redacted_by_rule)) for r in filters.redact(df, "text", ("pin",)).orderBy("i").collect()]
-    assert got == [
-        ("see https://host/p now", 1, (0, 0, 0, 0, 1)), ("http://host/p HTTPS://host", 2, (0, 0, 0, 0, 2)), ("https://***@host/p and Bearer ***", 3, (0, 1, 0, 1, 1)),
-        ("https://host/p is plain? yes #1", 0, (0, 0, 0, 0, 0)), ("the ***", 1, (1, 0, 0, 0, 0)),
+    got = [(r.text, r.n_redacted, tuple(r.redacted_by_rule)) for r in filters.redact(df, "text", ("pin", "pinned")).orderBy("i").collect()]
+    assert got == [  # known secrets, user info, query or fragment, bearer, assignment
+        ("see https://host/p now", 1, (0, 0, 1, 0, 0)), ("http://host/p HTTPS://host", 2, (0, 0, 2, 0, 0)), ("https://host/p and bearer ***", 3, (0, 1, 1, 1, 0)),
+        ("https://host/p is plain? yes #1", 0, (0, 0, 0, 0, 0)), ("the *** ***", 2, (2, 0, 0, 0, 0)), ("API-Key: ***, x_api_key=*** ok", 2, (0, 0, 0, 0, 2)), ("GET https://h/p bearer ***", 2, (0, 0, 1, 1, 0)),
     ]
 
 
