@@ -85,7 +85,8 @@ def mixed_documents(df: DataFrame, seed: str = "mix", weights: Sequence[int] = W
                     key: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
     """The mix itself, with the columns of df (of any names): a row for each repetition taken. The border row's last
     repetition has the first words it gives, up to the end of the last of them, and n_chars (if there is such a column)
-    counts its characters."""
+    counts its characters. Rows without words are repeated as often as their source as a whole. Null sources, repeated keys and empty
+    tables are as in mix."""
     columns = df.columns
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from scriptorium.llm import ans, exact_dedup, lang_id, mixing, packing, quality, queries, sharding, simhash, suffix_dedup, token_counts, tokens
+from scriptorium.llm import ans, common, exact_dedup, lang_id, mixing, packing, quality, queries, sharding, simhash, suffix_dedup, token_counts, tokens
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -553,21 +553,117 @@ def test_queries_read_whole_tables(spark):
         assert df.select("doc_id").distinct().count() == n, name
 
 
+def mixed_by_force(rows):
+    """rows(doc_id, text, source) → the (doc_id, text) of all repetitions."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", text_of(t))
+    sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    size = {s: sum(len(words(t)) for _, t, o in rows if o == s) for s in sources}
+    target, left, free = {}, sum(size.values()), set(sources)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 3 * size[s]}
+        target |= {s: 3 * size[s] for s in over} if over else {s: level * weight[s] for s in free}
+        left -= sum(3 * size[s] for s in over)
+        free = free - over if over else set()
+    out = []
+    for s in sources:
+        whole = int(target[s] // size[s]) if size[s] else 0
+        rest = int(target[s] - whole * size[s] + 0.5)
+        for i, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: (hashlib.md5(f"mix/{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is not None, r[0], len(words(r[1])))):
+            n = len(words(t))
+            out += [(i, t)] * whole
+            part = max(0, min(n, rest))
+            rest -= n
+            if part:
+                out.append((i, t if part == n else "".join(re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", t)[:part])))
+    return out
+
+
+def test_mixed_documents(docs, odd, empty):
+    got = sorted(map(tuple, mixing.mixed_documents(docs).select("doc_id", "text").collect()), key=repr)
+    assert got == sorted(mixed_by_force([(r[0], r[1], r[3]) for r in ROWS]), key=repr)
+    rows = [(r.doc_id, r.text, r.source) for r in odd.collect()]
+    assert sorted(map(tuple, mixing.mixed_documents(odd).select("doc_id", "text").collect()), key=repr) == sorted(mixed_by_force(rows), key=repr)
+    assert mixing.mixed_documents(empty).count() == 0 and mixing.mixed_documents(odd).columns == odd.columns
+
+
+def pipeline_by_force(rows, known):
+    """rows(doc_id, text, source), known: the texts that the language stage lets pass → the pieces of the pipeline."""
+    rows = [r for r in rows if r[1] in known]
+    last = {}
+    for r in rows:
+        key = (r[0] is not None, r[0] or 0)
+        if r[1] not in last or key > (last[r[1]][0] is not None, last[r[1]][0] or 0):
+            last[r[1]] = r
+    rows = list(last.values())
+    groups = {}
+    for (k, _, c), r in zip(sorted(components_by_force([(k, r[1]) for k, r in enumerate(rows)]), key=lambda x: x[0]), rows, strict=True):
+        groups.setdefault(c, []).append(r)
+    rows = [min(g, key=lambda r: (r[0] is None, r[0])) for g in groups.values()]
+    signed = lambda t: int(np.int64(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42))))
+    lib, at, out = library(WORDS), 0, []
+    for i, t in sorted(mixed_by_force(rows), key=lambda r: (r[0] is not None, r[0], signed(r[1]))):
+        ids, s = [*lib.encode(t, add_special_tokens=False).ids, 1], 0
+        while s < len(ids):
+            n = min(len(ids) - s, 2048 - (at + s) % 2048)
+            out.append((i, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()), len(ids), (at + s) // 2048, (at + s) % 2048))
+            s += n
+        at += len(ids)
+    return sorted(out, key=repr)
+
+
+PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def test_pipeline(spark):
     """Against plain versions of its stages on the same rows."""
     table = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in table.collect()]
-    kept = [r for r in rows if re.search(r"[^\W\d_]", text_of(r[1]))]
-    last = {}
-    for i, t in sorted(kept):
-        last[t] = i
-    kept = [(i, t) for t, i in last.items()]
-    roots = {c for _, _, c in components_by_force(kept)}
-    kept = spark.createDataFrame([r for r in kept if r[0] in roots], "doc_id long, text string").join(table.drop("text"), "doc_id")
-    want = mixing.mixed_documents(kept.select(*table.columns)).select("doc_id", "text").collect()
-    pieces = sorted((len(text_of(r.text).encode()), r.doc_id) for r in want)
+    rows = [(r.doc_id, r.text, r.source) for r in table.collect()]
+    known = {t for _, t, _ in rows if re.search(r"[^\W\d_]", text_of(t))}
     got = corpus_pipeline.run(spark, SF)
-    starts = got.filter("start = 0").select("doc_id").collect()
-    assert sorted(r.doc_id for r in starts) == sorted(i for _, i in pieces)
-    total = got.agg(F.sum("length"), F.max(F.col("sequence_id") * 2048 + F.col("offset") + F.col("length"))).first()
-    assert total[0] == total[1]
+    assert rows_of(got, *PIECE) == pipeline_by_force(rows, known)
+
+
+def test_pipeline_on_odd_tables(spark, docs, odd, empty, tmp_path):
+    """Null and repeated keys, null and empty texts, repeated rows, clashing names, and no rows at all; each stage written and read again."""
+    for name, df in (("odd", odd.filter("doc_id IS NOT NULL OR source IS NOT NULL").unionByName(docs)), ("empty", empty)):
+        (tmp_path / name).mkdir()
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        now = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        rows = [(r.doc_id, r.text, r.source) for r in now.collect()]
+        known = {r.text for r in lang_id.accepted(now).select("text").collect()}
+        assert name == "empty" or len(known) > 20
+        for stage, run in corpus_pipeline.STAGES:
+            out = run(spark, now, str(tmp_path / name))
+            assert stage == "pack" or out.columns == df.columns
+            out.write.parquet(str(tmp_path / name / stage))
+            now = spark.read.parquet(str(tmp_path / name / stage))
+        assert rows_of(now, *PIECE) == pipeline_by_force(rows, known)
+
+
+def test_written_tables_are_dropped_on_demand(spark, docs, monkeypatch):
+    import os
+
+    common.drop_written(spark)
+    exact_dedup.exact_dedup(docs).count()
+    paths = [p.removeprefix("file://") for p in common._WRITTEN]
+    assert paths and all(os.path.isdir(p) for p in paths)
+    assert common.drop_written(spark) == len(paths) and not any(os.path.isdir(p) for p in paths)
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
