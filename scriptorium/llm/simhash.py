@@ -196,13 +196,14 @@ def _links(prefix: int):
 def components(links: DataFrame, label: str = "links") -> DataFrame:
     """(node, root) of links (a, b): root is the least node of the component, by unsigned order of no meaning to callers.
 
-    Large star: every node links its greater neighbours to its least; small star: its lesser ones and itself. Each sums up
-    by node before it shuffles and joins the least back, so that a hub's links can be split over tasks."""
+    Large star: every node links its greater neighbours to its least; small star: its lesser ones and itself. The least of each node is
+    summed up before the shuffle and, for the large star, written: so both sides of the join are plain exchanges, and Spark can split a hub's
+    links over tasks."""
     links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), label)
     before = None
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{label}-least")
         large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
         large = large.distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
