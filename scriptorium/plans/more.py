@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_path, text_files
 from ..functions.text import word_key
 from ..operators import proposals as pr
 from ..sources import plans, readers
@@ -23,6 +24,40 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+_DOC_LINE = """CASE WHEN page_id % 10 = 0 THEN concat('[broken ', page_id) ELSE to_json(named_struct('version', 1, 'note', 'x', 'regions', regions)) END AS value"""
+_DOC_REGION = """named_struct('id', page_id * 1000 + region_id, 'bbox', CASE WHEN region_id % 4 > 0 THEN array(x, y, w, h) END, 'text', CASE WHEN region_id % 5 > 0 THEN text END, 'type', block_type,
+  'block_type', CASE WHEN region_id % 3 = 0 THEN 'sign' END, 'confidence', CASE WHEN region_id % 7 > 0 THEN confidence END, 'skip', CASE WHEN region_id % 2 = 0 THEN skip END, 'more', region_id)"""
+
+
+def _pages_as_text(s, d):
+    docs = table(s, d, "regions").groupBy("page_id").agg(F.expr(f"collect_list({_DOC_REGION})").alias("regions"))
+    return readers.read_regions(s, text_files(docs.selectExpr(_DOC_LINE), "documents"), lines=True)
+
+
+@query("s01_read_regions", duck("regions") + """ SELECT page_id * 1000 + region_id AS region_id, CASE WHEN region_id % 4 > 0 THEN x ELSE 0 END AS x, CASE WHEN region_id % 4 > 0 THEN h ELSE 0 END AS h, CASE WHEN region_id % 5 > 0 THEN text ELSE '' END AS text,
+  CASE WHEN region_id % 3 = 0 THEN 'sign' ELSE block_type END AS block_type, CASE WHEN region_id % 7 > 0 THEN confidence ELSE 0 END AS confidence, region_id % 2 = 0 AND skip AS skip FROM regions WHERE page_id % 10 > 0""")
+def _(s, d):
+    return _pages_as_text(s, d)[0].select("region_id", "x", "h", "text", "block_type", "confidence", "skip")
+
+
+@query("s01_quarantine", duck("regions") + " SELECT DISTINCT '[broken ' || page_id AS body FROM regions WHERE page_id % 10 = 0")
+def _(s, d):
+    return _pages_as_text(s, d)[1].select("body")
+
+
+@query("s06_read_events", """SELECT date_trunc('second', ts) AS "timestamp", event_type AS event, CAST(event_id AS VARCHAR) AS details FROM events WHERE event_id % 7 > 0""")
+def _(s, d):
+    line = "CASE WHEN event_id % 14 = 0 THEN 'no json' WHEN event_id % 7 = 0 THEN '{\"timestamp\": 5' ELSE to_json(named_struct('timestamp', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), 'event', event_type, 'details', CAST(event_id AS STRING), 'new', 1)) END AS value"
+    return readers.read_events(s, text_files(given(s, d, "events").selectExpr(line), "events"))
+
+
+@query("s07_read_glossary", "SELECT 'Name ' || c_custkey % 97 AS source, 'T' || max(c_custkey) AS target FROM customer WHERE c_custkey % 5 > 0 GROUP BY 1")
+def _(s, d):
+    line = "CASE c_custkey % 5 WHEN 0 THEN concat('# Name ', c_custkey % 97, ' = none') WHEN 1 THEN concat('  Name ', c_custkey % 97, ': T', c_custkey) ELSE concat('Name ', c_custkey % 97, ' = T', c_custkey, '  ') END AS value"
+    lines = given(s, d, "customer").repartitionByRange("c_custkey").sortWithinPartitions("c_custkey").selectExpr(line)  # files in the order of their lines
+    return readers.read_glossary(s, text_files(lines, "glossary"))
+
+
 @query("s03_archive_members", duck("sheets") + """, m AS (SELECT page_id % 40 AS archive_id, CASE page_id % 8 WHEN 1 THEN 'a/p' || page_id || '.PNG' WHEN 3 THEN 'c/p' || page_id || '.jpg' ELSE 'twice.png' END AS path, min(page_id) AS n FROM sheets WHERE page_id % 8 IN (1, 3, 6) GROUP BY ALL)
 SELECT archive_id, path, row_number() OVER (PARTITION BY archive_id ORDER BY substr(path, 1, 1), n) - 1 AS ord FROM m""")
 def _(s, d):
@@ -130,6 +165,13 @@ def _squeezed(c: str) -> str:
     return f"array_to_string(list_transform(range(1, length({c}) + 1), lambda i: CASE WHEN i > 1 AND {c}[i] = {c}[i - 1] THEN '' ELSE {c}[i] END), '')"
 
 
+@query("s12_write_report", duck("run_pages") + " SELECT run_id, CASE status WHEN 'done' THEN 'pages' WHEN 'error' THEN 'errors' ELSE 'skipped' END AS kind, count(*) AS n FROM run_pages GROUP BY ALL")
+def _(s, d):
+    path = shared_path(s, "report")
+    plans.write_report(plans.run_report(table(s, d, "run_pages")), path, ["kind"])
+    return s.read.parquet(path).groupBy("run_id", "kind").agg(F.count("*").alias("n"))
+
+
 @query("j17_unclaimed_words", duck("regions") + f""", w AS (SELECT page_id, region_id AS word_id, {_KEY.format(_UNCLAIMED)} AS key, x, y, w, h, region_id % 13 AS angle FROM regions WHERE region_id % 2 = 0 AND confidence >= 0.5),
 k AS (SELECT *, {_squeezed('key')} AS s FROM w WHERE regexp_matches(key, '^[a-z]{{4,20}}$')), o AS MATERIALIZED (SELECT *, region_id % 4 AS rotation, region_id % 10 < 6 AS rule FROM regions WHERE region_id % 2 = 1),
 n AS (SELECT DISTINCT page_id, {_KEY.format('text')} AS whole FROM o), t AS (SELECT DISTINCT page_id, {_KEY.format('token')} AS token FROM (SELECT page_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS token FROM o)), q AS MATERIALIZED (SELECT *, {_squeezed('token')} AS s FROM t WHERE token <> ''),

@@ -11,15 +11,15 @@ _REGION = "struct<id:bigint,bbox:array<bigint>,class_name:string,confidence:doub
 _DOCUMENT = "version int, regions array<string>, reading_direction string, warnings array<string>, timings map<string,double>"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, doc) of JSON documents, one a file; doc is null where the file holds no object."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(path, doc) of JSON documents, one a file or, for many small ones, one a line; doc is null where there is no object."""
+    text = spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
     return text.withColumn("doc", F.when(F.try_parse_json("body").isNotNull() & F.trim("body").startswith("{"), F.from_json("body", _DOCUMENT)))
 
 
-def read_regions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(regions, quarantined files): missing fields get defaults, `type` stands in for `block_type`, what is no object is skipped."""
-    docs = read_documents(spark, path)
+def read_regions(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(regions, quarantined documents): missing fields get defaults, `type` stands in for `block_type`, what is no object is skipped."""
+    docs = read_documents(spark, path, lines)
     rows = docs.filter("doc is not null").select("path", F.posexplode(F.coalesce("doc.regions", F.array().cast("array<string>"))).alias("pos", "raw"))
     rows = rows.filter(F.trim("raw").startswith("{")).withColumn("r", F.from_json("raw", _REGION))
     box = lambda i: F.coalesce(F.get("r.bbox", F.lit(i)), F.lit(0))
