@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_path
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (as in tests) gets a temporary
-    folder, and a cluster an error: its executors would write to their own disks."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
 #: Tables written since the last drop_written, with their folders.
 _WRITTEN: list[str] = []
 
@@ -35,7 +20,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the lineage ends there,
     so a lost executor costs no recomputation before this point. The table stays until drop_written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     _WRITTEN.append(path)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # this query's shuffle files serve no one once the table is written

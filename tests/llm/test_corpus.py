@@ -666,4 +666,4 @@ def test_no_shared_folder_on_a_cluster_is_an_error():
             get = staticmethod(lambda name, default: default)
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        common.shared_dir(Session())
+        common.shared_path(Session(), "x")
