@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Two hexadecimal digits of the key's digest part each shard in 256 ranges for numbering.
 SUBS = 256
 
@@ -43,23 +45,16 @@ def assign_shards(
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     n = len(weights)
 
-    def placed(*more: Column) -> DataFrame:
-        return (
-            df.select(F.col(key), name.alias("_key"), *more)
-            .withColumn("_best", F.array_min(rendezvous(F.col("_key"), weights)))
-            .withColumn("_h", F.md5(F.col("_key").cast("binary")))
-            .withColumn("shard", F.col("_best.shard"))
-            .withColumn("_sub", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
-        )
-
-    sums = placed().groupBy("shard", "_sub").agg(F.count("*").alias("_n"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    extra = F.struct(_score(F.col("_key"), F.lit(n), F.lit(float(grown_weight))).alias("score"), F.lit(n).alias("shard"))
+    rows = df.select(F.col(key), name.alias("_key"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
+    rows = rows.withColumn("_best", F.array_min(rendezvous(F.col("_key"), weights))).withColumn("_h", F.md5(F.col("_key").cast("binary")))
+    sub = F.conv(F.substring("_h", 1, 2), 16, 10).cast("int").alias("_sub")
+    # Placed once and written, without texts: the sums and the slots read the same rows.
+    rows = written(rows.select(key, "size", "text_crc32", F.col("_best.shard").alias("shard"), F.least(F.col("_best"), extra)["shard"].alias("grown_shard"), "_h", sub), "shards")
+    sums = rows.groupBy("shard", "_sub").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("shard", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-
-    text_col = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    extra = F.struct(_score(F.col("_key"), F.lit(n), F.lit(float(grown_weight))).alias("score"), F.lit(n).alias("shard"))
-    rows = placed((F.octet_length(text_col) + 16).cast("long").alias("size"), F.crc32(text_col.cast("binary")).alias("text_crc32"))
-    rows = rows.withColumn("grown_shard", F.least(F.col("_best"), extra)["shard"]).drop("_best", "_key")
     order = Window.partitionBy("shard", "_sub").orderBy("_h", key, "size", "text_crc32")
     return (
         rows.withColumn("_r", F.row_number().over(order))
