@@ -72,13 +72,45 @@ def _(s, d):
     return readers.content_dedupe(docs)
 
 
-@query("s05_page_assets", r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*>')) AS t, unnest(range(len(regexp_extract_all(html, '(?i)<a\b[^>]*>')))) AS n FROM pages),
-u AS (SELECT page_id, n, t, regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS url FROM t)
-SELECT page_id, n, url, CASE WHEN url = '' THEN 'none' WHEN url LIKE 'blob:%' THEN 'blob' WHEN regexp_matches(lower(url), 'icon|sprite|emoji|avatar') THEN 'decoration' WHEN regexp_matches(lower(t), '\bhidden\b|role\s*=\s*["'']?presentation') THEN 'hidden' ELSE '' END AS reason FROM u""")
+def _attr(name: str) -> str:
+    pattern = rf"""(?i)[ \t\n\x0b\f\r]{name}[ \t\n\x0b\f\r]*=[ \t\n\x0b\f\r]*(?:"([^"]*)"|''([^'']*)''|([^"'' \t\n\x0b\f\r>]+))"""
+    return "concat(" + ", ".join(f"regexp_extract(t, '{pattern}', {k})" for k in (1, 2, 3)) + ")"
+
+
+def _assets(html: str, tag: str, attribute: str) -> str:
+    return rf"""WITH l AS (SELECT page_id, regexp_extract_all({html}, '(?i)<{tag}\b[^>]*>') AS ts FROM pages), t AS (SELECT page_id, unnest(ts) AS t, unnest(range(len(ts))) AS n FROM l),
+u AS (SELECT page_id, n, {_attr(attribute)} AS url, lower({_attr('class')} || ' ' || {_attr('id')} || ' ' || {_attr('alt')}) AS names, lower({_attr('role')}) AS role, lower({_attr('aria-hidden')}) AS hidden,
+  TRY_CAST(regexp_extract({_attr('width')}, '^[0-9]{{1,8}}') AS BIGINT) AS wide, TRY_CAST(regexp_extract({_attr('height')}, '^[0-9]{{1,8}}') AS BIGINT) AS high FROM t)
+SELECT page_id, n, url, CASE WHEN url = '' THEN 'none' WHEN url LIKE 'blob:%' THEN 'blob' WHEN regexp_matches(names, 'icon|sprite|emoji|avatar') THEN 'decoration' WHEN hidden = 'true' OR role IN ('presentation', 'none') THEN 'hidden'
+  WHEN greatest(wide, high) < 160 OR least(wide, high) < 80 THEN 'small' ELSE '' END AS reason FROM u"""
+
+
+@query("s05_page_assets", _assets("html", "a", "href"))
 def _(s, d):
     return readers.page_assets(given(s, d, "pages"), "a", "href")
 
 
+#: Links of the pages as images of many kinds.
+_PICTURES = "html"
+for _from, _to in (('<a href="/t', '<img width="150" src="/t'), ('<a href="/a', '<img alt="an Emoji" src="/a'), ('<a href="/o', '<img role=none src="/o'), ('<a href="/e', '<img width=900 height="900" src="blob:/e'),
+                   ('<a href="/d', '<img width=900 height="60" src=/d'), ('<a href="/', '<img width=900 height="500px" src="/')):
+    _PICTURES = f"replace({_PICTURES}, '{_from}', '{_to}')"
+
+
+@query("s05_image_assets", _assets(_PICTURES, "img", "src"))
+def _(s, d):
+    return readers.page_assets(given(s, d, "pages").select("page_id", F.expr(_PICTURES).alias("html")))
+
+
+_PAINTED = """replace(replace(html, '<a href="/t', '<i style="background:#fff url(/t'), '<a href="/a', '<i style="color:red;background-image: url(data:a')"""
+
+
+@query("s05_backgrounds", rf"""WITH l AS (SELECT page_id, list_filter(regexp_extract_all({_PAINTED}, '(?i)background(?:-image)?\s*:[^;"''}}>]*?url\(\s*(?:&quot;|["''])?([^"'')\s&]+)', 1), lambda u: NOT regexp_matches(lower(u), '^(data|blob):')) AS us FROM pages)
+SELECT page_id, unnest(range(len(us))) AS n, unnest(us) AS url FROM l""")
+def _(s, d):
+    return readers.background_assets(given(s, d, "pages").select("page_id", F.expr(_PAINTED).alias("html")))
+
+
 _ART = "a AS (SELECT page_id, 'result' AS kind FROM sheets WHERE page_id % 6 > 0 UNION ALL SELECT page_id, 'clean' FROM sheets WHERE page_id % 8 > 0)"
 
 
@@ -254,13 +286,18 @@ def _(s, d):
     return sj.stalls(table(s, d, "job_events"))
 
 
-@query("r03_close_pages", duck("job_events", "sheets") + """, f AS (SELECT job_id, arg_min(type, {'a': ts, 'b': event_id}) AS type, row_number() OVER (ORDER BY job_id) AS n FROM job_events WHERE type IN ('job.finished', 'job.failed', 'job.cancelled') GROUP BY 1)
-SELECT job_id, page_id, CASE WHEN type = 'job.cancelled' THEN 'idle' ELSE 'error' END AS status FROM sheets JOIN f ON 'j' || page_id % 97 = 'j' || substr(job_id, 1, position('-' IN job_id) - 1) WHERE status = 'running'""")
+_QUEUED = "CASE status WHEN 'idle' THEN 'queued' ELSE status END AS status"
+
+
+@query("r03_close_pages", duck("job_events", "sheets") + f""", f AS (SELECT job_id, arg_min(type, {{'a': ts, 'b': event_id}}) AS type FROM job_events WHERE type IN ('job.finished', 'job.failed', 'job.cancelled') GROUP BY 1),
+p AS (SELECT page_id, {_QUEUED}, page_id % 97 || '-' AS owner FROM sheets WHERE page_id % 5 > 0)
+SELECT job_id, page_id, CASE WHEN status = 'queued' OR type = 'job.cancelled' THEN 'idle' ELSE 'error' END AS status FROM p JOIN f ON starts_with(job_id, owner) WHERE status IN ('queued', 'running')""")
 def _(s, d):
     ended = table(s, d, "job_events").filter("type IN ('job.finished', 'job.failed', 'job.cancelled')").groupBy("job_id").agg(F.min_by("type", F.struct("ts", "event_id")).alias("type"))
     owners = ended.select("job_id", F.expr("split_part(job_id, '-', 1)").alias("owner"))
-    pages = table(s, d, "sheets").selectExpr("page_id", "status", "CAST(page_id % 97 AS STRING) AS owner").join(owners, "owner").select("job_id", "page_id", "status")
-    return sj.close_pages(pages, ended)
+    sheets = table(s, d, "sheets")
+    pages = sheets.selectExpr("page_id", _QUEUED, "CAST(page_id % 97 AS STRING) AS owner").join(owners, "owner").select("job_id", "page_id", "status")
+    return sj.close_pages(pages, ended, sheets.filter("page_id % 5 = 0").select("page_id"))
 
 
 @query("r04_dedupe_submissions", duck("submissions") + """, k AS (SELECT *, regexp_replace(page_url, '#.*$', '') || '|' || image_url AS work_key FROM submissions)

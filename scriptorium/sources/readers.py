@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,17 +64,25 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     return objects.unionByName(lines).withColumn("_r", F.row_number().over(last)).filter("_r = 1").select("source", "target")
 
 
-def page_assets(pages: DataFrame, tag: str = "img", attribute: str = "src") -> DataFrame:
-    """pages(page_id, html) → (page_id, n, url, reason): what tags point to; reason is '' for those to keep."""
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute of a tag, quoted or not; empty where there is none."""
+    pattern = rf"(?i)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))"
+    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+
+
+def page_assets(pages: DataFrame, tag: str = "img", attribute: str = "src", long_side: int = 160, short_side: int = 80) -> DataFrame:
+    """pages(page_id, html) → (page_id, n, url, reason): what tags point to; reason is '' for those to keep. Decorations are told by class, id and
+    text; sizes count where they are given."""
     tags = F.regexp_extract_all("html", F.lit(rf"(?i)<{tag}\b[^>]*>"), F.lit(0))
-    df = pages.select("page_id", F.posexplode(tags).alias("n", "t"))
-    url = F.regexp_extract("t", rf"(?i)\b{attribute}\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    size = lambda a: F.try_to_number(F.nullif(F.regexp_extract("t", rf"(?i)\b{a}\s*=\s*[\"']?([0-9]+)", 1), F.lit("")), F.lit("99999999"))
-    long_side = F.greatest(size("width"), size("height"))
-    df = df.withColumn("url", url)
+    t = F.col("t")
+    df = pages.select("page_id", F.posexplode(tags).alias("n", "t")).withColumn("url", _attribute(t, attribute))
+    size = lambda a: F.regexp_extract(_attribute(t, a), "^[0-9]{1,8}", 0).try_cast("long")
+    wide, high = size("width"), size("height")
+    names = F.concat_ws(" ", *[_attribute(t, a) for a in ("class", "id", "alt")])
     reason = (
-        F.when(F.col("url") == "", "none").when(F.col("url").startswith("blob:"), "blob").when(F.lower("url").rlike("icon|sprite|emoji|avatar"), "decoration")
-        .when(F.lower("t").rlike(r"\bhidden\b|role\s*=\s*[\"']?presentation"), "hidden").when(long_side < 200, "small").otherwise("")
+        F.when(F.col("url") == "", "none").when(F.col("url").startswith("blob:"), "blob").when(F.lower(names).rlike("icon|sprite|emoji|avatar"), "decoration")
+        .when((F.lower(_attribute(t, "aria-hidden")) == "true") | F.lower(_attribute(t, "role")).isin("presentation", "none"), "hidden")
+        .when((F.greatest(wide, high) < long_side) | (F.least(wide, high) < short_side), "small").otherwise("")
     )
     return df.select("page_id", F.col("n").cast("long").alias("n"), "url", reason.alias("reason"))
 

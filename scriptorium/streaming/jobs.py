@@ -196,11 +196,13 @@ def stall_stream(events: DataFrame, beat_s: int = 30, timeout_s: int = 1800, del
         fold, "job_id string, since timestamp, kind string", "at long, beaten boolean, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def close_pages(pages: DataFrame, ended: DataFrame) -> DataFrame:
-    """pages(job_id, page_id, status), ended(job_id, type of its end) → pages left running by a job that has ended: (job_id, page_id, status), with
-    what they become: error, or idle after a cancellation. For batches and, as a stream of pages against a table of ends, for streams."""
-    left = pages.filter(F.col("status") == "running").join(ended.select("job_id", "type"), "job_id")
-    return left.select("job_id", "page_id", F.when(F.col("type") == "job.cancelled", "idle").otherwise("error").alias("status"))
+def close_pages(pages: DataFrame, ended: DataFrame, busy: DataFrame) -> DataFrame:
+    """pages(job_id, page_id, status), ended(job_id, type of its end), busy(page_id): pages that another job has → pages that a job left running or
+    queued when it ended: (job_id, page_id, status), with what they become: idle if they had not begun or the job was cancelled, else
+    error. pages may be a stream against tables of ends and of busy pages."""
+    left = pages.filter(F.col("status").isin("running", "queued")).join(ended.select("job_id", "type"), "job_id").join(busy, "page_id", "left_anti")
+    again = (F.col("status") == "queued") | (F.col("type") == "job.cancelled")
+    return left.select("job_id", "page_id", F.when(again, "idle").otherwise("error").alias("status"))
 
 
 # ---------------------------------------------------------------- submissions and codes

@@ -111,6 +111,7 @@ def test_first_end_decides_in_any_order_of_batches(spark, streamed, collected):
 
 
 def test_pages_of_ended_jobs_are_closed(spark):
-    pages = spark.createDataFrame([("a", 1, "running"), ("a", 2, "done"), ("b", 3, "running"), ("c", 4, "running")], "job_id string, page_id long, status string")
+    pages = spark.createDataFrame([("a", 1, "running"), ("a", 2, "done"), ("a", 5, "queued"), ("a", 6, "running"), ("b", 3, "running"), ("c", 4, "running")], "job_id string, page_id long, status string")
     ended = spark.createDataFrame([("a", "job.finished"), ("b", "job.cancelled")], "job_id string, type string")
-    assert sorted(map(tuple, jobs.close_pages(pages, ended).collect())) == [("a", 1, "error"), ("b", 3, "idle")]
+    busy = spark.createDataFrame([(6,)], "page_id long")
+    assert sorted(map(tuple, jobs.close_pages(pages, ended, busy).collect())) == [("a", 1, "error"), ("a", 5, "idle"), ("b", 3, "idle")]
