@@ -471,7 +471,9 @@ def repeated_strings(df: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     buckets = min(max(BUCKETS * partitions, size // BUCKET_BYTES), MOST_BUCKETS)
     doc = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     docs = df.select(F.col(key).alias("_key"), doc.alias("_doc"), body.alias("_text"), F.xxhash64(body).alias("_name"))
-    dealt = docs.select("_doc", "_text", "_name", F.pmod(F.xxhash64("_doc"), F.lit(groups)).alias("_group")).repartition("_group")
+    dealt = docs.select("_doc", "_text", "_name", F.pmod(F.xxhash64("_doc"), F.lit(groups)).alias("_group"))
+    many = size // GROUP_BYTES  # tasks, where the session has fewer partitions than the texts have groups
+    dealt = dealt.repartition(many, "_group") if many > partitions else dealt.repartition("_group")
     sent = dealt.groupBy("_group").applyInArrow(_send_anchors(buckets, length), "_bucket long, _group long, _keys binary, _many binary")
     shared = sent.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(_shared_anchors(hot), "_group long, _keys binary, _hot boolean")
     rows = dealt.groupBy("_group").cogroup(shared.groupBy("_group")).applyInArrow(_write_snippets(buckets, length), _OUT)
