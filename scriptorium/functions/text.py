@@ -51,14 +51,14 @@ def token_counts(text: Column) -> Column:
     capitals, and do not begin with one unless a sentence does so there."""
     parts = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_'’]+|[.!?…\n\r]"), F.lit(0))
 
-    def counts(token: Column, before: Column) -> Column:
+    def add(sums: Column, token: Column) -> Column:
+        """Sums with a token's letters, and whether it is a mark, so that the next one starts a sentence."""
         c = script_counts(token)
         capitals = F.regexp_count(token, F.lit(rf"[{LATIN}&&\p{{Lu}}]"))
-        inside = before.isNotNull() & ~before.rlike(r"^[.!?…\n\r]$")
-        name = inside & F.regexp_extract(token, rf"[{LATIN}&&\p{{L}}]", 0).rlike(r"^\p{Lu}")
+        name = ~sums["start"] & F.regexp_extract(token, rf"[{LATIN}&&\p{{L}}]", 0).rlike(r"^\p{Lu}")
         counted = (c["lat"] >= 4) & ~token.rlike(r"[\p{N}_]") & (capitals < c["lat"]) & ~name
-        return F.struct(c["cyr"].alias("cyr"), F.when(counted, c["lat"]).otherwise(0).cast("long").alias("lat"), c["other"].cast("long").alias("other"))
+        more = {"cyr": c["cyr"], "lat": F.when(counted, c["lat"]).otherwise(0), "other": c["other"]}
+        return F.struct(*[(sums[k] + v.cast("long")).alias(k) for k, v in more.items()], token.rlike(r"^[.!?…\n\r]$").alias("start"))
 
-    each = F.transform(parts, lambda token, i: counts(token, F.get(parts, i - 1)))
-    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("cyr", "lat", "other")])
-    return F.aggregate(each, none, lambda a, x: F.struct(*[(a[c] + x[c]).alias(c) for c in ("cyr", "lat", "other")]))
+    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("cyr", "lat", "other")], F.lit(True).alias("start"))
+    return F.aggregate(parts, none, add)  # the tokens are found once for each text
