@@ -31,6 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def track(path: str) -> str:
+    """A folder that goes with the written tables."""
+    _WRITTEN.append(path)
+    return path
+
+
 def drop_written(spark: SparkSession) -> int:
     """Delete the tables that the operators wrote in this Python process, for when the results of all of them are stored; their number."""
     n = len(_WRITTEN)

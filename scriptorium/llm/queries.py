@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ans, exact_dedup, fill_middle, lang_id, mixing, packing, quality, sharding, simhash, suffix_dedup, token_counts
+from . import ans, exact_dedup, fill_middle, lang_id, mixing, packing, quality, sharding, simhash, suffix_dedup, token_counts, warc
 
 N_SHARDS = 40
 
@@ -60,13 +60,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
     back = fill_middle.restored(F.col("output"), F.col("form"))
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_simhash, op4_sharding, op5_token_counts, op6_packing, op7_exact_dedup, op8_ans_coding, op9_language_id, op10_mixing, op13_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_simhash, op4_sharding, op5_token_counts, op6_packing, op7_exact_dedup, op8_ans_coding, op9_language_id, op10_mixing, op12_warc, op13_fill_middle)}
 
 #: CRC-32 as in zlib: the polynomial EDB88320 in a table of 256 made by its rule, folded over the bytes.
 _CRC_SQL = """
@@ -116,6 +120,23 @@ sums AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
   CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken
 FROM sums JOIN rests ON sums.source IS NOT DISTINCT FROM rests.source""",
+    "op12_warc": r"""
+WITH rows AS (
+  SELECT page_id, coalesce(html, '') AS body, lower(trim(coalesce(url, ''))) AS low,
+    regexp_extract(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www[0-9]*[.])?([^/:?#]+)(?::([0-9]+))?([^#]*)', ['host', 'port', 'rest']) AS p
+  FROM pages),
+keyed AS (
+  SELECT page_id, body, CASE WHEN p.host = '' THEN low ELSE
+    array_to_string(list_reverse(string_split(p.host, '.')), ',') || CASE WHEN p.port IN ('', '80', '443') THEN '' ELSE ':' || p.port END
+    || ')' || CASE WHEN p.rest = '' THEN '/' ELSE p.rest END END AS url_key,
+    sha1(body) AS d, max(page_id) OVER (PARTITION BY body) AS last
+  FROM rows)
+SELECT page_id, strlen(body) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(d, CAST(10 * (i // 8) + 1 AS INTEGER), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS INTEGER) + 1, 1)
+    for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to,
+  url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS position
+FROM keyed""",
     "op13_fill_middle": """
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
 drawn AS (SELECT doc_id, t, n, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(d, 9, 8) AS BIGINT) % (n + 1) AS c2,

@@ -1,8 +1,11 @@
 """Fill-in-middle, captures and alignments, against plain versions by brute force, SQL, the libraries and round trips."""
 
+import gzip
 import hashlib
 import random
 import re
+from base64 import b32encode
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -10,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm import fill_middle, queries
+from scriptorium.llm import common, fill_middle, queries, warc
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -110,3 +113,107 @@ def test_other_units_and_a_very_long_text(spark):
     assert got[1].n == 3_500_000 and got[1].prefix_chars % 6 == got[1].middle_chars % 6 == 0 and got[3].n == 1
     again = {r.doc_id: r for r in fill_middle.fill_in_middle(df).collect()}
     assert again[1].n == 21_000_000 and again[1].output == next(o for i, *_, o in cut_by_force([(1, "wörd  " * 3_500_000)]))
+
+
+# ---------------------------------------------------------------- 12
+
+
+def digest(body):
+    return b32encode(hashlib.sha1(body).digest()).decode()
+
+
+def archived_by_force(rows):
+    """rows(page_id, body) → page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    out = []
+    for body in {b for _, b in rows}:
+        ids = sorted((i for i, b in rows if b == body), key=lambda i: (i is not None, i or 0))
+        out += [(i, len(body), digest(body), "revisit", ids[-1]) for i in ids[:-1]] + [(ids[-1], len(body), digest(body), "response", None)]
+    return sorted(out, key=repr)
+
+
+#: Payloads that hold separators, end in parts of one, or look like records.
+BODIES = [None, "", "\r\n", "\r\n\r\n", "a\r\n", "a\r\n\r\n", "a\r", "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\nx", "a\r\n\r\r\n\r\nb\r\n\r\n\r\n", "ü" * 900, "\x00\x01", "\n\n"]
+PAGES = [(i, f"https://{h}.example.org/p/{i % 5}?q=1#f", BODIES[i % 12] if i % 3 else f"<p>{i % 7}</p>") for i, h in enumerate(["www", "a.b", "M"] * 40)]
+ODD_PAGES = [(None, None, "x"), (None, "http://h:8080", "x"), (500, "no url", "x"), (500, "no url", "x"), (501, "http://h/with space\r\nX: y", None), (502, "", "y")]
+
+
+def test_archives(spark):
+    rows = PAGES + ODD_PAGES
+    df = table(spark, "page_id", ["url", "html"], rows).repartition(5)
+    got = warc.archived(df)
+    assert rows_of(got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) == archived_by_force([(i, (b or "").encode()) for i, _, b in rows])
+    ordered = [(r.url_key, r.page_id is not None, r.page_id or 0) for r in got.orderBy("position").collect()]
+    assert ordered == sorted(ordered) and sorted(r.position for r in got.collect()) == [*range(len(rows))]
+    keys = dict(zip(["org,example)/p/0?q=1", "org,example,b,a)/p/1?q=1", "h:8080)/", "no%20url", "h)/with%20space%0d%0ax:%20y"], [0, 1, None, 500, 501], strict=True))
+    assert all(any(u == k and i == (v or 0) for u, _, i in ordered) for k, v in keys.items())
+    assert warc.archived(df.limit(0)).count() == 0
+    assert {r.record_type for r in warc.archived(df.filter("page_id < 12"), least_bytes=10_000).collect()} == {"response"}
+
+
+def test_archives_are_plain_warc_files(spark, tmp_path):
+    """Files read without the library: records follow each other by their Content-Length."""
+    df = table(spark, "page_id", ["url", "html"], PAGES).repartition(3)
+    path = warc.write_archives(df, f"file://{tmp_path}/w")
+    found = []
+    for file in Path(tmp_path, "w").glob("*.gz"):
+        data = gzip.decompress(file.read_bytes())
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            assert head.startswith(b"WARC/1.1\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            n = int(fields["Content-Length"])
+            block, data = rest[:n], rest[n:]
+            assert data.startswith(b"\r\n\r\n")
+            data = data[4:]
+            body = block.split(b"\r\n\r\n", 1)[1]
+            found.append((fields, body))
+            assert fields["WARC-Type"] == "revisit" or fields["WARC-Payload-Digest"] == "sha1:" + digest(body)
+    responses = {f["WARC-Record-ID"]: f for f, _ in found if f["WARC-Type"] == "response"}
+    assert len(found) == len(PAGES) == len({f["WARC-Record-ID"] for f, _ in found})
+    for f, body in found:
+        if f["WARC-Type"] == "revisit":
+            first = responses[f["WARC-Refers-To"]]
+            assert not body and (first["WARC-Payload-Digest"], first["WARC-Target-URI"]) == (f["WARC-Payload-Digest"], f["WARC-Refers-To-Target-URI"])
+    again = {r.record_id: r for r in warc.read_archives(spark, path).collect()}
+    assert {f["WARC-Record-ID"]: b for f, b in found} == {i: bytes(r.payload) for i, r in again.items()}
+
+
+def test_other_archives(spark, tmp_path):
+    """Records of one gzip member each, with other kinds; binary payloads; dates; a cut archive."""
+    record = lambda kind, body, more="": f"WARC/1.0\r\nWARC-Type: {kind}\r\n{more}Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    parts = [record("warcinfo", b"software: x\r\n"), record("resource", b"\x00\xff\r\n\r\n\xfe", "WARC-Date: 2001-02-03T04:05:06Z\r\n"), record("metadata", b"")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    got = warc.read_archives(spark, f"file://{tmp_path}/a.warc.gz").orderBy("number").collect()
+    assert [(r.kind, bytes(r.payload), r.number) for r in got] == [("warcinfo", b"software: x\r\n", 0), ("resource", b"\x00\xff\r\n\r\n\xfe", 1), ("metadata", b"", 2)]
+    assert got[1].us == 981_173_106_000_000
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(parts)[:-30]))
+    with pytest.raises(Exception, match="b.warc.gz"):
+        warc.read_archives(spark, f"file://{tmp_path}/b.warc.gz").count()
+    raw = spark.createDataFrame([(1, "http://h/", bytearray(b"\xff\r\n\x00"), 5), (2, "http://h/", bytearray(b"\xff\r\n\x00"), -1), (3, None, None, 3)], "page_id int, url string, html binary, s long")
+    raw = raw.withColumn("at", F.timestamp_micros(F.col("s") * 1_500_000 - 1))
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived(raw, date="at").orderBy("position").collect()]
+    assert got == [(3, 0, "response", None), (2, 4, "response", None), (1, 4, "revisit", 2)]  # by URL, then time
+
+
+def test_archives_equal_sql(spark):
+    against_sql(spark, "op12_warc")
+
+
+def test_merging_of_runs_and_ranges(spark):
+    rng = random.Random(6)
+    for k in (0, 1, 2, 3, 7, 8, 33):
+        runs = [sorted(rng.randrange(50) for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(k)]
+        keys, starts = [x for r in runs for x in r], [sum(map(len, runs[:i])) for i in range(k + 1)]
+        order = list(warc.merged_order(keys, starts))
+        assert [keys[i] for i in order] == sorted(keys) and order == sorted(range(len(keys)), key=lambda i: (keys[i], i))
+    df = table(spark, "page_id", ["url", "html"], [(i, "https://one.example.org/", str(i)) for i in range(3000)]).repartition(4)
+    found = warc.read_archives(spark, warc.write_archives(df), payloads=False)
+    index = warc.capture_index(found, entries=200)  # one URL in 15 ranges
+    assert [r._key for r in index.orderBy("position").collect()] == [*range(3000)]
+
+
+def test_a_very_long_payload(spark):
+    body = "0123456789\r\n\r\n" * 1_500_000
+    df = table(spark, "page_id", ["url", "html"], [(1, "http://h/", body), (2, "http://h/", body), (3, "http://h/", "x")])
+    got = rows_of(warc.archived(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    assert got == archived_by_force([(1, body.encode()), (2, body.encode()), (3, b"x")])
