@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ans, exact_dedup, fill_middle, lang_id, mixing, packing, quality, sharding, simhash, suffix_dedup, token_counts, warc
+from . import alignment, ans, exact_dedup, fill_middle, lang_id, mixing, packing, quality, sharding, simhash, suffix_dedup, token_counts, warc
 
 N_SHARDS = 40
 
@@ -60,6 +60,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
@@ -70,7 +74,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_simhash, op4_sharding, op5_token_counts, op6_packing, op7_exact_dedup, op8_ans_coding, op9_language_id, op10_mixing, op12_warc, op13_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_simhash, op4_sharding, op5_token_counts, op6_packing, op7_exact_dedup, op8_ans_coding, op9_language_id, op10_mixing, op11_alignment, op12_warc, op13_fill_middle)}
 
 #: CRC-32 as in zlib: the polynomial EDB88320 in a table of 256 made by its rule, folded over the bytes.
 _CRC_SQL = """

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm import common, fill_middle, queries, warc
+from scriptorium.llm import alignment, common, fill_middle, queries, warc
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -217,3 +217,150 @@ def test_a_very_long_payload(spark):
     df = table(spark, "page_id", ["url", "html"], [(1, "http://h/", body), (2, "http://h/", body), (3, "http://h/", "x")])
     got = rows_of(warc.archived(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
     assert got == archived_by_force([(1, body.encode()), (2, body.encode()), (3, b"x")])
+
+
+# ---------------------------------------------------------------- 11
+
+
+A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def sides():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(P.path(A)), sentencepiece.SentencePieceProcessor(model_file=P.path(B))
+    a.encode_special_tokens = True
+    return a, b
+
+
+def aligned_by_force(rows):
+    a, b = sides()
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(c): c for c in seen} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in seen)}
+    docs, count = [], {}
+    for i, t in rows:
+        want = (" " + (t or "")).encode()
+        x = [(k, bytes(letters[c] for c in a.id_to_token(k))) for k in a.encode(" " + t, add_special_tokens=False).ids] if t else []
+        y = [(k, bytes([int(b.id_to_piece(k)[3:5], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("\u2581", " ").encode()) for k in b.encode(t)] if t else []
+        if not t or b"".join(p for _, p in x) != want or b"".join(p for _, p in y) != want:
+            docs.append((i, [], [], [], 0))
+            continue
+        spans = []
+        for side in (x, y):
+            at, own = 0, []
+            for k, p in side:
+                own.append((k, at, at + len(p)))
+                at += len(p)
+            spans.append(own)
+        cuts = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+        groups, lo = [], 0
+        for c in cuts:
+            groups.append([[k for k, s, e in own if lo <= s and e <= c] for own in spans])
+            lo = c
+        links = [(p, q) for g in groups for p in g[0] for q in g[1]]
+        overlaps = sum(max(s, u) < min(e, v) for _, s, e in spans[0] for _, u, v in spans[1]) if len(t) < 3000 else None
+        for pair in set(links):
+            count[pair] = count.get(pair, 0) + 1
+        docs.append((i, x, y, groups, overlaps))
+    top = {}
+    for (p, _), n in count.items():
+        top[p] = max(top.get(p, 0), n)
+    out = []
+    for i, x, y, groups, overlaps in docs:
+        links = [(p, q) for g in groups for p in g[0] for q in g[1]]
+        text = ";".join(",".join(map(str, g[0])) + "|" + ",".join(map(str, g[1])) for g in groups)
+        sha = hashlib.sha256(text.encode()).hexdigest() if text else ""
+        out.append(((i, len(x), len(y), len(groups), len(links), sum(count[k] == top[k[0]] for k in links), sum(count[k] for k in links), sha), overlaps))
+    return out
+
+
+ALIGNED = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@pytest.mark.parametrize("head", [1_000_000, 3, 0])
+def test_alignment(spark, head):
+    rows = [(i, t) for i, t in ROWS + ODD if len(t or "") < 9000] + [(900, "aaaa bbbb" * 50), (901, "\u65e5\u672c" * 60), (902, "ab\n" * 40), (903, "<0xE3>" + "\ud55c" * 30)]
+    df = table(spark, "doc_id", ["text"], rows).repartition(3)
+    got = alignment.align(df, P.path(A), P.path(B), head=head)
+    want = aligned_by_force(rows)
+    assert rows_of(got, *ALIGNED) == sorted((w for w, _ in want), key=repr)
+    overlaps = {w[0]: n for w, n in want if n is not None and w[0] not in (7, 8, 9, None)}
+    assert {r.doc_id: r.n_overlaps for r in got.collect() if r.doc_id in overlaps} == overlaps
+    if not head:
+        texts = alignment.token_groups(df, P.path(A), P.path(B))
+        assert rows_of(texts.select("doc_id", F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise(""))) == sorted(((w[0], w[-1]) for w, _ in want), key=repr)
+        assert alignment.align(df.limit(0), P.path(A), P.path(B)).count() == 0
+
+
+def test_alignment_of_the_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert rows_of(queries.op11_alignment(spark, SF), *ALIGNED) == sorted((w for w, _ in aligned_by_force(rows)), key=repr)
+
+
+def test_products_of_matrices():
+    rng = np.random.default_rng(3)
+
+    def dense(m, n):
+        out = np.zeros((len(m.starts) - 1, n), dtype=np.int64)
+        for i in range(len(out)):
+            np.add.at(out[i], m.columns[m.starts[i] : m.starts[i + 1]], m.values[m.starts[i] : m.starts[i + 1]])
+        return out
+
+    for _ in range(40):
+        n, k, m = rng.integers(1, 9, 3)
+        made = []
+        for rows, columns in ((n, k), (k, m)):
+            counts = rng.integers(0, columns + 1, rows)
+            own = [np.sort(rng.choice(columns, c, replace=False)) for c in counts]
+            made.append(alignment.Csr(np.r_[0, np.cumsum(counts)], np.concatenate(own).astype(int), rng.integers(1, 5, counts.sum())))
+        a, b = made
+        assert (dense(alignment.product(a, b, int(m)), m) == dense(a, k) @ dense(b, m)).all()
+        assert (dense(alignment.transposed(a, int(k)), n) == dense(a, k).T).all()
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 20])
+def test_links_in_blocks_and_of_large_groups(most):
+    rng = np.random.default_rng(5)
+    for hard in (0, 1):
+        a_bytes, b_bytes = rng.integers(1, 5, 200), rng.integers(1, 5, 200)
+        if hard:  # no common end but the last
+            a_bytes, b_bytes = np.full(200, 2), np.r_[1, np.full(199, 2), 1]
+        total = min(a_bytes.sum(), b_bytes.sum())
+        a_bytes, b_bytes = (np.diff(np.unique(np.r_[np.minimum(np.cumsum(x), total)]), prepend=0) for x in (a_bytes, b_bytes))
+        a, b = rng.integers(0, 9, len(a_bytes)), rng.integers(0, 9, len(b_bytes))
+        ends = [np.cumsum(x) for x in (a_bytes, b_bytes)]
+        cuts = np.intersect1d(*ends)
+        groups = alignment.groups_of(a_bytes, b_bytes)
+        assert all((g == np.searchsorted(cuts, e)).all() for g, e in zip(groups, ends, strict=True))
+        want = {}
+        for i, g in zip(a, groups[0], strict=True):
+            for j, h in zip(b, groups[1], strict=True):
+                if g == h:
+                    want[int(i) << 16 | int(j)] = want.get(int(i) << 16 | int(j), 0) + 1
+        pairs, times = alignment.pair_links(a, b, *groups, most=most)
+        assert dict(zip(pairs.tolist(), times.tolist(), strict=True)) == want
+        got = {(int(i), int(j)): int(n) for p, q, r in alignment.overlap_links(a_bytes, b_bytes, most) for i, j, n in zip(p, q, r, strict=True)}
+        shared = {(i, j): min(ends[0][i], ends[1][j]) - max(ends[0][i] - a_bytes[i], ends[1][j] - b_bytes[j]) for i in range(len(a)) for j in range(len(b))}
+        assert got == {k: n for k, n in shared.items() if n > 0}
+
+
+def test_tokens_equal_the_libraries():
+    both, (a, b) = alignment.aligner(P.path(A), P.path(B)), sides()
+    rng = random.Random(8)
+    signs = ["a", "b", "the", " ", "  ", " ", "\n", "\t", "\u00e9", "\u65e5", "<s>", "</s>", "<|endoftext|>", "<0x41>", "\x00", "\u3000", "1", "23", "\U0001f642", "'s", "_", "\u2581"]
+    for _ in range(4000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 25)))
+        found = both.tokens(text)
+        if "\u2581" in text:
+            assert found is None
+        else:
+            assert found[0].tolist() == a.encode(" " + text, add_special_tokens=False).ids and found[1].tolist() == b.encode(text)
+
+
+def test_alignment_of_a_very_long_text(spark):
+    text = "shiny maison, the 12 " * 1_000_000
+    df = table(spark, "doc_id", ["text"], [(1, text), (2, "shiny"), (3, "\u65e5" * 300_000)])
+    got = {r.doc_id: r for r in alignment.align(df, P.path(A), P.path(B)).collect()}
+    a, b = alignment.aligner(P.path(A), P.path(B)).tokens("shiny maison, the 12 " * 10)
+    assert got[1].n_a == (len(a) - 1) * 100_000 + 1 and got[1].n_overlaps >= got[1].n_groups > 1_000_000 and got[3].n_a > 0
