@@ -1,155 +1,123 @@
-"""Streams of job events and requests. Each stateful job folds the events of a key in the order of event time, and has a batch twin that
-folds the same way; late events after a terminal one change nothing."""
+"""Streams of job events and requests. Each stateful job folds the rows of a key in the order of event time (see `timed`) and has a batch twin
+that folds the same way. Rows without a time are left out of streams and folds; late events after a terminal one change nothing."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.grouped import per_group_running
 from ..operators.state import TERMINAL
+from .timed import SECOND, Fold, streamed
 
 # ---------------------------------------------------------------- job states
 
 
-def _ms(ts) -> int:
-    return int(ts.timestamp() * 1000)
+def _us(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp")).alias("us")
 
 
-def _us(ts) -> int:
-    return round(ts.timestamp() * 1e6)
-
-
-def _later(state: GroupState, ms: int) -> None:
-    """The state goes when the watermark passes that time."""
-    state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs() + 1))
+def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    """df with a watermark, without rows that have no time."""
+    return df.filter(F.col(ts).isNotNull()).withWatermark(ts, delay)
 
 
 def job_state_stream(events: DataFrame, delay: str = "1 hour", forget_s: int = 3600) -> DataFrame:
-    """events(job_id, event_id, ts, type, progress) → changes of (job_id, status, progress). The terminal event that is first by (ts, event_id)
-    decides, in whatever order batches bring them; progress, within 0..100, is that of the last event before it. By event time, a
-    state goes `forget_s` after its last event."""
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        status, end, end_id, progress, at, at_id, newest = state.get if state.exists else ("queued", None, None, -1, None, None, 0)
-        before = (status, progress)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for i, ts, t, p in zip(rows["event_id"], rows["ts"], rows["type"], rows["progress"], strict=True):
-            place = (_us(ts), int(i))
-            newest = max(newest, _ms(ts))
-            if end is not None and place >= (end, end_id):
-                continue
-            if t in TERMINAL:
-                status, (end, end_id) = t, place
+    """events(job_id, event_id, ts, type, progress) → changes of (job_id, status, progress), by update. The terminal event that is first by
+    (ts, event_id) decides, in whatever order batches bring them; progress, within 0..100, is that of the last event before it that
+    tells one. By event time, a state goes `forget_s` after its last event."""
+
+    def step(key, state, row):
+        status, end, end_id, progress, at, at_id, newest = state
+        us, i, kind, told = row
+        place = (us, i)
+        newest = max(newest, us)
+        if end is None or place < (end, end_id):
+            if kind in TERMINAL:
+                status, (end, end_id) = kind, place
             elif end is None:
                 status = "job.running"
-            if t == "job.progress" and (at is None or place > (at, at_id)):
-                progress, (at, at_id) = min(100, max(0, int(p))), place
-        state.update((status, end, end_id, progress, at, at_id, newest))
-        _later(state, newest + forget_s * 1000)
-        if (status, progress) != before:
-            yield pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [None if progress < 0 else progress]}).astype({"progress": "Int64"})
+            if kind == "job.progress" and told is not None and (at is None or place > (at, at_id)):
+                progress, (at, at_id) = min(100, max(0, told)), place
+        return (status, end, end_id, progress, at, at_id, newest), []
 
-    return events.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(
-        fold, "job_id string, status string, progress long", "status string, end long, end_id long, progress long, at long, at_id long, newest long", "update", GroupStateTimeout.EventTimeTimeout)
+    def changed(key, before, after):
+        if (before or ("queued", 0, 0, None))[:4:3] != after[:4:3]:
+            yield key, after[0], after[3]
+
+    fold = Fold(
+        key="job_id", rows="us long, i long, type string, progress long", out="job_id string, status string, progress long",
+        state="status string, end long, end_id long, progress long, at long, at_id long, newest long",
+        start=lambda: ("queued", None, None, None, None, None, 0), step=step, due=lambda s: s[6] + forget_s * SECOND, expire=lambda key, s, now: (None, []), changed=changed,
+    )
+    rows = _timed(events, "ts", delay).select("job_id", "ts", _us("ts"), F.coalesce("event_id", F.lit(-1)).cast("long").alias("i"), "type", F.col("progress").cast("long"))
+    return streamed(rows, fold, mode="update")
 
 
 # ---------------------------------------------------------------- limits
 
 
-def _accepted(stamps: list[datetime], now: datetime, limit: int, window_s: float) -> tuple[bool, list[datetime]]:
-    stamps = [t for t in stamps if (now - t).total_seconds() < window_s]
-    ok = len(stamps) < limit
-    return ok, [*stamps, now] if ok else stamps
+def _limiter(limit: int, window_s: float) -> Fold:
+    """`limit` accepted requests of a key in the last window; a state is the times of these."""
+    window = round(window_s * SECOND)
+
+    def step(key, state, row):
+        us, event = row
+        if not key:
+            return None, [(key, event, False)]
+        stamps = [t for t in state[0] if us - t < window]
+        ok = len(stamps) < limit
+        return ([*stamps, us] if ok else stamps,), [(key, event, ok)]
+
+    return Fold(
+        key="key", rows="us long, event_id long", out="key string, event_id long, allowed boolean", state="stamps array<long>",
+        start=lambda: ([],), step=step, due=lambda s: max(s[0]) + window if s[0] else None, expire=lambda key, s, now: (None, []),
+    )
 
 
 def rate_limit(requests: DataFrame, limit: int = 30, window_s: float = 60) -> DataFrame:
     """requests(key, event_id, ts) → allowed: fewer than `limit` allowed ones in the last window; refused ones do not count, an empty key is refused."""
+    fold = _limiter(limit, window_s)
+    return per_group_running(requests.filter("ts IS NOT NULL").select("key", _us("ts"), "event_id"), ["key"], ["us", "event_id"], fold.over, fold.out)
+
+
+def rate_limit_stream(requests: DataFrame, limit: int = 30, window_s: float = 60, delay: str = "1 minute", wait: bool = False, initial: DataFrame | None = None) -> DataFrame:
+    """As rate_limit, request by request as batches bring them, or, if they shall wait, when the watermark has passed them: then late ones, within
+    the delay, change nothing. A key's state goes when its last allowed request has left the window. initial(key, stamps: array of
+    microseconds): what earlier requests left."""
+    return streamed(_timed(requests, "ts", delay).select("key", "ts", _us("ts"), "event_id"), _limiter(limit, window_s), wait=wait, initial=initial)
+
+
+def _admission(cap: int, forget_s: int | None) -> Fold:
+    """Unfinished jobs of a queue."""
+
+    def step(key, state, row):
+        us, event, kind = row
+        busy, newest = state[0], max(state[1], us)
+        if kind == "end":
+            return (max(0, busy - 1), newest), []
+        ok = kind == "hit" or busy < cap
+        return (busy + (ok and kind == "submit"), newest), [(key, event, ok)]
+
+    return Fold(
+        key="queue", rows="us long, event_id long, kind string", out="queue string, event_id long, admitted boolean", state="busy long, newest long",
+        start=lambda: (0, 0), step=step, due=lambda s: None if forget_s is None else s[1] + forget_s * SECOND, expire=lambda key, s, now: (None, []),
+    )
+
+
+def admit_pending(events: DataFrame, cap: int = 8, forget_s: int | None = None) -> DataFrame:
+    """events(queue, event_id, ts, kind in submit, hit, end) → submissions with admitted: refused where `cap` are unfinished; cache hits take no slot.
+    Given forget_s, jobs of a queue without any event for so long count as ended."""
+    fold = _admission(cap, forget_s)
+    return per_group_running(events.filter("ts IS NOT NULL").select("queue", _us("ts"), "event_id", "kind"), ["queue"], ["us", "event_id"], fold.over, fold.out)
+
 
-    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
-        stamps: list[datetime] = []  # `limit` at most
-        for key, event, ts in rows:
-            ok = bool(key)
-            if ok:
-                ok, stamps = _accepted(stamps, ts, limit, window_s)
-            yield key, event, ok
-
-    df = requests.select("key", "event_id", "ts")
-    return per_group_running(df, ["key"], ["ts", "event_id"], fold, "key string, event_id long, allowed boolean")
-
-
-def rate_limit_stream(requests: DataFrame, limit: int = 30, window_s: float = 60, delay: str = "1 minute") -> DataFrame:
-    """As rate_limit, request by request as batches bring them. A key's state goes when its last allowed request has left the window."""
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stamps = [datetime.fromtimestamp(us / 1e6) for us in (state.get[0] if state.exists else [])]
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        allowed = []
-        for ts in rows["ts"]:
-            ok = bool(key[0])
-            if ok:
-                ok, stamps = _accepted(stamps, ts.to_pydatetime(), limit, window_s)
-            allowed.append(ok)
-        state.update(([_us(t) for t in stamps],))
-        _later(state, _ms(rows["ts"].max()) + int(window_s * 1000))
-        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "allowed": allowed})
-
-    return requests.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
-        fold, "key string, event_id long, allowed boolean", "stamps array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def admit_pending(events: DataFrame, cap: int = 8) -> DataFrame:
-    """events(queue, event_id, ts, kind in submit, hit, end) → submissions with admitted: refused where `cap` are unfinished; cache hits take no slot."""
-
-    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
-        busy = 0
-        for queue, event, _, kind in rows:
-            if kind == "end":
-                busy = max(0, busy - 1)
-                continue
-            ok = kind == "hit" or busy < cap
-            busy += ok and kind == "submit"
-            yield queue, event, ok
-
-    df = events.select("queue", "event_id", "ts", "kind")
-    return per_group_running(df, ["queue"], ["ts", "event_id"], fold, "queue string, event_id long, admitted boolean")
-
-
-def admit_stream(events: DataFrame, cap: int = 8, delay: str = "1 minute", forget_s: int = 86400) -> DataFrame:
-    """As admit_pending, event by event as batches bring them. Jobs of a queue without any event for `forget_s`, by event time, count as ended."""
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        busy = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        ids, admitted = [], []
-        for event, kind in zip(rows["event_id"], rows["kind"], strict=True):
-            if kind == "end":
-                busy = max(0, busy - 1)
-                continue
-            ok = kind == "hit" or busy < cap
-            busy += int(ok and kind == "submit")
-            ids.append(event)
-            admitted.append(ok)
-        state.update((busy,))
-        _later(state, _ms(rows["ts"].max()) + forget_s * 1000)
-        yield pd.DataFrame({"queue": key[0], "event_id": ids, "admitted": admitted})
-
-    return events.withWatermark("ts", delay).groupBy("queue").applyInPandasWithState(
-        fold, "queue string, event_id long, admitted boolean", "busy long", "append", GroupStateTimeout.EventTimeTimeout)
+def admit_stream(events: DataFrame, cap: int = 8, delay: str = "1 minute", forget_s: int = 86400, wait: bool = False, initial: DataFrame | None = None) -> DataFrame:
+    """As admit_pending, event by event as batches bring them, or, if they shall wait, when the watermark has passed them. Jobs of a queue
+    without any event for `forget_s`, by event time, count as ended. initial(queue, busy, newest: microseconds): unfinished jobs of before."""
+    return streamed(_timed(events, "ts", delay).select("queue", "ts", _us("ts"), "event_id", "kind"), _admission(cap, forget_s), wait=wait, initial=initial)
 
 
 # ---------------------------------------------------------------- stalls
@@ -164,36 +132,37 @@ def stalls(events: DataFrame, beat_s: int = 30, timeout_s: int = 1800) -> DataFr
     return df.select("job_id", F.col("ts").alias("since"), F.when(F.col("seconds") > timeout_s, "timeout").otherwise("beat").alias("kind"), "seconds")
 
 
+def stall_alerts(events: DataFrame, beat_s: int = 30, timeout_s: int = 1800, until: Column | None = None) -> DataFrame:
+    """What stall_stream tells, of a whole table: (job_id, since, kind), a beat and a timeout being rows of their own. A job's last event is followed by
+    `until`, or by nothing."""
+    order = Window.partitionBy("job_id").orderBy("ts", "event_id")
+    end = F.lit(None).cast("long") if until is None else F.unix_micros(until)
+    df = events.filter("ts IS NOT NULL").withColumn("_gap", F.coalesce(F.lead(F.unix_micros("ts")).over(order), end) - F.unix_micros("ts"))
+    kinds = F.array_compact(F.array(F.when(F.col("_gap") > beat_s * SECOND, "beat"), F.when(F.col("_gap") > timeout_s * SECOND, "timeout")))
+    return df.filter(~F.coalesce(F.col("type").isin(list(TERMINAL)), F.lit(False))).select("job_id", F.col("ts").alias("since"), F.explode(kinds).alias("kind"))
+
+
 def stall_stream(events: DataFrame, beat_s: int = 30, timeout_s: int = 1800, delay: str = "1 minute") -> DataFrame:
     """Jobs that run without an event, by event time: (job_id, since, kind): beat once after beat_s, timeout after timeout_s; with a timeout the
-    job is given up. A terminal event, even one that comes late, ends the watch."""
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, beaten, ended = state.get if state.exists else (0, False, False)
-        if state.hasTimedOut:
-            if ended:
-                state.remove()
-                return
-            now = state.getCurrentWatermarkMs()
-            over = now >= at + timeout_s * 1000
-            if not beaten or over:
-                yield pd.DataFrame({"job_id": [key[0]], "since": [pd.Timestamp(at, unit="ms")], "kind": ["timeout" if over else "beat"]})
-            if over:
-                state.remove()
-            else:
-                state.update((at, True, False))
-                _later(state, at + timeout_s * 1000)
-            return
-        rows = pd.concat(list(batches))
-        newest = max(_ms(t) for t in rows["ts"])
-        ended = ended or bool(rows["type"].isin(TERMINAL).any())
-        beaten = beaten and newest <= at
-        at = max(at, newest)
-        state.update((at, beaten, ended))
-        _later(state, at + (timeout_s if ended or beaten else beat_s) * 1000)
-
-    return events.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(
-        fold, "job_id string, since timestamp, kind string", "at long, beaten boolean, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    job is given up. A terminal event ends the watch, an event after it begins one. Events wait until the watermark has passed them, so
+    those that come in another order, within the delay, change nothing."""
+
+    def step(key, state, row):
+        us, _, kind = row
+        return None if kind in TERMINAL else (us, False), []
+
+    def expire(key, state, now):
+        at, beaten = state
+        if not beaten:
+            return (at, True), [(key, at, "beat")]
+        return None, [(key, at, "timeout")]
+
+    fold = Fold(
+        key="job_id", rows="us long, i long, type string", out="job_id string, since long, kind string", state="at long, beaten boolean",
+        start=lambda: None, step=step, due=lambda s: s[0] + (timeout_s if s[1] else beat_s) * SECOND, expire=expire,
+    )
+    rows = _timed(events, "ts", delay).select("job_id", "ts", _us("ts"), F.coalesce("event_id", F.lit(-1)).cast("long").alias("i"), "type")
+    return streamed(rows, fold, wait=True).select("job_id", F.timestamp_micros("since").alias("since"), "kind")
 
 
 def close_pages(pages: DataFrame, ended: DataFrame, busy: DataFrame) -> DataFrame:
@@ -212,66 +181,90 @@ def _work_key(df: DataFrame) -> DataFrame:
     return df.withColumn("work_key", F.concat_ws("|", F.regexp_replace("page_url", "#.*$", ""), "image_url"))
 
 
-def dedupe_submissions(submissions: DataFrame) -> DataFrame:
-    """submissions(sub_id, ts, page_url, image_url, fresh) → action: error for blobs, new for the first of a key and for forced ones, else reuse."""
-    df = _work_key(submissions)
-    first = F.row_number().over(Window.partitionBy("work_key").orderBy("ts", "sub_id")) == 1
-    action = F.when(F.col("image_url").startswith("blob:"), "error").when(F.col("fresh") | first, "new").otherwise("reuse")
-    return df.select("sub_id", "work_key", action.alias("action"))
+def _is_blob(url: str) -> Column:
+    return F.coalesce(F.lower(F.col(url)).startswith("blob:"), F.lit(False))
+
+
+def _work(forget_s: int | None) -> Fold:
+    """The job of a key: who asked for it first, and whether it is queued, running or done."""
+
+    def step(key, state, row):
+        us, i, kind, blob, fresh = row
+        job, live, newest = state
+        newest = max(newest, us)
+        if kind is not None:  # the end of a job
+            return (job, live if i != job else kind == "done", newest), []
+        if blob:
+            return (job, live, newest), [(i, key, "error")]
+        again = fresh or job is None or not live
+        return (i if again else job, True, newest), [(i, key, "new" if again else "reuse")]
+
+    return Fold(
+        key="work_key", rows="us long, i long, status string, blob boolean, fresh boolean", out="sub_id long, work_key string, action string",
+        state="job long, live boolean, newest long", start=lambda: (None, False, 0), step=step,
+        due=lambda s: None if forget_s is None else s[2] + forget_s * SECOND, expire=lambda key, s, now: (None, []),
+    )
+
+
+def _work_rows(submissions: DataFrame, ends: DataFrame | None, delay: str | None) -> DataFrame:
+    """Submissions and ends of jobs as rows of one fold. At the same time ends come after submissions with lower numbers."""
+    columns = lambda status, fresh: ["work_key", "ts", _us("ts"), F.col("sub_id").cast("long").alias("i"), status.alias("status"), _is_blob("image_url").alias("blob"), fresh.alias("fresh")]
+    keep = (lambda df: _timed(df, "ts", delay)) if delay else (lambda df: df.filter("ts IS NOT NULL"))
+    rows = keep(_work_key(submissions)).select(*columns(F.lit(None).cast("string"), F.coalesce("fresh", F.lit(False))))
+    if ends is not None:
+        rows = rows.unionByName(keep(_work_key(ends)).select(*columns(F.coalesce("status", F.lit("")), F.lit(False))))
+    return rows
+
+
+def dedupe_submissions(submissions: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """submissions(sub_id, ts, page_url, image_url, fresh) → action: error for blobs, new for the first of a key and for forced ones, else reuse.
+    With ends(sub_id, ts, page_url, image_url, status) a key whose job ended otherwise than done is new again; the end of a job that a
+    forced one has replaced changes nothing."""
+    if ends is None:
+        df = _work_key(submissions)
+        first = F.row_number().over(Window.partitionBy("work_key").orderBy("ts", "sub_id")) == 1
+        action = F.when(_is_blob("image_url"), "error").when(F.coalesce("fresh", F.lit(False)) | first, "new").otherwise("reuse")
+        return df.select("sub_id", "work_key", action.alias("action"))
+    fold = _work(None)
+    return per_group_running(_work_rows(submissions, ends, None).drop("ts"), ["work_key"], ["us", "i", F.col("status").isNotNull()], fold.over, fold.out)
 
 
-def dedupe_stream(submissions: DataFrame, delay: str = "1 hour", forget_s: int = 86400) -> DataFrame:
-    """As dedupe_submissions, row by row as batches bring them: (sub_id, work_key, action). A key is forgotten `forget_s` after its last row, by
-    event time."""
+def dedupe_stream(submissions: DataFrame, delay: str = "1 hour", forget_s: int = 86400, ends: DataFrame | None = None, wait: bool = False) -> DataFrame:
+    """As dedupe_submissions, row by row as batches bring them, or when the watermark has passed them: (sub_id, work_key, action). A key is forgotten
+    `forget_s` after its last row, by event time."""
+    return streamed(_work_rows(submissions, ends, delay), _work(forget_s), wait=wait)
 
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "sub_id"])
-        actions = []
-        for ts, image, fresh in zip(rows["ts"], rows["image_url"], rows["fresh"], strict=True):
-            known = last is not None and _ms(ts) - last <= forget_s * 1000
-            actions.append("error" if image.startswith("blob:") else "new" if fresh or not known else "reuse")
-            last = _ms(ts) if last is None else max(last, _ms(ts))
-        state.update((last,))
-        _later(state, last + forget_s * 1000)
-        yield pd.DataFrame({"sub_id": rows["sub_id"].to_numpy(), "work_key": key[0], "action": actions})
 
-    df = _work_key(submissions).select("sub_id", "ts", "work_key", "image_url", "fresh").withWatermark("ts", delay)
-    return df.groupBy("work_key").applyInPandasWithState(fold, "sub_id long, work_key string, action string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+def first_submissions(submissions: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """A stream without forced submissions: those that start work, the first to come of each key within the delay; without a fold of our own."""
+    rows = _timed(_work_key(submissions), "ts", delay).filter(~_is_blob("image_url"))
+    return rows.dropDuplicatesWithinWatermark(["work_key"]).select("sub_id", "ts", "work_key")
 
 
-def redeem_stream(issued: DataFrame, redeemed: DataFrame, ttl_s: int = 300, delay: str = "10 minutes") -> DataFrame:
+def redeem_stream(issued: DataFrame, redeemed: DataFrame, ttl_s: int = 300, delay: str = "10 minutes", wait: bool = False) -> DataFrame:
     """issued(device_id, ts, code), redeemed(event_id, device_id, ts, code) → (event_id, device_id, accepted), as match_codes says, attempt by attempt as
-    batches bring them: the code must be the device's last one, not older than ttl_s, and not used. By event time, a code is forgotten
-    with its lifetime."""
-    both = issued.select("device_id", "ts", F.lit(None).cast("long").alias("event_id"), F.col("code").cast("string").alias("code"))
-    both = both.unionByName(redeemed.select("device_id", "ts", "event_id", F.col("code").cast("string").alias("code")))
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        code, at = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches))
-        rows = rows.assign(given=rows["event_id"].isna()).sort_values(["ts", "given", "event_id"], ascending=[True, False, True])
-        ids, accepted = [], []
-        for ts, event, value, given in zip(rows["ts"], rows["event_id"], rows["code"], rows["given"], strict=True):
-            if given:
-                code, at = value, _us(ts)
-                continue
-            ok = code is not None and value == code and 0 <= _us(ts) - at < ttl_s * 1_000_000
-            ids.append(int(event))
-            accepted.append(ok)
-            code = None if ok else code
-        state.update((code, at))
-        _later(state, at // 1000 + ttl_s * 1000)
-        yield pd.DataFrame({"event_id": ids, "device_id": key[0], "accepted": accepted})
-
-    return both.withWatermark("ts", delay).groupBy("device_id").applyInPandasWithState(
-        fold, "event_id long, device_id long, accepted boolean", "code string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    batches bring them, or when the watermark has passed them: the code must be the device's last one, not older than ttl_s, and not used. By
+    event time, a code is forgotten with its lifetime. An attempt without a code is refused."""
+
+    def step(key, state, row):
+        us, event, code = row
+        held, at = state
+        if event is None:
+            return (code, us), []
+        ok = held is not None and code == held and 0 <= us - at < ttl_s * SECOND
+        return (None if ok else held, at), [(event, key, ok)]
+
+    fold = Fold(
+        key="device_id", rows="us long, event_id long, code string", out="event_id long, device_id long, accepted boolean", state="code string, at long",
+        start=lambda: (None, 0), step=step, due=lambda s: s[1] + ttl_s * SECOND, expire=lambda key, s, now: (None, []), order=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or ""),
+    )
+    columns = lambda event: ["device_id", "ts", _us("ts"), event.alias("event_id"), F.col("code").cast("string").alias("code")]
+    both = _timed(issued, "ts", delay).select(*columns(F.lit(None).cast("long")))
+    both = both.unionByName(_timed(redeemed, "ts", delay).select(*columns(F.col("event_id").cast("long"))))
+    return streamed(both, fold, wait=wait)
+
+
+# ---------------------------------------------------------------- sink
 
 
 def publish_progress(stream: DataFrame, path: str, checkpoint: str, summary):

@@ -115,3 +115,118 @@ def test_pages_of_ended_jobs_are_closed(spark):
     ended = spark.createDataFrame([("a", "job.finished"), ("b", "job.cancelled")], "job_id string, type string")
     busy = spark.createDataFrame([(6,)], "page_id long")
     assert sorted(map(tuple, jobs.close_pages(pages, ended, busy).collect())) == [("a", 1, "error"), ("a", 5, "idle"), ("b", 3, "idle")]
+
+
+# ---------------------------------------------------------------- true time, late rows, nulls, restarts
+
+#: Seconds around which clocks of America/Los_Angeles are put forward and back.
+SPRING, AUTUMN = 1_615_716_000 - 1_000_000, 1_636_275_600 - 1_000_000
+
+
+@pytest.fixture(params=["UTC", "America/Los_Angeles", "Asia/Tokyo"])
+def zone(spark, request, monkeypatch):
+    """Session zone, and another zone for the driver's process."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    monkeypatch.setenv("TZ", {"UTC": "Asia/Tokyo", "Asia/Tokyo": "America/Los_Angeles"}.get(request.param, "UTC"))
+    time.tzset()
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+    monkeypatch.undo()
+    time.tzset()
+
+
+def mixed_up(rows, seed, within=50):
+    """Rows in another order, none later than `within` seconds; and in batches."""
+    rng = random.Random(seed)
+    rows = sorted(rows, key=lambda r: r[0] + rng.uniform(0, within))
+    third = len(rows) // 3
+    return [rows[:third], rows[third : 2 * third], rows[2 * third :]]
+
+
+def test_streams_equal_their_twins_in_any_zone(spark, streamed, collected, zone):
+    rng = random.Random(7)
+    times = sorted(rng.choice([SPRING, AUTUMN]) + rng.randrange(-3000, 3000) for _ in range(150))
+    rows = [(t, rng.choice(["a", "b", None]), i, rng.choice(["job.progress"] * 5 + ["job.finished"])) for i, t in enumerate(times)]
+    late = [*mixed_up(rows, 1), [(AUTUMN + 9000, "tick", 900, "job.finished")]]
+    stream, whole = streamed(late, "job_id string, event_id long, type string")
+    # what follows the last event is the watermark, a minute before the tick
+    want = jobs.stall_alerts(whole, 30, 900, F.timestamp_seconds(F.lit(1_000_000 + AUTUMN + 9000 - 60))).filter("job_id IS NULL OR job_id <> 'tick'")
+    micros = lambda df: sorted(map(tuple, df.select("job_id", F.unix_micros("since"), "kind").collect()), key=repr)
+    out = jobs.stall_stream(stream, 30, 900, "1 minute").withColumn("since", F.unix_micros("since"))
+    got = sorted(collected(out), key=repr)
+    assert got == micros(want) and {k for *_, k in got} == {"beat", "timeout"}
+    keyed = lambda df: df.withColumnRenamed("job_id", "key")
+    got = collected(jobs.rate_limit_stream(keyed(stream), 3, 400, "1 minute", wait=True))
+    want = jobs.rate_limit(keyed(whole.filter("job_id IS NULL OR job_id <> 'tick'")), 3, 400)
+    assert sorted(got, key=repr) == sorted(map(tuple, want.collect()), key=repr) and {a for *_, a in got} == {True, False}
+
+
+def test_waiting_streams_with_late_rows(spark, streamed, collected):
+    rng = random.Random(9)
+    rows = [(i * 5, rng.choice("qr"), i, rng.choice(["submit", "submit", "hit", "end"])) for i in range(120)]
+    stream, whole = streamed([*mixed_up(rows, 2), [(5000, "tick", 999, "end")]], "queue string, event_id long, kind string")
+    got = collected(jobs.admit_stream(stream, 3, wait=True))
+    assert sorted(got) == sorted(map(tuple, jobs.admit_pending(whole, 3).collect())) and {a for *_, a in got} == {True, False}
+    times = rng.sample(range(2500), 160)
+    issued = [(t, rng.randrange(2), rng.randrange(3)) for t in times[::2]]
+    tries = [(t, rng.randrange(2), rng.choice([0, 1, 2, None]), t) for t in times[1::2]]
+    i_stream, i_whole = streamed([*mixed_up(issued, 3), [(9000, 7, 1)]], "device_id long, code long")
+    r_stream, r_whole = streamed([*mixed_up(tries, 4), [(9000, 8, 1, 9000)]], "device_id long, code long, event_id long")
+    got = collected(jobs.redeem_stream(i_stream, r_stream, 200, "1 minute", wait=True))
+    want = [(r.event_id, r.device_id, r.accepted) for r in state.match_codes(i_whole, r_whole.filter("event_id < 9000"), 200).collect()]
+    assert sorted(got) == sorted(want) and 0 < sum(a for *_, a in got) < len(got)
+
+
+def test_jobs_that_fail_are_asked_for_again(spark, streamed, collected):
+    rng = random.Random(11)
+    page = lambda: f"https://h/p{rng.randrange(3)}#f"
+    subs = [(10 * i, i, page(), rng.choice(["/a.png", "BLOB:x", None]), rng.choice([True, False, False, None])) for i in range(90)]
+    by_id = {s[1]: s for s in subs}
+    ends = [(10 * i + rng.randrange(1, 40), i, by_id[i][2], by_id[i][3], rng.choice(["error", "done", "cancelled", None])) for i in rng.sample(range(90), 60)]
+    s_stream, s_whole = streamed([*mixed_up(subs, 5), [(9000, 900, "tick", "t", False)]], "sub_id long, page_url string, image_url string, fresh boolean")
+    e_stream, e_whole = streamed([*mixed_up(ends, 6), [(9000, 900, "tick", "t", "done")]], "sub_id long, page_url string, image_url string, status string")
+    current, want = {}, []
+    for _, _, kind, r in sorted([(s[0], s[1], 0, s) for s in subs] + [(e[0], e[1], 1, e) for e in ends], key=lambda x: x[:3]):
+        key = "|".join(x for x in (r[2].split("#")[0], r[3]) if x is not None)
+        if kind:
+            if current.get(key, (None,))[0] == r[1]:
+                current[key] = (r[1], r[4] == "done")
+        elif r[3] and r[3].lower().startswith("blob:"):
+            want.append((r[1], key, "error"))
+        else:
+            again = bool(r[4]) or not current.get(key, (None, False))[1]
+            current[key] = (r[1] if again else current[key][0], True)
+            want.append((r[1], key, "new" if again else "reuse"))
+    got = sorted(map(tuple, jobs.dedupe_submissions(s_whole.filter("sub_id < 900"), e_whole).collect()))
+    assert got == sorted(want) and {a for *_, a in got} == {"new", "reuse", "error"}
+    assert sorted(collected(jobs.dedupe_stream(s_stream, "1 minute", ends=e_stream, wait=True))) == sorted(want)
+    plain, p_whole = streamed([[(s[0], s[1], s[2], s[3], False) for s in part] for part in (subs[:40], subs[40:])], "sub_id long, page_url string, image_url string, fresh boolean")
+    first = sorted(i for i, _, _ in collected(jobs.first_submissions(plain)))
+    assert first == sorted(r.sub_id for r in jobs.dedupe_submissions(p_whole).collect() if r.action == "new")
+
+
+def test_nulls_do_not_end_a_stream(spark, streamed, collected):
+    rows = [[(1, "j", 1, "job.started", None), (2, "j", None, "job.progress", None), (3, None, 3, None, 5)], [(4, "j", 4, "job.progress", 30), (9, "j", 5, None, None), (None, "j", 6, "job.failed", None)]]
+    stream, _ = streamed(rows, "job_id string, event_id long, type string, progress long")
+    got = collected(jobs.job_state_stream(stream), "update")
+    assert [g for g in got if g[0] == "j"][-1] == ("j", "job.running", 30) and (None, "job.running", None) in got
+    stalled = collected(jobs.stall_stream(stream.select("job_id", "event_id", "ts", "type"), 1, 100, "0 seconds").select("job_id", "kind"))
+    assert set(stalled) == {("j", "beat"), (None, "beat")}
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Two runs over one checkpoint, the second with the later half of the events: timers and states hold over; states of before the first run."""
+    rows = [(i * 17 % 400, "k" if i % 2 else "m", i) for i in range(60)]
+    rows = sorted(rows)
+    first = spark.createDataFrame([("k", [1_000_000 * 1_000_000 - 1])], "key string, stamps array<long>")
+    put = lambda part: spark.createDataFrame(part, "s long, key string, event_id long").selectExpr("timestamp_seconds(s + 1000000) AS ts", "key", "event_id").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for part in (rows[:30], [*rows[30:], (5000, "tick", 999)]):
+        put(part)
+        stream = spark.readStream.schema("ts timestamp, key string, event_id long").parquet(str(tmp_path / "in"))
+        out = jobs.rate_limit_stream(stream, 2, 60, wait=True, initial=first)
+        out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(240)
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("key", "event_id", "allowed").collect()))
+    before = spark.createDataFrame([(-1, "k", -1)], "s long, key string, event_id long")
+    whole = spark.createDataFrame(rows, before.schema).unionByName(before).selectExpr("timestamp_micros((s + 1000000) * 1000000 + IF(s < 0, 999999, 0)) AS ts", "key", "event_id")
+    assert got == sorted(map(tuple, jobs.rate_limit(whole, 2, 60).filter("event_id >= 0").collect()))
