@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import shared_path, text_files
 from ..functions.text import word_key
 from ..operators import proposals as pr
-from ..sources import plans, readers
+from ..sources import documents, plans, readers
 from ..streaming import jobs as sj
 from .fixtures import duck, given, table
 
@@ -24,20 +24,47 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-_DOC_LINE = """CASE WHEN page_id % 10 = 0 THEN concat('[broken ', page_id) ELSE to_json(named_struct('version', 1, 'note', 'x', 'regions', regions)) END AS value"""
-_DOC_REGION = """named_struct('id', page_id * 1000 + region_id, 'bbox', CASE WHEN region_id % 4 > 0 THEN array(x, y, w, h) END, 'text', CASE WHEN region_id % 5 > 0 THEN text END, 'type', block_type,
-  'block_type', CASE WHEN region_id % 3 = 0 THEN 'sign' END, 'confidence', CASE WHEN region_id % 7 > 0 THEN confidence END, 'skip', CASE WHEN region_id % 2 = 0 THEN skip END, 'more', region_id)"""
+_DOC_LINE = """CASE WHEN page_id % 10 = 0 THEN concat('[broken ', page_id) ELSE to_json(named_struct('version', 1, 'note', 'x', 'page', page_id, 'regions', regions)) END AS value"""
+_DOC_REGION = """named_struct('id', page_id * 1000 + region_id, 'bbox', CASE WHEN region_id % 4 > 0 THEN array(x, y, w, h) END, 'text', CASE WHEN region_id % 5 > 0 THEN text END, 'type', CASE region_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE block_type END,
+  'block_type', CASE region_id % 3 WHEN 0 THEN 'sign' WHEN 1 THEN '' END, 'confidence', CASE WHEN region_id % 7 > 0 THEN confidence END, 'skip', CASE WHEN region_id % 2 = 0 THEN skip END, 'edited', CASE WHEN region_id % 3 = 0 THEN region_id % 2 END,
+  'speaker', speaker, 'bubble_bbox', CASE WHEN bx IS NOT NULL THEN array(bx, by, bw, bh) END, 'more', region_id, 'style', named_struct('size', w, 'font', 'f'))"""
 
 
-def _pages_as_text(s, d):
+def _page_files(s, d):
     docs = table(s, d, "regions").groupBy("page_id").agg(F.expr(f"collect_list({_DOC_REGION})").alias("regions"))
-    return readers.read_regions(s, text_files(docs.selectExpr(_DOC_LINE), "documents"), lines=True)
+    return text_files(docs.selectExpr(_DOC_LINE), "documents")
+
+
+def _pages_as_text(s, d):
+    return readers.read_regions(s, _page_files(s, d), lines=True)
+
+
+#: What a region's object says, by the rules of reading: `type` before `block_type`, empty ones fall through.
+_READ = """page_id * 1000 + region_id AS region_id, CASE WHEN region_id % 4 > 0 THEN x ELSE 0 END AS x, CASE WHEN region_id % 4 > 0 THEN h ELSE 0 END AS h, CASE WHEN region_id % 5 > 0 THEN text ELSE '' END AS text,
+  CASE WHEN region_id % 4 > 1 THEN block_type WHEN region_id % 3 = 0 THEN 'sign' ELSE 'dialogue' END AS block_type, CASE WHEN region_id % 7 > 0 THEN confidence ELSE 0 END AS confidence, region_id % 2 = 0 AND skip AS skip,
+  region_id % 3 = 0 AND region_id % 2 = 1 AS edited, speaker, 'text_free' AS class_name, bx, bh"""
+
+
+@query("s01_read_regions", duck("regions") + f" SELECT {_READ} FROM regions WHERE page_id % 10 > 0")
+def _(s, d):
+    return _pages_as_text(s, d)[0].select("region_id", "x", "h", "text", "block_type", "confidence", "skip", "edited", "speaker", "class_name", "bx", "bh")
 
 
-@query("s01_read_regions", duck("regions") + """ SELECT page_id * 1000 + region_id AS region_id, CASE WHEN region_id % 4 > 0 THEN x ELSE 0 END AS x, CASE WHEN region_id % 4 > 0 THEN h ELSE 0 END AS h, CASE WHEN region_id % 5 > 0 THEN text ELSE '' END AS text,
-  CASE WHEN region_id % 3 = 0 THEN 'sign' ELSE block_type END AS block_type, CASE WHEN region_id % 7 > 0 THEN confidence ELSE 0 END AS confidence, region_id % 2 = 0 AND skip AS skip FROM regions WHERE page_id % 10 > 0""")
+@query("s01_change_and_write", duck("regions") + """ SELECT page_id * 1000 + region_id AS id, CASE WHEN region_id % 2 = 0 THEN '«' || CASE WHEN region_id % 5 > 0 THEN text ELSE '' END || '»' END AS translation,
+  CASE WHEN region_id % 4 > 0 THEN json_array(x, y, w, h)::VARCHAR END AS bbox, CASE WHEN region_id % 4 > 1 THEN block_type WHEN region_id % 4 = 0 THEN '' END AS type, CASE WHEN region_id % 3 > 0 OR region_id % 2 = 1 THEN CASE WHEN bx IS NOT NULL THEN json_array(bx, "by", bw, bh)::VARCHAR END END AS bubble,
+  region_id AS more, w AS size, 'x' AS note, page_id AS page FROM regions WHERE page_id % 10 > 0""")
 def _(s, d):
-    return _pages_as_text(s, d)[0].select("region_id", "x", "h", "text", "block_type", "confidence", "skip")
+    """Documents read, some translations set and bubbles taken away, written and read again as plain JSON."""
+    pages = documents.read_pages(s, _page_files(s, d), lines=True)
+    pages = pages.withColumn("page", F.try_variant_get(F.try_element_at("raw", F.lit("page")), "$", "long"))
+    even = F.col("region_id") % 1000 % 2 == 0
+    r = documents.page_regions(pages, ("page",)).withColumn("translation", F.when(even, F.concat(F.lit("«"), "text", F.lit("»"))).otherwise(F.col("translation")))
+    gone = even & (F.col("region_id") % 1000 % 3 == 0)
+    r = r.withColumns({c: F.when(~gone, F.col(c)) for c in ("bx", "by", "bw", "bh")})
+    path = text_files(documents.page_bodies(pages, r, ("page",)).select("body"), "changed")
+    plain = "note string, page long, regions array<struct<id:long,translation:string,bbox:array<long>,type:string,bubble_bbox:array<long>,more:long,style:struct<size:long>>>"
+    again = s.read.schema(plain).json(path).select("note", "page", F.explode("regions").alias("r"))
+    return again.select("r.id", "r.translation", F.to_json("r.bbox").alias("bbox"), "r.type", F.to_json("r.bubble_bbox").alias("bubble"), "r.more", F.col("r.style.size").alias("size"), "note", "page")
 
 
 @query("s01_quarantine", duck("regions") + " SELECT DISTINCT '[broken ' || page_id AS body FROM regions WHERE page_id % 10 = 0")

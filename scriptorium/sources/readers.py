@@ -6,30 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-IMAGES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
-_REGION = "struct<id:bigint,bbox:array<bigint>,class_name:string,confidence:double,text:string,translation:string,block_type:string,type:string,skip:boolean,manual:boolean>"
-_DOCUMENT = "version int, regions array<string>, reading_direction string, warnings array<string>, timings map<string,double>"
-
+from .documents import page_regions, read_pages
 
-def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(path, doc) of JSON documents, one a file or, for many small ones, one a line; doc is null where there is no object."""
-    text = spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
-    return text.withColumn("doc", F.when(F.try_parse_json("body").isNotNull() & F.trim("body").startswith("{"), F.from_json("body", _DOCUMENT)))
+IMAGES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
 
 
 def read_regions(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(regions, quarantined documents): missing fields get defaults, `type` stands in for `block_type`, what is no object is skipped."""
-    docs = read_documents(spark, path, lines)
-    rows = docs.filter("doc is not null").select("path", F.posexplode(F.coalesce("doc.regions", F.array().cast("array<string>"))).alias("pos", "raw"))
-    rows = rows.filter(F.trim("raw").startswith("{")).withColumn("r", F.from_json("raw", _REGION))
-    box = lambda i: F.coalesce(F.get("r.bbox", F.lit(i)), F.lit(0))
-    text = lambda c, default="": F.coalesce(f"r.{c}", F.lit(default)).alias(c)
-    regions = rows.select(
-        "path", F.coalesce("r.id", F.col("pos")).alias("region_id"), *[box(i).alias(c) for i, c in enumerate("xywh")], text("class_name"),
-        F.coalesce("r.confidence", F.lit(0.0)).alias("confidence"), text("text"), text("translation"),
-        F.coalesce("r.block_type", "r.type", F.lit("dialogue")).alias("block_type"), *[F.coalesce(f"r.{c}", F.lit(False)).alias(c) for c in ("skip", "manual")],
-    )
-    return regions, docs.filter("doc is null").select("path", "body")
+    """(regions, quarantined documents) of JSON documents, one a file or, for many small ones, one a line; see documents.page_regions."""
+    pages = read_pages(spark, path, lines)
+    return page_regions(pages), pages.filter("raw IS NULL").select("path", "body")
 
 
 def list_page_files(spark: SparkSession, root: str, recursive: bool = True, suffixes: tuple[str, ...] = IMAGES, include: str | None = None, exclude: str | None = None) -> DataFrame:
