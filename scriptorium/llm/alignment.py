@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
-from .tokens import ChunkTokenizer, Memo
+from .tokens import _SIGNS, ChunkTokenizer, grouped
 
 #: Terms of a product that are held at once.
 BLOCK = 1 << 20
@@ -37,8 +38,9 @@ BLOCK = 1 << 20
 HEAD = 1_000_000
 #: Pairs that a task counts before it passes their sums on.
 COUNTED = 1 << 21
-#: Longer words are not kept by a worker.
-KEPT_CHARS = 64
+#: Segments up to that length are worked out together, and the first `KEPT` of them kept by a worker (some 400 bytes each).
+SHORT_CHARS = 64
+KEPT = 300_000
 _SPACE = "▁"
 
 
@@ -139,18 +141,26 @@ def pair_links(a_ids: np.ndarray, b_ids: np.ndarray, a_group: np.ndarray, b_grou
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
-    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
     return keys[first], np.add.reduceat(values, first) if len(first) else values
 
 
 # ---------------------------------------------------------------- tokens
 
 
-class _Short(Memo):
-    """Keeps results of short keys alone."""
+#: Fixed value: the pre-tokenizer's pattern of the byte-level vocabulary.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN_SEGMENT = re.compile(f"[\n{re.escape(''.join(_SIGNS))}]*").fullmatch
 
-    def __missing__(self, k):
-        return super().__missing__(k) if len(k) <= KEPT_CHARS else self.make(k)
+
+class _Made:
+    """Computed anew each time: what is worth keeping are whole segments."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __getitem__(self, k):
+        return self.make(k)
 
 
 class ByteSide(ChunkTokenizer):
@@ -160,18 +170,27 @@ class ByteSide(ChunkTokenizer):
         super().__init__(path, "byte")
         self.library.encode_special_tokens = True
         self.special, self.cut = {}, None
-        self.ids, self.spaced_ids, self.piece_ids = _Short(self.ids.make), _Short(self.spaced_ids.make), _Short(self.piece_ids.make)
+        self.ids, self.spaced_ids, self.piece_ids = _Made(self._chunk_ids), _Made(lambda c: self._chunk_ids(" " + c)), _Made(self._piece_ids)
         byte = {x: b for b, x in self.letters.items()}
         names = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.bytes = [bytes(byte.get(x, 63) for x in names.get(i, "")) for i in range(max(names) + 1)]
+        self.code = None
+        if self.encode_piece:  # ids are ranks; characters of plain text have the same classes for both libraries
+            import tiktoken
 
-    def tokens(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.encode(" " + text), dtype="<u2")
+            ranks = {self.bytes[i]: i for i in names if i not in self.library.get_added_tokens_decoder()}
+            self.code = tiktoken.Encoding("segments", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def tokens(self, segments: list[str]) -> list[bytes]:
+        plain, code = _PLAIN_SEGMENT, self.code
+        if code is None:
+            return list(map(self.encode, segments))
+        return [array("H", code(s)).tobytes() if plain(s) else self.encode(s) for s in segments]
 
 
 class PieceSide:
-    """Side B: ids by a sentencepiece model, which puts a space before the text. Where no piece has a space behind another character, no merge
-    crosses from a character to the space after it; then each word, with the spaces before it, is encoded when a worker first meets it."""
+    """Side B: ids by a sentencepiece model, which puts a space before the text. Where it merges pairs, and no piece has a space or a line's end behind another
+    character, no merge crosses from a character to a space or line's end after it: `cuts`."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -179,10 +198,8 @@ class PieceSide:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        by_words = self._plain_pairs() and _SPACE in pieces and not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
-        self.words = _Short(lambda w: array("H", self.library.encode(w, num_threads=1)).tobytes()) if by_words else None
-        lone = array("H", [max(0, self.library.piece_to_id(_SPACE))]).tobytes()
-        self.spaced = _Short(lambda w: lone if w == " " else self.words[w[1:]])
+        self.space = pieces.index(_SPACE) if _SPACE in pieces else -1
+        self.cuts = self.space >= 0 and self._plain_pairs() and not any(_SPACE in p.lstrip(_SPACE) or "\n" in p for p in pieces)
 
     def _plain_pairs(self) -> bool:
         """Whether the model merges pairs, does not change the text, and puts a space before it."""
@@ -196,18 +213,42 @@ class PieceSide:
         special = any(p.type == p.USER_DEFINED for p in m.pieces)
         return t.model_type == t.BPE and not special and not n.precompiled_charsmap and n.add_dummy_prefix and not n.remove_extra_whitespaces and n.escape_whitespaces
 
-    def tokens(self, text: str) -> np.ndarray:
-        if self.words is None:
-            return np.array(self.library.encode(text, num_threads=1), dtype="<u2")
-        if "  " in text or text[:1] == " " or text[-1:] == " ":
-            ids = map(self.spaced.__getitem__, re.findall(r" +[^ ]*", " " + text))
-        else:
-            ids = map(self.words.__getitem__, text.split(" "))
-        return np.frombuffer(b"".join(ids), dtype="<u2")
+    def tokens(self, segments: list[str]) -> list[bytes]:
+        """Ids of segments, each of which begins with a space or a line's end. The library's own space is the segment's, or goes."""
+        found = self.library.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
+        out = []
+        for s, ids in zip(segments, found, strict=True):
+            if s == " ":
+                ids = [self.space]
+            elif s[0] != " ":
+                if ids[0] != self.space:
+                    raise ValueError("a line's end was merged with a space")
+                ids = ids[1:]
+            out.append(array("H", ids).tobytes())
+        return out
+
+
+#: From a space or a line's end behind another character to the next such place.
+_SEGMENT = re.compile(r"[ \n](?:[^ \n]+|(?<=\s)[ \n])*")
+
+
+class Aligned(NamedTuple):
+    """A segment: six numbers (tokens of A and B, groups, links, overlaps, pairs of ids) as bytes, its groups as text, its pairs of ids as bytes and,
+    if not one each, their links."""
+
+    numbers: bytes
+    groups: str
+    pairs: bytes
+    times: np.ndarray | None
+
+
+#: A segment that the tokens of a side do not give back.
+_BAD = Aligned(b"", "", b"", None)
 
 
 class Aligner:
-    """Both sides' tokens of a text, and their groups as text."""
+    """Tokens of both sides. Neither side's tokens cross the borders of segments, so the matrices of a text are made of blocks, one for each
+    segment. Short segments that a worker meets first are one matrix of their blocks; it keeps the first `KEPT` of them."""
 
     def __init__(self, a: str, b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -215,21 +256,129 @@ class Aligner:
         self.sizes = [np.array([len(x) for x in side.bytes], dtype=np.int64) for side in (self.a, self.b)]
         most = max(map(len, self.sizes))
         self.names = [f"{i}{sign}" for i in range(most) for sign in ",|;"]
+        self.kept: dict[str, Aligned] = {}
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    def segments(self, text: str | None) -> list[str] | None:
+        """None: no tokens."""
         if not text or _SPACE in text:  # that character's token is a space, so the bytes differ
             return None
-        a, b, want = self.a.tokens(text), self.b.tokens(text), (" " + text).encode()
-        same = all(b"".join(map(side.bytes.__getitem__, ids.tolist())) == want for side, ids in ((self.a, a), (self.b, b)))
-        return (a, b) if same else None
-
-    def written(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> str:
+        return _SEGMENT.findall(" " + text) if self.b.cuts else [" " + text]
+
+    def _same(self, ids: list[bytes], segments: list[str], side: int) -> list[bool]:
+        names = (self.a, self.b)[side].bytes
+
+        def joined(x: bytes) -> bytes:
+            return b"".join(map(names.__getitem__, np.frombuffer(x, "<u2").tolist()))
+
+        flat = b"".join(ids)
+        sizes = np.add.reduceat(self.sizes[side][np.frombuffer(flat, "<u2")], np.cumsum([0, *map(len, ids[:-1])]) // 2) if all(ids) else None
+        want = [s.encode() for s in segments]
+        if sizes is not None and sizes.tolist() == list(map(len, want)) and joined(flat) == b"".join(want):
+            return [True] * len(ids)
+        return [joined(x) == w for x, w in zip(ids, want, strict=True)]
+
+    def tokens(self, segments: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both sides, as unsigned 16-bit integers; None where they do not give the segment back."""
+        if not segments:
+            return []
+        a, b = self.a.tokens(segments), self.b.tokens(segments)
+        good = [x and y for x, y in zip(self._same(a, segments, 0), self._same(b, segments, 1), strict=True)]
+        return [(x, y) if ok else None for x, y, ok in zip(a, b, good, strict=True)]
+
+    def _alone(self, segment: str) -> Aligned:
+        found = self.tokens([segment])[0]
+        if found is None:
+            return _BAD
+        ids = [np.frombuffer(x, "<u2") for x in found]
+        x, y = self.sizes[0][ids[0]], self.sizes[1][ids[1]]
+        gx, gy = groups_of(x, y)
+        pairs, times = pair_links(*ids, gx, gy)
+        overlaps = sum(len(c) for _, c, _ in overlap_links(x, y))
+        numbers = np.array([len(x), len(y), gx[-1] + 1, times.sum(), overlaps, len(pairs)], dtype=np.int64)
+        return Aligned(numbers.tobytes(), "".join(self.written(*ids, gx, gy))[:-1], pairs.astype("<u4").tobytes(), times)
+
+    def _together(self, segments: list[str]) -> dict[str, Aligned]:
+        """Short segments: their matrices are blocks of one."""
+        found = dict(zip(segments, self.tokens(segments), strict=True))
+        out = {s: _BAD for s, f in found.items() if f is None}
+        good = [s for s in segments if found[s] is not None]
+        if not good:
+            return out
+        ids, n = [], []
+        for side in range(2):
+            own = [found[s][side] for s in good]
+            ids.append(np.frombuffer(b"".join(own), "<u2"))
+            n.append(np.array(list(map(len, own))) // 2)
+        x, y = self.sizes[0][ids[0]], self.sizes[1][ids[1]]
+        gx, gy = groups_of(x, y)
+        last = [np.cumsum(c) for c in n]
+        whose = np.repeat(np.arange(len(good)), n[0])
+        overlaps = np.zeros(len(good), dtype=np.int64)
+        for rows, _, _ in overlap_links(x, y):
+            overlaps += np.bincount(whose[rows], minlength=len(good))
+        right = transposed(incidence(gy), int(gx[-1]) + 1)
+        links, pairs = np.zeros(len(good), dtype=np.int64), []
+        for lo, hi in _blocks(np.diff(right.starts)[gx], BLOCK):
+            made = product(incidence(gx[lo:hi]), right, len(gy))
+            width = np.diff(made.starts)
+            links += np.bincount(whose[lo:hi], width, minlength=len(good)).astype(np.int64)
+            pairs.append((np.repeat(ids[0][lo:hi].astype(np.uint32), width) << 16) | ids[1][made.columns])
+        packed = np.concatenate(pairs).astype("<u4").tobytes()
+        ends = gx[last[0] - 1] + 1
+        numbers = np.stack([*n, np.diff(ends, prepend=0), links, overlaps, links], axis=1).astype(np.int64).tobytes()
+        names, at, first = self.written(*ids, gx, gy), 0, 0
+        for k, (s, hi, end) in enumerate(zip(good, (last[0] + last[1]).tolist(), (4 * np.cumsum(links)).tolist(), strict=True)):
+            out[s] = Aligned(numbers[48 * k : 48 * k + 48], "".join(names[at:hi])[:-1], packed[first:end], None)
+            at, first = hi, end
+        return out
+
+    def _new(self, segments: set[str]) -> tuple[dict[str, Aligned], set[str]]:
+        """What is not kept of segments, and which of them have counts of links."""
+        kept = self.kept
+        new = [s for s in segments if s not in kept]
+        long_ = {s for s in new if len(s) > SHORT_CHARS}
+        out = self._together([s for s in new if s not in long_] if long_ else new)
+        for s in long_:
+            out[s] = self._alone(s)
+        for s in new:
+            if len(kept) >= KEPT:
+                break
+            if s not in long_:
+                kept[s] = out[s]
+        return out, long_
+
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray] | None]:
+        """Each text's tokens of A and B, groups, links and overlaps, its groups as text, and its pairs of ids in order with the links of each."""
+        cut = [self.segments(t) for t in texts]
+        new, long_ = self._new(set().union(*filter(None, cut)))
+        kept = self.kept
+        for segments in cut:
+            if segments is None:
+                yield None
+                continue
+            counts = Counter(segments)
+            own = {s: kept.get(s) or new[s] for s in counts}
+            parts = own.values()
+            packed = b"".join([p.numbers for p in parts])
+            if len(packed) < 48 * len(own):
+                yield None
+                continue
+            numbers = np.frombuffer(packed, dtype=np.int64).reshape(-1, 6)
+            n = np.array(list(counts.values()))
+            pairs = np.frombuffer(b"".join([p.pairs for p in parts]), "<u4")
+            times = np.repeat(n, numbers[:, 5])
+            if long_ and not long_.isdisjoint(counts):
+                times = times * np.concatenate([np.ones(len(p.pairs) // 4, np.int64) if p.times is None else p.times for p in parts])
+            yield (n @ numbers[:, :5]).tolist(), ";".join([own[s].groups for s in segments]), *summed(pairs, times)
+
+    def written(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> list[str]:
+        """Ids with the sign after each, group by group."""
         codes = []
         for ids, group, sign in ((a, a_group, 1), (b, b_group, 2)):
             last = np.diff(group, append=group[-1] + 1) > 0
             codes.append(ids.astype(np.int64) * 3 + last * sign)
         order = np.argsort(np.concatenate((a_group * 2, b_group * 2 + 1)), kind="stable")
-        return "".join(map(self.names.__getitem__, np.concatenate(codes)[order].tolist()))[:-1]
+        return list(map(self.names.__getitem__, np.concatenate(codes)[order].tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -260,49 +409,39 @@ def _aligned(a: str, b: str):
             counted[:] = summed(keys, n)
             open_.clear()
 
-        def sums() -> Iterator[pa.RecordBatch]:
+        def sums_of() -> Iterator[pa.RecordBatch]:
             for k in range(0, len(counted[0]), 100_000):
                 pair, n = (x[k : k + 100_000] for x in counted)
                 empty = [pa.nulls(len(pair), t) for t in (pa.int64(), key_type, *[pa.int64()] * len(_DOC), pa.string(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*empty, pa.array(pair), pa.array(n)], names=names)
             counted[:] = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+        types = [*[pa.int64()] * len(_DOC), pa.string(), pa.binary(), pa.binary()]
         for batch in batches:
             key_type, k = batch.column(1).type, 0
-            texts = batch.column(2)
-            while k < batch.num_rows:
-                first, held, columns = k, 0, [[] for _ in range(len(_DOC) + 3)]
-                while k < batch.num_rows and held < (8 << 20):
-                    text = texts[k].as_py()
-                    ids = both.tokens(text)
-                    if ids is None:
-                        row = (0, 0, 0, 0, 0, "", b"", b"")
-                    else:
-                        x, y = both.sizes[0][ids[0]], both.sizes[1][ids[1]]
-                        gx, gy = groups_of(x, y)
-                        pairs, times = pair_links(*ids, gx, gy)
-                        overlaps = sum(len(c) for _, c, _ in overlap_links(x, y))
-                        groups = both.written(*ids, gx, gy)
-                        row = (len(x), len(y), int(gx[-1]) + 1, int(times.sum()), overlaps, groups, pairs.astype("<u4").tobytes(), times.astype("<u8").tobytes())
-                        open_.append(pairs)
-                        size += len(pairs)
-                        held += len(groups) + 12 * len(pairs)
-                    for column, v in zip(columns, row, strict=True):
-                        column.append(v)
-                    k += 1
+            for texts in grouped([t or "" for t in batch.column(2).to_pylist()]):
+                rows = []
+                for found in both.texts(texts):
+                    if found is None:
+                        rows.append((0, 0, 0, 0, 0, "", b"", b""))
+                        continue
+                    sums, groups, pairs, times = found
+                    rows.append((*sums, groups, pairs.tobytes(), times.astype("<u8").tobytes()))
+                    open_.append(pairs)
+                    size += len(pairs)
                     if size > COUNTED:
                         count()
                         size = 0
-                types = [*[pa.int64()] * len(_DOC), pa.string(), pa.binary(), pa.binary()]
-                made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-                m = k - first
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, m), batch.column(1).slice(first, m), *made, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
+                m = len(rows)
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, m), batch.column(1).slice(k, m), *made, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
+                k += m
                 if len(counted[0]) > COUNTED:
-                    yield from sums()
+                    yield from sums_of()
         if open_:
             count()
         if len(counted[0]):
-            yield from sums()
+            yield from sums_of()
 
     return run
 
