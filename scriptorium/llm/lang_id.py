@@ -5,6 +5,8 @@ bounded sample (see `fit`). The counts are summed by Spark; then they are frozen
 escape (as many as it has distinct followers) to the context one byte shorter, whose probabilities are scaled to the bytes not
 seen here; at the bottom all 256 bytes are alike.
 
+Each language's tree is made in a task from its counts, which the sample bounds, and comes to the driver as arrays for the broadcast.
+
 Scoring: the exact code length of the whole text under every language; the shortest wins. With frozen counts a byte's code
 length hangs on it and the three bytes before it alone, so a worker works it out once for each such string of four bytes and keeps
 it. Trees are sparse: sorted arrays of what was seen, for each language and order.
@@ -21,9 +23,11 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 ORDER = 3
-#: Bounds of the fit: the most frequent languages, whole texts of each, and the bytes of these after which no further one is taken.
-LANGUAGES = 200
+#: Bounds of the fit: whole texts of each language, and the bytes of these after which no further one is taken. Languages are not bounded: a model
+#: has some 3 MB for each, and 32 MB at most.
 SAMPLE = 400
 SAMPLE_BYTES = 1 << 20
 #: A context of 3 bytes is kept if it occurs so often in a language's sample.
@@ -34,6 +38,11 @@ HELD = 1 << 22
 EVIDENCE = 20
 #: Bits a byte of the shortest code above which a text is in no known language: those of the plain bytes.
 MOST_BITS = 8.0
+#: A text is in a language if its bits a byte are those of the language's own texts: at most the QUANTILE of these, but no less than SPREAD[0] and no more than
+#: SPREAD[1] times their median, as few texts tell little of their tail; and if the language has at least the share LEAST_SCORE of the evidence.
+QUANTILE, SPREAD, LEAST_SCORE = 0.995, (1.4, 1.6), 0.5
+#: Bits beyond the limit, over a whole text, that are let pass: a short text gives no evidence.
+SLACK_BITS = 40.0
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}").search
 _PAD = b" " * ORDER
@@ -70,17 +79,18 @@ def _followers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "gram": gram.astype(np.int64), "n": n})
 
 
-def fit(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang",
-        sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> pd.DataFrame:
-    """The frozen counts: lang, ord, gram, n, of at most `sample` distinct texts of each of the `languages` most frequent languages, those
-    with the least hash of id and text; where their bytes reach `sample_bytes`, the text that does so is the last. The bounds of the
-    counts are those of the sample: they do not grow with df.
+def sampled(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang",
+            sample_bytes: int = SAMPLE_BYTES, languages: int | None = None) -> DataFrame:
+    """(_lang, _h, _text): at most `sample` distinct texts of each language, or of the `languages` most frequent ones, those
+    with the least hash of id and text; where their bytes reach `sample_bytes`, the text that does so is the last.
 
     The first texts by hash are looked for among about twice as many, so no task has a language's rows."""
     rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
     rows = rows.filter(F.col("_lang").isNotNull() & ~held_out(F.col("_key")))
     share = F.lit(2.0 * sample + 50) / F.count("*")
-    shares = rows.groupBy("_lang").agg(F.count("*").alias("_n"), share.alias("_share")).orderBy(F.desc("_n"), "_lang").limit(languages)
+    shares = rows.groupBy("_lang").agg(F.count("*").alias("_n"), share.alias("_share"))
+    if languages:
+        shares = shares.orderBy(F.desc("_n"), "_lang").limit(languages)
     place = F.md5(F.concat_ws("/", F.col("_key").cast("string"), F.xxhash64("_text").cast("string")))
     near = F.conv(F.substring(place, 1, 12), 16, 10).cast("double") < F.col("_share") * F.lit(float(1 << 48))
     rows = rows.filter(F.col("_text").isNotNull()).withColumn("_h", place)
@@ -89,12 +99,22 @@ def fit(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "t
     order = Window.partitionBy("_lang").orderBy("_h")
     before = F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     few = few.withColumns({"_r": F.row_number().over(order), "_before": before}).filter((F.col("_r") <= sample) & (F.col("_before") < sample_bytes))
-    texts = rows.join(F.broadcast(few.select("_lang", "_h")), ["_lang", "_h"], "left_semi").dropDuplicates(["_lang", "_h"])  # `sample` rows a language
+    return rows.join(F.broadcast(few.select("_lang", "_h")), ["_lang", "_h"], "left_semi").dropDuplicates(["_lang", "_h"])  # `sample` rows a language
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """The frozen counts of sampled texts: lang, ord, gram, n. Their bounds are those of the sample: they do not grow with the corpus."""
     grams = texts.select("_lang", "_text").mapInPandas(_followers, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     orders = F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDER)), lambda o: F.struct(o.alias("ord"), F.col("gram").bitwiseAND(F.element_at(F.array(*[F.lit((1 << 8 * (k + 1)) - 1) for k in range(ORDER + 1)]), o + 1)).alias("gram"))))
     counts = grams.select("lang", "n", orders.alias("o")).groupBy("lang", "o.ord", "o.gram").agg(F.sum("n").alias("n"))
     whole = F.sum("n").over(Window.partitionBy("lang", "ord", F.shiftright("gram", 8)))
-    return counts.withColumn("_whole", whole).filter((F.col("ord") < ORDER) | (F.col("_whole") >= LEAST)).drop("_whole").toPandas()
+    return counts.withColumn("_whole", whole).filter((F.col("ord") < ORDER) | (F.col("_whole") >= LEAST)).drop("_whole")
+
+
+def fit(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang",
+        sample_bytes: int = SAMPLE_BYTES, languages: int | None = None) -> pd.DataFrame:
+    """The counts on the driver, to look at."""
+    return counted(sampled(df, sample, key, text, lang, sample_bytes, languages)).toPandas()
 
 
 class Model:
@@ -102,21 +122,42 @@ class Model:
 
     def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique())
-        self.trees: list[list[tuple[np.ndarray, ...]]] = []  # by language and order: strings, their bits, contexts, bits of their escapes
-        for lang in self.langs:
-            tree: list[tuple[np.ndarray, ...]] = []
-            mine = counts[counts["lang"] == lang]
-            for order in range(ORDER + 1):
-                level = mine[mine["ord"] == order].sort_values("gram")
-                gram, n = level["gram"].to_numpy(dtype=np.uint32), level["n"].to_numpy(dtype=np.float64)
-                context, own, kinds = np.unique(gram >> np.uint32(8), return_inverse=True, return_counts=True)
-                total = np.bincount(own, n, len(context))
-                rest = 1 - np.bincount(own, np.exp2(-self._bits(tree, gram)), len(context))  # what the shorter context leaves to others
-                escape = np.where(rest > 1e-9, kinds, 0)
-                bits = -np.log2(n / (total + escape)[own])
-                escaped = np.log2(np.maximum(rest, 1e-9) * (total + escape) / np.maximum(escape, 1e-9))
-                tree.append((gram, bits.astype(np.float32), context, escaped.astype(np.float32)))
-            self.trees.append(tree)
+        # by language and order: strings, their bits, contexts, bits of their escapes
+        self.trees = [self._tree(counts[counts["lang"] == lang]) for lang in self.langs]
+
+    @classmethod
+    def _tree(cls, mine: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
+        tree: list[tuple[np.ndarray, ...]] = []
+        for order in range(ORDER + 1):
+            level = mine[mine["ord"] == order].sort_values("gram")
+            gram, n = level["gram"].to_numpy(dtype=np.uint32), level["n"].to_numpy(dtype=np.float64)
+            context, own, kinds = np.unique(gram >> np.uint32(8), return_inverse=True, return_counts=True)
+            total = np.bincount(own, n, len(context))
+            rest = 1 - np.bincount(own, np.exp2(-cls._bits(tree, gram)), len(context))  # what the shorter context leaves to others
+            escape = np.where(rest > 1e-9, kinds, 0)
+            bits = -np.log2(n / (total + escape)[own])
+            escaped = np.log2(np.maximum(rest, 1e-9) * (total + escape) / np.maximum(escape, 1e-9))
+            tree.append((gram, bits.astype(np.float32), context, escaped.astype(np.float32)))
+        return tree
+
+    @classmethod
+    def packed(cls, mine: pd.DataFrame) -> pd.DataFrame:
+        """A language's counts → its tree, an array in bytes for each order and kind."""
+        rows = [(mine["lang"].iloc[0], order, *[a.tobytes() for a in level]) for order, level in enumerate(cls._tree(mine))]
+        return pd.DataFrame(rows, columns=["lang", "ord", "gram", "bits", "context", "escaped"])
+
+    @classmethod
+    def trained(cls, counts: DataFrame) -> Model | None:
+        """Trees are made by tasks, one for each language, and come to the driver as arrays; None of no counts."""
+        rows = counts.groupBy("lang").applyInPandas(lambda mine: cls.packed(mine), "lang string, ord int, gram binary, bits binary, context binary, escaped binary").collect()
+        if not rows:
+            return None
+        model = cls.__new__(cls)
+        kinds = (("gram", np.uint32), ("bits", np.float32), ("context", np.uint32), ("escaped", np.float32))
+        found = {(r["lang"], r["ord"]): tuple(np.frombuffer(r[c], dtype=t) for c, t in kinds) for r in rows}
+        model.langs = sorted({r["lang"] for r in rows})
+        model.trees = [[found[lang, order] for order in range(ORDER + 1)] for lang in model.langs]
+        return model
 
     @staticmethod
     def _bits(tree: list[tuple[np.ndarray, ...]], grams: np.ndarray) -> np.ndarray:
@@ -197,9 +238,9 @@ class Scorer:
 _SCORER: list = [None, None]  # of this worker: name, scorer
 
 
-def predictor(counts: pd.DataFrame, df: DataFrame):
+def predictor(model: Model | None, df: DataFrame):
     """A column function: text → struct(lang, score, bits: bits a byte of the shortest code)."""
-    shared = df.sparkSession.sparkContext.broadcast(Model(counts) if len(counts) else None)
+    shared = df.sparkSession.sparkContext.broadcast(model)
     number = uuid.uuid4().hex
 
     @F.pandas_udf("lang string, score double, bits double")
@@ -231,7 +272,7 @@ def identify(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str
     whole text if it is shorter). A text that is null or has no letter is `und` with score 0, and so are all texts where nothing can be
     learned (an empty table, or no language given). Rows that repeat a key are judged one by one; equal code lengths give the first
     language by name. Other columns are ignored."""
-    predict = predictor(fit(df, sample, key, text, lang), df)
+    predict = predictor(Model.trained(counted(sampled(df, sample, key, text, lang))), df)
     rows = df.select(F.col(key), predict(F.col(text)).alias("_p"))
     bits = F.nanvl("_p.bits", F.lit(None).cast("double")).alias("bits")
     return rows.select(key, held_out(F.col(key)).alias("held_out"), F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"), bits)
@@ -241,6 +282,43 @@ def accepted(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str
     """The rows of df whose text is in a known language, with the columns of df (of any names): its best language codes it in `most_bits`
     bits a byte or less. Null texts, texts without a letter, and texts of scripts or strings of characters that no language of the
     sample has, go. Rows that repeat a key are judged one by one. Where nothing can be learned no text is known: the result is empty."""
-    predict = predictor(fit(df, sample, key, text, lang), df)
+    predict = predictor(Model.trained(counted(sampled(df, sample, key, text, lang))), df)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), predict(F.col(text)).alias("_p"))
     return rows.filter((F.col("_p.lang") != UNKNOWN) & (F.col("_p.bits") <= most_bits)).select("_row.*")
+
+
+def limits(texts: DataFrame, quantile: float = QUANTILE, spread: tuple[float, float] = SPREAD) -> list[tuple[str, float]]:
+    """Sampled texts → (language, bits a byte up to which a text is in it), from texts that the model scoring them has not seen: each half is scored
+    by a model of the other. A language that has no such text has the bits of plain bytes. One row for each language comes to the driver."""
+    half = F.pmod(F.xxhash64("_h"), F.lit(2))
+    scored = None
+    for k in (0, 1):
+        model = Model.trained(counted(texts.filter(half == k)))
+        if model:
+            others = texts.filter(half != k)
+            rows = others.select("_lang", predictor(model, texts)("_text").alias("_p")).select("_lang", "_p.bits").filter("bits IS NOT NULL AND NOT isnan(bits)")
+            scored = rows if scored is None else scored.unionByName(rows)
+    if scored is None:
+        return [(r[0], MOST_BITS) for r in texts.select("_lang").distinct().collect()]
+    found = {r[0]: r[1] for r in scored.groupBy("_lang").agg(F.percentile("bits", F.array(F.lit(0.5), F.lit(quantile)))).collect()}
+    out = []
+    for (language,) in texts.select("_lang").distinct().collect():
+        middle, tail = found.get(language) or (None, None)
+        out.append((language, MOST_BITS if middle is None else min(MOST_BITS, max(spread[0] * middle, min(spread[1] * middle, tail)))))
+    return out
+
+
+def in_language(df: DataFrame, sample: int = SAMPLE, slack_bits: float = SLACK_BITS, least_score: float = LEAST_SCORE,
+                key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of df whose text is in one language, with the columns of df (of any names): its code takes no more bits a byte than the language's own
+    texts do (see `limits`), or no more than `slack_bits` beyond that over the whole text, and the language has `least_score` of the evidence.
+
+    So strings of random characters, scripts that no language of the sample has, and texts of several languages go, and null texts and those without a
+    letter. Rows that repeat a key are judged one by one; very long texts as whole ones, in pieces. Where nothing can be learned no text is
+    known: the result is empty."""
+    texts = written(sampled(df, sample, key, text, lang), "sample")
+    of = df.sparkSession.createDataFrame(limits(texts), "_lang string, _limit double")  # one row for each language
+    predict = predictor(Model.trained(counted(texts)), df)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.octet_length(F.col(text).cast("string")).alias("_n"), predict(F.col(text)).alias("_p"))
+    rows = rows.filter((F.col("_p.lang") != UNKNOWN) & (F.col("_p.score") >= least_score)).withColumn("_lang", F.col("_p.lang")).join(F.broadcast(of), "_lang")
+    return rows.filter((F.col("_p.bits") - F.col("_limit")) * F.col("_n") <= slack_bits).select("_row.*")

@@ -61,7 +61,8 @@ def _planned(rows: DataFrame, seed: str, weights: Sequence[int], epochs: int) ->
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor(F.col("target") - F.col("_whole") * F.col("source_size") + F.lit(0.5)).cast("long")
     ranges = ranges.withColumn("_whole", whole).withColumn("_rest", rest)
-    order = Window.partitionBy("_s", "_range").orderBy("_h", "_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    name = F.xxhash64("_text")  # rows that repeat a key and its size: by their texts, so that reruns cut the same one
+    order = Window.partitionBy("_s", "_range").orderBy("_h", "_key", "_size", name).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("_size").over(order), F.lit(0))).join(ranges, ["_s", "_range"])
     part = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_before") - F.col("_in")))
     return rows.withColumn("_part", part.cast("long"))
@@ -72,7 +73,7 @@ def mix(df: DataFrame, seed: str = "mix", weights: Sequence[int] = WEIGHTS, epoc
     """One row per input row: key, size, source_size, target, taken (words, repeats counted).
 
     Null text: size 0, taken 0. A null source is a source of its own, ordered last. Rows that repeat a key follow each
-    other in the seeded order, the smaller first. A source's taken words are its target, rounded; no row is taken more
+    other in the seeded order, the smaller first, and of one size by a hash of their texts. A source's taken words are its target, rounded; no row is taken more
     than `epochs` times its size. An empty table gives an empty result; other columns are ignored."""
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(source).alias("_source"))
     taken = (F.col("_whole") * F.col("_size") + F.col("_part")).alias("taken")

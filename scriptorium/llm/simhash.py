@@ -222,7 +222,8 @@ def near_classes(fps: DataFrame) -> DataFrame:
     met = sent.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(_links(prefix), "a long, b long")
     found = components(met)
     rooted = fps.join(found, fps["_fp"] == found["node"], "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root"))
-    least = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    # Written, so that both sides of the join are plain exchanges and Spark can split a component with a third of all fingerprints.
+    least = written(rooted.groupBy("_root").agg(F.min("_first").alias("component_id")), "roots")
     return rooted.join(least, "_root").select("_fp", "component_id", "_root")
 
 
