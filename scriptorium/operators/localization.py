@@ -124,13 +124,19 @@ def missing_by_page(regions: DataFrame, replies: DataFrame) -> DataFrame:
     return df.select("page_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("untranslated"))
 
 
-def with_memory(blocks: DataFrame, memory: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """memory(text, translation) → (blocks with their translation or null, the distinct texts that remain to be translated). Texts
-    below two characters are their own translation."""
-    m = memory.groupBy(F.col("text").alias("_key")).agg(F.min("translation").alias("translated"))
-    df = blocks.join(m, F.col(text) == F.col("_key"), "left").drop("_key")
-    df = df.withColumn("translated", F.when(F.length(text) < 2, F.col(text)).otherwise(F.col("translated")))
-    return df, df.filter(F.col("translated").isNull()).select(text).distinct()
+def with_memory(blocks: DataFrame, memory: DataFrame, text: str = "text", pair: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """memory(text, translation, and the columns of `pair`: languages) → (blocks with `translated`, or null where memory has none, the distinct texts, by
+    pair, that remain to be translated). Texts of fewer than two characters, blanks at the ends left out, are their own translation; of several
+    in memory the least holds. What remains after translation is its own (see models.translate)."""
+    keys = [text, *pair]
+    m = memory.groupBy(F.col("text").alias("_key0"), *[F.col(c).alias(f"_key{i + 1}") for i, c in enumerate(pair)]).agg(F.min("translation").alias("translated"))
+    on = F.lit(True)
+    for i, c in enumerate(keys):
+        on &= F.col(c) == F.col(f"_key{i}")
+    df = blocks.join(m, on, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+    short = F.char_length(F.regexp_replace(text, r"^\s+|\s+$", "")) < 2
+    df = df.withColumn("translated", F.when(short, F.col(text)).otherwise(F.col("translated")))
+    return df, df.filter(F.col("translated").isNull()).select(*keys).distinct()
 
 
 def cache_token(parts: list[Column]) -> Column:
@@ -221,8 +227,13 @@ def classify_blocks(blocks: DataFrame, sounds: DataFrame | None = None) -> DataF
     return df.withColumn("block_type", kind).drop("_t", "_known")
 
 
-def assign_roles(regions: DataFrame, catalog: DataFrame, laughter: tuple[str, ...] = ("haha", "hehe", "hihi")) -> DataFrame:
-    """regions with the font role of their type and place; roles that the catalog (role) lacks fall back or are null."""
+#: What laughter is written as.
+LAUGHTER = ("хаха", "хихи", "хех", "хохо", "haha", "hehe", "hihi", "lol", "лол", "кек")
+
+
+def assign_roles(regions: DataFrame, catalog: DataFrame, laughter: tuple[str, ...] = LAUGHTER) -> DataFrame:
+    """regions with the font role of their type and place. A role that a region has stays, and so does that of manual and edited ones, empty or not;
+    roles that the catalog (role) lacks fall back or leave the region's as it is."""
     folded = F.lower(F.regexp_replace("text", r"\s", ""))
     digits, stripped = F.regexp_count("text", F.lit("[0-9]")), F.trim("text")
     capital = F.col("text").rlike(r"\p{L}") & (F.upper("text") == F.col("text"))
@@ -242,7 +253,10 @@ def assign_roles(regions: DataFrame, catalog: DataFrame, laughter: tuple[str, ..
     there = lambda r: catalog.agg(F.coalesce(F.bool_or(F.col("role") == r), F.lit(False))).scalar()
     df = df.join(has, "_role", "left").withColumns({"_shout": there("shout"), "_speech": there("dialogue")})
     fallback = F.when(F.col("_role") == "title", F.when(F.col("_shout"), "shout").when(F.col("_speech"), "dialogue"))
-    return df.withColumn("role", F.when(F.col("_has"), F.col("_role")).otherwise(fallback)).drop("_role", "_has", "_shout", "_speech")
+    before = F.col("role") if "role" in regions.columns else F.lit(None).cast("string")
+    new = F.coalesce(F.when(F.col("_has"), F.col("_role")).otherwise(fallback), before)
+    keeps = F.col("manual") | F.col("edited") | F.coalesce(F.trim(before) != "", F.lit(False))
+    return df.withColumn("role", F.when(keeps, before).otherwise(new)).drop("_role", "_has", "_shout", "_speech")
 
 
 def parse_replies(raw: DataFrame, schema: str, body: str = "body") -> tuple[DataFrame, DataFrame]:

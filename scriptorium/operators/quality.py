@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +16,18 @@ def _share(a, b):
 
 
 def mask_metrics(pixels: DataFrame, margin: int = 0, change: int = 12) -> DataFrame:
-    """pixels(page_id, x, y, r, r2, gt, pred): r2 is the first channel after cleaning. Recall (null without ink), spill outside the truth
-    widened by margin, IoU, precision, F1, damage."""
+    """pixels(page_id, x, y, r, r2, gt, pred): r2 is the first channel after cleaning; with g2 and b2 the channel that differs most counts. Recall (null
+    without ink), spill outside the truth widened by margin, IoU, precision, F1, damage."""
     if margin:
-        df = pixels.join(widened(pixels, margin), ["page_id", "x", "y"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+        df = near_truth(pixels, pixels, margin)
     else:
         df = pixels.withColumn("near", F.col("gt"))
     c = F.count_if
+    differs = [F.abs(F.col(k) - F.col(f"{k}2")) for k in "rgb" if f"{k}2" in pixels.columns]
+    change_of = F.greatest(*differs) if len(differs) > 1 else differs[0]
     df = df.groupBy("page_id").agg(
         c("gt").alias("ink"), c(F.col("gt") & F.col("pred")).alias("hit"), c("pred").alias("n_pred"), c(F.col("gt") | F.col("pred")).alias("either"),
-        c(F.col("pred") & ~F.col("near")).alias("out"), c(~F.col("near") & (F.abs(F.col("r") - F.col("r2")) > change)).alias("damage"),
+        c(F.col("pred") & ~F.col("near")).alias("out"), c(~F.col("near") & (change_of > change)).alias("damage"),
     )
     return df.select("page_id", _share(F.col("hit"), F.col("ink")).alias("recall"), _share(F.col("hit"), F.col("n_pred")).alias("precision"), _share(F.col("hit"), F.col("either")).alias("iou"),
                      _share(2 * F.col("hit"), F.col("ink") + F.col("n_pred")).alias("f1"), _share(F.col("out"), F.col("n_pred")).alias("spill"), "damage")
@@ -50,7 +54,7 @@ def extract_ink(pixels: DataFrame, floor: int = 28, faint: int = 4, least: int =
 
 def cleanup_residue(pixels: DataFrame, rest: int = 60, halo: int = 20) -> DataFrame:
     """Ink pixels that differ from the median of the ring around the truth, and ring pixels that do; r2 is the cleaned channel."""
-    df = pixels.join(widened(pixels, 3), ["page_id", "x", "y"], "left_outer").withColumn("ring", F.coalesce("near", F.lit(False)) & ~F.col("gt"))
+    df = near_truth(pixels, pixels, 3).withColumn("ring", F.col("near") & ~F.col("gt"))
     median = df.filter("ring").groupBy("page_id").agg(F.percentile("r2", 0.5).alias("m"))
     df = df.join(median, "page_id").withColumn("d", F.abs(F.col("r2") - F.col("m")))
     df = df.groupBy("page_id").agg(F.count_if("gt").alias("ink"), F.count_if("ring").alias("ring"), F.count_if(F.col("gt") & (F.col("d") > rest)).alias("left"), F.count_if(F.col("ring") & (F.col("d") > halo)).alias("lit"))
@@ -73,12 +77,37 @@ def _in_boxes(pixels: DataFrame, regions: DataFrame, pad: int, *columns: str) ->
     return df.join(boxes, ["page_id", "_cx", "_cy"]).filter(inside).drop("_cx", "_cy", "_l", "_t", "_r", "_b")
 
 
-def widened(pixels: DataFrame, margin: int) -> DataFrame:
-    """Places (page_id, x, y) within margin of a pixel of the truth, with near."""
-    offsets = [(dx, dy) for dx in range(-margin, margin + 1) for dy in range(-margin, margin + 1) if dx * dx + dy * dy <= margin * margin]
-    disk = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets]))
-    wide = pixels.filter("gt").select("page_id", "x", "y", disk.alias("o")).select("page_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    return wide.distinct().withColumn("near", F.lit(True))
+def half_widths(margin: int) -> list[tuple[int, int]]:
+    """An ellipse of 2 * margin + 1 pixels each way, row by row: (rows from the middle, pixels to either side)."""
+    rows = range(-margin, margin + 1)
+    return [(dy, round(margin * math.sqrt((margin * margin - dy * dy) / (margin * margin))) if margin else 0) for dy in rows]
+
+
+def runs(pixels: DataFrame) -> DataFrame:
+    """Pixels of the truth (page_id, x, y, gt) → runs of neighbours in a row: page_id, y, lo, hi."""
+    row = Window.partitionBy("page_id", "y").orderBy("x")
+    df = pixels.filter("gt").select("page_id", "x", "y").distinct().withColumn("_run", F.col("x") - F.row_number().over(row))
+    return df.groupBy("page_id", "y", "_run").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).drop("_run")
+
+
+def dilated(pixels: DataFrame, margin: int) -> DataFrame:
+    """Disjoint intervals (page_id, y, lo, hi) of what lies within an ellipse of that margin around the truth: every run gives a wider one to each row of the
+    ellipse, and those of a row that meet are one. The work grows with the runs, not with pixels times places of the ellipse."""
+    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dy, w in half_widths(margin)]))
+    wide = runs(pixels).select("page_id", "y", "lo", "hi", steps.alias("s"))
+    wide = wide.select("page_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("lo") - F.col("s.w")).alias("lo"), (F.col("hi") + F.col("s.w")).alias("hi"))
+    row = Window.partitionBy("page_id", "y").orderBy("lo", "hi")
+    reached = F.max("hi").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    wide = wide.withColumn("_new", F.coalesce((F.col("lo") > reached + 1).cast("int"), F.lit(1)))
+    wide = wide.withColumn("_part", F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    return wide.groupBy("page_id", "y", "_part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_part")
+
+
+def near_truth(pixels: DataFrame, truth: DataFrame, margin: int) -> DataFrame:
+    """pixels with near: whether they lie within margin of the truth. A pixel meets the intervals of its row alone, and one of them at most."""
+    wide = dilated(truth, margin).select(F.col("page_id").alias("_page"), F.col("y").alias("_row"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    on = (F.col("page_id") == F.col("_page")) & (F.col("y") == F.col("_row")) & F.col("x").between(F.col("_lo"), F.col("_hi"))
+    return pixels.join(wide, on, "left").withColumn("near", F.col("_lo").isNotNull()).drop("_page", "_row", "_lo", "_hi")
 
 
 def scoped_hits(pixels: DataFrame, regions: DataFrame, scope: str = "all", pad: int = 12, margin: int = 0) -> DataFrame:
@@ -88,8 +117,7 @@ def scoped_hits(pixels: DataFrame, regions: DataFrame, scope: str = "all", pad:
     owned = _in_boxes(mask.select("page_id", "comp_id", "x", "y"), regions, pad, "block_type").groupBy("page_id", "comp_id", "region_id", "block_type").agg(F.count("*").alias("n"))
     owner = owned.groupBy("page_id", "comp_id").agg(F.max_by(F.struct("region_id", "block_type"), F.struct("n", -F.col("region_id"))).alias("o"))
     wanted = {"all": F.lit(True), "sfx": F.col("o.block_type") == "sfx", "text": F.col("o.block_type") != "sfx"}[scope]
-    near = mask.join(widened(pixels, margin), ["page_id", "x", "y"], "left")
-    hits = near.groupBy("page_id", "comp_id").agg(_share(F.count("near"), F.count("*")).alias("rate"))
+    hits = near_truth(mask, pixels, margin).groupBy("page_id", "comp_id").agg(_share(F.count_if("near"), F.count("*")).alias("rate"))
     return hits.join(owner.filter(wanted), ["page_id", "comp_id"]).select("page_id", "comp_id", F.col("o.region_id").alias("region_id"), "rate")
 
 

@@ -135,15 +135,32 @@ def settle_pages(pages: DataFrame, ended: DataFrame, active: DataFrame) -> DataF
     return df.withColumn("status", F.when(touched, new).otherwise(F.col("status"))).select(*pages.columns)
 
 
-def export_readiness(pages: DataFrame, artifacts: DataFrame, required: list[str]) -> DataFrame:
-    """pages(page_id, status, result_version, visual_version), artifacts(page_id, kind) → state (ready, pending, blocked) and reason."""
-    have = artifacts.filter(F.col("kind").isin(required)).groupBy("page_id").agg(F.count_distinct("kind").alias("n"))
-    df = pages.join(have, "page_id", "left")
-    reason = (
-        F.when(F.col("status").isin("queued", "running"), "busy").when(F.col("status") == "error", "error").when(~F.col("status").isin(list(READY)), "not done")
-        .when(F.coalesce("n", F.lit(0)) < len(required), "artifact").when(F.col("result_version") < F.col("visual_version"), "outdated").otherwise("")
-    )
-    state = F.when(reason == "", "ready").when(reason.isin("busy", "outdated"), "pending").otherwise("blocked")
+def export_readiness(pages: DataFrame, artifacts: DataFrame, required: list[str], versions: DataFrame | None = None) -> DataFrame:
+    """pages(page_id, status, result_version, clean_version: of the document that each was made from, null where nobody knows), artifacts(page_id,
+    kind) → state (ready, pending, blocked) and reason. required: result, clean or both. versions(page_id, version): what the request asks
+    for; pages that do not exist are blocked.
+
+    Errors and pages that have not begun are blocked; queued and running ones are pending. What a finished page (done, offline) lacks blocks it, any
+    other waits for it, as it does for a version that is too old, or not known. A clean image of an edited page is pending."""
+    have = artifacts.filter(F.col("kind").isin(required)).groupBy("page_id").agg(F.collect_set("kind").alias("_kinds"))
+    df = pages.withColumn("_there", F.lit(True)).join(have, "page_id", "left")
+    if versions is not None:
+        df = df.join(versions.select("page_id", F.col("version").alias("_version")), "page_id", "full_outer")
+    else:
+        df = df.withColumn("_version", F.lit(0))
+    status, finished = F.coalesce("status", F.lit("idle")), F.col("status").isin("done", "offline")
+    at_least = F.coalesce("_version", F.lit(0))
+    reason = F.when(F.col("_there").isNull(), "missing").when(status == "error", "error").when(status.isin("queued", "running"), "busy").when(status == "idle", "not done")
+    for kind in ("result", "clean"):
+        if kind not in required:
+            continue
+        if kind == "clean":
+            reason = reason.when(status == "edited", "edited")
+        made = F.col(f"{kind}_version") if f"{kind}_version" in pages.columns else F.lit(None).cast("long")
+        reason = reason.when(~F.coalesce(F.array_contains("_kinds", kind), F.lit(False)), F.when(finished, f"no {kind}").otherwise(f"{kind} to come"))
+        reason = reason.when(made.isNull() & ~finished, f"{kind} unknown").when(made < at_least, f"{kind} outdated")
+    reason = reason.otherwise("")
+    state = F.when(reason == "", "ready").when(reason.isin("missing", "error", "not done", "no result", "no clean"), "blocked").otherwise("pending")
     return df.select("page_id", state.alias("state"), reason.alias("reason"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import localization as loc
+from ..operators import models
 from .fixtures import duck, given, table
 
 Q, O = {}, {}
@@ -147,17 +148,26 @@ def _(s, d):
     return loc.missing_by_page(r, _replies(r))
 
 
-@query("j12_memory", duck("regions") + """, m AS (SELECT p_name AS text, min('m' || p_partkey) AS t FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
-SELECT page_id, region_id, CASE WHEN length(regions.text) < 2 THEN regions.text ELSE t END AS translated FROM regions LEFT JOIN m ON regions.text = m.text""")
+#: A memory of pairs of languages; a third of the texts has another source.
+_PAIRS = "CASE WHEN region_id % 3 = 0 THEN 'fr' ELSE 'en' END AS source"
+_MEMORY = """m AS (SELECT p_name AS text, CASE WHEN p_partkey % 4 = 0 THEN 'fr' ELSE 'en' END AS source, min('m' || p_partkey) AS t FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL),
+r AS (SELECT page_id, region_id, CASE region_id % 7 WHEN 0 THEN concat(' ', substr(text, 1, 1), ' ') ELSE text END AS text, """ + _PAIRS + " FROM regions)"
+
+
+def _remembered(s, d):
+    memory = given(s, d, "part").filter("p_partkey % 2 = 0").selectExpr("p_name AS text", "CASE WHEN p_partkey % 4 = 0 THEN 'fr' ELSE 'en' END AS source", "concat('m', p_partkey) AS translation")
+    blocks = table(s, d, "regions").selectExpr(*_KEYS, "CASE region_id % 7 WHEN 0 THEN concat(' ', substr(text, 1, 1), ' ') ELSE text END AS text", _PAIRS)
+    return loc.with_memory(blocks, memory, pair=("source",))
+
+
+@query("j12_memory", duck("regions") + f", {_MEMORY} SELECT page_id, region_id, CASE WHEN length(trim(r.text)) < 2 THEN r.text ELSE t END AS translated FROM r LEFT JOIN m ON r.text = m.text AND r.source = m.source")
 def _(s, d):
-    memory = given(s, d, "part").filter("p_partkey % 2 = 0").selectExpr("p_name AS text", "concat('m', p_partkey) AS translation")
-    return loc.with_memory(table(s, d, "regions"), memory)[0].select(*_KEYS, "translated")
+    return _remembered(s, d)[0].select(*_KEYS, "translated")
 
 
-@query("j12_to_translate", duck("regions") + " SELECT DISTINCT text FROM regions WHERE length(text) >= 2 AND text NOT IN (SELECT p_name FROM part WHERE p_partkey % 2 = 0)")
+@query("j12_to_translate", duck("regions") + f", {_MEMORY} SELECT DISTINCT text, source FROM r WHERE length(trim(text)) >= 2 AND NOT EXISTS (SELECT 1 FROM m WHERE m.text = r.text AND m.source = r.source)")
 def _(s, d):
-    memory = given(s, d, "part").filter("p_partkey % 2 = 0").selectExpr("p_name AS text", "concat('m', p_partkey) AS translation")
-    return loc.with_memory(table(s, d, "regions"), memory)[1]
+    return _remembered(s, d)[1]
 
 
 _STYLED = "*, region_id % 5 AS auto_layout, concat(region_id % 7, ',1') AS text_position, concat('s', region_id % 3) AS style"
@@ -232,14 +242,15 @@ def _(s, d):
     return loc.classify_blocks(r, s.sql(_DICT, part=given(s, d, "part"))).select(*_KEYS, "block_type")
 
 
-@query("f02_assign_roles", duck("regions") + """, r AS (SELECT *, CASE region_id % 5 WHEN 0 THEN text || ' HaHa' WHEN 1 THEN 'X' || region_id ELSE text END AS t FROM regions),
-k AS (SELECT *, CASE WHEN manual OR edited OR document THEN NULL WHEN block_type = 'sfx' THEN CASE WHEN contains(lower(regexp_replace(t, '\\s', '', 'g')), 'haha') THEN 'sfx_comedy'
+@query("f02_assign_roles", duck("regions") + """, r AS (SELECT *, CASE region_id % 5 WHEN 0 THEN text || CASE WHEN region_id % 2 = 0 THEN ' HaHa' ELSE ' ха Ха' END WHEN 1 THEN 'X' || region_id ELSE text END AS t, CASE region_id % 6 WHEN 0 THEN 'mine' WHEN 1 THEN ' ' END AS given FROM regions),
+k AS (SELECT *, CASE WHEN document THEN NULL WHEN block_type = 'sfx' THEN CASE WHEN regexp_matches(lower(regexp_replace(t, '\\s', '', 'g')), 'хаха|хихи|хех|хохо|haha|hehe|hihi|lol|лол|кек') THEN 'sfx_comedy'
     WHEN trim(t) <> '' AND length(trim(t)) <= 8 AND (length(regexp_replace(t, '[^0-9]', '', 'g')) >= 2 OR (length(regexp_replace(t, '[^0-9]', '', 'g')) >= 1 AND regexp_matches(trim(t), '[A-Za-z]'))) THEN 'sfx_tech' ELSE 'sfx' END
   WHEN bx IS NOT NULL AND block_type IN ('dialogue', 'narration', '') THEN 'dialogue' WHEN block_type = 'title' THEN 'title' WHEN block_type = 'sign' THEN CASE WHEN regexp_matches(t, '\\p{L}') AND upper(t) = t THEN 'stencil' ELSE 'handwritten' END
   WHEN block_type = 'noise' THEN 'pixel' WHEN bx IS NOT NULL THEN 'dialogue' WHEN regexp_matches(t, '\\p{L}') AND upper(t) = t THEN 'shout' ELSE 'handwritten' END AS role FROM r)
-SELECT page_id, region_id, CASE WHEN role IN ('dialogue', 'sfx', 'sfx_comedy', 'shout', 'handwritten') THEN role WHEN role = 'title' THEN 'shout' END AS role FROM k""")
+SELECT page_id, region_id, CASE WHEN coalesce(trim(given), '') <> '' OR manual OR edited THEN given WHEN role IN ('dialogue', 'sfx', 'sfx_comedy', 'shout', 'handwritten') THEN role WHEN role = 'title' THEN 'shout' ELSE given END AS role FROM k""")
 def _(s, d):
-    r = table(s, d, "regions").withColumn("text", F.expr("CASE region_id % 5 WHEN 0 THEN concat(text, ' HaHa') WHEN 1 THEN concat('X', region_id) ELSE text END"))
+    r = table(s, d, "regions").withColumn("text", F.expr("CASE region_id % 5 WHEN 0 THEN concat(text, IF(region_id % 2 = 0, ' HaHa', ' ха Ха')) WHEN 1 THEN concat('X', region_id) ELSE text END"))
+    r = r.withColumn("role", F.expr("CASE region_id % 6 WHEN 0 THEN 'mine' WHEN 1 THEN ' ' END"))
     catalog = s.createDataFrame([(x,) for x in ("dialogue", "sfx", "sfx_comedy", "shout", "handwritten")], "role string")
     return loc.assign_roles(r, catalog).select(*_KEYS, "role")
 
@@ -280,6 +291,22 @@ def _(s, d):
     return loc.apply_text_model(table(s, d, "regions"), lambda t: t.str.upper()).select(*_KEYS, "translated")
 
 
+@query("x02_translate", _COUNTED + f""", b AS (SELECT *, {_ROUTE} AS route FROM c), m AS (SELECT DISTINCT text FROM mixed_docs WHERE doc_id % 5 = 0),
+t AS (SELECT doc_id, route, CASE WHEN doc_id % 7 = 0 OR route = 'uncovered' THEN 'old' WHEN route = 'skip' OR length(trim(b.text)) < 2 THEN b.text WHEN m.text IS NOT NULL THEN 'known' WHEN length(b.text) % 3 = 0 THEN b.text ELSE 'en:' || length(b.text) END AS translation,
+  CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 7 = 0 OR route = 'uncovered' THEN '' ELSE 'unknown' END ELSE 'male' END AS speaker_gender, CASE WHEN doc_id % 7 > 0 AND route = 'uncovered' THEN 'uncovered' END AS warning FROM b LEFT JOIN m ON m.text = b.text)
+SELECT doc_id AS page_id, route, md5(translation) AS digest, speaker_gender, warning FROM t""")
+def _(s, d):
+    docs = table(s, d, "mixed_docs")
+    blocks = docs.selectExpr("doc_id AS page_id", "text", "'old' AS translation", "doc_id % 7 = 0 AS translation_locked", "IF(doc_id % 3 = 0, '', 'male') AS speaker_gender")
+    memory = docs.filter("doc_id % 5 = 0").selectExpr("text", "'en' AS source", "'ru' AS target", "'known' AS translation")
+
+    def load(route):
+        return lambda texts: texts.map(lambda t: f"{route}:{len(t)}" if len(t) % 3 else "")
+
+    done = models.translate(blocks, load, "ru", memory=memory)
+    return done.select("page_id", "route", F.md5("translation").alias("digest"), "speaker_gender", "warning")
+
+
 @query("x03_model_with_retry", duck("regions") + " SELECT page_id, region_id, CASE WHEN length(text) % 3 = 0 THEN 'again ' || text ELSE upper(text) END AS translated FROM regions")
 def _(s, d):
     once = lambda t: t.where(t.str.len() % 3 != 0, "").str.upper()

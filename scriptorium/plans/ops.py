@@ -120,11 +120,22 @@ def _(s, d):
     return st.settle_pages(sheets.selectExpr(*_P), ended, sheets.filter("page_id % 11 = 0").select("page_id")).select("page_id", "status")
 
 
-@query("w13_export_readiness", duck("sheets") + f", {_STATES}, s AS (SELECT *, page_id % 8 > 0 AND page_id % 6 > 0 AS full_ FROM p), r AS (SELECT page_id, CASE WHEN status IN ('queued', 'running') THEN 'busy' WHEN status = 'error' THEN 'error' WHEN status NOT IN ('done', 'offline', 'ready') THEN 'not done' WHEN NOT full_ THEN 'artifact' WHEN result_version < visual_version THEN 'outdated' ELSE '' END AS reason FROM s) SELECT page_id, CASE WHEN reason = '' THEN 'ready' WHEN reason IN ('busy', 'outdated') THEN 'pending' ELSE 'blocked' END AS state, reason FROM r")
+_EXPORT = "page_id, CASE page_id % 7 WHEN 0 THEN 'edited' WHEN 1 THEN 'queued' ELSE status END AS status, CASE WHEN page_id % 9 > 0 THEN page_id % 5 END AS result_version, CASE WHEN page_id % 10 > 0 THEN page_id % 4 END AS clean_version"
+#: The rule in the order of its decisions, from what is asked of the worker that exports.
+_EXPORT_RULE = """CASE WHEN p.page_id IS NULL THEN 'blocked:missing' WHEN status = 'error' THEN 'blocked:error' WHEN status IN ('queued', 'running') THEN 'pending:busy' WHEN coalesce(status, 'idle') = 'idle' THEN 'blocked:not done'
+  WHEN NOT has_result THEN CASE WHEN finished THEN 'blocked:no result' ELSE 'pending:result to come' END WHEN result_version IS NULL AND NOT finished THEN 'pending:result unknown' WHEN result_version < coalesce(version, 0) THEN 'pending:result outdated'
+  WHEN status = 'edited' THEN 'pending:edited' WHEN NOT has_clean THEN CASE WHEN finished THEN 'blocked:no clean' ELSE 'pending:clean to come' END WHEN clean_version IS NULL AND NOT finished THEN 'pending:clean unknown' WHEN clean_version < coalesce(version, 0) THEN 'pending:clean outdated'
+  ELSE 'ready:' END"""
+
+
+@query("w13_export_readiness", duck("sheets") + f""", p AS (SELECT *, status IN ('done', 'offline') AS finished, page_id % 6 > 0 AS has_result, page_id % 8 > 0 AS has_clean FROM (SELECT {_EXPORT} FROM sheets)),
+v AS (SELECT page_id, 1 + page_id % 2 AS version FROM sheets WHERE page_id % 3 = 0 UNION ALL SELECT -1 - page_id, 1 FROM sheets WHERE page_id % 20 = 0),
+r AS (SELECT coalesce(p.page_id, v.page_id) AS page_id, {_EXPORT_RULE} AS said FROM p FULL JOIN v ON p.page_id = v.page_id) SELECT page_id, split_part(said, ':', 1) AS state, split_part(said, ':', 2) AS reason FROM r""")
 def _(s, d):
     p = table(s, d, "sheets")
     artifacts = p.filter("page_id % 8 > 0").select("page_id", F.lit("clean").alias("kind")).unionByName(p.filter("page_id % 6 > 0").select("page_id", F.lit("result").alias("kind")))
-    return st.export_readiness(p.selectExpr(*_P), artifacts, ["clean", "result"])
+    versions = p.filter("page_id % 3 = 0").selectExpr("page_id", "1 + page_id % 2 AS version").unionByName(p.filter("page_id % 20 = 0").selectExpr("-1 - page_id AS page_id", "1L AS version"))
+    return st.export_readiness(p.selectExpr(*_EXPORT.split(", C")[:1], *["C" + x for x in _EXPORT.split(", C")[1:]]), artifacts, ["clean", "result"], versions)
 
 
 @query("a17_run_progress", duck("run_pages") + """ SELECT run_id, CAST(count_if(status = 'done') AS BIGINT) AS done, CAST(count_if(status = 'error') AS BIGINT) AS error, count(*) AS total,
@@ -233,7 +244,12 @@ def _r(a: str, b: str) -> str:
     return f"round(({a})::DOUBLE / nullif({b}, 0), 6)"
 
 
-_WIDE = "w AS (SELECT DISTINCT page_id, x + dx AS x, y + dy AS y FROM pixels, range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE gt AND dx * dx + dy * dy <= 4)"
+def _wide(m: int) -> str:
+    """Places within an ellipse of that margin: in a row dy away, round(m * sqrt(m² - dy²) / m) to either side."""
+    return f"w AS (SELECT DISTINCT page_id, x + dx AS x, y + dy AS y FROM pixels, range(-{m}, {m + 1}) a(dx), range(-{m}, {m + 1}) b(dy) WHERE gt AND abs(dx) <= round({m} * sqrt(({m * m} - dy * dy) / {m * m}.0)))"
+
+
+_WIDE = _wide(2)
 
 
 @query("a07_mask_metrics", duck("pixels") + f""", {_WIDE}, p AS (SELECT pixels.*, w.x IS NOT NULL AS near FROM pixels LEFT JOIN w USING (page_id, x, y))
@@ -253,7 +269,7 @@ def _(s, d):
     return qu.extract_ink(table(s, d, "pixels"))
 
 
-@query("a09_cleanup_residue", duck("pixels") + f""", {_WIDE.replace('-2, 3', '-3, 4').replace('<= 4', '<= 9')}, p AS (SELECT pixels.*, w.x IS NOT NULL AND NOT gt AS ring FROM pixels LEFT JOIN w USING (page_id, x, y)), m AS (SELECT page_id, quantile_cont(r2, 0.5) AS m FROM p WHERE ring GROUP BY 1)
+@query("a09_cleanup_residue", duck("pixels") + f""", {_wide(3)}, p AS (SELECT pixels.*, w.x IS NOT NULL AND NOT gt AS ring FROM pixels LEFT JOIN w USING (page_id, x, y)), m AS (SELECT page_id, quantile_cont(r2, 0.5) AS m FROM p WHERE ring GROUP BY 1)
 SELECT page_id, {_r('count_if(gt AND abs(r2 - m) > 60)', 'count_if(gt)')} AS residue, {_r('count_if(ring AND abs(r2 - m) > 20)', 'count_if(ring)')} AS halo FROM p JOIN m USING (page_id) GROUP BY page_id""")
 def _(s, d):
     return qu.cleanup_residue(table(s, d, "pixels"))
