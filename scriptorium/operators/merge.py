@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box
+from ..functions.grid import Grid
 from ..functions.grouped import per_group
 from .spatial import merge_pairs
 
@@ -69,13 +70,17 @@ def reading_order(regions: DataFrame, direction: str = "ltr") -> DataFrame:
 
     def number(boxes: list[tuple]) -> list[tuple]:
         rows: list[list[tuple]] = []
+        index = Grid()  # of what is level with the rows' first boxes, as strips
         for r in sorted(boxes, key=lambda r: (r[3] + r[5] / 2, r[1])):
-            for row in rows:
-                first = row[0]
-                if abs((r[3] + r[5] / 2) - (first[3] + first[5] / 2)) <= 0.35 * max(r[5], first[5], 8):
-                    row.append(r)
+            center, reach = r[3] + r[5] / 2, 0.35 * max(r[5], 8)
+            strip = (0, center - reach, 1, 2 * reach)
+            for k in sorted(index.near(strip)):
+                first = rows[k][0]
+                if abs(center - (first[3] + first[5] / 2)) <= 0.35 * max(r[5], first[5], 8):
+                    rows[k].append(r)
                     break
             else:
+                index.add(len(rows), strip)
                 rows.append([r])
         order = [r for row in rows for r in sorted(row, key=lambda r: -r[2] if direction == "rtl" else r[2])]
         return [(*r, i) for i, r in enumerate(order)]
@@ -97,18 +102,42 @@ def stacked(a: Sequence[float], b: Sequence[float]) -> bool:
 
 
 def gathered(boxes: Sequence[Sequence[float]], order: Sequence[int], alike: Callable, last_first: bool = False) -> list[list[int]]:
-    """Numbers of boxes, taken in that order, in groups: each joins the first group begun (or the last) of which any member is alike."""
+    """Numbers of boxes, taken in that order, in groups: each joins the first group begun (or the last) of which any member is alike (level or
+    stacked). Members with the same extent are alike to the same boxes, so each extent is looked at once, for the group that goes first."""
     groups: list[list[int]] = []
+    axis = 1 if alike is level else 0
+    index, best = Grid(), {}  # extents, and their first (or last) group
     for i in order:
-        for g in reversed(groups) if last_first else groups:
-            if any(alike(boxes[i], boxes[k]) for k in g):
-                g.append(i)
-                break
+        extent = (boxes[i][axis], boxes[i][axis + 2])
+        strip = (0, extent[0], 1, extent[1])
+        own = [best[e] for e in index.near(strip) if alike(boxes[i], (e[0], e[0], e[1], e[1]))]
+        if own:
+            g = max(own) if last_first else min(own)
+            groups[g].append(i)
         else:
+            g = len(groups)
             groups.append([i])
+        if extent not in best:
+            index.add(extent, strip)
+            best[extent] = g
+        else:
+            best[extent] = max(g, best[extent]) if last_first else min(g, best[extent])
     return groups
 
 
+def any_stacked(boxes: Sequence[Sequence[float]]) -> bool:
+    """Whether two of the boxes lie above each other."""
+    index, seen = Grid(), set()
+    for b in boxes:
+        extent = (b[0], b[2])
+        if any(stacked(b, (e[0], e[0], e[1], e[1])) for e in index.near((0, b[0], 1, b[2]))):
+            return True
+        if extent not in seen:
+            seen.add(extent)
+            index.add(extent, (0, b[0], 1, b[2]))
+    return False
+
+
 def straightened(boxes: list[tuple], quads: list) -> list[tuple]:
     """Boxes turned back by the median angle of the quads' upper edges, if that is over 3 degrees; else as they are."""
     slopes = []
@@ -135,7 +164,7 @@ def read_words(boxes: list[tuple], quads: list, direction: str) -> list[int]:
     above each other; else in lines, with a common slant taken out."""
     n = range(len(boxes))
     tall = sum(b[3] > 1.15 * b[2] for b in boxes)
-    if len(boxes) > 1 and tall >= max(2, round(0.6 * len(boxes))) and any(stacked(boxes[i], boxes[k]) for i in n for k in range(i)):
+    if len(boxes) > 1 and tall >= max(2, round(0.6 * len(boxes))) and any_stacked(boxes):
         columns = gathered(boxes, sorted(n, key=lambda i: boxes[i][:2]), stacked)
         columns.sort(key=lambda g: statistics.fmean(boxes[i][0] + boxes[i][2] / 2 for i in g), reverse=direction == "rtl")
         return [i for g in columns for i in sorted(g, key=lambda i: boxes[i][1] + boxes[i][3] / 2)]
@@ -147,7 +176,7 @@ def read_words(boxes: list[tuple], quads: list, direction: str) -> list[int]:
 
 def order_words(words: DataFrame, direction: str = "ltr") -> DataFrame:
     """words(page_id, region_id, word_id, text, box, and quad where there is one) → (page_id, region_id, text, n): the words of a region in
-    reading order. Work is quadratic in the words of a region, of which there are tens."""
+    reading order."""
     quad = F.col("quad").cast("array<array<double>>") if "quad" in words.columns else F.lit(None).cast("array<array<double>>")
 
     def text_of(rows: list[tuple]) -> list[tuple]:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, center_within, coverage, intersection
+from ..functions.grid import Grid
 from ..functions.grouped import per_group
 from ..functions.text import word_key
 from .localization import classify_blocks
@@ -46,13 +47,14 @@ def dedupe_proposals(proposals: DataFrame, regions: DataFrame) -> DataFrame:
     both = regions.select("page_id", F.lit(-1).cast("long").alias("ord"), "text", *"xywh").unionByName(proposals.select("page_id", "ord", "text", *"xywh"))
 
     def choose(rows: list[tuple]) -> list[tuple]:
-        known, out = [], []
+        known, out, index = [], [], Grid()
         for r in rows:
             block = (*r[3:7], comparable(r[2]))
             if r[1] >= 0:
-                if any(_says_nothing_new(block, k) for k in known):
+                if any(_says_nothing_new(block, k) for k in map(known.__getitem__, index.near(block[:4]))):  # all its rules ask for a common area
                     continue
                 out.append(r)
+            index.add(len(known), block[:4])
             known.append(block)
         return out
 
@@ -158,8 +160,10 @@ def recover_lines(words: DataFrame, regions: DataFrame, sounds: DataFrame | None
 
     def lines(rows: list[tuple]) -> list[tuple]:
         free: list[tuple] = []
+        index = Grid()
         for b in rows:
-            if b[7] and not any(b[2].casefold() == o[2].casefold() and _over(b[3:7], o[3:7]) > 0.8 for o in free):
+            if b[7] and not any(b[2].casefold() == o[2].casefold() and _over(b[3:7], o[3:7]) > 0.8 for o in map(free.__getitem__, index.near(b[3:7]))):
+                index.add(len(free), b[3:7])
                 free.append(b)
         boxes, out, alone = [b[3:7] for b in free], [], []
         for g in gathered(boxes, sorted(range(len(free)), key=lambda i: (boxes[i][1] + boxes[i][3] / 2, boxes[i][0])), level, last_first=True):
@@ -168,12 +172,17 @@ def recover_lines(words: DataFrame, regions: DataFrame, sounds: DataFrame | None
                 out.append([" ".join(free[g[k]][2] for k in order), len(g), united([boxes[i] for i in g])])
             elif free[g[0]][9]:
                 alone.append([free[g[0]][2], 1, boxes[g[0]]])
+        sounds_at = Grid()
+        for k, sound in enumerate(alone):
+            sounds_at.add(k, sound[2])
         for b in rows:
             if b[8]:
-                for sound in alone:
+                for k in sorted(sounds_at.near(b[3:7])):
+                    sound = alone[k]
                     x = sound[2]
                     if 0.2 < _over(b[3:7], x) < 0.8 and b[5] <= 1.5 * x[2] and b[6] <= 1.5 * x[3]:
                         sound[:] = [f"{b[2]} {sound[0]}", sound[1] + 1, united([x, b[3:7]])]
+                        sounds_at.add(k, sound[2])
                         break
         return [(rows[0][0], text, n, *where) for text, n, where in out + alone]
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area, box, center_within, contains, coverage, intersection, side_overlap, vertical_gap
+from ..functions.grid import Grid
 from ..functions.grouped import per_group
 
 
@@ -65,8 +66,11 @@ def drop_contained(regions: DataFrame) -> DataFrame:
 
     def choose(rows: list[tuple]) -> list[tuple]:
         gone: set[int] = set()
+        index = Grid()
+        for k, r in enumerate(rows):
+            index.add(k, r[2:6])
         for r in rows:
-            for o in rows:
+            for o in map(rows.__getitem__, index.near(r[2:6])):
                 if o[1] in gone or o[4] * o[5] <= r[4] * r[5]:
                     continue
                 level = abs((o[3] + o[5] / 2) - (r[3] + r[5] / 2)) <= 0.45 * max(o[5], r[5], 8)
@@ -92,8 +96,10 @@ def add_second_source(first: DataFrame, second: DataFrame, most: float = 0.3) ->
 
     def choose(rows: list[tuple]) -> list[tuple]:
         kept: list[tuple] = []
+        index = Grid()
         for r in rows:
-            if all(max(_over(r[2:6], k[2:6]), _over(k[2:6], r[2:6])) <= most for k in kept):
+            if all(max(_over(r[2:6], k[2:6]), _over(k[2:6], r[2:6])) <= most for k in map(kept.__getitem__, index.near(r[2:6]))):
+                index.add(len(kept), r[2:6])
                 kept.append(r)
         return [(r[0], r[6] + i, *r[2:6]) for i, r in enumerate(kept, 1)]
 
