@@ -32,8 +32,10 @@ SAMPLE = 400
 SAMPLE_BYTES = 1 << 20
 #: A context of 3 bytes is kept if it occurs so often in a language's sample.
 LEAST = 3
-#: Code lengths (a number for each language and string of four bytes) that a worker holds at once, and that it keeps.
+#: Code lengths (a number for each language and string of four bytes) that a worker keeps.
 HELD = 1 << 22
+#: Texts of a batch that are scored at once, in pieces of an eighth of what is held.
+TEXTS = 256
 #: Bytes of evidence that a score goes by: so it tells how far apart the languages are, whatever the length of the text.
 EVIDENCE = 20
 #: Bits a byte of the shortest code above which a text is in no known language: those of the plain bytes.
@@ -187,8 +189,8 @@ class Scorer:
     """A model with the code lengths that a worker has met, in one place for each hash: later ones take the places of earlier ones."""
 
     def __init__(self, model: Model):
-        self.model, self.most = model, max(1 << 10, HELD // len(model.langs))
-        self.power = min(20, self.most.bit_length() - 1)
+        places = max(1 << 10, HELD // len(model.langs))
+        self.model, self.most, self.power = model, max(1 << 10, places >> 3), min(20, places.bit_length() - 1)
         self.gram = np.full(1 << self.power, -1, dtype=np.int64)
         self.bits = np.zeros((1 << self.power, len(model.langs)), dtype=np.float32)
 
@@ -251,15 +253,17 @@ def predictor(model: Model | None, df: DataFrame):
         for s in texts:
             known = [bool(scorer and t and _LETTER(t)) for t in s]
             langs, scores, least = np.full(len(s), UNKNOWN, dtype=object), np.zeros(len(s)), np.full(len(s), np.nan)
-            if any(known):
-                data = [t.encode() for t, k in zip(s, known, strict=True) if k]
+            at = np.flatnonzero(known)
+            for k in range(0, len(at), TEXTS):
+                own = at[k : k + TEXTS]
+                data = [s.iloc[i].encode() for i in own]
                 size = np.array([len(t) for t in data])
                 bits = scorer.code_lengths(data)
                 best = bits.argmin(1)
                 apart = (bits - bits.min(1)[:, None]) * (np.minimum(size, EVIDENCE) / size)[:, None]
-                langs[known] = np.array(scorer.model.langs, dtype=object)[best]
-                scores[known] = 1 / np.exp2(-np.minimum(apart, 1000)).sum(1)
-                least[known] = bits.min(1) / size
+                langs[own] = np.array(scorer.model.langs, dtype=object)[best]
+                scores[own] = 1 / np.exp2(-np.minimum(apart, 1000)).sum(1)
+                least[own] = bits.min(1) / size
             yield pd.DataFrame({"lang": langs, "score": scores, "bits": least})
 
     return predict
