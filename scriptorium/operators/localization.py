@@ -27,9 +27,26 @@ def overlay_glossary(base: DataFrame, user: DataFrame) -> DataFrame:
     return base.join(u, "source", "full_outer").select("source", F.coalesce("own", "target").alias("target"))
 
 
+def normalize_glossary(entries: DataFrame, order: str = "ord") -> DataFrame:
+    """entries(ord, source, target, gender, note) → one row a source: the first; source and gender without blanks at their ends, missing texts empty, those
+    without a source left out."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = entries.select(F.trim("source").alias("source"), F.struct(order, text("target").alias("target"), F.trim(text("gender")).alias("gender"), text("note").alias("note")).alias("e"))
+    return rows.filter("source <> ''").groupBy("source").agg(F.min("e").alias("e")).select("source", "e.target", "e.gender", "e.note")
+
+
+def glossary_blocks(pages: DataFrame, glossary: DataFrame) -> DataFrame:
+    """pages(page_id, project_id), glossary(project_id, ord, source, target) → (page_id, block): what a request for the page says of names, in order."""
+    line = F.concat(F.lit("- "), "source", F.lit(" = "), "target")
+    rows = glossary.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("rows"))  # one project's names
+    text = F.concat(F.lit("Glossary, use these translations exactly:\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    return pages.select("page_id", "project_id").join(rows, "project_id", "left").select("page_id", F.coalesce(text, F.lit("No glossary.")).alias("block"))
+
+
 def build_glossary(regions: DataFrame, existing: DataFrame) -> DataFrame:
     """Speakers with the first gender that is given for them, in the order of pages and regions; what the glossary
-    (source, target, gender, note) already says stays."""
+    (source, target, gender, note, and ord where there is one) already says stays; of sources that it repeats the first."""
+    existing = normalize_glossary(existing if "ord" in existing.columns else existing.withColumn("ord", F.lit(0)))
     found = regions.filter(filled("speaker")).select(F.trim("speaker").alias("source"), "speaker_gender", F.struct("page_id", "region_id").alias("at"))
     found = found.groupBy("source").agg(F.min_by("speaker_gender", F.when(F.col("speaker_gender") != "", F.col("at"))).alias("found"))
     df = found.join(existing, "source", "full_outer")
@@ -139,6 +156,14 @@ def with_memory(blocks: DataFrame, memory: DataFrame, text: str = "text", pair:
     return df, df.filter(F.col("translated").isNull()).select(*keys).distinct()
 
 
+def settings_fingerprint(settings: str | Column) -> Column:
+    """Digest of settings as JSON text: sha256 of the object in one form, with keys in order at every level, no blanks, and numbers by their value; a text
+    that is no object is its own, without blanks at its ends."""
+    text = F.col(settings) if isinstance(settings, str) else settings
+    one_form = F.to_json(F.try_parse_json(text))  # a VARIANT object has its keys in order
+    return F.when(F.trim(text).startswith("{") & one_form.isNotNull(), F.sha2(one_form, 256)).otherwise(F.trim(text))
+
+
 def cache_token(parts: list[Column]) -> Column:
     return F.sha2(F.concat_ws("|", F.lit("v2"), *[F.lower(F.trim(p)) for p in parts]), 256)
 

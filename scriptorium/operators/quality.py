@@ -290,9 +290,12 @@ def top_blobs(components: DataFrame, n: int = 8, least: int = 12) -> DataFrame:
 
 
 def verify_artifacts(manifest: DataFrame, reports: DataFrame, files: DataFrame) -> DataFrame:
-    """manifest(id, input_sha, settings), reports(id, input_sha, settings, artifacts map of path to sha), files(path, sha) → reasons against."""
-    df = manifest.alias("m").join(reports.alias("r"), "id", "left")
-    off = df.select("id", F.when(F.col("r.input_sha").isNull(), "report").when(F.col("m.input_sha") != F.col("r.input_sha"), "input").when(F.col("m.settings") != F.col("r.settings"), "settings").alias("reason")).filter("reason is not null")
+    """manifest(id, input_sha, settings), reports(id, input_sha, settings, artifacts map of path to sha), files(path, sha) → reasons against: no report,
+    other input, other settings, other languages (source_lang and target_lang, where both sides have them), other artifacts."""
+    df = manifest.alias("m").join(reports.withColumn("_there", F.lit(True)).alias("r"), "id", "left")
+    other = lambda *cs: F.array_contains(F.array(F.lit(False), *[~F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cs if c in manifest.columns and c in reports.columns]), True)
+    reason = F.when(F.col("r._there").isNull(), "report").when(other("input_sha"), "input").when(other("settings"), "settings").when(other("source_lang", "target_lang"), "languages")
+    off = df.select("id", reason.alias("reason")).filter("reason is not null")
     own = reports.select("id", F.explode("artifacts").alias("path", "wanted")).join(files, "path", "left")
     bad = own.filter(~F.col("wanted").eqNullSafe(F.col("sha"))).select("id", F.lit("artifact").alias("reason")).distinct()
     return off.unionByName(bad)

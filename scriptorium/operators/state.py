@@ -45,11 +45,18 @@ def running_sum(df: DataFrame, keys: list[str], part: Column, order: list, value
     return rows.join(starts, on).withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_value", "_day", "_start", *[f"_key{i}" for i in range(len(keys))])
 
 
-def queue_positions(jobs: DataFrame, lane: str = "lane") -> DataFrame:
-    """Place among the queued of a lane by submission; 0 for others."""
-    queued = (F.col("status") == "queued").cast("long")
-    df = running_sum(jobs, [lane], F.to_date("submitted"), ["submitted", "job_id"], queued, "_place")
-    return df.withColumn("position", F.when(F.col("status") == "queued", F.col("_place")).otherwise(0)).drop("_place")
+def queue_positions(jobs: DataFrame, lane: str = "lane", running_first: bool = False) -> DataFrame:
+    """Place among the queued of a lane by submission; 0 for others. With running_first, running jobs have the first places, by submission too."""
+    part, order = F.to_date("submitted"), ["submitted", "job_id"]
+    queued, running = F.col("status") == "queued", F.col("status") == "running"
+    df = running_sum(jobs, [lane], part, order, queued.cast("long"), "_place")
+    if not running_first:
+        return df.withColumn("position", F.when(queued, F.col("_place")).otherwise(0)).drop("_place")
+    df = running_sum(df, [lane], part, order, running.cast("long"), "_first")
+    n = jobs.groupBy(F.col(lane).alias("_lane")).agg(F.count_if(running).alias("_n"))  # one row for each lane
+    df = df.join(n, F.col(lane).eqNullSafe(F.col("_lane")))
+    place = F.when(running, F.col("_first")).when(queued, F.col("_n") + F.col("_place")).otherwise(0)
+    return df.withColumn("position", place).drop("_place", "_first", "_lane", "_n")
 
 
 def eta(jobs: DataFrame, lane: str = "lane", last: int = 20) -> DataFrame:
@@ -114,6 +121,12 @@ def last_failed(jobs: DataFrame) -> DataFrame:
     return failed.groupBy("kind", "page_id").agg(F.max_by("job_id", F.struct("finished", "job_id")).alias("job_id"))
 
 
+def active_jobs(jobs: DataFrame) -> DataFrame:
+    """The unfinished job of each kind and page: one that runs before one that waits, then the first submitted."""
+    waits = jobs.filter(F.col("status").isin("running", "queued"))
+    return waits.groupBy("kind", "page_id").agg(F.min_by("job_id", F.struct(F.col("status") == "queued", "submitted", "job_id")).alias("job_id"))
+
+
 def queue_wait(events: DataFrame, queued: str, started: str) -> DataFrame:
     """Seconds from the first queued to the first started event, 0 at least."""
     first = lambda t: F.min(F.when(F.col("type") == t, F.col("ts")))

@@ -112,6 +112,19 @@ def _(s, d):
     return loc.build_glossary(table(s, d, "regions"), existing)
 
 
+@query("a03_normalize_glossary", "SELECT 'Name ' || c_custkey % 97 AS source, first(t ORDER BY c_custkey) AS target, first(g ORDER BY c_custkey) AS gender, '' AS note FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 'T' || c_custkey ELSE '' END AS t, CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE '' END AS g FROM customer WHERE c_custkey % 7 > 0) GROUP BY 1")
+def _(s, d):
+    e = given(s, d, "customer").selectExpr("c_custkey AS ord", "CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE concat(' Name ', c_custkey % 97, ' ') END AS source", "CASE WHEN c_custkey % 3 > 0 THEN concat('T', c_custkey) END AS target", "CASE WHEN c_custkey % 2 = 0 THEN ' male' END AS gender", "CAST(NULL AS STRING) AS note")
+    return loc.normalize_glossary(e)
+
+
+@query("a04_glossary_blocks", duck("sheets") + """, g AS (SELECT (c_custkey % 60)::VARCHAR AS project_id, 'Glossary, use these translations exactly:' || chr(10) || string_agg('- N' || c_custkey || ' = T' || c_custkey, chr(10) ORDER BY c_custkey) AS block FROM customer WHERE c_custkey % 60 <> 7 GROUP BY 1)
+SELECT page_id, coalesce(block, 'No glossary.') AS block FROM sheets LEFT JOIN g USING (project_id)""")
+def _(s, d):
+    g = given(s, d, "customer").filter("c_custkey % 60 <> 7").selectExpr("CAST(c_custkey % 60 AS STRING) AS project_id", "c_custkey AS ord", "concat('N', c_custkey) AS source", "concat('T', c_custkey) AS target")
+    return loc.glossary_blocks(table(s, d, "sheets"), g)
+
+
 @query("a04_page_script", duck("regions") + """, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, region_id) - 1 AS ord FROM regions WHERE block_type IN ('dialogue', 'narration', 'title'))
 SELECT page_id, string_agg(region_id || '. [' || block_type || '] ' || text, chr(10) ORDER BY ord) AS script FROM o GROUP BY page_id""")
 def _(s, d):
@@ -203,6 +216,16 @@ def _(s, d):
     return loc.cache_lookup(subs, subs.filter("sub_id % 7 = 0").select(token.alias("token"))).select("sub_id", "token", "hit")
 
 
+@query("j14_settings_fingerprint", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'plain ' || event_id ELSE
+  sha256('{"alpha":"ü \\" ' || user_id || '","conf":' || CASE event_id % 4 WHEN 0 THEN '0.5' WHEN 1 THEN '2' WHEN 2 THEN '0.25' ELSE '17' END || ',"nested":{"a":[null,true,' || event_id || '],"b":{"y":1,"z":"' || event_type || '"}},"zeta":' || event_id || '}') END AS fingerprint FROM events""")
+def _(s, d):
+    conf = "CASE event_id % 4 WHEN 0 THEN '0.50' WHEN 1 THEN '2' WHEN 2 THEN '0.25' ELSE '17' END"
+    first = f"""concat('{{ "zeta": ', event_id, ', "nested": {{"b": {{"z": "', event_type, '", "y": 1}}, "a": [null, true, ', event_id, ']}},  "conf": ', {conf}, ', "alpha": "ü \\\\" ', user_id, '"}}')"""
+    second = f"""concat('{{"alpha":"\\\\u00fc \\\\" ', user_id, '","nested":{{"a":[null,true,', event_id, '],"b":{{"y":1,"z":"', event_type, '"}}}},"zeta":', event_id, ',"conf":', {conf}, '}}')"""
+    e = given(s, d, "events").selectExpr("event_id", f"CASE event_id % 5 WHEN 0 THEN concat(' plain ', event_id, ' ') WHEN 1 THEN {first} ELSE {second} END AS settings")
+    return e.select("event_id", loc.settings_fingerprint("settings").alias("fingerprint"))
+
+
 @query("j15_skip_existing", duck("sheets") + " SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'skipped' ELSE 'todo' END AS kind FROM sheets")
 def _(s, d):
     p = table(s, d, "sheets")

@@ -327,7 +327,20 @@ def _(s, d):
     return sj.close_pages(pages, ended, sheets.filter("page_id % 5 = 0").select("page_id"))
 
 
+@query("r04_dedupe_with_ends", duck("submissions").replace("WITH ", "WITH RECURSIVE ", 1) + """, k AS MATERIALIZED (SELECT sub_id, epoch_us(ts) AS t, regexp_replace(page_url, '#.*$', '') || '|' || image_url AS work_key, image_url ILIKE 'blob:%' AS blob, fresh FROM submissions),
+e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY work_key ORDER BY t, sub_id, status IS NOT NULL) AS n FROM (SELECT sub_id, t, work_key, blob, fresh, NULL AS status FROM k UNION ALL SELECT sub_id, t + 3600000000, work_key, blob, false, CASE sub_id % 4 WHEN 0 THEN 'error' ELSE 'done' END FROM k WHERE sub_id % 3 > 0)),
+r(work_key, n, sub_id, action, job, live) AS (SELECT work_key, n, sub_id, CASE WHEN blob THEN 'error' ELSE 'new' END, CASE WHEN NOT blob THEN sub_id END, NOT blob FROM e WHERE n = 1
+  UNION ALL SELECT e.work_key, e.n, e.sub_id, CASE WHEN e.status IS NOT NULL THEN NULL WHEN e.blob THEN 'error' WHEN e.fresh OR r.job IS NULL OR NOT r.live THEN 'new' ELSE 'reuse' END,
+    CASE WHEN e.status IS NOT NULL OR e.blob THEN r.job WHEN e.fresh OR r.job IS NULL OR NOT r.live THEN e.sub_id ELSE r.job END,
+    CASE WHEN e.status IS NOT NULL THEN CASE WHEN r.job = e.sub_id THEN e.status = 'done' ELSE r.live END WHEN e.blob THEN r.live ELSE true END FROM r JOIN e ON e.work_key = r.work_key AND e.n = r.n + 1)
+SELECT sub_id, work_key, action FROM r WHERE action IS NOT NULL""")
+def _(s, d):
+    subs = table(s, d, "submissions")
+    ends = subs.filter("sub_id % 3 > 0").selectExpr("sub_id", "ts + INTERVAL 1 HOUR AS ts", "page_url", "image_url", "CASE sub_id % 4 WHEN 0 THEN 'error' ELSE 'done' END AS status")
+    return sj.dedupe_submissions(subs, ends)
+
+
 @query("r04_dedupe_submissions", duck("submissions") + """, k AS (SELECT *, regexp_replace(page_url, '#.*$', '') || '|' || image_url AS work_key FROM submissions)
-SELECT sub_id, work_key, CASE WHEN image_url LIKE 'blob:%' THEN 'error' WHEN fresh OR row_number() OVER (PARTITION BY work_key ORDER BY ts, sub_id) = 1 THEN 'new' ELSE 'reuse' END AS action FROM k""")
+SELECT sub_id, work_key, CASE WHEN image_url ILIKE 'blob:%' THEN 'error' WHEN fresh OR row_number() OVER (PARTITION BY work_key ORDER BY ts, sub_id) = 1 THEN 'new' ELSE 'reuse' END AS action FROM k""")
 def _(s, d):
     return sj.dedupe_submissions(table(s, d, "submissions"))

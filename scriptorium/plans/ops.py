@@ -44,6 +44,12 @@ def _(s, d):
     return st.queue_positions(_jobs(s, d)).select("job_id", "position")
 
 
+@query("w04_running_first", "WITH " + _JOBS + """ SELECT job_id, CASE status WHEN 'running' THEN CAST(count(*) FILTER (status = 'running') OVER o AS BIGINT)
+  WHEN 'queued' THEN CAST(count(*) FILTER (status = 'running') OVER (PARTITION BY lane) + count(*) FILTER (status = 'queued') OVER o AS BIGINT) ELSE 0 END AS position FROM jobs WINDOW o AS (PARTITION BY lane ORDER BY submitted, job_id ROWS UNBOUNDED PRECEDING)""")
+def _(s, d):
+    return st.queue_positions(_jobs(s, d), running_first=True).select("job_id", "position")
+
+
 @query("w05_eta", "WITH " + _JOBS + """, l AS (SELECT lane, seconds FROM jobs WHERE status = 'done' QUALIFY row_number() OVER (PARTITION BY lane ORDER BY submitted DESC, job_id DESC) <= 20), m AS (SELECT lane, avg(seconds) AS mean FROM l GROUP BY 1)
 SELECT job_id, CASE WHEN status IN ('queued', 'running') THEN round(mean * (100 - progress) / 100, 6) END AS eta FROM jobs LEFT JOIN m USING (lane)""")
 def _(s, d):
@@ -100,6 +106,11 @@ def _(s, d):
     return st.last_failed(_jobs(s, d).withColumn("finished", F.col("submitted")))
 
 
+@query("w10_active_jobs", "WITH " + _JOBS + " SELECT kind, page_id, first(job_id ORDER BY status = 'queued', submitted, job_id) AS job_id FROM jobs WHERE status IN ('queued', 'running') GROUP BY ALL")
+def _(s, d):
+    return st.active_jobs(_jobs(s, d))
+
+
 @query("w11_queue_wait", duck("job_events") + " SELECT job_id, CAST(greatest(0, date_sub('second', min(ts) FILTER (type = 'job.started'), min(ts) FILTER (type = 'job.progress'))) AS BIGINT) AS wait FROM job_events GROUP BY 1")
 def _(s, d):
     df = st.queue_wait(table(s, d, "job_events"), "job.started", "job.progress")
@@ -438,11 +449,11 @@ def _(s, d):
     return qu.top_blobs(c, 8, 1500).select("page_id", "comp_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("j28_verify_artifacts", duck("run_pages") + """ SELECT id, CASE WHEN id::BIGINT % 11 = 0 THEN 'report' WHEN id::BIGINT % 7 = 0 THEN 'input' ELSE 'settings' END AS reason FROM run_pages WHERE id::BIGINT % 11 = 0 OR id::BIGINT % 7 = 0 OR id::BIGINT % 5 = 0
+@query("j28_verify_artifacts", duck("run_pages") + """ SELECT id, CASE WHEN id::BIGINT % 11 = 0 THEN 'report' WHEN id::BIGINT % 7 = 0 THEN 'input' WHEN id::BIGINT % 5 = 0 THEN 'settings' ELSE 'languages' END AS reason FROM run_pages WHERE id::BIGINT % 11 = 0 OR id::BIGINT % 7 = 0 OR id::BIGINT % 5 = 0 OR id::BIGINT % 9 = 0
 UNION ALL SELECT id, 'artifact' FROM run_pages WHERE id::BIGINT % 11 <> 0 AND id::BIGINT % 4 = 0""")
 def _(s, d):
     r = table(s, d, "run_pages").withColumn("k", F.col("id").cast("long"))
-    manifest = r.select("id", F.col("source_sha").alias("input_sha"), F.lit("s").alias("settings"))
-    reports = r.filter("k % 11 <> 0").select("id", F.expr("CASE WHEN k % 7 = 0 THEN 'z' ELSE source_sha END AS input_sha"), F.expr("CASE WHEN k % 5 = 0 THEN 't' ELSE 's' END AS settings"), F.create_map(F.col("image"), F.col("result_sha")).alias("artifacts"))
+    manifest = r.select("id", F.col("source_sha").alias("input_sha"), F.lit("s").alias("settings"), F.lit("ja").alias("source_lang"), F.lit("ru").alias("target_lang"))
+    reports = r.filter("k % 11 <> 0").select("id", F.expr("CASE WHEN k % 7 = 0 THEN 'z' ELSE source_sha END AS input_sha"), F.expr("CASE WHEN k % 5 = 0 THEN 't' ELSE 's' END AS settings"), F.create_map(F.col("image"), F.col("result_sha")).alias("artifacts"), F.expr("CASE WHEN k % 9 = 0 THEN NULL ELSE 'ja' END AS source_lang"), F.lit("ru").alias("target_lang"))
     files = r.select(F.col("image").alias("path"), F.expr("CASE WHEN k % 4 = 0 THEN 'q' ELSE result_sha END AS sha"))
     return qu.verify_artifacts(manifest, reports, files)

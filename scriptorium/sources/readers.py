@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,15 +19,48 @@ def read_regions(spark: SparkSession, path: str, lines: bool = False) -> tuple[D
     return page_regions(pages), pages.filter("raw IS NULL").select("path", "body")
 
 
-def list_page_files(spark: SparkSession, root: str, recursive: bool = True, suffixes: tuple[str, ...] = IMAGES, include: str | None = None, exclude: str | None = None) -> DataFrame:
-    """Image files without their contents; companion masks and folders of web pages are left out. include, exclude: regular expressions."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select("path", "length", "modificationTime")
+def glob_pattern(glob: str) -> str:
+    """A glob as a regular expression over a path relative to its root: `*` and `?` stay within a name, `**` goes over folders, sets in brackets."""
+    out, i = "", 0
+    while i < len(glob):
+        if glob.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif glob[i] == "[" and (end := glob.find("]", i + 2)) > 0:
+            inside = glob[i + 1 : end]
+            none, inside = inside[0] in "!^", inside.lstrip("!^") if inside[0] in "!^" else inside
+            out, i = out + "[" + ("^/" if none else "") + re.sub(r"([\\\[\]&~^])", r"\\\1", inside) + "]", end + 1
+        else:
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(glob[i], re.escape(glob[i])), i + 1
+    return f"^{out}$"
+
+
+def _page_files(files: DataFrame, root: str, suffixes: tuple[str, ...], include: str | None, exclude: str | None, globs: bool) -> DataFrame:
+    name = F.element_at(F.split("path", re.escape(root.rstrip("/").split(":", 1)[-1].lstrip("/")) + "/", 2), -1)
+    df = files.withColumn("_name", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))) if globs else F.col("path"))
     ok = F.lower("path").rlike(r"\.(" + "|".join(suffixes) + ")$") & ~F.lower("path").rlike(r"[-_]mask(-2)?\.[a-z]+$") & ~F.lower("path").rlike(r"/html/")
     if include:
-        ok &= F.col("path").rlike(include)
+        ok &= F.col("_name").rlike(glob_pattern(include) if globs else include)
     if exclude:
-        ok &= ~F.col("path").rlike(exclude)
-    return files.filter(ok)
+        ok &= ~F.col("_name").rlike(glob_pattern(exclude) if globs else exclude)
+    return df.filter(ok).drop("_name")
+
+
+def list_page_files(spark: SparkSession, root: str, recursive: bool = True, suffixes: tuple[str, ...] = IMAGES, include: str | None = None, exclude: str | None = None,
+                    globs: bool = False) -> DataFrame:
+    """Image files without their contents; companion masks and folders of web pages are left out. include, exclude: regular expressions of paths, or globs of
+    paths under root."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select("path", "length", "modificationTime")
+    return _page_files(files, root, suffixes, include, exclude, globs)
+
+
+def stream_page_files(spark: SparkSession, root: str, recursive: bool = True, suffixes: tuple[str, ...] = IMAGES, include: str | None = None, exclude: str | None = None,
+                      globs: bool = False) -> DataFrame:
+    """As list_page_files, files as they come."""
+    schema = spark.read.format("binaryFile").load(root).schema
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", str(recursive).lower()).load(root).select("path", "length", "modificationTime")
+    return _page_files(files, root, suffixes, include, exclude, globs)
 
 
 EVENT = T.StructType().add("timestamp", "timestamp").add("event", "string").add("details", "string")

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.grouped import per_group_running
@@ -275,3 +276,36 @@ def publish_progress(stream: DataFrame, path: str, checkpoint: str, summary):
         summary(batch).write.mode("overwrite").parquet(f"{path}/summary/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def publish_totals(stream: DataFrame, path: str, checkpoint: str, keys: list[str], sums: dict[str, str]):
+    """Writes each batch's rows and the totals of all batches so far: sums (a name → an SQL expression of a row) by keys. A batch writes its rows, then the
+    totals, each under its number, and last its line in the ledger. Totals go on from those of the last batch in the ledger before it, so a batch that
+    failed between its writes, or after them, counts once when it is repeated."""
+    spark = stream.sparkSession
+
+    def totals_at(number: int) -> DataFrame | None:
+        try:
+            done = spark.read.schema("batch long").json(f"{path}/ledger/*")
+        except AnalysisException:  # no batch yet
+            return None
+        last = done.filter(F.col("batch") < number).agg(F.max("batch")).first()[0]
+        return None if last is None else spark.read.parquet(f"{path}/totals/batch={last}")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        rows = spark.read.parquet(f"{path}/rows/batch={number}")
+        new = rows.groupBy(*keys).agg(*[F.sum(F.expr(x)).alias(n) for n, x in sums.items()])
+        before = totals_at(number)
+        if before is not None:
+            new = before.unionByName(new).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums])
+        new.write.mode("overwrite").parquet(f"{path}/totals/batch={number}")
+        spark.range(1).select(F.lit(number).cast("long").alias("batch")).write.mode("overwrite").json(f"{path}/ledger/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def published_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The totals of the last batch in the ledger."""
+    last = spark.read.schema("batch long").json(f"{path}/ledger/*").agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{path}/totals/batch={last}")
