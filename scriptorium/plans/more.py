@@ -231,6 +231,29 @@ def _(s, d):
     return s.read.parquet(path).groupBy("run_id", "kind").agg(F.count("*").alias("n"))
 
 
+def _page_results(s, d):
+    style = F.parse_json(F.concat(F.lit('{"style":{"size":'), "w", F.lit("}}"))).cast("map<string,variant>")
+    regions = table(s, d, "regions").selectExpr("*", "region_id * 7 % 11 AS `order`", "region_id AS pos").withColumn("raw", F.when(F.col("region_id") % 2 == 0, style))
+    pages = table(s, d, "sheets").selectExpr("page_id", "source_path", "IF(page_id % 2 = 0, 'rtl', 'ltr') AS reading_direction", "'o' AS ocr_engine", "'t' AS translator_engine", "map('ocr', 1.5D) AS timings", "array(status) AS warnings")
+    return pages, regions
+
+
+@query("s12_result_payloads", duck("regions", "sheets") + """, g AS (SELECT page_id, count(*) AS n, string_agg(region_id || ':' || block_type || ':' || md5(translation) || ':' || CASE WHEN region_id % 2 = 0 THEN w::VARCHAR ELSE '-' END || ':' || CASE WHEN bx IS NULL THEN '-' ELSE bx::VARCHAR END || ':' || skip::VARCHAR, ' ' ORDER BY region_id * 7 % 11, region_id) AS regions FROM regions GROUP BY 1)
+SELECT page_id, source_path, CASE WHEN page_id % 2 = 0 THEN 'rtl' ELSE 'ltr' END AS direction, status AS warning, coalesce(n, 0) AS n, coalesce(regions, '') AS regions FROM sheets LEFT JOIN g USING (page_id)""")
+def _(s, d):
+    """Payloads, read again as JSON."""
+    found = documents.result_payloads(*_page_results(s, d))
+    plain = "source_path string, reading_direction string, warnings array<string>, regions array<struct<id:long,type:string,translation:string,style:struct<size:long>,bubble_bbox:array<long>,skip:boolean>>"
+    r = F.expr("array_join(transform(p.regions, r -> concat_ws(':', r.id, r.type, md5(r.translation), coalesce(cast(r.style.size AS STRING), '-'), coalesce(cast(r.bubble_bbox[0] AS STRING), '-'), r.skip)), ' ')")
+    rows = found.select("page_id", F.from_json("payload", plain).alias("p"))
+    return rows.select("page_id", "p.source_path", F.col("p.reading_direction").alias("direction"), F.expr("p.warnings[0]").alias("warning"), F.size("p.regions").cast("long").alias("n"), r.alias("regions"))
+
+
+@query("s12_translation_pairs", duck("regions") + " SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY region_id * 7 % 11, region_id) AS n, text, translation FROM regions")
+def _(s, d):
+    return documents.translation_pairs(_page_results(s, d)[1])
+
+
 @query("j17_unclaimed_words", duck("regions") + f""", w AS (SELECT page_id, region_id AS word_id, {_KEY.format(_UNCLAIMED)} AS key, x, y, w, h, region_id % 13 AS angle FROM regions WHERE region_id % 2 = 0 AND confidence >= 0.5),
 k AS (SELECT *, {_squeezed('key')} AS s FROM w WHERE regexp_matches(key, '^[a-z]{{4,20}}$')), o AS MATERIALIZED (SELECT *, region_id % 4 AS rotation, region_id % 10 < 6 AS rule FROM regions WHERE region_id % 2 = 1),
 n AS (SELECT DISTINCT page_id, {_KEY.format('text')} AS whole FROM o), t AS (SELECT DISTINCT page_id, {_KEY.format('token')} AS token FROM (SELECT page_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS token FROM o)), q AS MATERIALIZED (SELECT *, {_squeezed('token')} AS s FROM t WHERE token <> ''),

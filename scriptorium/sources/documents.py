@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Flags of a region.
@@ -136,3 +136,24 @@ def _later(a: Column, b: Column) -> Column:
 def write_pages(pages: DataFrame, regions: DataFrame, path: str) -> None:
     """One document a line, in files of text."""
     page_bodies(pages, regions).select("body").write.text(path)
+
+
+def result_payloads(pages: DataFrame, regions: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """What a finished page reports, (keys, payload) as JSON: pages(keys, source_path, reading_direction, ocr_engine, translator_engine, timings, warnings)
+    with all their regions as objects, in the order of `order` and id: every typed column under its key, confidence to four places, and what else raw
+    has. A page without regions has an empty list."""
+    typed = changed_regions(regions.withColumns({"_own": F.col("raw"), "raw": F.lit(None).cast(_OBJECT), "confidence": F.round("confidence", 4)}))
+    more = F.map_filter(F.coalesce("_own", F.create_map().cast(_OBJECT)), lambda k, v: ~F.map_contains_key("raw", k))
+    rows = typed.select(*keys, F.struct("order", "region_id", F.to_json(F.map_concat("raw", more)).alias("json")).alias("r"))
+    whole = rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["json"]), ",").alias("_regions"))  # one page's
+    head = F.to_json(F.struct("source_path", "reading_direction", "ocr_engine", "translator_engine", "timings", "warnings"))
+    listed = F.concat(F.lit('"regions":['), F.coalesce("_regions", F.lit("")), F.lit("]}"))
+    rows = pages.withColumn("_head", head).join(whole, list(keys), "left")
+    opened = F.regexp_replace("_head", r"\}$", "")
+    return rows.select(*keys, F.concat(opened, F.when(opened == "{", "").otherwise(","), listed).alias("payload"))
+
+
+def translation_pairs(regions: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """(keys, n, text, translation) in reading order."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("order", "region_id"))
+    return regions.select(*keys, place.cast("long").alias("n"), "text", "translation")
