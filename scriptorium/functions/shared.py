@@ -27,8 +27,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders made since the last drop_temporary.
+_MADE: list[str] = []
+
+
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for what can go once a result is stored."""
+    _MADE.append(shared_path(spark, name))
+    return _MADE[-1]
+
+
+def drop_temporary(spark: SparkSession) -> int:
+    """Delete the folders of temporary_path that this Python process made; their number."""
+    n = len(_MADE)
+    for path in _MADE:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE.clear()
+    return n
+
+
 def text_files(lines: DataFrame, name: str) -> str:
-    """The path of a folder with one column of strings as lines of text."""
-    path = shared_path(lines.sparkSession, name)
+    """The path of a temporary folder with one column of strings as lines of text."""
+    path = temporary_path(lines.sparkSession, name)
     lines.write.text(path)
     return path

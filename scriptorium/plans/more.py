@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared_path, text_files
+from ..functions.shared import temporary_path, text_files
 from ..functions.text import word_key
 from ..operators import proposals as pr
 from ..sources import documents, plans, readers
@@ -226,7 +226,7 @@ def _squeezed(c: str) -> str:
 
 @query("s12_write_report", duck("run_pages") + " SELECT run_id, CASE status WHEN 'done' THEN 'pages' WHEN 'error' THEN 'errors' ELSE 'skipped' END AS kind, count(*) AS n FROM run_pages GROUP BY ALL")
 def _(s, d):
-    path = shared_path(s, "report")
+    path = temporary_path(s, "report")
     plans.write_report(plans.run_report(table(s, d, "run_pages")), path, ["kind"])
     return s.read.parquet(path).groupBy("run_id", "kind").agg(F.count("*").alias("n"))
 

@@ -81,3 +81,14 @@ def test_a_batch_that_fails_between_its_writes_counts_once(spark, tmp_path, monk
     assert not run()
     assert {r.k: r.n for r in jobs.published_totals(spark, out).collect()} == {"a": 15, "b": 15}
     assert spark.read.parquet(f"{out}/rows").select(F.count("*")).first()[0] == 30
+
+
+def test_temporary_folders_are_dropped(spark):
+    import os
+
+    from scriptorium.functions import shared
+
+    shared.drop_temporary(spark)
+    path = shared.text_files(spark.createDataFrame([("a",)], "value string"), "lines")
+    local = path.removeprefix("file://")
+    assert os.path.isdir(local) and shared.drop_temporary(spark) == 1 and not os.path.isdir(local)
