@@ -20,7 +20,6 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import held, written
 from .tokens import _SIGNS, ChunkTokenizer, grouped
 
 #: Terms of a product that are held at once.
@@ -381,10 +380,9 @@ class Aligner:
         return list(map(self.names.__getitem__, np.concatenate(codes)[order].tolist()))
 
 
-@lru_cache(maxsize=2)
 def aligner(a: str, b: str) -> Aligner:
     """One for each Python worker."""
-    return Aligner(a, b)
+    return held(("aligner", a, b), lambda: Aligner(a, b))
 
 
 # ---------------------------------------------------------------- documents

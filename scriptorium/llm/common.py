@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,19 @@ def drop_written(spark: SparkSession) -> int:
     return n
 
 
+#: What this Python worker holds: its name, and the object.
+_HELD: list = [None, None]
+
+
+def held(name, make: Callable):
+    """A large object of a worker (a tokenizer and its words, a model and its code lengths): made when it is first asked for, and let go when another one is
+    asked for, so that a worker which serves several stages has one of them."""
+    if _HELD[0] != name:
+        _HELD[:] = [None, None]
+        _HELD[:] = [name, make()]
+    return _HELD[1]
+
+
 def utf8(text: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")

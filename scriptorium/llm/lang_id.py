@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import held, written
 
 ORDER = 3
 #: Bounds of the fit: whole texts of each language, and the bytes of these after which no further one is taken. Languages are not bounded: a model
@@ -237,9 +237,6 @@ class Scorer:
         return out
 
 
-_SCORER: list = [None, None]  # of this worker: name, scorer
-
-
 def predictor(model: Model | None, df: DataFrame):
     """A column function: text → struct(lang, score, bits: bits a byte of the shortest code)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -247,9 +244,7 @@ def predictor(model: Model | None, df: DataFrame):
 
     @F.pandas_udf("lang string, score double, bits double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if _SCORER[0] != number:
-            _SCORER[:] = [number, Scorer(shared.value) if shared.value else None]
-        scorer = _SCORER[1]
+        scorer = held(("scorer", number), lambda: Scorer(shared.value) if shared.value else None)
         for s in texts:
             known = [bool(scorer and t and _LETTER(t)) for t in s]
             langs, scores, least = np.full(len(s), UNKNOWN, dtype=object), np.zeros(len(s)), np.full(len(s), np.nan)

@@ -15,7 +15,8 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+
+from .common import held
 
 
 #: White space as Unicode defines it, and what of it is neither a space nor a line feed.
@@ -173,7 +174,6 @@ def grouped(texts: Iterable[str]) -> Iterator[list[str]]:
         yield group
 
 
-@lru_cache(maxsize=4)
 def chunk_tokenizer(path: str, kind: str) -> ChunkTokenizer:
     """One for each Python worker."""
-    return ChunkTokenizer(path, kind)
+    return held(("tokens", path, kind), lambda: ChunkTokenizer(path, kind))
