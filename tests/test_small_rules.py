@@ -92,3 +92,11 @@ def test_temporary_folders_are_dropped(spark):
     path = shared.text_files(spark.createDataFrame([("a",)], "value string"), "lines")
     local = path.removeprefix("file://")
     assert os.path.isdir(local) and shared.drop_temporary(spark) == 1 and not os.path.isdir(local)
+
+
+def test_event_logs_as_a_stream(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/a.jsonl").write_text('{"timestamp": "2024-01-01T00:00:00", "event": "start", "details": "d"}\nnot json\n{"details": "no event"}\n{"event": "end", "new": 1}\n')
+    q = readers.read_events(spark, str(tmp_path / "log"), streaming=True).select("event", "details").writeStream.format("memory").queryName("events_read").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("events_read").collect())) == [("end", None), ("start", "d")]
