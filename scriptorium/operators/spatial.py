@@ -3,6 +3,8 @@ a page alone; a page has tens of boxes."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ def resolve_containment(detections: DataFrame, sheets: DataFrame, big: float = 0
     """Without one side of each conflict between a big text box and the boxes in it: the big one goes if they fill enough of it,
     else they go."""
     o, i = box(table="o"), box(table="i")
+    # Shares of areas as decimals: 0.55 of 100 is 55, and not a little more.
+    big, covered = F.lit(Decimal(str(big))), F.lit(Decimal(str(covered)))
     large = detections.join(sheets.select("page_id", (F.col("width") * F.col("height")).alias("pa")), "page_id").filter(area(box()) >= big * F.col("pa"))
     pairs = large.alias("o").join(detections.alias("i"), (F.col("o.page_id") == F.col("i.page_id")) & (F.col("o.det_id") != F.col("i.det_id"))
                                   & (coverage(i, o) >= 0.8) & (area(o) > 1.5 * area(i)))
