@@ -128,6 +128,7 @@ def resolve_names(planned: DataFrame, existing: DataFrame, policy: str = "rename
 
     def settle(rows: Iterator[tuple]) -> Iterator[tuple]:
         taken: dict[str, bool] = {}
+        tried: dict[tuple[str, str], int] = {}  # numbers below are taken, and stay so
         for key, order, name, old, protected, _ in rows:
             if old:
                 taken[key] = protected or taken.get(key, False)
@@ -139,9 +140,11 @@ def resolve_names(planned: DataFrame, existing: DataFrame, policy: str = "rename
             new = name
             if policy == "rename" and not free:
                 dot = name.rfind(".")
-                stem, end, k = (name[:dot], name[dot:], 2) if dot > 0 else (name, "", 2)
+                stem, end = (name[:dot], name[dot:]) if dot > 0 else (name, "")
+                k = tried.get((stem, end), 2)
                 while (new := f"{stem}-{k}{end}").lower() in taken:
                     k += 1
+                tried[stem, end] = k + 1
             taken.setdefault(new.lower(), False)
             yield order, name, new
 
