@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The ranges of the two scripts that routes know.
@@ -11,15 +11,20 @@ LATIN = r"A-Za-z\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}"
 CYRILLIC_TARGETS = ("ru", "uk")
 
 
+def _count(text: Column, characters: str) -> Column:
+    """How many characters are of the set, by what is left without them: runs go at once, and no match is kept; 0 for null."""
+    return F.coalesce(F.char_length(text) - F.char_length(F.regexp_replace(text, f"{characters}+", "")), F.lit(0)).cast("long")
+
+
 def letters_of(text: Column, script: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(rf"[{script}&&\p{{L}}]")), F.lit(0)).cast("long")
+    return _count(text, rf"[{script}&&\p{{L}}]")
 
 
 def script_counts(text: str | Column) -> dict[str, Column]:
     """Letters by script: cyr, lat, other."""
     text = F.col(text) if isinstance(text, str) else text
     cyr, lat = letters_of(text, CYRILLIC), letters_of(text, LATIN)
-    return {"cyr": cyr, "lat": lat, "other": F.coalesce(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(0)) - cyr - lat}
+    return {"cyr": cyr, "lat": lat, "other": _count(text, r"\p{L}") - cyr - lat}
 
 
 def word_key(text: str | Column) -> Column:
@@ -32,9 +37,9 @@ def fold(text: str | Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-#: What the leak rule overlooks.
+#: What the leak rule overlooks. A name is tried from its first letter alone (or right after an address), not from each letter anew.
 _QUOTED = "«[^»]*»|“[^”]*”|\"[^\"]*\""
-_ADDRESS = r"(?i)https?://\S+|www\.\S+|[\p{L}\p{N}_-]+\.(?:com|net|org|ru|io|me|dev|art|adult|co)(?:/\S*)?"
+_ADDRESS = r"(?i)https?://\S+|www\.\S+|(?:(?<![\p{L}\p{N}_-])|\G)[\p{L}\p{N}_-]++\.(?:com|net|org|ru|io|me|dev|art|adult|co)(?:/\S*)?"
 
 
 def own_words(text: str | Column, allowed: tuple[str, ...] = ()) -> Column:
@@ -49,16 +54,24 @@ def own_words(text: str | Column, allowed: tuple[str, ...] = ()) -> Column:
 def token_counts(text: Column) -> Column:
     """Struct of letters by script (cyr, lat, other). Latin ones count in tokens of four or more that have no digit, are not all
     capitals, and do not begin with one unless a sentence does so there."""
-    parts = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_'’]+|[.!?…\n\r]"), F.lit(0))
-
-    def add(sums: Column, token: Column) -> Column:
-        """Sums with a token's letters, and whether it is a mark, so that the next one starts a sentence."""
-        c = script_counts(token)
-        capitals = F.regexp_count(token, F.lit(rf"[{LATIN}&&\p{{Lu}}]"))
-        name = ~sums["start"] & F.regexp_extract(token, rf"[{LATIN}&&\p{{L}}]", 0).rlike(r"^\p{Lu}")
-        counted = (c["lat"] >= 4) & ~token.rlike(r"[\p{N}_]") & (capitals < c["lat"]) & ~name
-        more = {"cyr": c["cyr"], "lat": F.when(counted, c["lat"]).otherwise(0), "other": c["other"]}
-        return F.struct(*[(sums[k] + v.cast("long")).alias(k) for k, v in more.items()], token.rlike(r"^[.!?…\n\r]$").alias("start"))
-
-    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("cyr", "lat", "other")], F.lit(True).alias("start"))
-    return F.aggregate(parts, none, add)  # the tokens are found once for each text
+    # Whole tokens of letters alone, with the mark before them if they start a sentence; every letter is in some token, so the other scripts are counted at once.
+    mark, part = r"[.!?…\n\r]", r"[\p{L}\p{N}_'’]"
+    whole = rf"(?:{mark}[^\p{{L}}\p{{N}}_'’.!?…\n\r]*+)?(?<!{part})[\p{{L}}'’]++(?![\p{{N}}_])"
+    letter, capital = rf"[{LATIN}&&\p{{L}}]", rf"[{LATIN}&&\p{{Lu}}]"
+    tokens = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(whole), F.lit(0))
+    tokens = F.transform(tokens, lambda t: F.struct(t.alias("t"), letters_of(t, LATIN).alias("n")))
+
+    def add(total: Column, e: Column) -> Column:
+        small = e["t"].rlike(rf"[{LATIN}&&\p{{L}}&&[^\p{{Lu}}]]")
+        name = e["t"].rlike(rf"^(?:(?!{letter})[\p{{L}}'’])*+{capital}")  # without a mark before it, so not at a start
+        return total + F.when((e["n"] >= 4) & small & ~name, e["n"]).otherwise(0)
+
+    lat = F.coalesce(F.aggregate(tokens, F.lit(0).cast("long"), add), F.lit(0).cast("long"))
+    c = script_counts(text)
+    return F.struct(c["cyr"].alias("cyr"), lat.alias("lat"), c["other"].alias("other"))
+
+
+def once(df: DataFrame, counts: Column) -> DataFrame:
+    """df with the fields of a struct as columns, found once for each row: an expression of several passes over a text would else be repeated in every
+    filter and condition that names it."""
+    return df.select("*", F.inline(F.array(counts)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CYRILLIC_TARGETS, own_words, script_counts, token_counts
+from ..functions.text import CYRILLIC_TARGETS, once, own_words, script_counts, token_counts
 from .filters import GENDERS, STORY_TYPES, filled
 
 # ---------------------------------------------------------------- dictionaries
@@ -36,11 +36,13 @@ def normalize_glossary(entries: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def glossary_blocks(pages: DataFrame, glossary: DataFrame) -> DataFrame:
-    """pages(page_id, project_id), glossary(project_id, ord, source, target) → (page_id, block): what a request for the page says of names, in order."""
+    """pages(page_id, project_id), glossary(project_id, ord, source, target) → (page_id, block): what a request for the page says of names, in order. A
+    project's text is made once, not once a page."""
     line = F.concat(F.lit("- "), "source", F.lit(" = "), "target")
-    rows = glossary.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("rows"))  # one project's names
-    text = F.concat(F.lit("Glossary, use these translations exactly:\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
-    return pages.select("page_id", "project_id").join(rows, "project_id", "left").select("page_id", F.coalesce(text, F.lit("No glossary.")).alias("block"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda r: r["line"])  # one project's names
+    text = F.concat(F.lit("Glossary, use these translations exactly:\n"), F.array_join(rows, "\n"))
+    blocks = glossary.groupBy("project_id").agg(text.alias("block"))
+    return pages.select("page_id", "project_id").join(blocks, "project_id", "left").select("page_id", F.coalesce("block", F.lit("No glossary.")).alias("block"))
 
 
 def build_glossary(regions: DataFrame, existing: DataFrame) -> DataFrame:
@@ -73,7 +75,8 @@ def route_blocks(blocks: DataFrame, target: str, source: str | None = None) -> D
     route = F.when(uncovered, "uncovered").when((c("cyr") == 0) & (c("lat") == 0), "skip").when(c("cyr") >= c("lat"), cyrillic).otherwise(latin)
     if source:
         route = F.when(F.lit(source == target), "skip").otherwise(source)
-    return blocks.withColumns(script_counts("text")).withColumn("route", route)
+    counts = F.struct(*[v.alias(k) for k, v in script_counts("text").items()])
+    return once(blocks.drop("cyr", "lat", "other"), counts).withColumn("route", route)
 
 
 def leaks(target: str) -> Column:
@@ -89,8 +92,8 @@ def leaks(target: str) -> Column:
 
 def leak_tokens(docs: DataFrame, target: str, allowed: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """docs with cyr, lat, other (see token_counts; quotes, addresses and allowed terms do not count) and leak."""
-    df = docs.withColumn("_own", own_words(text, allowed)).withColumn("_n", token_counts(F.col("_own")))
-    return df.withColumns({c: F.col(f"_n.{c}") for c in ("cyr", "lat", "other")}).drop("_own", "_n").withColumn("leak", leaks(target))
+    df = once(docs.drop("cyr", "lat", "other"), F.struct(own_words(text, allowed).alias("_own")))
+    return once(df, token_counts(F.col("_own"))).drop("_own").withColumn("leak", leaks(target))
 
 
 def leak_audit(docs: DataFrame, target: str, by: list[str], allowed: tuple[str, ...] = ()) -> DataFrame:
@@ -323,23 +326,39 @@ def apply_page_model(df: DataFrame, fn: Callable, schema: str, fallback: Callabl
                     error = f"{type(e).__name__}: {e}"
             return None, error
 
-        def done(b, again: bool = True):
+        def done(b, again: bool, failed: list):
+            """Frames of what fn does; the rows that fail alone go to `failed`."""
             out, error = tried(b, [fn] * (attempts if again else 1))
-            if out is None and len(b) > 1:
+            if out is not None:
+                yield out.assign(error=None)
+            elif len(b) > 1:
                 half = len(b) // 2
-                yield from done(b.iloc[:half], False)
-                yield from done(b.iloc[half:], False)
-                return
-            if out is None and fallback:
-                out, error = tried(b, [fallback])
-            if out is None:
-                out = pd.DataFrame({c: b[c] if c in b else None for c in names}, index=b.index)
-                yield out.assign(error=error)
+                yield from done(b.iloc[:half], False, failed)
+                yield from done(b.iloc[half:], False, failed)
             else:
+                failed.append((b, error))
+
+        def spared(failed: list):
+            """Rows that failed, together: by the fallback if there is one, halved as above, else nulls and their errors."""
+            b = pd.concat([x for x, _ in failed])
+            out, error = tried(b, [fallback]) if fallback else (None, None)
+            if out is not None:
                 yield out.assign(error=None)
+            elif fallback and len(failed) > 1:
+                half = len(failed) // 2
+                yield from spared(failed[:half])
+                yield from spared(failed[half:])
+            else:
+                out = pd.DataFrame({c: b[c] if c in b else None for c in names}, index=b.index)
+                yield out.assign(error=[error or e for _, e in failed])
 
         for b in batches:
-            yield from done(b)
+            failed = []
+            # few frames go back, however many rows fail alone
+            frames = list(done(b, True, failed))
+            if failed:
+                frames += spared(failed)
+            yield pd.concat(frames) if len(frames) > 1 else frames[0]
 
     return df.mapInPandas(run, f"{schema}, error string")
 
