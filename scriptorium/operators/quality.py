@@ -1,4 +1,7 @@
-"""Measures over pixel tables, quality rows and runs."""
+"""Measures over pixel tables, quality rows and runs.
+
+A table of pixels that a generator makes looks as small to Spark as what it is made from, so joins with pixels say how: what is few to a page (boxes,
+medians) is hashed within its part of the pages and pixels stream past it; pixels meet pixels by sorting. Nothing of them is broadcast."""
 
 from __future__ import annotations
 
@@ -38,16 +41,18 @@ def extract_ink(pixels: DataFrame, floor: int = 28, faint: int = 4, least: int =
     (the first best), and the ink above the larger of it and the floor; status measured, no_ink or undetermined."""
     background = pixels.filter("not gt").groupBy("page_id").agg(*[F.percentile(c, 0.5).alias(f"m{c}") for c in "rgb"])
     d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"m{c}"), 2) for c in "rgb"), F.lit(0.0)))
-    df = pixels.filter("gt").join(background, "page_id").withColumn("d", F.least(F.lit(255), F.floor(d)).cast("long"))
+    df = pixels.filter("gt").join(background.hint("shuffle_hash"), "page_id").withColumn("d", F.least(F.lit(255), F.floor(d)).cast("long"))
     keys = ["page_id", "comp_id"]
     bins = df.groupBy(*keys, "d").agg(F.count("*").alias("n"))
     every, up = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     bins = bins.withColumns({"n0": F.sum("n").over(up), "s0": F.sum(F.col("n") * F.col("d")).over(up), "nt": F.sum("n").over(every), "st": F.sum(F.col("n") * F.col("d")).over(every)})
     w, mu, total = F.col("n0") / F.col("nt"), F.col("s0") / F.col("nt"), F.col("st") / F.col("nt")
     between = F.when(w * (1 - w) > 1e-9, F.round(F.pow(total * w - mu, 2) / (w * (1 - w)), 9))
-    best = bins.withColumn("v", between).groupBy(*keys).agg(F.max_by("d", F.struct("v", -F.col("d"))).alias("otsu"), F.max("nt").alias("n"))
-    df = df.join(best, keys).withColumn("threshold", F.greatest(F.lit(floor), F.coalesce("otsu", F.lit(floor))))
-    out = df.groupBy(*keys, "threshold", "n").agg(F.count_if(F.col("d") > F.col("threshold")).alias("ink"), F.count_if(F.col("d") >= faint).alias("faint"))
+    bins = bins.withColumn("v", between)
+    otsu = F.max_by("d", F.struct("v", -F.col("d"))).over(every)
+    bins = bins.withColumn("threshold", F.greatest(F.lit(floor), F.coalesce(otsu, F.lit(floor))))
+    of = lambda wanted: F.coalesce(F.sum(F.when(wanted, F.col("n"))), F.lit(0))
+    out = bins.groupBy(*keys, "threshold").agg(of(F.col("d") > F.col("threshold")).alias("ink"), of(F.col("d") >= faint).alias("faint"))
     status = F.when(F.col("ink") > 0, "measured").when(F.col("faint") >= least, "undetermined").otherwise("no_ink")
     return out.select(*keys, "threshold", "ink", status.alias("status"))
 
@@ -56,7 +61,7 @@ def cleanup_residue(pixels: DataFrame, rest: int = 60, halo: int = 20) -> DataFr
     """Ink pixels that differ from the median of the ring around the truth, and ring pixels that do; r2 is the cleaned channel."""
     df = near_truth(pixels, pixels, 3).withColumn("ring", F.col("near") & ~F.col("gt"))
     median = df.filter("ring").groupBy("page_id").agg(F.percentile("r2", 0.5).alias("m"))
-    df = df.join(median, "page_id").withColumn("d", F.abs(F.col("r2") - F.col("m")))
+    df = df.join(median.hint("shuffle_hash"), "page_id").withColumn("d", F.abs(F.col("r2") - F.col("m")))
     df = df.groupBy("page_id").agg(F.count_if("gt").alias("ink"), F.count_if("ring").alias("ring"), F.count_if(F.col("gt") & (F.col("d") > rest)).alias("left"), F.count_if(F.col("ring") & (F.col("d") > halo)).alias("lit"))
     return df.select("page_id", _share(F.col("left"), F.col("ink")).alias("residue"), _share(F.col("lit"), F.col("ring")).alias("halo"))
 
@@ -70,11 +75,12 @@ def _in_boxes(pixels: DataFrame, regions: DataFrame, pad: int, *columns: str) ->
     b = box()
     left, top, right, bottom = b.x - pad, b.y - pad, b.right + pad - 1, b.bottom + pad - 1
     cells = lambda low, high: F.explode(F.sequence(F.floor(low / CELL), F.floor(high / CELL)))
-    boxes = regions.filter((b.w + 2 * pad > 0) & (b.h + 2 * pad > 0)).select("page_id", "region_id", *columns, left.alias("_l"), top.alias("_t"), right.alias("_r"), bottom.alias("_b"))
+    seen = regions.join(pixels.select("page_id").distinct().hint("merge"), "page_id", "left_semi")  # boxes of pages without pixels make no squares
+    boxes = seen.filter((b.w + 2 * pad > 0) & (b.h + 2 * pad > 0)).select("page_id", "region_id", *columns, left.alias("_l"), top.alias("_t"), right.alias("_r"), bottom.alias("_b"))
     boxes = boxes.select("*", cells(F.col("_l"), F.col("_r")).alias("_cx")).select("*", cells(F.col("_t"), F.col("_b")).alias("_cy"))
     df = pixels.withColumns({"_cx": F.floor(F.col("x") / CELL), "_cy": F.floor(F.col("y") / CELL)})
     inside = F.col("x").between(F.col("_l"), F.col("_r")) & F.col("y").between(F.col("_t"), F.col("_b"))
-    return df.join(boxes, ["page_id", "_cx", "_cy"]).filter(inside).drop("_cx", "_cy", "_l", "_t", "_r", "_b")
+    return df.join(boxes.hint("shuffle_hash"), ["page_id", "_cx", "_cy"]).filter(inside).drop("_cx", "_cy", "_l", "_t", "_r", "_b")
 
 
 def half_widths(margin: int) -> list[tuple[int, int]]:
@@ -90,12 +96,17 @@ def runs(pixels: DataFrame) -> DataFrame:
     return df.groupBy("page_id", "y", "_run").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).drop("_run")
 
 
-def dilated(pixels: DataFrame, margin: int) -> DataFrame:
-    """Disjoint intervals (page_id, y, lo, hi) of what lies within an ellipse of that margin around the truth: every run gives a wider one to each row of the
-    ellipse, and those of a row that meet are one. The work grows with the runs, not with pixels times places of the ellipse."""
+def widened(pixels: DataFrame, margin: int) -> DataFrame:
+    """Intervals (page_id, y, lo, hi) of what lies within an ellipse of that margin around the truth: every run gives a wider one to each row of the ellipse.
+    The work grows with the runs, not with pixels times places of the ellipse."""
     steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dy, w in half_widths(margin)]))
     wide = runs(pixels).select("page_id", "y", "lo", "hi", steps.alias("s"))
-    wide = wide.select("page_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("lo") - F.col("s.w")).alias("lo"), (F.col("hi") + F.col("s.w")).alias("hi"))
+    return wide.select("page_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("lo") - F.col("s.w")).alias("lo"), (F.col("hi") + F.col("s.w")).alias("hi"))
+
+
+def dilated(pixels: DataFrame, margin: int) -> DataFrame:
+    """The same as disjoint intervals: those of a row that meet are one."""
+    wide = widened(pixels, margin)
     row = Window.partitionBy("page_id", "y").orderBy("lo", "hi")
     reached = F.max("hi").over(row.rowsBetween(Window.unboundedPreceding, -1))
     wide = wide.withColumn("_new", F.coalesce((F.col("lo") > reached + 1).cast("int"), F.lit(1)))
@@ -104,10 +115,13 @@ def dilated(pixels: DataFrame, margin: int) -> DataFrame:
 
 
 def near_truth(pixels: DataFrame, truth: DataFrame, margin: int) -> DataFrame:
-    """pixels with near: whether they lie within margin of the truth. A pixel meets the intervals of its row alone, and one of them at most."""
-    wide = dilated(truth, margin).select(F.col("page_id").alias("_page"), F.col("y").alias("_row"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    on = (F.col("page_id") == F.col("_page")) & (F.col("y") == F.col("_row")) & F.col("x").between(F.col("_lo"), F.col("_hi"))
-    return pixels.join(wide, on, "left").withColumn("near", F.col("_lo").isNotNull()).drop("_page", "_row", "_lo", "_hi")
+    """pixels with near: whether they lie within margin of the truth, that is, whether an interval that begins at or before them in their row ends at or after
+    them. One pass over the rows, from left to right; where pixels lie dealt by page they stay there, as a join by page and row would not let them."""
+    wide = widened(truth, margin).select("page_id", "y", F.col("lo").alias("x"), F.col("hi").alias("_hi"), F.lit(0).alias("_pixel"))
+    rows = pixels.withColumn("_pixel", F.lit(1)).unionByName(wide, allowMissingColumns=True)
+    row = Window.partitionBy("page_id", "y").orderBy("x", "_pixel").rowsBetween(Window.unboundedPreceding, 0)
+    near = F.coalesce(F.max("_hi").over(row) >= F.col("x"), F.lit(False))
+    return rows.withColumn("near", near).filter("_pixel = 1").drop("_pixel", "_hi")
 
 
 def scoped_hits(pixels: DataFrame, regions: DataFrame, scope: str = "all", pad: int = 12, margin: int = 0) -> DataFrame:
@@ -118,7 +132,7 @@ def scoped_hits(pixels: DataFrame, regions: DataFrame, scope: str = "all", pad:
     owner = owned.groupBy("page_id", "comp_id").agg(F.max_by(F.struct("region_id", "block_type"), F.struct("n", -F.col("region_id"))).alias("o"))
     wanted = {"all": F.lit(True), "sfx": F.col("o.block_type") == "sfx", "text": F.col("o.block_type") != "sfx"}[scope]
     hits = near_truth(mask, pixels, margin).groupBy("page_id", "comp_id").agg(_share(F.count_if("near"), F.count("*")).alias("rate"))
-    return hits.join(owner.filter(wanted), ["page_id", "comp_id"]).select("page_id", "comp_id", F.col("o.region_id").alias("region_id"), "rate")
+    return hits.join(owner.filter(wanted).hint("merge"), ["page_id", "comp_id"]).select("page_id", "comp_id", F.col("o.region_id").alias("region_id"), "rate")
 
 
 def false_regions(pixels: DataFrame, regions: DataFrame, least: int = 12) -> DataFrame:
@@ -129,9 +143,10 @@ def false_regions(pixels: DataFrame, regions: DataFrame, least: int = 12) -> Dat
 
 def proposal_recall(pixels: DataFrame, second: DataFrame) -> DataFrame:
     """second(page_id, x, y): what another detector marks → its share of each page's truth; null without ink."""
-    df = pixels.filter("gt").select("page_id", "x", "y").join(second.select("page_id", "x", "y").distinct().withColumn("seen", F.lit(True)), ["page_id", "x", "y"], "left")
+    marked = second.select("page_id", "x", "y").distinct().withColumn("seen", F.lit(True))
+    df = pixels.filter("gt").select("page_id", "x", "y").join(marked.hint("merge"), ["page_id", "x", "y"], "left")
     found = df.groupBy("page_id").agg(F.round(F.try_divide(F.count("seen"), F.count("*")), 4).alias("recall"))
-    return pixels.select("page_id").distinct().join(found, "page_id", "left")
+    return pixels.select("page_id").distinct().join(found.hint("merge"), "page_id", "left")
 
 
 def region_errors(pixels: DataFrame, least: int = 12, missed: int = 30) -> DataFrame:
@@ -245,7 +260,7 @@ def comment_boxes(reviews: DataFrame) -> DataFrame:
 
 def compare_pixels(a: DataFrame, b: DataFrame) -> DataFrame:
     """(page_id, x, y, v) of two runs → changed pixels and the largest difference by page."""
-    df = a.join(b.withColumnRenamed("v", "v2"), ["page_id", "x", "y"])
+    df = a.join(b.withColumnRenamed("v", "v2").hint("merge"), ["page_id", "x", "y"])
     return df.groupBy("page_id").agg(F.count_if(F.col("v") != F.col("v2")).alias("changed"), F.max(F.abs(F.col("v") - F.col("v2"))).alias("largest"))
 
 
