@@ -1,11 +1,11 @@
 """Operator 9: language identification by prediction by partial matching (PPM) over bytes.
 
-Training: for each language a tree of byte contexts of up to `ORDER` bytes, with the counts of the bytes that follow, from a
-bounded sample (see `fit`). The counts are summed by Spark; then they are frozen. A context gives a byte its count's share, or an
-escape (as many as it has distinct followers) to the context one byte shorter, whose probabilities are scaled to the bytes not
-seen here; at the bottom all 256 bytes are alike.
+Training: for each language a tree of byte contexts of up to `ORDER` bytes, with the counts of the bytes that follow, from all texts
+to learn from (see `fit`). The counts are summed by Spark, brought to those of `SCALE` bytes and frozen. A context gives a byte its
+count's share, or an escape (as many as it has distinct followers) to the context one byte shorter, whose probabilities are scaled to
+the bytes not seen here; at the bottom all 256 bytes are alike.
 
-Each language's tree is made in a task from its counts, which the sample bounds, and comes to the driver as arrays for the broadcast.
+Each language's tree is made in a task from its counts, which their scale bounds, and comes to the driver as arrays for the broadcast.
 
 Scoring: the exact code length of the whole text under every language; the shortest wins. With frozen counts a byte's code
 length hangs on it and the three bytes before it alone, so a worker works it out once for each such string of four bytes and keeps
@@ -26,12 +26,15 @@ from pyspark.sql import functions as F
 from .common import held, written
 
 ORDER = 3
-#: Bounds of the fit: whole texts of each language, and the bytes of these after which no further one is taken. Languages are not bounded: a model
-#: has some 3 MB for each, and 32 MB at most.
-SAMPLE = 400
+#: A language's counts are those of all its texts, over their bytes and times so many, if it has more: so a tree is as large, and its escapes weigh as
+#: much, whatever the corpus. What then comes less than once is left to escapes. Languages are not bounded: a model has some 3 MB for each, 32 MB at most.
+SCALE = 1 << 20
+#: For fits on a sample, which callers may ask for: the bytes of a language's texts after which no further one is taken.
 SAMPLE_BYTES = 1 << 20
-#: A context of 3 bytes is kept if it occurs so often in a language's sample.
+#: A context of 3 bytes is kept if it occurs so often in a language's (scaled) counts.
 LEAST = 3
+#: Strings that a counting task sorts at once, and different ones that it keeps before it gives their counts.
+SORTED, KEPT = 1 << 21, 1 << 19
 #: Code lengths (a number for each language and string of four bytes) that a worker keeps.
 HELD = 1 << 22
 #: Texts of a batch that are scored at once, in pieces of an eighth of what is held.
@@ -73,22 +76,48 @@ def _grams(pieces: list[bytes]) -> np.ndarray:
 
 
 def _followers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(language, four bytes, occurrences) of every text, at most 2**20 bytes at a time."""
+    """(language, half, four bytes, occurrences) of the texts; a string may come several times."""
+    waiting: dict[tuple, list[np.ndarray]] = {}
+    found: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    size = 0
+
+    def settle() -> None:
+        for whose, parts in waiting.items():
+            gram, n = np.unique(np.concatenate(parts), return_counts=True)
+            if whose in found:
+                gram, at = np.unique(np.concatenate([found[whose][0], gram]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([found[whose][1], n])).astype(np.int64)
+            found[whose] = gram, n
+        waiting.clear()
+
+    def given() -> Iterator[pd.DataFrame]:
+        for (lang, half), (gram, n) in found.items():
+            yield pd.DataFrame({"lang": lang, "half": half, "gram": gram.astype(np.int64), "n": n.astype(np.int64)})
+        found.clear()
+
     for b in batches:
-        for lang, text in zip(b["_lang"], b["_text"], strict=True):
+        for lang, half, text in zip(b["_lang"], b["_half"], b["_text"], strict=True):
             for piece in _pieces(text.encode(), 1 << 20):
-                gram, n = np.unique(_grams([piece]), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": gram.astype(np.int64), "n": n})
-
-
-def sampled(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang",
+                waiting.setdefault((lang, half), []).append(_grams([piece]))
+                size += len(piece)
+                if size >= SORTED:
+                    settle()
+                    size = 0
+                    if sum(len(gram) for gram, _ in found.values()) >= KEPT:
+                        yield from given()
+    settle()
+    yield from given()
+
+
+def sampled(df: DataFrame, sample: int | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang",
             sample_bytes: int = SAMPLE_BYTES, languages: int | None = None) -> DataFrame:
-    """(_lang, _h, _text): at most `sample` distinct texts of each language, or of the `languages` most frequent ones, those
-    with the least hash of id and text; where their bytes reach `sample_bytes`, the text that does so is the last.
-
-    The first texts by hash are looked for among about twice as many, so no task has a language's rows."""
+    """(_lang, _h, _text): all texts to learn from, with their hashes. If a `sample` is asked for: at most so many distinct texts of each language,
+    or of the `languages` most frequent ones, those with the least hash of id and text; where their bytes reach `sample_bytes`, the text that does
+    so is the last. The first texts by hash are looked for among about twice as many, so no task has a language's rows."""
     rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
     rows = rows.filter(F.col("_lang").isNotNull() & ~held_out(F.col("_key")))
+    if sample is None:
+        return rows.filter(F.col("_text").isNotNull()).select("_lang", F.xxhash64("_text").alias("_h"), "_text")
     share = F.lit(2.0 * sample + 50) / F.count("*")
     shares = rows.groupBy("_lang").agg(F.count("*").alias("_n"), share.alias("_share"))
     if languages:
@@ -104,19 +133,31 @@ def sampled(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str
     return rows.join(F.broadcast(few.select("_lang", "_h")), ["_lang", "_h"], "left_semi").dropDuplicates(["_lang", "_h"])  # `sample` rows a language
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """The frozen counts of sampled texts: lang, ord, gram, n. Their bounds are those of the sample: they do not grow with the corpus."""
-    grams = texts.select("_lang", "_text").mapInPandas(_followers, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def _half() -> Column:
+    """Half of the texts, by their hash."""
+    return F.pmod(F.xxhash64("_h"), F.lit(2)).cast("int")
+
+
+def strings(texts: DataFrame) -> DataFrame:
+    """(lang, half, gram, n): how often each byte comes behind the three before it, in either half of the texts."""
+    rows = texts.select("_lang", _half().alias("_half"), "_text").mapInPandas(_followers, "lang string, half int, gram long, n long")
+    return rows.groupBy("lang", "half", "gram").agg(F.sum("n").alias("n"))
+
+
+def counted(grams: DataFrame) -> DataFrame:
+    """The frozen counts of strings(lang, gram, n): lang, ord, gram, n. A language has 2**20 strings of an order at most (see SCALE)."""
+    total = grams.groupBy("lang").agg(F.sum("n").alias("_total"))
     orders = F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDER)), lambda o: F.struct(o.alias("ord"), F.col("gram").bitwiseAND(F.element_at(F.array(*[F.lit((1 << 8 * (k + 1)) - 1) for k in range(ORDER + 1)]), o + 1)).alias("gram"))))
-    counts = grams.select("lang", "n", orders.alias("o")).groupBy("lang", "o.ord", "o.gram").agg(F.sum("n").alias("n"))
+    counts = grams.select("lang", "n", orders.alias("o")).groupBy("lang", "o.ord", "o.gram").agg(F.sum("n").alias("n")).join(F.broadcast(total), "lang")  # a row a language
+    counts = counts.select("lang", "ord", "gram", (F.col("n") * F.least(F.lit(1.0), F.lit(float(SCALE)) / F.col("_total"))).alias("n")).filter("n >= 1")
     whole = F.sum("n").over(Window.partitionBy("lang", "ord", F.shiftright("gram", 8)))
     return counts.withColumn("_whole", whole).filter((F.col("ord") < ORDER) | (F.col("_whole") >= LEAST)).drop("_whole")
 
 
-def fit(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang",
+def fit(df: DataFrame, sample: int | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang",
         sample_bytes: int = SAMPLE_BYTES, languages: int | None = None) -> pd.DataFrame:
     """The counts on the driver, to look at."""
-    return counted(sampled(df, sample, key, text, lang, sample_bytes, languages)).toPandas()
+    return counted(strings(sampled(df, sample, key, text, lang, sample_bytes, languages))).toPandas()
 
 
 class Model:
@@ -264,60 +305,63 @@ def predictor(model: Model | None, df: DataFrame):
     return predict
 
 
-def identify(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def identify(df: DataFrame, sample: int | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per input row: key, held_out, lang_pred, score, bits (bits a byte of the shortest code, null for `und`).
 
     score: the share of the predicted language, among all languages, of the probability of `EVIDENCE` average bytes of the text (of the
     whole text if it is shorter). A text that is null or has no letter is `und` with score 0, and so are all texts where nothing can be
     learned (an empty table, or no language given). Rows that repeat a key are judged one by one; equal code lengths give the first
     language by name. Other columns are ignored."""
-    predict = predictor(Model.trained(counted(sampled(df, sample, key, text, lang))), df)
+    predict = predictor(Model.trained(counted(strings(sampled(df, sample, key, text, lang)))), df)
     rows = df.select(F.col(key), predict(F.col(text)).alias("_p"))
     bits = F.nanvl("_p.bits", F.lit(None).cast("double")).alias("bits")
     return rows.select(key, held_out(F.col(key)).alias("held_out"), F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"), bits)
 
 
-def accepted(df: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang", most_bits: float = MOST_BITS) -> DataFrame:
+def accepted(df: DataFrame, sample: int | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", most_bits: float = MOST_BITS) -> DataFrame:
     """The rows of df whose text is in a known language, with the columns of df (of any names): its best language codes it in `most_bits`
-    bits a byte or less. Null texts, texts without a letter, and texts of scripts or strings of characters that no language of the
-    sample has, go. Rows that repeat a key are judged one by one. Where nothing can be learned no text is known: the result is empty."""
-    predict = predictor(Model.trained(counted(sampled(df, sample, key, text, lang))), df)
+    bits a byte or less. Null texts, texts without a letter, and texts of scripts or strings of characters that no language
+    has, go. Rows that repeat a key are judged one by one. Where nothing can be learned no text is known: the result is empty."""
+    predict = predictor(Model.trained(counted(strings(sampled(df, sample, key, text, lang)))), df)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), predict(F.col(text)).alias("_p"))
     return rows.filter((F.col("_p.lang") != UNKNOWN) & (F.col("_p.bits") <= most_bits)).select("_row.*")
 
 
-def limits(texts: DataFrame, quantile: float = QUANTILE, spread: tuple[float, float] = SPREAD) -> list[tuple[str, float]]:
-    """Sampled texts → (language, bits a byte up to which a text is in it), from texts that the model scoring them has not seen: each half is scored
-    by a model of the other. A language that has no such text has the bits of plain bytes. One row for each language comes to the driver."""
-    half = F.pmod(F.xxhash64("_h"), F.lit(2))
+def limits(texts: DataFrame, grams: DataFrame, quantile: float = QUANTILE, spread: tuple[float, float] = SPREAD) -> list[tuple[str, float]]:
+    """Texts to learn from and their strings → (language, bits a byte up to which a text is in it), from texts that the model scoring them has not seen:
+    each half is scored by a model of the other. Quantiles are those of all texts, in steps of 2**-16 bits, which bounds what a task counts. A language
+    that has no such text has the bits of plain bytes. One row for each language comes to the driver."""
     scored = None
     for k in (0, 1):
-        model = Model.trained(counted(texts.filter(half == k)))
+        model = Model.trained(counted(grams.filter(F.col("half") == k)))
         if model:
-            others = texts.filter(half != k)
+            others = texts.filter(_half() != k)
             rows = others.select("_lang", predictor(model, texts)("_text").alias("_p")).select("_lang", "_p.bits").filter("bits IS NOT NULL AND NOT isnan(bits)")
             scored = rows if scored is None else scored.unionByName(rows)
+    languages = [r[0] for r in grams.select("lang").distinct().collect()]
     if scored is None:
-        return [(r[0], MOST_BITS) for r in texts.select("_lang").distinct().collect()]
-    found = {r[0]: r[1] for r in scored.groupBy("_lang").agg(F.percentile("bits", F.array(F.lit(0.5), F.lit(quantile)))).collect()}
+        return [(language, MOST_BITS) for language in languages]
+    steps = scored.select("_lang", (F.round(F.col("bits") * 65536) / 65536).alias("bits"))
+    found = {r[0]: r[1] for r in steps.groupBy("_lang").agg(F.percentile("bits", F.array(F.lit(0.5), F.lit(quantile)))).collect()}
     out = []
-    for (language,) in texts.select("_lang").distinct().collect():
+    for language in languages:
         middle, tail = found.get(language) or (None, None)
         out.append((language, MOST_BITS if middle is None else min(MOST_BITS, max(spread[0] * middle, min(spread[1] * middle, tail)))))
     return out
 
 
-def in_language(df: DataFrame, sample: int = SAMPLE, slack_bits: float = SLACK_BITS, least_score: float = LEAST_SCORE,
+def in_language(df: DataFrame, sample: int | None = None, slack_bits: float = SLACK_BITS, least_score: float = LEAST_SCORE,
                 key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of df whose text is in one language, with the columns of df (of any names): its code takes no more bits a byte than the language's own
     texts do (see `limits`), or no more than `slack_bits` beyond that over the whole text, and the language has `least_score` of the evidence.
 
-    So strings of random characters, scripts that no language of the sample has, and texts of several languages go, and null texts and those without a
+    Counts and limits come from all texts to learn from. So strings of random characters, scripts that no language has, and texts of several languages go, and null texts and those without a
     letter. Rows that repeat a key are judged one by one; very long texts as whole ones, in pieces. Where nothing can be learned no text is
     known: the result is empty."""
-    texts = written(sampled(df, sample, key, text, lang), "sample")
-    of = df.sparkSession.createDataFrame(limits(texts), "_lang string, _limit double")  # one row for each language
-    predict = predictor(Model.trained(counted(texts)), df)
+    texts = sampled(df, sample, key, text, lang)
+    grams = written(strings(texts), "strings")
+    of = df.sparkSession.createDataFrame(limits(texts, grams), "_lang string, _limit double")  # one row for each language
+    predict = predictor(Model.trained(counted(grams)), df)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.octet_length(F.col(text).cast("string")).alias("_n"), predict(F.col(text)).alias("_p"))
     rows = rows.filter((F.col("_p.lang") != UNKNOWN) & (F.col("_p.score") >= least_score)).withColumn("_lang", F.col("_p.lang")).join(F.broadcast(of), "_lang")
     return rows.filter((F.col("_p.bits") - F.col("_limit")) * F.col("_n") <= slack_bits).select("_row.*")
