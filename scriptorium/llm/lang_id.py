@@ -34,7 +34,7 @@ SAMPLE_BYTES = 1 << 20
 #: A context of 3 bytes is kept if it occurs so often in a language's (scaled) counts.
 LEAST = 3
 #: Strings that a counting task sorts at once, and different ones that it keeps before it gives their counts.
-SORTED, KEPT = 1 << 21, 1 << 19
+SORTED, KEPT = 1 << 20, 1 << 19
 #: Code lengths (a number for each language and string of four bytes) that a worker keeps.
 HELD = 1 << 22
 #: Texts of a batch that are scored at once, in pieces of an eighth of what is held.
@@ -77,6 +77,7 @@ def _grams(pieces: list[bytes]) -> np.ndarray:
 
 def _followers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(language, half, four bytes, occurrences) of the texts; a string may come several times."""
+    held("strings", lambda: None)  # what an earlier stage left in this worker goes
     waiting: dict[tuple, list[np.ndarray]] = {}
     found: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
     size = 0
