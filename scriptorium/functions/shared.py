@@ -48,7 +48,7 @@ def drop_temporary(spark: SparkSession) -> int:
 
 
 def text_files(lines: DataFrame, name: str) -> str:
-    """The path of a temporary folder with one column of strings as lines of text."""
+    """The path of a temporary folder with one column of strings as lines of text, compressed: a file is what one task writes, so it need not be split."""
     path = temporary_path(lines.sparkSession, name)
-    lines.write.text(path)
+    lines.write.option("compression", "gzip").text(path)
     return path

@@ -18,7 +18,11 @@ from .spatial import merge_pairs
 def page_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """nodes(page_id, region_id), pairs(page_id, a, b) → (page_id, region_id, root): the least id of each component. Pairs never leave
     a page, so each page is settled by itself: one exchange and no rounds."""
-    alone = nodes.select("page_id", F.col("region_id").alias("a"), F.col("region_id").alias("b"))
+    return with_roots(nodes.select("page_id", "region_id"), pairs)
+
+
+def with_roots(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """nodes with all their columns and the root of each. Pairs alone go through the fold; a node without pairs is its own root."""
 
     def settle(rows: list[tuple]) -> list[tuple]:
         parent: dict = {}
@@ -35,12 +39,13 @@ def page_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             parent[max(a, b)] = min(a, b)
         return [(rows[0][0], n, find(n)) for n in list(parent)]
 
-    return per_group(alone.unionByName(pairs), ["page_id"], [], settle, "page_id long, region_id long, root long")
+    roots = per_group(pairs.select("page_id", "a", "b"), ["page_id"], [], settle, "page_id long, region_id long, root long")
+    return nodes.join(roots, ["page_id", "region_id"], "left").withColumn("root", F.coalesce("root", "region_id"))
 
 
 def merge_regions(regions: DataFrame, kind: str) -> DataFrame:
     """Each component of mergeable regions as one region; single ones stay as they are. Members are in the order of x, then center."""
-    rooted = regions.join(page_components(regions, merge_pairs(regions, kind)), ["page_id", "region_id"])
+    rooted = with_roots(regions, merge_pairs(regions, kind))
     b = box()
     order = ("x", (F.col("y") + F.col("h") / 2).alias("cy"), "region_id")
     member = F.struct(*order, "block_type", "class_name", "text", "translation")

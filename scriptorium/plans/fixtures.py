@@ -125,10 +125,23 @@ def pixel_parts(spark: SparkSession, sf_dir: str) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-given(spark, sf_dir, "orders").count() // PART))
 
 
+_PAGE = "CAST(FLOOR(l_orderkey / 4) AS BIGINT)"
+
+
+def _paged(sql: str) -> str:
+    """The same rows by a plan that knows them to be dealt by page_id: the page is worked out below the window, as a column that the window and the
+    result share. So what goes by page after it needs no second shuffle."""
+    rows = next(r for r in ("{lineitem} LEFT JOIN {part} ON p_partkey = l_partkey", "{lineitem}") if r in sql)
+    sql = sql.replace(f"{_PAGE} AS page_id", "page_id").replace(f"PARTITION BY {_PAGE}", "PARTITION BY page_id")
+    return sql.replace(f"FROM {rows}", f"FROM (SELECT *, {_PAGE} AS page_id FROM {rows}) p")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table in Spark. Pixels are dealt by page before they are 256 rows each; what goes by page needs no other shuffle of them."""
     sql = BLOCKS_SPARK if name == "blocks" else _SQL[name]
     sql = sql.replace("{each_pixel}", "EXPLODE(SEQUENCE(0, 255))")
+    if name in ("regions", "proposals"):
+        sql = _paged(sql)
     found = {t: given(spark, sf_dir, t) for t in _TABLES if "{" + t + "}" in sql}
     if name == "pixels":
         found["orders"] = found["orders"].select("o_custkey").repartition(pixel_parts(spark, sf_dir), "o_custkey")
