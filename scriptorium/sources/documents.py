@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +45,22 @@ def _filled(v: Column) -> Column:
 
 
 def _box(v: Column, i: int) -> Column:
-    return _whole(F.get(_as(v, "array<variant>"), F.lit(i)))
+    at = lambda kind: F.try_variant_get(v, f"$[{i}]", kind)
+    return F.coalesce(at("long"), at("double").try_cast("long"))
+
+
+#: The keys of a region that columns are made of.
+KEYS = ("id", "bbox", *TEXTS, "confidence", "type", "block_type", "bubble_bbox", "order", *FLAGS)
+
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df(raw) with what raw says under each key, looked up once, as columns for _fields."""
+    return df.withColumns({f"_v_{key}": _at("raw", key) for key in KEYS})
 
-def _fields(raw: str, place: Column) -> dict[str, Column]:
+
+def _fields(place: Column) -> dict[str, Column]:
     """The typed columns of a region by what its object says."""
-    v = lambda key: _at(raw, key)
+    v = lambda key: F.col(f"_v_{key}")
     return {
         "region_id": F.coalesce(_whole(v("id")), place),
         **{c: F.coalesce(_box(v("bbox"), i), F.lit(0).cast("long")) for i, c in enumerate("xywh")},
@@ -80,9 +93,10 @@ def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
 def page_regions(pages: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Regions of pages(raw), with `keys` of the page: pos, the typed columns and raw, the region's object by key. What is no object is skipped. A
     missing field gets its default, `type` goes before `block_type`, empty ones fall through, and a missing id is the region's place."""
-    items = F.posexplode(F.coalesce(_as(_at("raw", "regions"), "array<variant>"), F.array().cast("array<variant>"))).alias("pos", "v")
-    rows = pages.filter("raw IS NOT NULL").select(*keys, items).withColumn("raw", F.try_variant_get("v", "$", _OBJECT)).filter("raw IS NOT NULL")
-    return rows.select(*keys, "pos", *[c.alias(name) for name, c in _fields("raw", F.col("pos").cast("long")).items()], "raw")
+    # A filter over what a document says would parse it once more: what has no regions gives no rows.
+    items = F.posexplode(F.transform(_as(_at("raw", "regions"), "array<variant>"), lambda v: F.try_variant_get(v, "$", _OBJECT))).alias("pos", "raw")
+    rows = _spread(pages.select(*keys, items).filter("raw IS NOT NULL"))
+    return rows.select(*keys, "pos", *[c.alias(name) for name, c in _fields(F.col("pos").cast("long")).items()], "raw")
 
 
 def _variant(c: Column) -> Column:
@@ -96,33 +110,41 @@ def _list(names: tuple[str, ...]) -> Column:
 def changed_regions(regions: DataFrame) -> DataFrame:
     """page_regions whose typed columns may have been changed, or rows of new regions (raw null) → the same with raw as the columns now say. A key is put
     over only where its column differs from what raw says, so an object that nobody changed stays as it was; a bubble that is gone is null."""
-    was = _fields("raw", F.col("pos").cast("long"))
+    was = _fields(F.col("pos").cast("long"))
     differs = lambda *names: ~F.equal_null(F.struct(*[F.col(c) for c in names]), F.struct(*[was[c].alias(c) for c in names])) | F.col("raw").isNull()
     box, bubble = ("x", "y", "w", "h"), ("bx", "by", "bw", "bh")
     none = F.parse_json(F.lit("null"))
     news = {
-        "id": (differs("region_id"), _variant(F.col("region_id"))), "bbox": (differs(*box), _list(box)), "bubble_bbox": (differs(*bubble), F.coalesce(_list(bubble), none)),
-        "type": (differs("block_type"), _variant(F.col("block_type"))),
-        **{c: (differs(c), _variant(F.col(c))) for c in (*TEXTS, "confidence", "order", *FLAGS)},
+        "id": (("region_id",), _variant(F.col("region_id"))), "bbox": (box, _list(box)), "bubble_bbox": (bubble, F.coalesce(_list(bubble), none)),
+        "type": (("block_type",), _variant(F.col("block_type"))),
+        **{c: ((c,), _variant(F.col(c))) for c in (*TEXTS, "confidence", "order", *FLAGS)},
     }
-    over = F.map_filter(F.create_map(*[x for key, (on, v) in news.items() for x in (F.lit(key), F.when(on, F.coalesce(v, none)))]), lambda k, v: v.isNotNull())
+    df = _spread(regions).select(*regions.columns, *[differs(*of).alias(f"_on_{key}") for key, (of, _) in news.items()])
+    on = {key: F.col(f"_on_{key}") for key in news}
+    over = F.map_filter(F.create_map(*[x for key, (_, v) in news.items() for x in (F.lit(key), F.when(on[key], F.coalesce(v, none)))]), lambda k, v: v.isNotNull())
+    df = df.select(*regions.columns, F.when(reduce(or_, on.values()), over).alias("_over"))  # null where nothing has changed
     kept = F.map_filter(F.coalesce("raw", F.create_map().cast(_OBJECT)), lambda k, v: ~F.map_contains_key("_over", k))
-    return regions.withColumn("_over", over).withColumn("raw", F.map_concat(kept, "_over")).drop("_over")
+    return df.withColumn("raw", F.when(F.col("_over").isNull(), F.col("raw")).otherwise(F.map_concat(kept, "_over"))).drop("_over")
 
 
 def page_bodies(pages: DataFrame, regions: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """pages(keys, raw) and their regions, changed or not → (keys, body): JSON with the regions in the order of pos, new ones (pos null) last by id. All
     other keys of a page are as they were read; a page without regions has an empty list if it had one."""
-    rows = changed_regions(regions).select(*keys, F.struct(F.col("pos").isNull().alias("new"), "pos", "region_id", "raw").alias("r"))
-    # One page's regions are one value, as in its document.
+    rows = changed_regions(regions).select(*keys, F.struct(F.col("pos").isNull().alias("new"), "pos", "region_id", F.to_json("raw").alias("json")).alias("r"))
+    # One page's regions are one value, as in its document; they are texts before they are shuffled, as each variant would bring its page's keys along.
     whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("r"), lambda a, b: _later(a, b)).alias("_regions"))
-    texts = F.concat(F.lit("["), F.array_join(F.transform("_regions", lambda r: F.to_json(r["raw"])), ","), F.lit("]"))
-    df = pages.filter("raw IS NOT NULL").join(whole, list(keys), "left")
-    own = F.map_filter("raw", lambda k, v: k != "regions")
-    had = F.map_contains_key("raw", F.lit("regions"))
-    listed = F.when(F.col("_regions").isNotNull(), F.parse_json(texts)).when(had, F.parse_json(F.lit("[]")))
-    body = F.when(listed.isNotNull(), F.map_concat(own, F.create_map(F.lit("regions"), listed))).otherwise(own)
-    return df.select(*keys, F.to_json(body).alias("body"))
+    objects = pages.select(*keys, F.explode(F.filter(F.array("raw"), lambda o: o.isNotNull())).alias("raw"))
+    df = objects.select(*keys, _opened(F.to_json(F.map_filter("raw", lambda k, v: k != "regions"))).alias("_own"),
+                                                F.map_contains_key("raw", F.lit("regions")).alias("_had")).join(whole, list(keys), "left")
+    listed = F.concat(F.lit('"regions":['), F.array_join(F.transform("_regions", lambda r: r["json"]), ","), F.lit("]"))
+    listed = F.when(F.col("_regions").isNotNull(), listed).when(F.col("_had"), F.lit('"regions":[]'))
+    comma = F.when((F.col("_own") != "{") & listed.isNotNull(), ",").otherwise("")
+    return df.select(*keys, F.concat("_own", comma, F.coalesce(listed, F.lit("")), F.lit("}")).alias("body"))
+
+
+def _opened(text: Column) -> Column:
+    """An object as text without its closing bracket."""
+    return F.regexp_replace(text, r"\}$", "")
 
 
 def _later(a: Column, b: Column) -> Column:
@@ -142,15 +164,18 @@ def result_payloads(pages: DataFrame, regions: DataFrame, keys: tuple[str, ...]
     """What a finished page reports, (keys, payload) as JSON: pages(keys, source_path, reading_direction, ocr_engine, translator_engine, timings, warnings)
     with all their regions as objects, in the order of `order` and id: every typed column under its key, confidence to four places, and what else raw
     has. A page without regions has an empty list."""
-    typed = changed_regions(regions.withColumns({"_own": F.col("raw"), "raw": F.lit(None).cast(_OBJECT), "confidence": F.round("confidence", 4)}))
-    more = F.map_filter(F.coalesce("_own", F.create_map().cast(_OBJECT)), lambda k, v: ~F.map_contains_key("raw", k))
-    rows = typed.select(*keys, F.struct("order", "region_id", F.to_json(F.map_concat("raw", more)).alias("json")).alias("r"))
+    array = lambda *names: F.when(F.col(names[0]).isNotNull(), F.array(*[F.col(c) for c in names]))
+    own = {"id": F.col("region_id"), "bbox": array("x", "y", "w", "h"), "bubble_bbox": array("bx", "by", "bw", "bh"), "type": F.col("block_type"),
+           **{c: F.col(c) for c in (*TEXTS, "confidence", "order", *FLAGS)}, "confidence": F.round("confidence", 4)}
+    typed = _opened(F.to_json(F.struct(*[v.alias(c) for c, v in own.items()]), {"ignoreNullFields": "false"}))
+    more = F.to_json(F.map_filter("raw", lambda k, v: ~k.isin(*own)))
+    more = F.when(more == "{}", "}").otherwise(F.concat(F.lit(","), F.substring(more, 2, 1 << 30)))
+    rows = regions.select(*keys, F.struct("order", "region_id", F.concat(typed, F.coalesce(more, F.lit("}"))).alias("json")).alias("r"))
     whole = rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["json"]), ",").alias("_regions"))  # one page's
     head = F.to_json(F.struct("source_path", "reading_direction", "ocr_engine", "translator_engine", "timings", "warnings"))
     listed = F.concat(F.lit('"regions":['), F.coalesce("_regions", F.lit("")), F.lit("]}"))
-    rows = pages.withColumn("_head", head).join(whole, list(keys), "left")
-    opened = F.regexp_replace("_head", r"\}$", "")
-    return rows.select(*keys, F.concat(opened, F.when(opened == "{", "").otherwise(","), listed).alias("payload"))
+    rows = pages.select(*keys, _opened(head).alias("_head")).join(whole, list(keys), "left")
+    return rows.select(*keys, F.concat("_head", F.when(F.col("_head") == "{", "").otherwise(","), listed).alias("payload"))
 
 
 def translation_pairs(regions: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
