@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import numpy as np
 
 
 class Grid:
@@ -39,3 +41,30 @@ class Grid:
                     if items := cells.get((i, k)):
                         found.update(items)
         return found
+
+
+#: Groups of so many boxes are compared as a whole; in larger ones the index is asked.
+SMALL = 128
+
+
+def near_pairs(group_a: np.ndarray, a: Sequence[np.ndarray], group_b: np.ndarray, b: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in a and in b of all pairs of one group whose boxes may touch, and of others, in parts; all pairs of a box of a are in one part, one
+    after the other. Boxes are arrays x, y, w, h and lie in order of their groups' numbers."""
+    lo, hi = np.searchsorted(group_b, group_a, "left"), np.searchsorted(group_b, group_a, "right")
+    many = hi - lo
+    small = np.flatnonzero((many > 0) & (many <= SMALL))
+    for k in range(0, len(small), 8192):  # a million pairs at most
+        at = small[k : k + 8192]
+        n = many[at]
+        before = np.cumsum(n) - n
+        yield np.repeat(at, n), np.arange(n.sum()) - np.repeat(before - lo[at], n)
+    large = np.flatnonzero(many > SMALL)
+    for first in np.flatnonzero(np.diff(group_a[large], prepend=-1)):
+        own = large[group_a[large] == group_a[large[first]]]
+        start, end = int(lo[own[0]]), int(hi[own[0]])
+        index = Grid()
+        for k, where in enumerate(zip(*(c[start:end].tolist() for c in b), strict=True), start):
+            index.add(k, where)
+        for i, where in zip(own.tolist(), zip(*(c[own].tolist() for c in a), strict=True), strict=True):
+            found = np.fromiter(index.near(where), np.int64)
+            yield np.full(len(found), i), found

@@ -3,14 +3,17 @@ a page alone; a page has tens of boxes."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area, box, center_within, contains, coverage, intersection, side_overlap, vertical_gap
-from ..functions.grid import Grid
-from ..functions.grouped import per_group
+from ..functions.grid import Grid, near_pairs
+from ..functions.grouped import per_batch, per_group, starts
 
 
 def assign_to_bubbles(texts: DataFrame, bubbles: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -65,26 +68,43 @@ def _over(a: tuple, b: tuple) -> float:
     return max(0, wide) * max(0, high) / (a[2] * a[3])
 
 
+def _arrays(batch: pa.RecordBatch, rows: np.ndarray, names: Sequence[str] = "xywh") -> list[np.ndarray]:
+    return [batch.column(n).take(pa.array(rows)).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _boxed(batch: pa.RecordBatch, names: Sequence[str] = "xywh") -> np.ndarray:
+    """Places of the rows that have a box."""
+    return np.flatnonzero(np.logical_and.reduce([np.asarray(batch.column(n).is_valid()) for n in names]))
+
+
 def drop_contained(regions: DataFrame) -> DataFrame:
     """(page_id, region_id, box) without lines that repeat a larger one of the same height on the page; a dropped line drops no other."""
 
-    def choose(rows: list[tuple]) -> list[tuple]:
+    def choose(batch: pa.RecordBatch, page: np.ndarray) -> pa.RecordBatch:
+        rows = _boxed(batch)
+        x, y, w, h = boxes = _arrays(batch, rows)
+        middle, size = y + h / 2, w * h
+        pairs = []
+        for r, o in near_pairs(page[rows], boxes, page[rows], boxes):
+            fits = (size[o] > size[r]) & (w[r] > 0) & (h[r] > 0)
+            r, o = r[fits], o[fits]
+            fits = np.abs(middle[o] - middle[r]) <= 0.45 * np.maximum(np.maximum(h[o], h[r]), 8)
+            r, o = r[fits], o[fits]
+            wide, high = np.minimum(x[r] + w[r], x[o] + w[o]) - np.maximum(x[r], x[o]), np.minimum(y[r] + h[r], y[o] + h[o]) - np.maximum(y[r], y[o])
+            fits = np.maximum(wide, 0) * np.maximum(high, 0) / size[r] >= 0.7
+            pairs.append((r[fits], o[fits]))
+        # Rows of one id go together.
+        ids = np.cumsum(starts(batch.column("page_id"), batch.column("region_id")))
+        own = ids[rows]
+        pairs = sorted((r, o) for part in pairs for r, o in zip(*(c.tolist() for c in part), strict=True))
         gone: set[int] = set()
-        index = Grid()
-        for k, r in enumerate(rows):
-            index.add(k, r[2:6])
-        for r in rows:
-            for o in map(rows.__getitem__, index.near(r[2:6])):
-                if o[1] in gone or o[4] * o[5] <= r[4] * r[5]:
-                    continue
-                level = abs((o[3] + o[5] / 2) - (r[3] + r[5] / 2)) <= 0.45 * max(o[5], r[5], 8)
-                if level and _over(r[2:], o[2:]) >= 0.7:
-                    gone.add(r[1])
-                    break
-        return [r for r in rows if r[1] not in gone]
+        for r, o in pairs:
+            if own[o] not in gone:
+                gone.add(own[r])
+        return batch.filter(pa.array(~np.isin(ids, list(gone)))) if gone else batch
 
     df = regions.select("page_id", "region_id", "x", "y", "w", "h")
-    return per_group(df, ["page_id"], ["region_id"], choose, df.schema)
+    return per_batch(df, ["page_id"], ["region_id"], choose, df.schema)
 
 
 def add_second_source(first: DataFrame, second: DataFrame, most: float = 0.3) -> DataFrame:
