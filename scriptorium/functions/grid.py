@@ -8,10 +8,16 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 
+#: So many items are not worth an index.
+FEW = 24
+
+
 class Grid:
-    """Items by box (x, y, w, h). `near` gives all items whose box may touch the one asked for, and others close by."""
+    """Items by box (x, y, w, h). `near` gives all items whose box may touch the one asked for, and others close by; items up to `few` are all close."""
 
-    def __init__(self):
+    def __init__(self, few: int = FEW):
+        self.most = few
+        self.few: dict | None = {}
         self.levels: dict[int, dict[tuple[int, int], list]] = {}
 
     @staticmethod
@@ -20,6 +26,18 @@ class Grid:
         return math.floor(x / side), math.floor((x + max(w, 0)) / side), math.floor(y / side), math.floor((y + max(h, 0)) / side)
 
     def add(self, item, box: Sequence[float]) -> None:
+        if self.few is not None:
+            self.few.setdefault(item, []).append(box)
+            if len(self.few) <= self.most:
+                return
+            held, self.few = self.few, None
+            for k, boxes in held.items():
+                for b in boxes:
+                    self._put(k, b)
+            return
+        self._put(item, box)
+
+    def _put(self, item, box: Sequence[float]) -> None:
         level = max(0, math.ceil(math.log2(max(box[2], box[3], 1))))
         cells = self.levels.setdefault(level, {})
         a, b, c, d = self._range(box, 1 << level)
@@ -28,6 +46,8 @@ class Grid:
                 cells.setdefault((i, k), []).append(item)
 
     def near(self, box: Sequence[float]) -> set:
+        if self.few is not None:
+            return set(self.few)
         found: set = set()
         for level, cells in self.levels.items():
             a, b, c, d = self._range(box, 1 << level)
@@ -62,7 +82,7 @@ def near_pairs(group_a: np.ndarray, a: Sequence[np.ndarray], group_b: np.ndarray
     for first in np.flatnonzero(np.diff(group_a[large], prepend=-1)):
         own = large[group_a[large] == group_a[large[first]]]
         start, end = int(lo[own[0]]), int(hi[own[0]])
-        index = Grid()
+        index = Grid(0)
         for k, where in enumerate(zip(*(c[start:end].tolist() for c in b), strict=True), start):
             index.add(k, where)
         for i, where in zip(own.tolist(), zip(*(c[own].tolist() for c in a), strict=True), strict=True):

@@ -6,12 +6,14 @@ import math
 import statistics
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box
 from ..functions.grid import Grid
-from ..functions.grouped import per_group
+from ..functions.grouped import per_batch, per_group
 from .spatial import merge_pairs
 
 
@@ -184,9 +186,21 @@ def order_words(words: DataFrame, direction: str = "ltr") -> DataFrame:
     reading order."""
     quad = F.col("quad").cast("array<array<double>>") if "quad" in words.columns else F.lit(None).cast("array<array<double>>")
 
-    def text_of(rows: list[tuple]) -> list[tuple]:
-        order = read_words([r[4:8] for r in rows], [r[8] for r in rows], direction)
-        return [(rows[0][0], rows[0][1], " ".join(t for i in order if (t := rows[i][3].strip())), len(rows))]
+    def texts_of(batch: pa.RecordBatch, region: np.ndarray) -> pa.RecordBatch:
+        n, first = np.bincount(region), np.flatnonzero(np.diff(region, prepend=-1))
+        texts = [(t or "").strip() for t in batch.column("text").to_pylist()]
+        found = [texts[k] for k in first]
+        # Most regions have one word; the others' boxes alone leave the arrays.
+        several = np.flatnonzero(n > 1)
+        rows = np.flatnonzero(n[region] > 1)
+        *boxes, quads = (batch.column(c).take(pa.array(rows)).to_pylist() for c in (*"xywh", "quad"))
+        boxes, start = list(zip(*boxes, strict=True)), 0
+        for k, size, at in zip(several.tolist(), n[several].tolist(), first[several].tolist(), strict=True):
+            order = read_words(boxes[start : start + size], quads[start : start + size], direction)
+            found[k] = " ".join(t for i in order if (t := texts[at + i]))
+            start += size
+        keys = [batch.column(c).take(pa.array(first)) for c in ("page_id", "region_id")]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(found, pa.string()), pa.array(n)], names=["page_id", "region_id", "text", "n"])
 
     df = words.select("page_id", "region_id", "word_id", "text", "x", "y", "w", "h", quad.alias("quad"))
-    return per_group(df, ["page_id", "region_id"], ["word_id"], text_of, "page_id long, region_id long, text string, n long")
+    return per_batch(df, ["page_id", "region_id"], ["word_id"], texts_of, "page_id long, region_id long, text string, n long")

@@ -47,7 +47,7 @@ def dedupe_proposals(proposals: DataFrame, regions: DataFrame) -> DataFrame:
     both = regions.select("page_id", F.lit(-1).cast("long").alias("ord"), "text", *"xywh").unionByName(proposals.select("page_id", "ord", "text", *"xywh"))
 
     def choose(rows: list[tuple]) -> list[tuple]:
-        known, out, index = [], [], Grid()
+        known, out, index = [], [], Grid(0)
         for r in rows:
             block = (*r[3:7], comparable(r[2]))
             if r[1] >= 0:

@@ -3,13 +3,14 @@ a page alone; a page has tens of boxes."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.geometry import area, box, center_within, contains, coverage, intersection, side_overlap, vertical_gap
 from ..functions.grid import Grid, near_pairs
@@ -36,12 +37,62 @@ def assign_to_bubbles(texts: DataFrame, bubbles: DataFrame, least: float = 0.5)
     return regions, texts.join(owned, ["page_id", "det_id"], "left_anti")
 
 
+def page_items(words: DataFrame, regions: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Words and regions in one table, for folds over pages: page_id, is_word, the words' columns, and the regions' region_id, box and others named as
+    r_<name>. Where words are rows of the regions' table, one row may be both, and the table is dealt once."""
+    own = regions.select("page_id", F.lit(False).alias("is_word"), *[F.col(c).alias(f"r_{c}") for c in ("region_id", *"xywh", *also)])
+    return words.withColumn("is_word", F.lit(True)).unionByName(own, allowMissingColumns=True)
+
+
 def assign_words(words: DataFrame, regions: DataFrame) -> DataFrame:
     """words(page_id, word_id, box) with the region_id of the smallest region (by area, then id) that holds their center, or null."""
-    w, r = box(table="w"), box(table="r")
-    pairs = words.alias("w").join(regions.alias("r"), (F.col("w.page_id") == F.col("r.page_id")) & center_within(w, r))
-    best = pairs.groupBy("w.page_id", "w.word_id").agg(F.min(F.struct(area(r).alias("a"), F.col("r.region_id").alias("id"))).alias("m"))
-    return words.join(best.select("page_id", "word_id", F.col("m.id").alias("region_id")), ["page_id", "word_id"], "left")
+    return assign_items(page_items(words, regions))
+
+
+def assign_items(items: DataFrame) -> DataFrame:
+    """As assign_words, of a table of page_items."""
+    kept = [c for c in items.columns if c != "is_word" and not c.startswith("r_")]
+
+    def choose(batch: pa.RecordBatch, page: np.ndarray) -> pa.RecordBatch:
+        words = np.flatnonzero(np.asarray(batch.column("is_word").fill_null(False)))
+        best = np.full(batch.num_rows, -1)
+        for w, r in word_pairs(batch, page, words):
+            # Rows of a page are in order of their regions' ids.
+            size = _area(*_arrays(batch, r, ("r_w", "r_h")))
+            order = np.lexsort((r, size, w))
+            w, r = w[order], r[order]
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            best[w[first]] = r[first]
+        best = best[words]
+        region = batch.column("r_region_id").take(pa.array(best, mask=best < 0))
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(words)) for c in kept), region], names=[*kept, "region_id"])
+
+    schema = StructType([*(items.schema[c] for c in kept), StructField("region_id", items.schema["r_region_id"].dataType)])
+    return per_batch(items, ["page_id"], ["r_region_id"], choose, schema)
+
+
+def word_pairs(batch: pa.RecordBatch, page: np.ndarray, words: np.ndarray, inside: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (word, region) of a batch of page_items where the region holds the word's center; or else all of one page that may touch. All pairs of a
+    word are in one part."""
+    paged = np.asarray(batch.column("page_id").is_valid())
+    a, b = np.intersect1d(words, _boxed(batch)), _boxed(batch, _REGION)
+    a, b = a[paged[a]], b[paged[b]]
+    x, y, w, h = _arrays(batch, a)
+    rx, ry, rw, rh = boxes = _arrays(batch, b, _REGION)
+    none = np.zeros(len(a))
+    cx, cy = x + w / 2, y + h / 2
+    for i, k in near_pairs(page[a], (cx, cy, none, none) if inside else (x, y, w, h), page[b], boxes):
+        if inside:
+            fits = (cx[i] >= rx[k]) & (cx[i] <= rx[k] + rw[k]) & (cy[i] >= ry[k]) & (cy[i] <= ry[k] + rh[k])
+            i, k = i[fits], k[fits]
+        yield a[i], b[k]
+
+
+_REGION = ("r_x", "r_y", "r_w", "r_h")
+
+
+def _area(w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return np.maximum(w, 0) * np.maximum(h, 0)
 
 
 def resolve_containment(detections: DataFrame, sheets: DataFrame, big: float = 0.12, covered: float = 0.55) -> DataFrame:

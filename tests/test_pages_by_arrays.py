@@ -9,7 +9,9 @@ import pytest
 from scriptorium.functions import grid
 from scriptorium.functions.grouped import per_batch
 from scriptorium.operators import spatial
+from scriptorium.plans import registry
 
+SF = "/root/testdata/sf0.001"
 BOX = "page_id long, region_id long, x long, y long, w long, h long"
 
 
@@ -52,3 +54,33 @@ def test_small_and_large_pages_alike(spark, monkeypatch):
 def test_lines_without_a_box_stay(spark):
     df = spark.createDataFrame([(1, 1, 0, 0, 100, 14), (1, 2, 2, 3, 60, 12), (1, 3, None, None, None, None), (2, None, 2, 3, 60, 12)], BOX)
     assert {(r.page_id, r.region_id) for r in spatial.drop_contained(df).collect()} == {(1, 1), (1, 3), (2, None)}  # a TypeError before
+
+
+def test_words_go_to_the_smallest_region(spark):
+    rng = random.Random(4)
+    page = lambda n: [(p, i, rng.randrange(60), rng.randrange(60), rng.randrange(0, 40), rng.randrange(0, 20)) for p in (1, 2, 3) for i in range(n)]
+    words, regions = page(40), [*page(12), (1, 90, None, 0, 60, 60)]
+    words += [words[0], (1, 77, None, 1, 1, 1), (None, 78, 1, 1, 1, 1)]  # one word twice, one without a place, one of no page
+    holds = lambda r, w: None not in (*r, *w) and r[0] == w[0] and all(r[c] <= w[c] + w[c + 2] / 2 <= r[c] + r[c + 2] for c in (2, 3))
+    want = [(*w[:2], min(((r[4] * r[5], r[1]) for r in regions if holds(r, w)), default=(0, None))[1]) for w in words]
+    w = spark.createDataFrame(words, BOX.replace("region_id", "word_id"))
+    got = spatial.assign_words(w, spark.createDataFrame(regions, BOX))
+    assert got.columns == [*w.columns, "region_id"]
+    key = lambda t: [(v is None, v) for v in t]
+    assert sorted((tuple(r) for r in got.select("page_id", "word_id", "region_id").collect()), key=key) == sorted(want, key=key)
+
+
+def test_words_and_regions_of_one_table_are_dealt_once(spark, capsys):
+    registry.QUERIES["w02_order_words"](spark, SF).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2  # by page, and by region; 6 before
+
+
+@pytest.mark.parametrize("n", [grid.FEW, grid.FEW + 1, 200])
+def test_index_gives_all_that_touch(n):
+    rng = random.Random(n)
+    some = [(rng.randrange(300), rng.randrange(300), rng.randrange(1, 90), rng.randrange(1, 30)) for _ in range(n)]
+    index = grid.Grid()
+    for k, b in enumerate(some):
+        index.add(k, b)
+    for b in some:
+        assert {k for k, o in enumerate(some) if all(min(b[c] + b[c + 2], o[c] + o[c + 2]) >= max(b[c], o[c]) for c in (0, 1))} <= index.near(b) <= set(range(n))
