@@ -7,17 +7,21 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from ..functions.geometry import box, center_within, coverage, intersection
+from ..functions.geometry import box, intersection
 from ..functions.grid import Grid
-from ..functions.grouped import per_group
+from ..functions.grouped import per_batch, per_group
 from ..functions.text import word_key
 from .localization import classify_blocks
 from .merge import gathered, level, read_words
-from .spatial import _over
+from .spatial import _REGION, _arrays, _over, coverages, page_items, word_pairs
 
 
 def comparable(text: str) -> str:
@@ -146,17 +150,13 @@ def recover_lines(words: DataFrame, regions: DataFrame, sounds: DataFrame | None
     """words(page_id, word_id, text, box, confidence), regions(page_id, region_id, text, box): words that no region has, as lines of two or more, or
     alone if their text is that of a sound by itself (sounds: see classify_blocks): (page_id, text, n, box). A hyphenated single letter is
     put before the first such sound that it partly overlaps."""
-    w, r = box(table="w"), box(table="r")
-    there = F.col("w.page_id") == F.col("r.page_id")
-    loose = words.alias("w").join(regions.alias("r"), there & center_within(w, r), "left_anti").select("page_id", "word_id", "text", *"xywh", "confidence")
-    same = F.lower("w.text") == F.lower("r.text")
-    owned = loose.alias("w").join(regions.alias("r"), there & ((coverage(w, r) > 0.8) | (same & (coverage(w, r) > 0.4))), "left_semi").select("page_id", "word_id").withColumn("owned", F.lit(True))
-    n = F.regexp_count("text", F.lit(r"\p{L}"))
-    usable = (F.col("confidence") >= 0.55) & ~F.col("text").rlike("[@_]") & (n >= 2) & (2 * n >= F.length(F.trim("text")))
-    scrap = (F.col("confidence") >= 0.5) & F.contains("text", F.lit("-")) & (n == 1)
-    df = loose.join(owned, ["page_id", "word_id"], "left")
-    df = df.withColumns({"usable": usable & F.col("owned").isNull(), "scrap": scrap, "in_bubble": F.lit(False)}).filter("usable OR scrap")
-    df = classify_blocks(df, sounds).select("page_id", "word_id", "text", *"xywh", "usable", "scrap", (F.col("block_type") == "sfx").alias("sound"))
+    words = words.select("page_id", "word_id", "text", *"xywh", "confidence")
+    return recover_items(page_items(words, regions, ("text",)), sounds, direction)
+
+
+def recover_items(items: DataFrame, sounds: DataFrame | None = None, direction: str = "ltr") -> DataFrame:
+    """As recover_lines, of a table of page_items with r_text."""
+    df = classify_blocks(_loose_words(items), sounds).select("page_id", "word_id", "text", *"xywh", "usable", "scrap", (F.col("block_type") == "sfx").alias("sound"))
 
     def lines(rows: list[tuple]) -> list[tuple]:
         free: list[tuple] = []
@@ -166,7 +166,8 @@ def recover_lines(words: DataFrame, regions: DataFrame, sounds: DataFrame | None
                 index.add(len(free), b[3:7])
                 free.append(b)
         boxes, out, alone = [b[3:7] for b in free], [], []
-        for g in gathered(boxes, sorted(range(len(free)), key=lambda i: (boxes[i][1] + boxes[i][3] / 2, boxes[i][0])), level, last_first=True):
+        order = sorted(range(len(free)), key=lambda i: (boxes[i][1] + boxes[i][3] / 2, boxes[i][0]))
+        for g in gathered(boxes, order, level, last_first=True) if len(free) > 1 else [order] * len(free):
             if len(g) > 1:
                 order = read_words([boxes[i] for i in g], [None] * len(g), direction)
                 out.append([" ".join(free[g[k]][2] for k in order), len(g), united([boxes[i] for i in g])])
@@ -175,7 +176,7 @@ def recover_lines(words: DataFrame, regions: DataFrame, sounds: DataFrame | None
         sounds_at = Grid()
         for k, sound in enumerate(alone):
             sounds_at.add(k, sound[2])
-        for b in rows:
+        for b in rows if alone else ():
             if b[8]:
                 for k in sorted(sounds_at.near(b[3:7])):
                     sound = alone[k]
@@ -189,6 +190,34 @@ def recover_lines(words: DataFrame, regions: DataFrame, sounds: DataFrame | None
     return per_group(df, ["page_id"], ["word_id"], lines, "page_id long, text string, n long, x long, y long, w long, h long")
 
 
+def _loose_words(items: DataFrame) -> DataFrame:
+    """The words whose center no region holds and that are a line's or a scrap of one. Of a line's no region has much, or some with the same text."""
+    df = items.withColumn("is_word", F.col("is_word") & (F.col("confidence") >= 0.5)).filter("is_word OR r_x IS NOT NULL")  # less is of no use
+    df = df.select("page_id", "is_word", "word_id", "text", *"xywh", "confidence", F.lower("text").alias("low"), *[f"r_{c}" for c in "xywh"], F.lower("r_text").alias("r_low"))
+    kept = ["page_id", "word_id", "text", *"xywh", "confidence"]
+
+    def choose(batch: pa.RecordBatch, page: np.ndarray) -> pa.RecordBatch:
+        words = np.flatnonzero(np.asarray(batch.column("is_word").fill_null(False)))
+        held, owned = np.zeros((2, batch.num_rows), bool)
+        for w, _ in word_pairs(batch, page, words):
+            held[w] = True
+        words = words[~held[words]]
+        for w, r in word_pairs(batch, page, words, inside=False):
+            share = coverages(_arrays(batch, w), _arrays(batch, r, _REGION))
+            some = share > 0.4
+            w, r, share = w[some], r[some], share[some]
+            same = pc.fill_null(pc.equal(batch.column("low").take(pa.array(w)), batch.column("r_low").take(pa.array(r))), False)
+            owned[w[(share > 0.8) | np.asarray(same)]] = True
+        found = batch.select(kept).take(pa.array(words))
+        return pa.RecordBatch.from_arrays([*found.columns, pa.array(owned[words])], names=[*kept, "owned"])
+
+    loose = per_batch(df, ["page_id"], [], choose, StructType([*(df.schema[c] for c in kept), StructField("owned", BooleanType())]))
+    n = F.regexp_count("text", F.lit(r"\p{L}"))
+    usable = (F.col("confidence") >= 0.55) & ~F.col("owned") & ~F.col("text").rlike("[@_]") & (n >= 2) & (2 * n >= F.length(F.trim("text")))
+    scrap = F.contains("text", F.lit("-")) & (n == 1)
+    return loose.withColumns({"usable": usable, "scrap": scrap, "in_bubble": F.lit(False)}).filter("usable OR scrap")
+
+
 def united(boxes: list[tuple]) -> tuple:
     """The box around boxes (x, y, w, h)."""
     x, y = min(b[0] for b in boxes), min(b[1] for b in boxes)

@@ -91,6 +91,14 @@ def word_pairs(batch: pa.RecordBatch, page: np.ndarray, words: np.ndarray, insid
 _REGION = ("r_x", "r_y", "r_w", "r_h")
 
 
+def coverages(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> np.ndarray:
+    """Share of each box of a in that of b at its place, as coverage."""
+    (x, y, w, h), (bx, by, bw, bh) = a, b
+    common = _area(np.minimum(x + w, bx + bw) - np.maximum(x, bx), np.minimum(y + h, by + bh) - np.maximum(y, by))
+    size = _area(w, h)
+    return np.where(size > 0, common / np.where(size > 0, size, 1), 0.0)
+
+
 def _area(w: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.maximum(w, 0) * np.maximum(h, 0)
 
@@ -137,12 +145,11 @@ def drop_contained(regions: DataFrame) -> DataFrame:
         middle, size = y + h / 2, w * h
         pairs = []
         for r, o in near_pairs(page[rows], boxes, page[rows], boxes):
-            fits = (size[o] > size[r]) & (w[r] > 0) & (h[r] > 0)
+            fits = size[o] > size[r]
             r, o = r[fits], o[fits]
             fits = np.abs(middle[o] - middle[r]) <= 0.45 * np.maximum(np.maximum(h[o], h[r]), 8)
             r, o = r[fits], o[fits]
-            wide, high = np.minimum(x[r] + w[r], x[o] + w[o]) - np.maximum(x[r], x[o]), np.minimum(y[r] + h[r], y[o] + h[o]) - np.maximum(y[r], y[o])
-            fits = np.maximum(wide, 0) * np.maximum(high, 0) / size[r] >= 0.7
+            fits = coverages([c[r] for c in boxes], [c[o] for c in boxes]) >= 0.7
             pairs.append((r[fits], o[fits]))
         # Rows of one id go together.
         ids = np.cumsum(starts(batch.column("page_id"), batch.column("region_id")))

@@ -279,8 +279,11 @@ def _(s, d):
 @query("j24_recover_lines")
 def _(s, d):
     r = table(s, d, "regions")
-    words = r.filter("region_id % 2 = 0").selectExpr("page_id", "region_id AS word_id", "CASE WHEN region_id % 10 = 0 THEN 'a-' WHEN region_id % 3 = 0 THEN upper(split_part(text, ' ', 1)) ELSE text END AS text", *"xywh", "confidence")
-    return pr.recover_lines(words, r.filter("region_id % 2 = 1"), given(s, d, "part").selectExpr("upper(p_name) AS word"))
+    # Every second row is a word, the others are regions: the table is dealt once.
+    word = "CASE WHEN region_id % 2 = 1 THEN NULL WHEN region_id % 10 = 0 THEN 'a-' WHEN region_id % 3 = 0 THEN upper(split_part(text, ' ', 1)) ELSE text END AS text"
+    own = [f"CASE WHEN region_id % 2 = 1 THEN {c} END AS r_{c}" for c in ("region_id", *"xywh", "text")]
+    items = r.selectExpr("page_id", "region_id % 2 = 0 AS is_word", "region_id AS word_id", word, *"xywh", "confidence", *own)
+    return pr.recover_items(items, given(s, d, "part").selectExpr("upper(p_name) AS word"))
 
 
 @query("j26_confirm_proposals", duck("regions") + f""", p AS MATERIALIZED (SELECT page_id * 1000 + region_id AS id, {_KEY.format('t')} AS key, replace(t, ' ', '') AS plain, complete, w, h FROM (SELECT *, CASE WHEN region_id % 10 = 0 THEN '? !' ELSE text END AS t, region_id % 2 = 0 AS complete FROM regions WHERE text <> '')),

@@ -8,7 +8,7 @@ import pytest
 
 from scriptorium.functions import grid
 from scriptorium.functions.grouped import per_batch
-from scriptorium.operators import spatial
+from scriptorium.operators import proposals, spatial
 from scriptorium.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +84,16 @@ def test_index_gives_all_that_touch(n):
         index.add(k, b)
     for b in some:
         assert {k for k, o in enumerate(some) if all(min(b[c] + b[c + 2], o[c] + o[c + 2]) >= max(b[c], o[c]) for c in (0, 1))} <= index.near(b) <= set(range(n))
+
+
+def test_lines_are_found_after_one_deal_of_the_table(spark, capsys):
+    registry.QUERIES["j24_recover_lines"](spark, SF).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning(page_id") <= 3  # the table for lines and for their texts, and the lines; 13 before
+
+
+def test_words_that_regions_have(spark):
+    words = [(1, 1, "ПАРОХОД", 0, 0, 100, 10, 0.9), (1, 2, "other", 0, 20, 100, 10, 0.9), (1, 3, "next", 110, 20, 40, 10, 0.9)]
+    regions = [(1, 1, "пароход", 55, 0, 60, 10), (1, 2, None, 55, 20, 60, 10), (1, 3, "next", None, 20, 40, 10)]  # 45 % of each, its center beside
+    w = spark.createDataFrame(words, "page_id long, word_id long, text string, x long, y long, w long, h long, confidence double")
+    r = spark.createDataFrame(regions, "page_id long, region_id long, text string, x long, y long, w long, h long")
+    assert [(x.text, x.n) for x in proposals.recover_lines(w, r).collect()] == [("other next", 2)]
