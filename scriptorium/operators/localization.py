@@ -192,9 +192,21 @@ def diff_documents(prev: DataFrame, new: DataFrame, prev_pages: DataFrame, new_p
     """Regions (page_id, region_id and what there is of the fields above) and pages(page_id, strokes, direction) of two versions → page_id, plan
     (none, typeset or clean) and the ids to set again: those with other typeset fields, all where the direction changed, none where the
     sets of ids differ."""
-    both = prev.withColumn("_there", F.lit(True)).alias("p").join(new.withColumn("_there", F.lit(True)).alias("n"), ["page_id", "region_id"], "full_outer")
-    differs = lambda cs: F.array_contains(F.array(*[~F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in cs if c in prev.columns]), True)
-    lone = F.col("p._there").isNull() | F.col("n._there").isNull()
+    sides = {"p": prev, "n": new}
+    one = lambda s: F.struct(*[F.col(c) for c in (*CLEAN_FIELDS, *TYPESET_FIELDS) if c in prev.columns]).alias(s)
+    p, n = (sides[s].select("page_id", "region_id", one(s)) for s in sides)
+    return diff_versions(p.unionByName(n, allowMissingColumns=True), prev_pages, new_pages)
+
+
+def diff_versions(versions: DataFrame, prev_pages: DataFrame, new_pages: DataFrame) -> DataFrame:
+    """As diff_documents, of a table with a row for each region of each version: page_id, region_id and the fields as a struct, in p or in n. It is dealt
+    by page once."""
+    fields = [f.name for f in versions.schema["p"].dataType]
+    unknown = F.col("page_id").isNull() | F.col("region_id").isNull()  # such rows are nobody's counterpart
+    both = versions.repartition("page_id").groupBy("page_id", "region_id", F.when(unknown, F.col("n").isNull()).alias("_side")).agg(F.collect_list("p").alias("ps"), F.collect_list("n").alias("ns"))
+    both = both.withColumn("p", F.explode_outer("ps")).withColumn("n", F.explode_outer("ns"))
+    differs = lambda cs: F.array_contains(F.array(*[~F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in cs if c in fields]), True)
+    lone = F.col("p").isNull() | F.col("n").isNull()
     df = both.select("page_id", "region_id", lone.alias("lone"), differs(CLEAN_FIELDS).alias("c"), differs(TYPESET_FIELDS).alias("t"))
     ids = lambda c: F.array_join(F.array_sort(F.collect_list(c)).cast("array<string>"), ",")
     df = df.groupBy("page_id").agg(F.bool_or("lone").alias("other"), F.bool_or("c").alias("c"), F.bool_or("t").alias("t"),

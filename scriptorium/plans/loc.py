@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import localization as loc
@@ -187,6 +189,8 @@ _STYLED = "*, region_id % 5 AS auto_layout, concat(region_id % 7, ',1') AS text_
 _NEW = """page_id, region_id, CASE WHEN page_id % 6 = 1 AND region_id = 2 THEN x + 1 ELSE x END AS x, y, w, h, CASE WHEN page_id % 11 = 2 AND region_id = 3 THEN bx + 1 ELSE bx END AS bx, p.by, bw, bh, skip, block_type, text,
   CASE WHEN page_id % 13 = 3 AND region_id = 1 THEN 9 ELSE auto_layout END AS auto_layout, CASE WHEN page_id % 3 = 1 AND region_id % 4 = 1 THEN 'new' ELSE translation END AS translation,
   CASE WHEN page_id % 7 = 4 AND region_id = 2 THEN NULL ELSE text_position END AS text_position, speaker, speaker_gender, CASE WHEN page_id % 5 = 3 AND region_id = 1 THEN 'bold' ELSE style END AS style"""
+#: The fields that _NEW changes.
+_AFTER = {m[1]: m[0].removesuffix(f" AS {m[1]}") for m in re.findall(r"(CASE WHEN (?:(?!CASE).)* END AS (\w+))", _NEW, re.S)}
 _PAPER = "page_id, concat('k', page_id % 9) AS strokes, 'ltr' AS direction"
 _NEW_PAPER = "page_id, CASE WHEN page_id % 17 = 5 THEN 'k' ELSE concat('k', page_id % 9) END AS strokes, CASE WHEN page_id % 19 = 6 THEN 'rtl' ELSE 'ltr' END AS direction"
 _KEPT = "NOT (page_id % 31 = 7 AND region_id = 1)"
@@ -202,8 +206,11 @@ SELECT page_id, CASE WHEN drawn OR coalesce(lone, false) OR coalesce(c, false) T
   CASE WHEN coalesce(lone, false) THEN '' WHEN turned THEN coalesce(all_, '') ELSE coalesce(some_, '') END AS ids FROM s FULL JOIN g USING (page_id)""")
 def _(s, d):
     r, sheets = s.sql(f"SELECT {_STYLED} FROM {{r}}", r=table(s, d, "regions")), table(s, d, "sheets")
-    new = s.sql(f"SELECT {_NEW} FROM {{r}} p WHERE {_KEPT}", r=r)
-    return loc.diff_documents(r, new, s.sql(f"SELECT {_PAPER} FROM {{p}}", p=sheets), s.sql(f"SELECT {_NEW_PAPER} FROM {{p}}", p=sheets))
+    # Both versions come from one table, which is dealt once.
+    old, new = (f"named_struct({', '.join(f'{c!r}, {_AFTER.get(c, c) if n else c}' for c in (*loc.CLEAN_FIELDS, *loc.TYPESET_FIELDS))})" for n in (False, True))
+    both = r.selectExpr("page_id", "region_id", f"inline(array(struct({old} AS p, NULL AS n), struct(NULL AS p, CASE WHEN {_KEPT} THEN {new} END AS n)))")
+    both = both.filter("p IS NOT NULL OR n IS NOT NULL")
+    return loc.diff_versions(both, s.sql(f"SELECT {_PAPER} FROM {{p}}", p=sheets), s.sql(f"SELECT {_NEW_PAPER} FROM {{p}}", p=sheets))
 
 
 _TOKEN = "sha256('v2|' || lower(trim(image_sha)) || '|' || lower(trim(source_lang)) || '|' || lower(trim(target_lang)) || '|' || lower(trim(fingerprint)))"

@@ -8,7 +8,7 @@ import pytest
 
 from scriptorium.functions import grid
 from scriptorium.functions.grouped import per_batch
-from scriptorium.operators import proposals, spatial
+from scriptorium.operators import localization, proposals, spatial
 from scriptorium.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -97,3 +97,17 @@ def test_words_that_regions_have(spark):
     w = spark.createDataFrame(words, "page_id long, word_id long, text string, x long, y long, w long, h long, confidence double")
     r = spark.createDataFrame(regions, "page_id long, region_id long, text string, x long, y long, w long, h long")
     assert [(x.text, x.n) for x in proposals.recover_lines(w, r).collect()] == [("other next", 2)]
+
+
+def test_versions_of_one_table_are_dealt_once(spark, capsys):
+    registry.QUERIES["j13_diff_documents"](spark, SF).explain()
+    assert "region_id" not in "".join(line.split("hashpartitioning(")[1].split("), ")[0] for line in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning(" in line)  # both versions by page and region before
+
+
+def test_regions_without_a_number_have_no_counterpart(spark):
+    frame = lambda *rows: spark.createDataFrame(rows, "page_id long, region_id long, x long, style string")
+    paper = spark.createDataFrame([(p, "k", "ltr") for p in (1, 2, 3)], "page_id long, strokes string, direction string")
+    old = frame((1, None, 1, "a"), (2, 1, 1, "a"), (2, 1, 1, "b"), (2, 2, None, "c"), (3, 1, 1, None))
+    new = frame((1, None, 1, "a"), (2, 1, 1, "b"), (2, 2, None, "c"), (3, 1, 1, None))
+    got = {r.page_id: (r.plan, r.ids) for r in localization.diff_documents(old, new, paper, paper).collect()}
+    assert got == {1: ("clean", ""), 2: ("typeset", "1"), 3: ("none", "")}
