@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -280,7 +281,8 @@ class Scorer:
 
 
 def predictor(model: Model | None, df: DataFrame):
-    """A column function: text → struct(lang, score, bits: bits a byte of the shortest code)."""
+    """A column function: text → struct(lang, score, bits: bits a byte of the shortest code). It is called nondeterministic so that Spark leaves filters on
+    its result above it; one that was moved below would score every text again, in a second Python worker beside the first."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     number = uuid.uuid4().hex
 
@@ -303,7 +305,7 @@ def predictor(model: Model | None, df: DataFrame):
                 least[own] = bits.min(1) / size
             yield pd.DataFrame({"lang": langs, "score": scores, "bits": least})
 
-    return predict
+    return predict.asNondeterministic()
 
 
 def identify(df: DataFrame, sample: int | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -361,7 +363,9 @@ def in_language(df: DataFrame, sample: int | None = None, slack_bits: float = SL
     known: the result is empty."""
     texts = sampled(df, sample, key, text, lang)
     grams = written(strings(texts), "strings")
-    of = df.sparkSession.createDataFrame(limits(texts, grams), "_lang string, _limit double")  # one row for each language
+    found = limits(texts, grams)
+    # one row for each language, as an Arrow table: rows of Python would be read by workers of their own
+    of = df.sparkSession.createDataFrame(pa.table({"_lang": pa.array([x for x, _ in found], pa.string()), "_limit": pa.array([x for _, x in found], pa.float64())}))
     predict = predictor(Model.trained(counted(grams)), df)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.octet_length(F.col(text).cast("string")).alias("_n"), predict(F.col(text)).alias("_p"))
     rows = rows.filter((F.col("_p.lang") != UNKNOWN) & (F.col("_p.score") >= least_score)).withColumn("_lang", F.col("_p.lang")).join(F.broadcast(of), "_lang")
