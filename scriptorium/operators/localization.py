@@ -35,14 +35,28 @@ def normalize_glossary(entries: DataFrame, order: str = "ord") -> DataFrame:
     return rows.filter("source <> ''").groupBy("source").agg(F.min("e").alias("e")).select("source", "e.target", "e.gender", "e.note")
 
 
+#: Bytes of result that the pages of one project and part have at most, and bytes of result for a task at least.
+BLOCKS_BYTES, BLOCKS_TASK = 4 << 30, 64 << 20
+
+
 def glossary_blocks(pages: DataFrame, glossary: DataFrame) -> DataFrame:
     """pages(page_id, project_id), glossary(project_id, ord, source, target) → (page_id, block): what a request for the page says of names, in order. A
-    project's text is made once, not once a page."""
+    project's text is made once, not once a page. The result grows with pages times names, so pages are dealt by project before they get their text:
+    a task has few texts, each many times in a row, which files hold once. A project with much to write is dealt to several tasks."""
     line = F.concat(F.lit("- "), "source", F.lit(" = "), "target")
+    wanted = pages.select("page_id", "project_id")
+    # What a project's pages and its text come to: one row for the driver.
+    sizes = wanted.groupBy("project_id").agg(F.count("*").alias("n")).join(glossary.groupBy("project_id").agg(F.sum(F.octet_length(line) + 1).alias("long")), "project_id", "left")
+    size = sizes.select((F.col("n") * F.coalesce("long", F.lit(16))).alias("b")).agg(F.count("*").alias("n"), F.max("b").alias("most"), F.sum("b").alias("all")).first()
+    parts = -(-(size["most"] or 1) // BLOCKS_BYTES)
+    tasks = max(1, min(2 * size["n"] * parts, (size["all"] or 0) // BLOCKS_TASK))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda r: r["line"])  # one project's names
     text = F.concat(F.lit("Glossary, use these translations exactly:\n"), F.array_join(rows, "\n"))
-    blocks = glossary.groupBy("project_id").agg(text.alias("block"))
-    return pages.select("page_id", "project_id").join(blocks, "project_id", "left").select("page_id", F.coalesce("block", F.lit("No glossary.")).alias("block"))
+    blocks = glossary.groupBy("project_id").agg(text.alias("block")).select("project_id", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    dealt = wanted.withColumn("_part", F.pmod(F.xxhash64("page_id"), F.lit(parts)).cast("int"))
+    keys = ["project_id", "_part"]
+    found = dealt.repartition(tasks, *keys).join(blocks.repartition(tasks, *keys).hint("merge"), keys, "left")
+    return found.select("page_id", F.coalesce("block", F.lit("No glossary.")).alias("block"))
 
 
 def build_glossary(regions: DataFrame, existing: DataFrame) -> DataFrame:
