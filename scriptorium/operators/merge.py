@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import math
 import statistics
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box
 from ..functions.grid import Grid
-from ..functions.grouped import per_batch, per_group
-from .spatial import merge_pairs
+from ..functions.grouped import per_batch, per_group, starts
+from .spatial import PAIRED, pairs_of_pages
 
 
 def page_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -46,29 +47,71 @@ def with_roots(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def merge_regions(regions: DataFrame, kind: str) -> DataFrame:
-    """Each component of mergeable regions as one region; single ones stay as they are. Members are in the order of x, then center."""
-    rooted = with_roots(regions, merge_pairs(regions, kind))
-    b = box()
-    order = ("x", (F.col("y") + F.col("h") / 2).alias("cy"), "region_id")
-    member = F.struct(*order, "block_type", "class_name", "text", "translation")
-    df = rooted.groupBy("page_id", "root").agg(
-        F.array_sort(F.collect_list(member)).alias("members"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(b.right).alias("r"), F.max(b.bottom).alias("d"),
-        F.max("confidence").alias("confidence"), F.count("*").alias("n"), F.bool_or(F.col("block_type") == "dialogue").alias("speech"),
-        F.bool_or(F.col("class_name") == "text_bubble").alias("bubble"), F.bool_and("document").alias("document"),
-        F.count("bx").alias("n_bubbles"), *[F.max(f"b{c}").alias(f"b{c}") for c in "xywh"],
-    )
-    first, alone = F.col("members")[0], F.col("n") == 1
-
-    def joined(c: str):
-        parts = F.filter(F.transform("members", lambda m: F.trim(m[c])), lambda t: t != "")
-        return F.when(alone, first[c]).otherwise(F.array_join(parts, " ")).alias(c)
-
-    return df.select(
-        "page_id", first["region_id"].alias("region_id"), "x", "y", (F.col("r") - F.col("x")).alias("w"), (F.col("d") - F.col("y")).alias("h"), "confidence", "n",
-        F.when(alone, first["block_type"]).when(F.col("speech"), "dialogue").otherwise(first["block_type"]).alias("block_type"),
-        F.when(F.col("bubble"), "text_bubble").otherwise(first["class_name"]).alias("class_name"), joined("text"), joined("translation"), "document",
-        *[F.when(F.col("n_bubbles") == 1, F.col(f"b{c}")).alias(f"b{c}") for c in "xywh"],
-    )
+    """Each component of mergeable regions as one region; single ones stay as they are. Members are in the order of x, then center. Pages are dealt once:
+    pairs, components and what becomes of them are one fold."""
+    texts, bubble = ("text", "translation"), [f"b{c}" for c in "xywh"]
+    names = ["page_id", "region_id", *"xywh", "confidence", "n", "block_type", "class_name", *texts, "document", *bubble]
+
+    def merged(batch: pa.RecordBatch, page: np.ndarray) -> pa.RecordBatch:
+        # Rows of one id go together; an id's number grows with the id.
+        ids = np.cumsum(starts(batch.column("page_id"), batch.column("region_id"))) - 1
+        parent = np.arange(ids[-1] + 1)
+        for a, b in zip(*(ids[rows].tolist() for rows in pairs_of_pages(batch, page, kind)), strict=True):
+            while parent[a] != a:
+                parent[a] = a = parent[parent[a]]
+            while parent[b] != b:
+                parent[b] = b = parent[parent[b]]
+            parent[max(a, b)] = min(a, b)
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        root = parent[ids]
+        alone = np.bincount(root)[root] == 1
+        single = batch.filter(pa.array(alone))
+        col, out = single.column, {"n": pa.array(np.ones(single.num_rows, np.int64))}
+        none = {c: pa.nulls(single.num_rows, col(c).type) for c in (*"wh", *bubble)}
+        out |= {n: pc.if_else(col(c).is_valid(), col(n), none[n]) for c, n in ("xw", "yh", *[("bx", c) for c in bubble])}
+        out = pa.RecordBatch.from_arrays([out[c] if c in out else col(c) for c in names], names=names)
+        if alone.all():
+            return out
+        several = np.flatnonzero(~alone)
+        several = several[np.argsort(root[several], kind="stable")]
+        rows = batch.take(pa.array(several)).to_pylist()
+        made = [_one([m for _, m in own], texts, bubble) for _, own in groupby(zip(root[several].tolist(), rows, strict=True), key=lambda m: m[0])]
+        return pa.concat_batches([out, pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], f.type) for c, f in zip(names, out.schema, strict=True)], schema=out.schema)])
+
+    df = regions.select(*PAIRED, "confidence", "class_name", *texts)
+    whole = regions.select("page_id", "region_id", "x", "y", (F.col("x") + F.col("w") - F.col("x")).alias("w"), (F.col("y") + F.col("h") - F.col("y")).alias("h"), "confidence",
+                           F.lit(0).cast("long").alias("n"), "block_type", "class_name", *texts, "document", *bubble)
+    return per_batch(df, ["page_id"], ["region_id"], merged, whole.schema)
+
+
+def _one(members: list[dict], texts: Sequence[str], bubble: Sequence[str]) -> dict:
+    """Several rows of regions as one; null comes first where rows are ordered, and is passed over where values are put together."""
+
+    def known(values: Iterable) -> list:
+        return [v for v in values if v is not None]
+
+    def center(m: dict):
+        return None if m["y"] is None or m["h"] is None else m["y"] + m["h"] / 2
+
+    keys = [(m["x"], center(m), m["region_id"], m["block_type"], m["class_name"], *[m[c] for c in texts]) for m in members]
+    order = sorted(range(len(members)), key=lambda i: [(v is not None, v if v is not None else 0) for v in keys[i]])
+    members = [members[i] for i in order]
+    first, out = members[0], {"n": len(members)}
+    for c, n in ("xw", "yh"):
+        out[c] = min(known(m[c] for m in members), default=None)
+        end = max((m[c] + m[n] for m in members if None not in (m[c], m[n])), default=None)
+        out[n] = None if end is None else end - out[c]
+    nan = [v for v in known(m["confidence"] for m in members) if v != v]
+    held = sum(m["bx"] is not None for m in members) == 1
+    flags = known(m["document"] for m in members)
+    return out | {
+        "page_id": first["page_id"], "region_id": first["region_id"], "confidence": nan[0] if nan else max(known(m["confidence"] for m in members), default=None),
+        "block_type": "dialogue" if any(m["block_type"] == "dialogue" for m in members) else first["block_type"],
+        "class_name": "text_bubble" if any(m["class_name"] == "text_bubble" for m in members) else first["class_name"],
+        **{c: " ".join(t for t in (v.strip(" ") for v in known(m[c] for m in members)) if t) for c in texts},
+        "document": all(flags) if flags else None, **{c: max(known(m[c] for m in members), default=None) if held else None for c in bubble},
+    }
 
 
 def reading_order(regions: DataFrame, direction: str = "ltr") -> DataFrame:

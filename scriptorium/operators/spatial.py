@@ -8,11 +8,12 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..functions.geometry import area, box, center_within, contains, coverage, intersection, side_overlap, vertical_gap
+from ..functions.geometry import area, box, center_within, contains, coverage, intersection
 from ..functions.grid import Grid, near_pairs
 from ..functions.grouped import per_batch, per_group, starts
 
@@ -190,84 +191,107 @@ def add_second_source(first: DataFrame, second: DataFrame, most: float = 0.3) ->
     return first.select("page_id", "region_id", "x", "y", "w", "h").unionByName(added)
 
 
-def _free(a: str, b: str) -> Column:
-    return F.col(f"{a}.bx").isNull() & F.col(f"{b}.bx").isNull()
+def _pair(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """What the rules of mergeable regions look at: numbers as floats with NaN for null, which fmin and fmax pass over as least and greatest do."""
+    found = {c: batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (*"xywh", *[f"b{c}" for c in "xywh"])}
+    found["sfx"] = np.asarray(pc.fill_null(pc.equal(batch.column("block_type"), "sfx"), True))  # or unknown
+    found["page"] = np.asarray(pc.fill_null(pc.invert(batch.column("document")), False))
+    return found | {"held": np.asarray(batch.column("bx").is_valid())}
 
 
-def mergeable(kind: str) -> Column:
-    """Condition on regions aliased a and b; kind: paragraph or column."""
-    a, b = box(table="a"), box(table="b")
-    low, high = F.least(a.h, b.h), F.greatest(a.h, b.h)
-    left, wide = F.abs(a.x - b.x), F.greatest(a.w, b.w)
-    shifted = (low >= 72) & (left > 0.18 * wide)
+def _lines(kind: str, a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether pairs of regions are lines of one paragraph or column."""
+    low, wide, narrow = np.fmin(a["h"], b["h"]), np.fmax(a["w"], b["w"]), np.fmin(a["w"], b["w"])
+    left = np.abs(a["x"] - b["x"])
+    (a_end, a_foot), (b_end, b_foot) = ((r["x"] + r["w"], r["y"] + r["h"]) for r in (a, b))
+    common = np.fmax(np.fmin(a_end, b_end) - np.fmax(a["x"], b["x"]), 0)
+    common = np.where(narrow > 0, common / np.where(narrow > 0, narrow, 1), 0.0)
+    gap = np.where(b["y"] >= a_foot, b["y"] - a_foot, np.where(a["y"] >= b_foot, a["y"] - b_foot, -1))
+    ok = ~a["held"] & ~b["held"] & (low > 0) & ~((low >= 72) & ~(left <= 0.18 * wide))
     if kind == "paragraph":
-        beside = (left <= 0.25 * wide) | (side_overlap(a, b) >= 0.4)
-        return _free("a", "b") & (low > 0) & (high / low <= 1.7) & (vertical_gap(a, b) <= 0.7 * low) & ~shifted & beside
-    if kind == "column":
-        narrow = F.least(a.w, b.w)
-        beside = (left <= 0.2 * wide) | (side_overlap(a, b) >= 0.45)
-        gap = F.greatest(F.lit(20), F.floor(0.35 * low))
-        return _free("a", "b") & (low > 0) & (narrow > 0) & (wide / narrow <= 1.8) & (vertical_gap(a, b) <= gap) & ~shifted & beside
-    raise ValueError(kind)
-
-
-def _collinear(pairs: DataFrame) -> DataFrame:
-    """Pairs of regions (a_x.., b_x.., with bubbles a_bx..) that continue one line of text."""
-    a, b = box("a_"), box("b_")
-    low = F.least(a.h, b.h)
-    held_a, held_b = F.col("a_bx").isNotNull(), F.col("b_bx").isNotNull()
-    loose = F.when(held_a, coverage(b, box("a_b"))).when(held_b, coverage(a, box("b_b"))).otherwise(1.0)
-    sound = ((F.col("a_block_type") == "sfx") & held_b) | ((F.col("b_block_type") == "sfx") & held_a)
-    df = pairs.filter(
-        ~F.col("a_document") & ~F.col("b_document") & ~(held_a & held_b) & (loose >= 0.85) & ~sound
-        & (F.least(a.w, a.h, b.w, b.h) > 0) & (F.greatest(a.h, b.h) <= 2.2 * low)
-    )
-    gap = F.hypot(F.greatest(F.lit(0), a.x - b.right, b.x - a.right), F.greatest(F.lit(0), a.y - b.bottom, b.y - a.bottom))
-    df = df.filter(gap <= 0.4 * low)
-
-    def let(value: Column, body) -> Column:
-        """Names an intermediate result, which projections would copy into each of its uses."""
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
-    def along(d: Column) -> Column:
-        """Judges a pair by the line between the centers: u along it, (-u.y, u.x) across."""
-        return let(F.struct((d["x"] / d["n"]).alias("x"), (d["y"] / d["n"]).alias("y"), F.atan2(d["y"], d["x"]).alias("t")), judged)
-
-    def judged(u: Column) -> Column:
-        upright = F.when(F.abs(u["t"]) > F.pi() / 2, u["t"] - F.signum(u["t"]) * F.pi()).otherwise(u["t"])
-
-        def one(bx) -> Column:
-            turn = F.abs(upright - F.when(bx.w >= bx.h, 0.0).otherwise(F.pi() / 2))
-            half = (F.abs(u["x"]) * bx.w + F.abs(u["y"]) * bx.h) / 2
-            side = (F.abs(u["y"]) * bx.w + F.abs(u["x"]) * bx.h) / 2
-            at, beside = bx.cx * u["x"] + bx.cy * u["y"], bx.cy * u["x"] - bx.cx * u["y"]
-            return F.struct(F.least(turn, F.pi() - turn).alias("turn"), (2 * half).alias("len"), (at - half).alias("a0"), (at + half).alias("a1"),
-                            (2 * side).alias("wide"), (beside - side).alias("c0"), (beside + side).alias("c1"))
-
-        def both(p: Column) -> Column:
-            p, q = p["p"], p["q"]
-            common = F.least(p["a1"], q["a1"]) - F.greatest(p["a0"], q["a0"])
-            across = F.least(p["c1"], q["c1"]) - F.greatest(p["c0"], q["c0"])
-            shorter = F.least(p["len"], q["len"])
-            beside = (low >= 80) & (shorter > 0) & (common > 0.12 * shorter)
-            return (F.greatest(p["turn"], q["turn"]) <= F.radians(F.lit(40.0))) & ~beside & (-common <= low) & (across >= 0.55 * F.least(p["wide"], q["wide"]))
+        return ok & (np.fmax(a["h"], b["h"]) / np.where(low > 0, low, 1) <= 1.7) & (gap <= 0.7 * low) & ((left <= 0.25 * wide) | (common >= 0.4))
+    alike = wide / np.where(narrow > 0, narrow, 1) <= 1.8
+    return ok & (narrow > 0) & alike & (gap <= np.fmax(20, np.floor(0.35 * low))) & ((left <= 0.2 * wide) | (common >= 0.45))
+
+
+def _in_bubble(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """Share of a's area in b's bubble, as coverage."""
+    over = [np.fmin(a[c] + a[n], b[f"b{c}"] + b[f"b{n}"]) - np.fmax(a[c], b[f"b{c}"]) for c, n in ("xw", "yh")]
+    size = np.fmax(a["w"], 0) * np.fmax(a["h"], 0)
+    return np.where(size > 0, np.fmax(over[0], 0) * np.fmax(over[1], 0) / np.where(size > 0, size, 1), 0.0)
+
+
+def _collinear(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether pairs of regions continue one line of text."""
+    low = np.fmin(a["h"], b["h"])
+    loose = np.where(a["held"], _in_bubble(b, a), np.where(b["held"], _in_bubble(a, b), 1.0))
+    sound = (a["sfx"] & b["held"]) | (b["sfx"] & a["held"])
+    ok = a["page"] & b["page"] & ~(a["held"] & b["held"]) & (loose >= 0.85) & ~sound & (np.fmin(low, np.fmin(a["w"], b["w"])) > 0) & (np.fmax(a["h"], b["h"]) <= 2.2 * low)
+    gap = [np.fmax(np.fmax(a[c] - b[c] - b[n], b[c] - a[c] - a[n]), 0) for c, n in ("xw", "yh")]
+    ok &= np.sqrt(gap[0] ** 2 + gap[1] ** 2) <= 0.4 * low
+    # The line between the centers: u along it, (-u.y, u.x) across.
+    x, y = (b[c] + b[n] / 2 - a[c] - a[n] / 2 for c, n in ("xw", "yh"))
+    apart = np.sqrt(x * x + y * y)
+    ok &= apart >= 1
+    far = np.where(apart >= 1, apart, 1)
+    x, y, t = x / far, y / far, np.arctan2(y, x)
+    upright = np.where(np.abs(t) > np.pi / 2, t - np.sign(t) * np.pi, t)
+
+    def one(r: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        turn = np.abs(upright - np.where(r["w"] >= r["h"], 0.0, np.pi / 2))
+        half, side = (np.abs(x) * r["w"] + np.abs(y) * r["h"]) / 2, (np.abs(y) * r["w"] + np.abs(x) * r["h"]) / 2
+        cx, cy = r["x"] + r["w"] / 2, r["y"] + r["h"] / 2
+        return np.minimum(turn, np.pi - turn), half, cx * x + cy * y, side, cy * x - cx * y
+
+    (turn, half, at, side, beside), (turn_b, half_b, at_b, side_b, beside_b) = one(a), one(b)
+    common = np.minimum(at + half, at_b + half_b) - np.maximum(at - half, at_b - half_b)
+    across = np.minimum(beside + side, beside_b + side_b) - np.maximum(beside - side, beside_b - side_b)
+    shorter = 2 * np.minimum(half, half_b)
+    ok &= (np.maximum(turn, turn_b) <= np.radians(40.0)) & ~((low >= 80) & (shorter > 0) & (common > 0.12 * shorter))
+    return ok & (-common <= low) & (across >= 0.55 * 2 * np.minimum(side, side_b))
+
+
+#: What merge_pairs looks at.
+PAIRED = ("page_id", "region_id", "block_type", "document", *"xywh", *[f"b{c}" for c in "xywh"])
+
+
+def pairs_of_pages(batch: pa.RecordBatch, page: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) of regions of one page that may become one; those of a page lie in order of their ids, a before b, with another id."""
+    if kind not in ("paragraph", "column", "collinear"):
+        raise ValueError(kind)
+    own, ids = _pair(batch), np.cumsum(starts(batch.column("page_id"), batch.column("region_id")))
+    rows = np.asarray(batch.column("page_id").is_valid()) & np.asarray(batch.column("region_id").is_valid())
+    if kind == "collinear":
+        rows = np.flatnonzero(rows & own["page"] & (np.minimum(own["w"], own["h"]) > 0) & ~np.isnan(own["x"] + own["y"]))
+        reach = 0.4 * own["h"][rows] + 1
+        boxes = own["x"][rows], own["y"][rows], own["w"][rows], own["h"][rows]
+        wider = boxes[0] - reach, boxes[1] - reach, boxes[2] + 2 * reach, boxes[3] + 2 * reach
+    else:
+        rows = np.flatnonzero(rows)
+        boxes = wider = tuple(np.zeros(len(rows)) for _ in range(4))  # all pairs of a page
+    found = []
+    for i, k in near_pairs(page[rows], wider, page[rows], boxes):
+        i, k = rows[i], rows[k]
+        later = ids[k] > ids[i]
+        i, k = i[later], k[later]
+        a, b = ({c: v[at] for c, v in own.items()} for at in (i, k))
+        fits = _collinear(a, b) if kind == "collinear" else _lines(kind, a, b)
+        found.append((i[fits], k[fits]))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*found, strict=True) if found else ((), ())))
 
-        return let(F.struct(one(a).alias("p"), one(b).alias("q")), both)
 
-    apart = F.hypot(b.cx - a.cx, b.cy - a.cy)
-    ok = let(F.struct((b.cx - a.cx).alias("x"), (b.cy - a.cy).alias("y"), apart.alias("n")), along)
-    return df.filter(F.when(apart >= 1, ok).otherwise(False))
+def merge_pairs(regions: DataFrame, kind: str) -> DataFrame:
+    """(page_id, a, b) with a < b: pairs of a page that may become one region; kind: paragraph, column or collinear. Pages are dealt once and compared by
+    arrays."""
 
+    def find(batch: pa.RecordBatch, page: np.ndarray) -> pa.RecordBatch:
+        a, b = (pa.array(rows) for rows in pairs_of_pages(batch, page, kind))
+        ids = batch.column("region_id")
+        return pa.RecordBatch.from_arrays([batch.column("page_id").take(a), ids.take(a), ids.take(b)], names=["page_id", "a", "b"])
 
-def merge_pairs(regions: DataFrame, kind: str) -> DataFrame:
-    """(page_id, a, b) with a < b: pairs of a page that may become one region; kind: paragraph, column or collinear."""
-    a, b = regions.alias("a"), regions.alias("b")
-    on = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.region_id") < F.col("b.region_id"))
-    if kind == "collinear":
-        used = ["region_id", "block_type", "document", *"xywh", *[f"b{c}" for c in "xywh"]]
-        pairs = a.join(b, on).select("a.page_id", *[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in used])
-        return _collinear(pairs).select("page_id", F.col("a_region_id").alias("a"), F.col("b_region_id").alias("b"))
-    return a.join(b, on & mergeable(kind)).select(F.col("a.page_id").alias("page_id"), F.col("a.region_id").alias("a"), F.col("b.region_id").alias("b"))
+    df = regions.select(*PAIRED)
+    kept = df.schema["region_id"].dataType
+    return per_batch(df, ["page_id"], ["region_id"], find, StructType([df.schema["page_id"], StructField("a", kept), StructField("b", kept)]))
 
 
 def layout_collisions(placed: DataFrame, regions: DataFrame, sheets: DataFrame, slack: int) -> DataFrame:
