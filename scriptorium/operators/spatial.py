@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from decimal import Decimal
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -326,35 +327,134 @@ def expand_boxes(regions: DataFrame, words: DataFrame, sheets: DataFrame, conf:
     return df.select("page_id", "region_id", *[F.when(ok, v).otherwise(F.col(c)).alias(c) for c, v in new.items()], ok.alias("expanded"))
 
 
+_TARGET = ("t_x", "t_y", "t_w", "t_h")
+
+
 def locate_words(targets: DataFrame, words: DataFrame, regions: DataFrame, least: int = 3) -> DataFrame:
     """targets(page_id, target_id, key, box), words(page_id, word_id, key, box), regions(page_id, region_id, box): for each target the nearest
     word, or pair of near words, with its whole key, in reach of the target's longer side; none where the second nearest is about as near,
     or over another region than the target's own."""
-    v, w = box(table="v"), box(table="w")
-    tall = F.greatest(v.h, w.h)
-    gap_x, gap_y = (F.greatest(F.lit(0), *d) for d in ((w.x - v.right, v.x - w.right), (w.y - v.bottom, v.y - w.bottom)))
-    near = (gap_x <= 0.8 * tall) & (gap_y <= 0.8 * tall) & (F.hypot(v.cx - w.cx, v.cy - w.cy) <= 1.5 * F.greatest(v.w, v.h, w.w, w.h))
-    wanted = targets.select("page_id", "key").distinct()
-    # The halves that a wanted key may have are looked up, so pairs are made of words that go together alone.
-    halves = wanted.select("page_id", "key", F.explode(F.sequence(F.lit(2), F.greatest(F.length("key") - 1, F.lit(2)))).alias("n")).filter(F.col("n") < F.length("key"))
-    halves = halves.select("page_id", "key", F.substring("key", F.lit(1), F.col("n")).alias("first"), F.substring("key", F.col("n") + 1, F.length("key")).alias("second"))
-    two = halves.alias("p").join(words.alias("v"), (F.col("v.page_id") == F.col("p.page_id")) & (F.col("v.key") == F.col("p.first")))
-    two = two.join(words.alias("w"), (F.col("w.page_id") == F.col("p.page_id")) & (F.col("w.key") == F.col("p.second")) & (F.col("v.word_id") != F.col("w.word_id")) & near)
-    two = two.select(F.col("p.page_id").alias("page_id"), F.col("p.key").alias("key"), F.least(v.x, w.x).alias("x"), F.least(v.y, w.y).alias("y"),
-                     (F.greatest(v.right, w.right) - F.least(v.x, w.x)).alias("w"), (F.greatest(v.bottom, w.bottom) - F.least(v.y, w.y)).alias("h"))
-    found = words.select("page_id", "key", "x", "y", "w", "h").unionByName(two).distinct()
-    t, c, o = box(table="t"), box(table="c"), box(table="o")
-    distance, pad = F.hypot(t.cx - c.cx, t.cy - c.cy), F.greatest(t.w, t.h)
-    ratio = area(c) / F.greatest(area(t), F.lit(1))
-    on = (F.col("t.page_id") == F.col("c.page_id")) & (F.col("t.key") == F.col("c.key")) & ratio.between(0.1, 6.0) & (distance <= 1.5 * pad) & (F.least(c.w, c.h) >= least)
-    pairs = targets.filter(F.length("key").between(2, 40)).alias("t").join(found.alias("c"), on).select(
-        F.col("t.page_id").alias("page_id"), F.col("t.target_id").alias("target_id"), distance.alias("distance"), pad.alias("pad"), c.x.alias("x"), c.y.alias("y"), c.w.alias("w"), c.h.alias("h"))
-    taken = (F.col("c.page_id") == F.col("o.page_id")) & (F.col("c.target_id") != F.col("o.region_id")) & (intersection(c, o) > 0.4 * F.least(c.w * c.h, o.w * o.h))
-    pairs = pairs.alias("c").join(regions.alias("o"), taken, "left_anti")
-    order = Window.partitionBy("page_id", "target_id").orderBy("distance", "x", "y", "w", "h")
-    pairs = pairs.withColumns({"rank": F.row_number().over(order), "second": F.lead("distance").over(order)})
-    clear = F.col("second").isNull() | (F.col("second") - F.col("distance") >= F.greatest(F.lit(8.0), 0.2 * F.col("pad")))
-    return pairs.filter((F.col("rank") == 1) & clear).drop("rank", "second", "pad")
+    wanted = targets.select("page_id", "target_id", *[F.col(c).alias(f"t_{c}") for c in ("key", *"xywh")])
+    return locate_items(page_items(words.select("page_id", "word_id", "key", *"xywh"), regions).unionByName(wanted, allowMissingColumns=True), least)
+
+
+def locate_items(items: DataFrame, least: int = 3) -> DataFrame:
+    """As locate_words, of a table of page_items with the words' key and, as target_id, t_key and t_<box>, the targets. One row may be a word, a region and a
+    target, so that a table of all three is dealt once."""
+
+    def choose(batch: pa.RecordBatch, page: np.ndarray) -> pa.RecordBatch:
+        paged = np.asarray(batch.column("page_id").is_valid())
+        rows = lambda key, names: (r := _boxed(batch, names))[(np.asarray(batch.column(key).is_valid()) & paged)[r]]
+        t = rows("t_key", _TARGET)
+        t_key = batch.column("t_key").take(pa.array(t)).to_pylist()
+        t, t_key = _kept(t, t_key, lambda k: 2 <= len(k) <= 40)
+        w = rows("key", tuple("xywh"))
+        by_key: dict[tuple, list[tuple]] = {}
+        lengths: dict[int, set[int]] = {}  # of the words' keys of a page
+        w_key, ids = (batch.column(c).take(pa.array(w)).to_pylist() for c in ("key", "word_id"))
+        for k, g, *word in zip(w_key, page[w].tolist(), ids, *(c.tolist() for c in _arrays(batch, w)), strict=True):
+            by_key.setdefault((g, k), []).append(tuple(word))
+            if len(k) >= 2:
+                lengths.setdefault(g, set()).add(len(k))
+        found: dict[tuple, np.ndarray] = {}  # boxes that a page has for a key
+        held, many, fitting = [], 0, []
+        for row, of in zip(t.tolist(), zip(page[t].tolist(), t_key, strict=True), strict=True):
+            if of not in found:
+                g, key = of
+                some = {v[1:] for v in by_key.get(of, ())}
+                for n in lengths.get(g, ()):
+                    if n < len(key) and (first := by_key.get((g, key[:n]))) and (second := by_key.get((g, key[n:]))):
+                        some.update(_joined(a, b) for a, b in _halves(first, second) if _near(a, b))
+                found[of] = np.array(list(some), np.int64).reshape(-1, 4)
+            if len(found[of]):
+                held.append((row, found[of]))
+                many += len(found[of])
+            if many > 500_000:
+                fitting.append(_in_reach(batch, page, held, least))
+                held, many = [], 0
+        fitting.append(_in_reach(batch, page, held, least))
+        at, boxes, distance, pad = (np.concatenate(c) for c in zip(*fitting, strict=True))
+        target = batch.column("target_id").dictionary_encode().indices.fill_null(-1).to_numpy()[at]
+        order = np.lexsort((*boxes.T[::-1], distance, target, page[at]))
+        at, boxes, distance, pad, target = (v[order] for v in (at, boxes, distance, pad, target))
+        new = (np.diff(page[at], prepend=-1) != 0) | (np.diff(target, prepend=-2) != 0)
+        second = np.where(np.r_[new[1:], True], np.inf, np.r_[distance[1:], np.inf]) if len(at) else distance
+        best = np.flatnonzero(new & (second - distance >= np.maximum(8.0, 0.2 * pad)))
+        own = pa.array(at[best])
+        return pa.RecordBatch.from_arrays([batch.column("page_id").take(own), batch.column("target_id").take(own), pa.array(distance[best]), *map(pa.array, boxes[best].T)], names=["page_id", "target_id", "distance", *"xywh"])
+
+    schema = StructType([items.schema["page_id"], items.schema["target_id"]]).add("distance", "double")
+    for c in "xywh":
+        schema.add(c, items.schema[c].dataType)
+    return per_batch(items, ["page_id"], ["r_region_id"], choose, schema)
+
+
+def _kept(rows: np.ndarray, values: list, of) -> tuple[np.ndarray, list]:
+    keep = [i for i, v in enumerate(values) if of(v)]
+    return rows[keep], [values[i] for i in keep]
+
+
+def _in_reach(batch: pa.RecordBatch, page: np.ndarray, held: list[tuple[int, np.ndarray]], least: int) -> tuple[np.ndarray, ...]:
+    """Rows of targets and the boxes of their keys → (row, box, distance, longer side) of those that a target may have."""
+    boxes = np.concatenate([np.zeros((0, 4), np.int64), *[b for _, b in held]])
+    at = np.repeat(np.array([row for row, _ in held], np.int64), [len(b) for _, b in held])
+    x, y, wide, high = boxes.T
+    tx, ty, tw, th = _arrays(batch, at, _TARGET)
+    pad, ratio = np.maximum(tw, th), _area(wide, high) / np.maximum(_area(tw, th), 1)
+    distance = np.sqrt((tx + tw / 2 - x - wide / 2) ** 2 + (ty + th / 2 - y - high / 2) ** 2)
+    ok = np.flatnonzero((ratio >= 0.1) & (ratio <= 6.0) & (distance <= 1.5 * pad) & (np.minimum(wide, high) >= least))
+    ok = ok[~_taken(batch, page, at[ok], boxes[ok])]
+    return at[ok], boxes[ok], distance[ok], pad[ok]
+
+
+def _halves(first: list[tuple], second: list[tuple]) -> Iterator[tuple[tuple, tuple]]:
+    """Pairs of words (id, box) that may be near: all of few, and of many those that an index gives."""
+    if len(first) * len(second) <= 4096:
+        return product(first, second)
+    boxes = []
+    for words in (first, second):
+        x, y, w, h = np.array([v[1:] for v in words], float).T
+        reach = 0.8 * np.maximum(h, 0) + 1
+        boxes.append((x - reach, y - reach, np.maximum(w, 0) + 2 * reach, np.maximum(h, 0) + 2 * reach))
+    none = [np.zeros(len(words), np.int64) for words in (first, second)]
+    return ((first[i], second[k]) for a, b in near_pairs(none[0], boxes[0], none[1], boxes[1]) for i, k in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def _near(v: tuple, w: tuple) -> bool:
+    """Whether two words (id, box) may be the halves of one."""
+    (i, x, y, a, b), (k, u, z, c, d) = v, w
+    tall = 0.8 * max(b, d)
+    if i is None or k is None or i == k or max(0, u - x - a, x - u - c) > tall or max(0, z - y - b, y - z - d) > tall:
+        return False
+    return ((x + a / 2 - u - c / 2) ** 2 + (y + b / 2 - z - d / 2) ** 2) ** 0.5 <= 1.5 * max(a, b, c, d)
+
+
+def _joined(v: tuple, w: tuple) -> tuple[int, int, int, int]:
+    (_, x, y, a, b), (_, u, z, c, d) = v, w
+    left, top = min(x, u), min(y, z)
+    return left, top, max(x + a, u + c) - left, max(y + b, z + d) - top
+
+
+def _taken(batch: pa.RecordBatch, page: np.ndarray, at: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """Whether boxes found for the targets of rows `at`, which are in order, lie over another region of the page."""
+    ids, target = batch.column("r_region_id"), batch.column("target_id")
+    both = pa.concat_arrays([ids.cast(target.type), target]).dictionary_encode().indices.fill_null(-1).to_numpy()
+    ids, target = both[: len(page)], both[len(page) :]
+    known = np.flatnonzero((ids >= 0) & np.asarray(batch.column("page_id").is_valid()))
+    # Nulls as NaN, which fmin and fmax pass over as least and greatest do. A region with one, or of less than no area, is compared with all of its page.
+    region = [batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in _REGION]
+    odd = ~(region[2] * region[3] >= 0) | np.isnan(region[0] + region[1])
+    out = np.zeros(len(at), bool)
+    for some, all_pairs in ((known[~odd[known]], False), (known[odd[known]], True)):
+        none = [np.zeros(n) for n in (len(at), len(some))]
+        a, b = ([none[0]] * 4, [none[1]] * 4) if all_pairs else (list(boxes.T), [c[some] for c in region])
+        for i, k in near_pairs(page[at], a, page[some], b) if len(some) and len(at) else ():
+            k = some[k]
+            over = [np.fmin(boxes[i, c] + boxes[i, c + 2], region[c][k] + region[c + 2][k]) - np.fmax(boxes[i, c], region[c][k]) for c in (0, 1)]
+            common = np.fmax(over[0], 0) * np.fmax(over[1], 0)
+            hit = (common > 0.4 * np.fmin(boxes[i, 2] * boxes[i, 3], region[2][k] * region[3][k])) & (target[at[i]] >= 0) & (target[at[i]] != ids[k])
+            out[i[hit]] = True
+    return out
 
 
 def union_box(df: DataFrame, keys: list[str]) -> DataFrame:
