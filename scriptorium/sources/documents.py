@@ -34,9 +34,13 @@ def _whole(v: Column) -> Column:
 
 def _flag(v: Column) -> Column:
     """What is true: true, numbers but 0, texts, lists and objects that are not empty."""
-    kind, text = F.schema_of_variant(v), F.to_json(v)
-    other = F.when(kind.startswith("ARRAY"), text != "[]").when(kind.startswith("OBJECT"), text != "{}").when(kind == "STRING", _as(v, "string") != "")
-    return F.coalesce(F.when(kind == "BOOLEAN", _as(v, "boolean")).otherwise(F.coalesce(other, _as(v, "double") != 0)), F.lit(False))
+
+    def told(kind: Column) -> Column:
+        other = F.when(kind.startswith("ARRAY"), F.to_json(v) != "[]").when(kind.startswith("OBJECT"), F.to_json(v) != "{}").when(kind == "STRING", _as(v, "string") != "")
+        return F.when(kind == "BOOLEAN", _as(v, "boolean")).otherwise(F.coalesce(other, _as(v, "double") != 0))
+
+    # Named once: the kind is a text made of the whole value.
+    return F.when(v.isNotNull(), F.coalesce(F.get(F.transform(F.array(F.schema_of_variant(v)), told), F.lit(0)), F.lit(False))).otherwise(False)
 
 
 def _filled(v: Column) -> Column:
@@ -54,8 +58,10 @@ KEYS = ("id", "bbox", *TEXTS, "confidence", "type", "block_type", "bubble_bbox",
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """df(raw) with what raw says under each key, looked up once, as columns for _fields."""
-    return df.withColumns({f"_v_{key}": _at("raw", key) for key in KEYS})
+    """df(raw) with what raw says under each key, looked up once, as columns for _fields. The flags are one list: a projection with a function of list items
+    stays out of Spark's one method for a stage, which with all these columns is longer than the JVM compiles."""
+    flags = F.transform(F.array(*[_at("raw", c) for c in FLAGS]), _flag)
+    return df.withColumns({f"_v_{key}": _at("raw", key) for key in KEYS if key not in FLAGS} | {"_flags": flags})
 
 
 def _fields(place: Column) -> dict[str, Column]:
@@ -69,7 +75,7 @@ def _fields(place: Column) -> dict[str, Column]:
         "block_type": F.coalesce(_filled(v("type")), _filled(v("block_type")), F.lit("dialogue")),
         **{c: _box(v("bubble_bbox"), i) for i, c in enumerate(("bx", "by", "bw", "bh"))},
         "order": F.coalesce(_whole(v("order")), F.lit(0).cast("long")),
-        **{c: _flag(v(c)) for c in FLAGS},
+        **{c: F.col("_flags")[i] for i, c in enumerate(FLAGS)},
     }
 
 
@@ -111,7 +117,7 @@ def changed_regions(regions: DataFrame) -> DataFrame:
     """page_regions whose typed columns may have been changed, or rows of new regions (raw null) → the same with raw as the columns now say. A key is put
     over only where its column differs from what raw says, so an object that nobody changed stays as it was; a bubble that is gone is null."""
     was = _fields(F.col("pos").cast("long"))
-    differs = lambda *names: ~F.equal_null(F.struct(*[F.col(c) for c in names]), F.struct(*[was[c].alias(c) for c in names])) | F.col("raw").isNull()
+    differs = lambda *names: reduce(or_, [~F.equal_null(F.col(c), was[c]) for c in names]) | F.col("raw").isNull()
     box, bubble = ("x", "y", "w", "h"), ("bx", "by", "bw", "bh")
     none = F.parse_json(F.lit("null"))
     news = {
@@ -119,12 +125,10 @@ def changed_regions(regions: DataFrame) -> DataFrame:
         "type": (("block_type",), _variant(F.col("block_type"))),
         **{c: ((c,), _variant(F.col(c))) for c in (*TEXTS, "confidence", "order", *FLAGS)},
     }
-    df = _spread(regions).select(*regions.columns, *[differs(*of).alias(f"_on_{key}") for key, (of, _) in news.items()])
-    on = {key: F.col(f"_on_{key}") for key in news}
-    over = F.map_filter(F.create_map(*[x for key, (_, v) in news.items() for x in (F.lit(key), F.when(on[key], F.coalesce(v, none)))]), lambda k, v: v.isNotNull())
-    df = df.select(*regions.columns, F.when(reduce(or_, on.values()), over).alias("_over"))  # null where nothing has changed
+    over = F.map_filter(F.create_map(*[x for key, (of, v) in news.items() for x in (F.lit(key), F.when(differs(*of), F.coalesce(v, none)))]), lambda k, v: v.isNotNull())
+    df = _spread(regions).select(*regions.columns, over.alias("_over"))  # empty where nothing has changed
     kept = F.map_filter(F.coalesce("raw", F.create_map().cast(_OBJECT)), lambda k, v: ~F.map_contains_key("_over", k))
-    return df.withColumn("raw", F.when(F.col("_over").isNull(), F.col("raw")).otherwise(F.map_concat(kept, "_over"))).drop("_over")
+    return df.withColumn("raw", F.when(F.size("_over") == 0, F.col("raw")).otherwise(F.map_concat(kept, "_over"))).drop("_over")
 
 
 def page_bodies(pages: DataFrame, regions: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
