@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -287,19 +288,22 @@ def _ordered(high: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return packed & ((1 << bits) - 1), np.r_[True, high[1:] != high[:-1]]
 
 
-def suffix_array(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
+def suffix_array(symbols: np.ndarray, place: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Order of all suffixes of contents that each end in a separator of its own, for fewer than 2**21 symbols (more are an error). symbols:
     byte + 1 (UTF-8 has no byte above 244), 0 for a separator; place: distance to the own separator. Equal suffixes are in the order of their
-    contents. By prefix doubling, from as many bytes as fit beside the index."""
+    contents, and so are, with a depth, those with so many symbols in common. By prefix doubling, from as many symbols as fit beside the index."""
     n = len(symbols)
     if n >= SYMBOLS:
         raise ValueError(f"{n} symbols in one suffix array, {SYMBOLS - 1} at most")
-    bits = n.bit_length()
-    size, most = (63 - bits) // 8, int(place.max()) + 1
-    key = np.zeros(n, dtype=np.int64)
+    there = np.bincount(symbols, minlength=1) > 0
+    there[0] = False
+    dense = np.cumsum(there) * there  # mostly some 60 symbols are there
+    bits, width = n.bit_length(), max(1, int(dense.max()).bit_length())
+    size, most = (63 - bits) // width, min(int(place.max()) + 1, depth or n)
+    dense, key = dense[symbols], np.zeros(n, dtype=np.int64)
     for k in range(size):
-        key <<= 8
-        key[: n - k] |= np.where(place[: n - k] >= k, symbols[k:], 0)
+        key <<= width
+        key[: n - k] |= np.where(place[: n - k] >= k, dense[k:], 0)
     while True:
         order, new = _ordered(key, bits)
         if size >= most or new.all():
@@ -313,37 +317,41 @@ def suffix_array(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def equal_windows(contents: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(position, class) of all windows of `length` bytes in the concatenation of contents, each with a separator behind it.
+    """(position, class) of all windows of `length` bytes in the concatenation of contents, each with a separator behind it."""
+    return _windows(np.frombuffer(b"\0".join(contents) + b"\0", dtype=np.uint8), np.array([len(c) + 1 for c in contents]), length)
+
+
+def _windows(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """As equal_windows, of contents one after the other, with sizes that count a separator behind each.
 
     Intervals of the BWT, breadth first: those of the strings of one symbol, then all of these extended backward by one symbol, and
     so on. A border between neighbouring rows that first appears with strings of l + 1 symbols has common prefix l: the common
     prefixes come by increasing value, and only rows without a border yet are looked at again. After `length` rounds the
-    intervals left are the classes of suffixes with `length` or more bytes in common."""
-    sizes = np.array([len(c) + 1 for c in contents])
-    symbols = np.frombuffer(b"\0".join(contents) + b"\0", dtype=np.uint8).astype(np.int64) + 1
+    intervals left are the classes of suffixes with `length` or more bytes in common; how these are ordered among themselves does not matter."""
+    symbols = data.astype(np.int64) + 1
     ends = np.cumsum(sizes)
     symbols[ends - 1] = 0
     place = np.repeat(ends - 1, sizes) - np.arange(len(symbols))
-    order = suffix_array(symbols, place)
+    order = suffix_array(symbols, place, length)
     bwt = symbols[order - 1]  # the first content's predecessor is the last separator
-    # Backward steps: row i goes to LF(i), and rows in the order of (BWT symbol, row) are those of all suffixes. A separator is
-    # less than any byte, and the separators rank by their contents.
-    own = np.repeat(np.arange(len(contents)), sizes)
-    before = np.where(bwt == 0, own[order - 1], len(contents) + bwt)
-    back = _ordered(before, len(symbols).bit_length())[0].astype(np.int32)  # back[LF(i)] = i
+    # Backward steps: row i goes to LF(i), where the suffix with one symbol more before it is.
+    row = np.empty(len(order), dtype=np.int32)
+    row[order] = np.arange(len(order), dtype=np.int32)
+    forth = row[order - 1]  # LF
+    back = np.empty(len(order), dtype=np.int32)
+    back[forth] = np.arange(len(order), dtype=np.int32)
     head = bwt[back]
     border = np.r_[True, (head[1:] != head[:-1]) | (head[1:] == 0)]
-    forth = np.empty(len(back), dtype=np.int32)  # LF
-    forth[back] = np.arange(len(back), dtype=np.int32)
     # A border before row i, found last, parts rows j - 1 and j of the next round if it lies between back[j - 1] and back[j]. Mostly
     # these are neighbours, and then j = LF(i). Only the other rows (`wide`) compare the intervals of both.
     gap = np.r_[0, back[1:] - back[:-1]]
-    wide = np.flatnonzero(~border & (gap > 1))
+    near = gap == 1
+    wide = np.flatnonzero(~border & ~near)
     this, above = back[wide], back[wide - 1]
     new = np.flatnonzero(border)
     for _ in range(length - 1):
         found = forth[new]
-        found = found[~border[found] & (gap[found] == 1)]
+        found = found[~border[found] & near[found]]
         interval = np.cumsum(border, dtype=np.int32)
         parted = interval[this] != interval[above]
         new = np.concatenate([found, wide[parted]])
@@ -358,7 +366,7 @@ def equal_windows(contents: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
 
 _RUNS = T.StructType([
     T.StructField("anchor", T.LongType()), T.StructField("name", T.LongType()),
-    T.StructField("start", T.ArrayType(T.IntegerType())), T.StructField("end", T.ArrayType(T.IntegerType())), T.StructField("least", T.ArrayType(T.LongType())),
+    T.StructField("runs", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("least", "long"))),
 ])
 
 
@@ -366,17 +374,28 @@ def _expand(length: int):
     """Contents by anchor → for each, its runs of windows with the first document of each; contents of one document that
     comes first everywhere are left out."""
 
-    def found(held: dict[tuple[int, bytes], list]) -> pa.RecordBatch:
-        contents = [c for _, c in held]
-        first, last = (np.array([v[i] for v in held.values()], dtype=np.int64) for i in (0, 1))
-        at, which = equal_windows(contents, length)
-        sizes = np.array([len(c) + 1 for c in contents])
-        owner = np.repeat(np.arange(len(contents)), sizes)
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        anchors, texts = rows["anchor"].to_numpy(), rows["content"].combine_chunks().dictionary_encode()
+        # An anchor's equal contents, of several groups, are one.
+        new = np.r_[True, anchors[1:] != anchors[:-1]]
+        both = (np.cumsum(new) - 1) * len(texts.dictionary) + texts.indices.to_numpy()
+        order = np.argsort(both, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(both[order]) != 0])
+        first, last = np.minimum.reduceat(rows["first"].to_numpy()[order], cut), np.maximum.reduceat(rows["last"].to_numpy()[order], cut)
+        one = order[cut]
+        data = pc.binary_join_element_wise(texts.dictionary.take(texts.indices.take(pa.array(one))), pa.scalar(b"", pa.binary()), pa.scalar(b"\0", pa.binary()))
+        sizes = np.diff(np.frombuffer(data.buffers()[1], dtype=np.int32, count=len(data) + 1, offset=4 * data.offset)).astype(np.int64)
+        data = np.frombuffer(data.buffers()[2], dtype=np.uint8, count=int(sizes.sum()))
+        at, which = _windows(data, sizes, length)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         cut = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.zeros(0, dtype=np.int64)
         least = np.minimum.reduceat(first[owner[at]], cut)
         by_place = np.full(len(owner), np.iinfo(np.int64).max)
         by_place[at] = np.repeat(least, np.diff(np.r_[cut, len(at)]))
-        windows = np.sort(at)
+        there = np.zeros(len(owner), dtype=bool)
+        there[at] = True
+        windows = np.flatnonzero(there)
         value, who = by_place[windows], owner[windows]
         cut = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (who[1:] != who[:-1])])
         ends = windows[np.r_[cut[1:] - 1, len(windows) - 1]] + length
@@ -387,26 +406,26 @@ def _expand(length: int):
         starts, ends = (starts - base[who]).astype(np.int32), (ends - base[who]).astype(np.int32)
         cut = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, dtype=np.int64)
         offsets = pa.array(np.r_[cut, len(who)].astype(np.int32)) if len(cut) else pa.array([0], pa.int32())
-        names = _names(np.frombuffer(b"\0".join(contents), dtype=np.uint8), base, base + sizes - 1)
-        anchors = np.array([a for a, _ in held], dtype=np.int64)
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (starts, ends, value)]
-        return pa.RecordBatch.from_arrays([pa.array(anchors[who[cut]]), pa.array(names[who[cut]]), *lists], names=_RUNS.names)
+        names = _names(data, base, base + sizes - 1)
+        runs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in (starts, ends, value)], names=["start", "end", "least"]))
+        return pa.RecordBatch.from_arrays([pa.array(anchors[one][who[cut]]), pa.array(names[who[cut]]), runs], names=_RUNS.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], list] = {}
+        held: list[pa.RecordBatch] = []
         size, last = 0, None
         for b in batches:
-            for anchor, content, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if anchor != last and size > HELD_BYTES:
-                    yield found(held)
-                    held, size = {}, 0
-                last = anchor
-                entry = held.get((anchor, content))
-                if entry is None:
-                    held[(anchor, content)] = [lo, hi]
-                    size += len(content) + 1
-                else:
-                    entry[0], entry[1] = min(entry[0], lo), max(entry[1], hi)
+            if not b.num_rows:
+                continue
+            anchors = b.column("anchor").to_numpy()
+            new = np.flatnonzero(np.r_[anchors[0] != last, anchors[1:] != anchors[:-1]])
+            before = np.r_[0, np.cumsum(pc.binary_length(b.column("content")).to_numpy() + 1)]
+            done, last = 0, anchors[-1]
+            for i in new.tolist():
+                if size + before[i] - before[done] > 2 * HELD_BYTES:  # some half of the contents are equal to others; an anchor's stay together
+                    yield found([*held, b[done:i]])
+                    held, size, done = [], 0, i
+            held.append(b[done:])
+            size += int(before[-1] - before[done])
         if held:
             yield found(held)
 
@@ -417,10 +436,10 @@ def _expand(length: int):
 
 
 def _united(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of the united ranges of every row's list of ranges, in order."""
+    """(row, start, end) of the united ranges (start << 32 | end) of every row's list of ranges, in order."""
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    values = lists.flatten()
-    start, end = (values.field(c).to_numpy().astype(np.int64) for c in ("s", "e"))
+    values = lists.flatten().to_numpy()
+    start, end = values >> 32, values & 0xFFFFFFFF
     order = np.lexsort((start, row))
     row, start, end = row[order], start[order], end[order]
     if not len(row):
@@ -483,11 +502,12 @@ def repeated_strings(df: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     runs = written(runs, "runs")
     places = rows.filter(F.col("content").isNull()).select("anchor", "name", "doc", "text", "at")
     hits = places.join(runs, ["anchor", "name"])
-    ranges = F.filter(F.arrays_zip("start", "end", "least"), lambda x: x["least"] < F.col("doc"))
-    hits = hits.select("doc", "text", "at", F.explode(ranges).alias("r"))
-    ranges = hits.groupBy("doc", "text").agg(F.collect_list(F.struct((F.col("at") + F.col("r.start")).alias("s"), (F.col("at") + F.col("r.end")).alias("e"))).alias("_ranges"))
+    # What runs give is told apart after they are rows: as functions of list items the same would not be compiled.
+    hits = hits.select("doc", "text", "at", F.inline("runs")).filter("least < doc")
+    span = F.shiftleft((F.col("at") + F.col("start")).cast("long"), 32).bitwiseOR((F.col("at") + F.col("end")).cast("long"))
+    ranges = hits.groupBy("doc", "text").agg(F.collect_list(span).alias("_ranges"))
     ranges = written(ranges, "ranges")
-    joined = docs.join(ranges, (docs["_doc"] == ranges["doc"]) & (docs["_name"] == ranges["text"]), "left").select("_key", "_text", F.coalesce("_ranges", F.array().cast("array<struct<s:int,e:int>>")).alias("_ranges"))
+    joined = docs.join(ranges, (docs["_doc"] == ranges["doc"]) & (docs["_name"] == ranges["text"]), "left").select("_key", "_text", F.coalesce("_ranges", F.array().cast("array<long>")).alias("_ranges"))
     out = T.StructType([T.StructField("_key", df.schema[key].dataType)]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     out = out.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
     return joined.mapInArrow(_cut_out, out).withColumnRenamed("_key", key)
